@@ -48,6 +48,23 @@ def edge_statistics(edges: DataFrame, cell_rows: int = DEFAULT_CELL_ROWS) -> tup
     return degrees, heavy
 
 
+def _materialized_statistics(e: DataFrame, cell_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Degrees and heavy baskets written once to the checkpoint folder.
+
+    The statistics are small (one row per package plus one per oversized
+    basket); writing them once lets the two size checks and the join read
+    files instead of re-running the aggregation over all edges.
+    """
+    stats = (e.groupingSets([[PKG], [APP]], PKG, APP)
+              .agg(F.count(F.lit(1)).alias("cnt"), F.grouping_id().alias("gid"))
+              .where((F.col("gid") == 1) | (F.col("cnt") > cell_rows))
+              .checkpoint(eager=True))
+    degrees = stats.where(F.col("gid") == 1).select(PKG, F.col("cnt").alias("n"))
+    heavy = (stats.where(F.col("gid") == 2)
+                  .select(APP, F.ceil(F.col("cnt") / cell_rows).cast("int").alias("g")))
+    return degrees, heavy
+
+
 def _attach(edges: DataFrame, degrees: DataFrame, heavy: DataFrame) -> DataFrame:
     x = edges.join(degrees, PKG).join(heavy, APP, "left")
     return x.withColumn("g", F.coalesce(F.col("g"), F.lit(1)))
@@ -66,10 +83,7 @@ def similarity_pairs(edges: DataFrame, cell_rows: int = DEFAULT_CELL_ROWS,
     e = dedupe_edges(edges)
     if materialize:
         e = e.checkpoint(eager=True)
-    degrees, heavy = edge_statistics(e, cell_rows)
-    if materialize:
-        degrees = degrees.checkpoint(eager=True)
-        heavy = heavy.checkpoint(eager=True)
+    degrees, heavy = _materialized_statistics(e, cell_rows)
     x = _attach(e, checked_broadcast(degrees, max_broadcast_rows),
                 checked_broadcast(heavy, max_broadcast_rows))
     chunk = F.pmod(F.xxhash64(PKG), F.col("g")).cast("int")

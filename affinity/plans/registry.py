@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from affinity import oracle as O
 from affinity.functions import dates, purl, scoring
-from affinity.operators import joins, recommend, scores, similarity
+from affinity.operators import api, joins, manifests, recommend, scores, similarity
 from affinity.session import apply_defaults
 from affinity.sources import corpus
 
@@ -252,4 +252,306 @@ def q_recommend(spark, base):
     return r.withColumn("categories", _categories_text())
 
 
-QUERIES_SNAPSHOT = dict(QUERIES)
+
+
+# -------------------------------------------------- B: manifests → purls
+
+_MP = {
+    "li": "li AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)",
+    "ord": (f"ord AS (SELECT o_orderkey, (o_orderstatus = '{corpus.CORRUPT_STATUS}' AND "
+            f"o_orderpriority = '{corpus.CORRUPT_PRIORITY}') AS corrupt FROM orders)"),
+    "mp": ("mp AS (SELECT li.l_orderkey AS application_id, pk.*, ord.corrupt FROM li "
+           "JOIN pk ON li.l_partkey = pk.id JOIN ord ON ord.o_orderkey = li.l_orderkey)"),
+}
+O.NEEDS["mp"] = ["pk", "li", "ord"]
+O.CTE.update(_MP)
+_NPM_OK = f"id % 2 = 0 AND p_size % {corpus.NUMERIC_VERSION_EVERY} <> 0 AND NOT corrupt"
+_PY_MAJOR = f"CASE WHEN p_size >= {corpus.VERSIONLESS_MIN_SIZE} THEN '' ELSE CAST(p_size AS VARCHAR) END"
+_PY_SERVE = (f"CASE WHEN p_size >= {corpus.VERSIONLESS_MIN_SIZE} THEN '' "
+             f"WHEN p_size % {corpus.EXTRAS_EVERY} = 0 THEN '@' || CAST(p_size AS VARCHAR) || '.1' "
+             f"ELSE '@' || CAST(p_size AS VARCHAR) || '.0' END")
+_NPM_SERVE_SQL = (O.with_ctes("mp") + "SELECT application_id, 'pkg:npm/' || slug || '@' || "
+                  f"CAST(p_size AS VARCHAR) || '.0.0' AS purl FROM mp WHERE {_NPM_OK}")
+_PY_SERVE_SQL = (O.with_ctes("mp") + f"SELECT application_id, 'pkg:pypi/' || slug || {_PY_SERVE} AS purl "
+                 "FROM mp WHERE id % 2 = 1")
+
+
+def _manifests(spark, base, language=None):
+    m = corpus.manifests(spark, base)
+    return m if language is None else m.where(F.col("language") == language)
+
+
+@register("manifest_npm_edges", O.with_ctes("mp") +
+          "SELECT application_id, 'pkg:npm/' || slug || '@' || CAST(p_size AS VARCHAR) AS purl "
+          f"FROM mp WHERE {_NPM_OK}")
+def q_manifest_npm_edges(spark, base):
+    """B1: package.json `dependencies` → train edges; non-string values skipped."""
+    return manifests.npm_train_edges(_manifests(spark, base, "javascript")).select("application_id", "purl")
+
+
+@register("npm_major_version", O.with_ctes("mp") +
+          "SELECT application_id, slug AS dep_name, '^' || CAST(p_size AS VARCHAR) || '.0.0' AS dep_version, "
+          f"CAST(p_size AS VARCHAR) AS major FROM mp WHERE {_NPM_OK}")
+def q_npm_major_version(spark, base):
+    """B2: first digit run of each string version."""
+    js = manifests.parse_package_json(_manifests(spark, base, "javascript"))
+    e = manifests._dependency_entries(js).where(F.col("dep_version").isNotNull())
+    return e.select("application_id", "dep_name", "dep_version",
+                    purl.first_digit_run("dep_version").alias("major")).where(F.col("major") != "")
+
+
+@register("manifest_pypi_edges", O.with_ctes("mp") +
+          f"SELECT application_id, 'pkg:pypi/' || slug || '@' || {_PY_MAJOR} AS purl FROM mp WHERE id % 2 = 1")
+def q_manifest_pypi_edges(spark, base):
+    """Requirements.txt → train edges (major of the first specifier, '' without)."""
+    return manifests.pypi_train_edges(_manifests(spark, base, "python")).select("application_id", "purl")
+
+
+@register("corrupt_manifest_filter", O.with_ctes("mp") +
+          "SELECT DISTINCT application_id FROM mp WHERE corrupt AND id % 2 = 0")
+def q_corrupt_manifest_filter(spark, base):
+    """Package.json texts that are not JSON (skipped as a whole)."""
+    return manifests.corrupt_manifests(_manifests(spark, base, "javascript")).select("application_id")
+
+
+@register("purl_npm", _NPM_SERVE_SQL)
+def q_purl_npm(spark, base):
+    """Serving-side npm purls, `~`/`^` stripped, full version kept."""
+    return manifests.npm_serve_purls(_manifests(spark, base, "javascript")).select("application_id", "purl")
+
+
+@register("purl_pypi", _PY_SERVE_SQL)
+def q_purl_pypi(spark, base):
+    """Serving-side PyPI purls, first specifier allowing equality."""
+    return manifests.pypi_serve_purls(_manifests(spark, base, "python")).select("application_id", "purl")
+
+
+@register("npm_fragment", _NPM_SERVE_SQL)
+def q_npm_fragment(spark, base):
+    """Pasted `"a": "v", …` fragments with stray commas, wrapped and parsed."""
+    js = _manifests(spark, base, "javascript")
+    frag = js.select("application_id", F.concat(
+        F.lit(", "), F.regexp_extract("text", r'"dependencies": \{(.*)\}\}$', 1), F.lit(",")).alias("text"))
+    return manifests.npm_fragment_purls(frag).select("application_id", "purl")
+
+
+@register("parse_dependencies", O.with_ctes("mp") +
+          "SELECT application_id, 'javascript' AS language, 'pkg:npm/' || slug || '@' || "
+          f"CAST(p_size AS VARCHAR) || '.0.0' AS purl FROM mp WHERE {_NPM_OK} UNION ALL "
+          f"SELECT application_id, 'python', 'pkg:pypi/' || slug || {_PY_SERVE} FROM mp WHERE id % 2 = 1")
+def q_parse_dependencies(spark, base):
+    """Dispatch by manifest language."""
+    return manifests.parse_dependencies(_manifests(spark, base)).select("application_id", "language", "purl")
+
+
+@register("purl_split", O.with_ctes("pk") +
+          "SELECT id, regexp_extract(name, '^pkg:([^/]+)/', 1) AS ecosystem, "
+          "regexp_extract(name, '^[^/]*/(.*)@[^@]*$', 1) AS package_name FROM pk")
+def q_purl_split(spark, base):
+    """Ecosystem and name (between the first '/' and the last '@')."""
+    p = corpus.package_names(spark, base)
+    return p.select("id", purl.ecosystem("name").alias("ecosystem"), purl.purl_name("name").alias("package_name"))
+
+
+_NL = "chr(10)"
+_FULL = ("""'{"name": "app-' || CAST(application_id AS VARCHAR) || '", "dependencies": {' || """
+         """coalesce(string_agg('"' || slug || '": ' || CASE WHEN p_size % 10 = 0 THEN CAST(p_size AS VARCHAR) """
+         """ELSE '"^' || CAST(p_size AS VARCHAR) || '.0.0"' END, ', ' ORDER BY slug) FILTER (WHERE id % 2 = 0), '') || '}}'""")
+_PY_LINE = (f"CASE WHEN p_size >= {corpus.VERSIONLESS_MIN_SIZE} THEN slug "
+            f"WHEN p_size % {corpus.EXTRAS_EVERY} = 0 THEN slug || '[extra]==' || CAST(p_size AS VARCHAR) || '.1' "
+            f"ELSE slug || '>=' || CAST(p_size AS VARCHAR) || '.0' END")
+O.CTE["mtexts"] = (
+    "mtexts AS (SELECT application_id, 'javascript' AS language, CASE WHEN n_npm = 0 THEN "
+    """'{"name": "app-' || CAST(application_id AS VARCHAR) || '", "private": true}' """
+    "WHEN corrupt THEN substring(full_text, 1, length(full_text) - 1) ELSE full_text END AS text FROM ("
+    "SELECT application_id, bool_or(corrupt) AS corrupt, count(*) FILTER (WHERE id % 2 = 0) AS n_npm, "
+    + _FULL + " AS full_text FROM mp GROUP BY application_id) "
+    "UNION ALL SELECT application_id, 'python', '# requirements for app-' || CAST(application_id AS VARCHAR) || "
+    + _NL + " || string_agg(" + _PY_LINE + ", " + _NL + " ORDER BY slug) FILTER (WHERE id % 2 = 1) "
+    "FROM mp GROUP BY application_id HAVING count(*) FILTER (WHERE id % 2 = 1) > 0)")
+O.NEEDS["mtexts"] = ["mp"]
+
+
+@register("content_hash", O.with_ctes("mtexts") +
+          "SELECT application_id, language, sha256(text) AS hash FROM mtexts")
+def q_content_hash(spark, base):
+    """Change fingerprint of each manifest text (sha-256)."""
+    m = _manifests(spark, base)
+    return m.select("application_id", "language", F.sha2("text", 256).alias("hash"))
+
+
+@register("repo_dependency_union", O.with_ctes("mtexts", "mp") +
+          "SELECT l.application_id, l.language, coalesce(d.purls, '') AS purls FROM "
+          "(SELECT application_id, max(language) AS language FROM mtexts GROUP BY application_id) l LEFT JOIN "
+          "(SELECT application_id, string_agg(purl, ' ' ORDER BY purl) AS purls FROM ("
+          "SELECT application_id, 'pkg:npm/' || slug || '@' || CAST(p_size AS VARCHAR) || '.0.0' AS purl "
+          f"FROM mp WHERE {_NPM_OK} UNION ALL SELECT application_id, 'pkg:pypi/' || slug || {_PY_SERVE} "
+          "FROM mp WHERE id % 2 = 1) GROUP BY application_id) d ON l.application_id = d.application_id")
+def q_repo_dependency_union(spark, base):
+    """Per repository, purls of all its manifests; language = last one found."""
+    u = manifests.repo_dependency_union(_manifests(spark, base))
+    return u.select("application_id", "language", F.array_join("purls", " ").alias("purls"))
+
+
+# ------------------------------------------- G7–G9: the API as a table job
+
+def _valid_requests(spark, base):
+    return api.validate_requests(corpus.request_bodies(spark, base))
+
+
+_BAD = corpus.BAD_BODY_EVERY
+O.CTE["cdeps"] = ("cdeps AS (SELECT o_custkey AS c, count(DISTINCT l_partkey) AS n FROM orders "
+                  "JOIN lineitem ON l_orderkey = o_orderkey WHERE l_partkey % 2 = o_custkey % 2 GROUP BY o_custkey)")
+O.CTE["vreq"] = (
+    "vreq AS (SELECT c_custkey AS request_id, CASE "
+    f"WHEN c_custkey % {_BAD} = 1 THEN '{api.ERR_JSON}' "
+    f"WHEN c_custkey % {_BAD} = 2 THEN '{api.ERR_KEYS}' "
+    f"WHEN c_custkey % {_BAD} = 3 AND coalesce(n, 0) = 0 THEN '{api.ERR_LIST.format('Not supported value')}' "
+    f"WHEN c_custkey % {_BAD} = 3 THEN '{api.ERR_LANGUAGE.format('not supported value')}' "
+    f"WHEN c_custkey % {_BAD} = 4 THEN '{api.ERR_LOWER.format('NoneType').replace(chr(39), chr(39) * 2)}' "
+    f"WHEN c_custkey % {_BAD} IN (5, 6) OR coalesce(n, 0) = 0 THEN "
+    f"(CASE WHEN c_custkey % 2 = 0 THEN 'Javascript' ELSE 'Python' END) || "
+    f"' dependencies must be non-empty and of type LIST (i.e. [...]).' END AS error, "
+    "CAST(5 + c_custkey % 46 AS BIGINT) AS max_recommendations "
+    "FROM customer LEFT JOIN cdeps ON cdeps.c = customer.c_custkey)")
+O.NEEDS["vreq"] = ["cdeps"]
+
+
+@register("validate_requests", O.with_ctes("vreq") +
+          "SELECT request_id, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status, error FROM vreq")
+def q_validate_requests(spark, base):
+    """API body checks in order; the first failing check is reported."""
+    return _valid_requests(spark, base).select("request_id", "status", "error")
+
+
+@register("api_dependency_list", O.with_ctes("vreq", "pk") +
+          "SELECT DISTINCT o_custkey AS request_id, pk.slug AS name, CAST(p_size AS VARCHAR) || '.0.0' AS version "
+          "FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN pk ON pk.id = l_partkey "
+          "JOIN vreq ON vreq.request_id = o_custkey "
+          "WHERE vreq.error IS NULL AND l_partkey % 2 = 0 AND o_custkey % 2 = 0")
+def q_api_dependency_list(spark, base):
+    """Javascript API entries `name@version` → manifest form, split at the last '@'."""
+    v = _valid_requests(spark, base).where((F.col("status") == "ok") & (F.col("language") == "javascript"))
+    t = manifests.api_manifest_text(v)
+    doc = F.try_parse_json(F.concat(F.lit("{"), F.col("text"), F.lit("}")))
+    m = t.select("request_id", F.explode(F.try_variant_get(doc, "$", "map<string,string>")).alias("name", "version"))
+    return m
+
+
+O.CTE["rseeds"] = (
+    "rseeds AS (SELECT DISTINCT o_custkey AS request_id, l_partkey AS id FROM orders "
+    "JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey "
+    "JOIN vreq ON vreq.request_id = o_custkey "
+    f"WHERE vreq.error IS NULL AND l_partkey % 2 = o_custkey % 2 "
+    f"AND NOT (l_partkey % 2 = 1 AND p_size >= {corpus.VERSIONLESS_MIN_SIZE}))")
+O.NEEDS["rseeds"] = ["vreq"]
+
+
+@register("strip_to_major", O.with_ctes("rseeds", "pk") +
+          "SELECT request_id, pk.name FROM rseeds JOIN pk ON pk.id = rseeds.id")
+def q_strip_to_major(spark, base):
+    """Request purls cut to `pkg:<eco>/<name>@<major>`; the rest dropped."""
+    rp = api.request_purls(_valid_requests(spark, base))
+    return recommend.seed_names(rp).select("request_id", "name").distinct()
+
+
+@register("resolve_seeds", O.with_ctes("rseeds") + "SELECT request_id, id FROM rseeds")
+def q_resolve_seeds(spark, base):
+    """G1: seed names → package ids per request (semi join on names)."""
+    rp = api.request_purls(_valid_requests(spark, base))
+    return recommend.resolve_seeds(corpus.package_names(spark, base), recommend.seed_names(rp), ["request_id"])
+
+
+O.CTE["cand"] = ("cand AS (SELECT rseeds.request_id, s.package_a, s.package_b, s.similarity, s.bounded_similarity "
+                 "FROM rseeds JOIN sim s ON s.package_a = rseeds.id WHERE NOT EXISTS (SELECT 1 FROM rseeds o "
+                 "WHERE o.request_id = rseeds.request_id AND o.id = s.package_b))")
+O.NEEDS["cand"] = ["rseeds", "sim"]
+
+
+def _batch_candidates(spark, base):
+    rp = api.request_purls(_valid_requests(spark, base))
+    ids = recommend.resolve_seeds(corpus.package_names(spark, base), recommend.seed_names(rp), ["request_id"])
+    return recommend.candidates(sim_table(spark, base), ids, ["request_id"])
+
+
+@register("exclude_owned", O.with_ctes("cand") + "SELECT request_id, package_a, package_b FROM cand")
+def q_exclude_owned(spark, base):
+    """Candidate pairs without packages the request already uses (anti join per request)."""
+    return _batch_candidates(spark, base).select("request_id", "package_a", "package_b")
+
+
+_META = ("a.short_name AS for_package, b.short_name AS recommended_package, b.url, b.bounded_popularity, "
+         "b.absolute_trend, b.relative_trend, b.categories, b.display_date, b.monthly_downloads_last_month")
+
+
+@register("pair_metadata", O.with_ctes("cand", "scored") +
+          f"SELECT c.request_id, c.package_a, c.package_b, {_META} FROM cand c "
+          "JOIN scored a ON a.id = c.package_a JOIN scored b ON b.id = c.package_b")
+def q_pair_metadata(spark, base):
+    """Seed and recommendation metadata via two equi-joins."""
+    m = recommend.pair_metadata(_batch_candidates(spark, base), scored_packages(spark, base))
+    return m.select("request_id", "package_a", "package_b", "for_package", "recommended_package", "url",
+                    "bounded_popularity", "absolute_trend", "relative_trend", _categories_text().alias("categories"),
+                    "display_date", "monthly_downloads_last_month")
+
+
+@register("composite_score", O.with_ctes("cand", "scored") +
+          "SELECT c.request_id, c.package_a, c.package_b, " +
+          O.composite_sql("c.similarity", "b.bounded_popularity", "b.absolute_trend", "b.relative_trend") +
+          " AS score FROM cand c JOIN scored b ON b.id = c.package_b")
+def q_composite_score(spark, base):
+    """ceil(ceil(10·s)·0.5 + bp·0.3 + at·0.1 + rt·0.1) in double arithmetic."""
+    m = recommend.with_score(recommend.pair_metadata(_batch_candidates(spark, base), scored_packages(spark, base)))
+    return m.select("request_id", "package_a", "package_b", "score")
+
+
+@register("top_n", O.with_ctes("sim") +
+          "SELECT package_a, package_b, similarity FROM sim ORDER BY similarity DESC, package_a, package_b LIMIT 1000")
+def q_top_n(spark, base):
+    """The most similar pairs overall (ORDER BY similarity DESC LIMIT n)."""
+    return recommend.top_n(sim_table(spark, base).select("package_a", "package_b", "similarity"), 1000)
+
+
+_BATCH_SELECT = (
+    "SELECT c.request_id, CAST(row_number() OVER (PARTITION BY c.request_id ORDER BY c.similarity DESC, "
+    "c.package_a, c.package_b) AS INTEGER) AS rank, a.short_name AS for_package, "
+    "b.short_name AS recommended_package, b.url, "
+    + O.composite_sql("c.similarity", "b.bounded_popularity", "b.absolute_trend", "b.relative_trend") +
+    " AS score, b.absolute_trend, b.relative_trend, b.bounded_popularity, c.bounded_similarity, b.categories, "
+    "b.display_date, b.monthly_downloads_last_month, c.similarity, c.package_a, c.package_b, v.max_recommendations "
+    "FROM cand c JOIN scored a ON a.id = c.package_a JOIN scored b ON b.id = c.package_b "
+    "JOIN vreq v ON v.request_id = c.request_id")
+O.CTE["batch"] = f"batch AS (SELECT * FROM ({_BATCH_SELECT}) WHERE rank <= max_recommendations)"
+O.NEEDS["batch"] = ["cand", "scored", "vreq"]
+_BATCH_COLS = ["request_id", "rank", *recommend.RESULT_COLUMNS, "similarity", "package_a", "package_b"]
+
+
+def batch_recommendations(spark, base):
+    v = _valid_requests(spark, base)
+    rp = api.request_purls(v)
+    limits = v.where(F.col("status") == "ok").select("request_id", "max_recommendations")
+    r = recommend.recommend_batch(sim_table(spark, base), scored_packages(spark, base), rp, limits)
+    return r.withColumn("rank", F.col("rank").cast("int")).withColumn("categories", _categories_text())
+
+
+@register("recommend_batch", O.with_ctes("batch") + "SELECT " + ", ".join(_BATCH_COLS) + " FROM batch")
+def q_recommend_batch(spark, base):
+    """Every valid API request answered in one job, own exclusions and limits."""
+    return batch_recommendations(spark, base)
+
+
+@register("recommendation_records", O.with_ctes("batch") + "SELECT request_id, rank, " + ", ".join(
+    f"{c} AS {recommend.RECORD_NAMES[c]}" for c in recommend.RESULT_COLUMNS) + " FROM batch")
+def q_recommendation_records(spark, base):
+    """The API's field names for the 11 result columns."""
+    r = recommend.recommendation_records(batch_recommendations(spark, base))
+    return r.select("request_id", "rank", *recommend.RECORD_NAMES.values())
+
+
+@register("response_documents")
+def q_response_documents(spark, base):
+    """One JSON response per valid request (rows-only check)."""
+    v = _valid_requests(spark, base)
+    recs = recommend.recommendation_records(batch_recommendations(spark, base).withColumn(
+        "categories", F.split("categories", ",")))
+    return recommend.response_documents(recs, v.where(F.col("status") == "ok"))

@@ -170,19 +170,77 @@ def manifests(spark: SparkSession, base: str) -> DataFrame:
     apps = applications(spark, base).join(
         read_table(spark, base, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority"),
         F.col("id") == F.col("o_orderkey"))
-    j = apps.join(per_order, apps["id"] == per_order["l_orderkey"])
-    head = F.concat(F.lit('{"name": "app-'), F.col("id").cast("string"), F.lit('"'))
+    j = (apps.join(per_order, apps["id"] == per_order["l_orderkey"])
+             .withColumnRenamed("id", "application_id"))
+    head = F.concat(F.lit('{"name": "app-'), F.col("application_id").cast("string"), F.lit('"'))
     full = F.concat(head, F.lit(', "dependencies": {'), _sorted_join(F.col("npm"), ", "), F.lit("}}"))
     npm_text = (F.when(F.size("npm") == 0, F.concat(head, F.lit(', "private": true}')))
                  .when((F.col("o_orderstatus") == CORRUPT_STATUS)
                        & (F.col("o_orderpriority") == CORRUPT_PRIORITY),
                        F.expr("substring(full_text, 1, length(full_text) - 1)"))
                  .otherwise(F.col("full_text")))
-    py_text = F.concat(F.lit("# requirements for app-"), F.col("id").cast("string"), F.lit("\n"),
+    py_text = F.concat(F.lit("# requirements for app-"), F.col("application_id").cast("string"), F.lit("\n"),
                        _sorted_join(F.col("py"), "\n"))
     base_cols = ["application_id", "url", "name", "followers"]
-    j = j.withColumnRenamed("id", "application_id").withColumn("full_text", full)
+    j = j.withColumn("full_text", full)
     js = j.select(*base_cols, F.lit("javascript").alias("language"), npm_text.alias("text"))
     py = j.where(F.size("py") > 0).select(*base_cols, F.lit("python").alias("language"),
                                           py_text.alias("text"))
     return js.unionByName(py)
+
+
+# ---------------------------------------------------------------- requests
+
+# Fixed corpus parameters for API requests (our choice).
+BAD_BODY_EVERY = 50   # c_custkey % 50 picks an invalid body variant (1..6)
+
+
+def request_bodies(spark: SparkSession, base: str) -> DataFrame:
+    """One API request per customer: (request_id, body).
+
+    Even customers ask in Javascript with `slug@size.0.0` entries, odd ones in
+    Python with `slug==size.0` (a bare `slug` for version-less parts); the
+    dependencies are the parts of the customer's orders in that ecosystem,
+    sorted, and max_recommendations = 5 + c_custkey % 46. Some customers send
+    invalid bodies, picked by c_custkey % 50: 1 not JSON, 2 `{}`, 3 an
+    unsupported language, 4 a null language, 5 an object instead of a list,
+    6 an empty list.
+    """
+    cust = read_table(spark, base, "customer", "c_custkey")
+    orders = read_table(spark, base, "orders", "o_orderkey", "o_custkey")
+    li = read_table(spark, base, "lineitem", "l_orderkey", "l_partkey")
+    part = read_table(spark, base, "part", "p_partkey", "p_name", "p_size")
+    key, size = F.col("p_partkey"), F.col("p_size")
+    slug = part_slug(F.col("p_name"), key)
+    js_dep = F.concat(slug, F.lit("@"), size.cast("string"), F.lit(".0.0"))
+    py_dep = F.when(size >= VERSIONLESS_MIN_SIZE, slug).otherwise(
+        F.concat(slug, F.lit("=="), size.cast("string"), F.lit(".0")))
+    parts = part.select(key, (key % 2).alias("eco"),
+                        F.when(key % 2 == 0, js_dep).otherwise(py_dep).alias("dep"))
+    used = (li.join(orders, li["l_orderkey"] == orders["o_orderkey"])
+              .join(parts, li["l_partkey"] == parts["p_partkey"])
+              .where(F.col("eco") == F.col("o_custkey") % 2)
+              .select(F.col("o_custkey").alias("c_custkey"), "dep").distinct())
+    deps = used.groupBy("c_custkey").agg(F.array_sort(F.collect_list("dep")).alias("deps"))
+    c = cust.join(deps, "c_custkey", "left")
+    k = F.col("c_custkey")
+    lang = F.when(k % 2 == 0, F.lit("Javascript")).otherwise(F.lit("Python"))
+    dep_list = F.concat(F.lit("["), F.array_join(
+        F.transform(F.coalesce("deps", F.array().cast("array<string>")),
+                    lambda d: F.concat(F.lit('"'), d, F.lit('"'))), ", "), F.lit("]"))
+    variant = k % BAD_BODY_EVERY
+
+    def body(language, dependencies):
+        return F.concat(F.lit('{"language": '), language, F.lit(', "dependencies": '), dependencies,
+                        F.lit(', "max_recommendations": '), (F.lit(5) + k % 46).cast("string"),
+                        F.lit("}"))
+
+    quoted = F.concat(F.lit('"'), lang, F.lit('"'))
+    text = (F.when(variant == 1, F.lit("THIS IS NOT A JSON!"))
+             .when(variant == 2, F.lit("{}"))
+             .when(variant == 3, body(F.lit('"NOT SUPPORTED VALUE"'), dep_list))
+             .when(variant == 4, body(F.lit("null"), dep_list))
+             .when(variant == 5, body(quoted, F.lit("{}")))
+             .when(variant == 6, body(quoted, F.lit("[]")))
+             .otherwise(body(quoted, dep_list)))
+    return c.select(k.alias("request_id"), text.alias("body"))
