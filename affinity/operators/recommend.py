@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinity.functions import purl, scoring
-from affinity.operators.joins import checked_broadcast
+from affinity.operators.joins import MAX_BROADCAST_ROWS, checked_broadcast
 
 # Fixed value: default result limit of the recommendation service.
 DEFAULT_MAX_RECOMMENDATIONS = 10000
@@ -51,10 +51,19 @@ def resolve_seeds(packages: DataFrame, names: DataFrame, keys: list[str] | None
                  .select(*keys, "id").dropDuplicates(keys + ["id"]))
 
 
-def candidates(similarity: DataFrame, seed_ids: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Pairs whose package_a is a seed and whose package_b is not owned (per key group)."""
+def candidates(similarity: DataFrame, seed_ids: DataFrame, keys: list[str] | None = None,
+               seed_count: int | None = None) -> DataFrame:
+    """Pairs whose package_a is a seed and whose package_b is not owned (per key group).
+
+    The seed table is broadcast only when its row count (given, or counted
+    here) is within the broadcast bound; otherwise both joins shuffle.
+    """
     keys = keys or []
-    owned = checked_broadcast(seed_ids.select(*keys, F.col("id").alias("package_b")))
+    owned = seed_ids.select(*keys, F.col("id").alias("package_b"))
+    if seed_count is None:
+        owned = checked_broadcast(owned)
+    elif seed_count <= MAX_BROADCAST_ROWS:
+        owned = F.broadcast(owned)
     seeds = owned.select(*keys, F.col("package_b").alias("package_a"))
     s = similarity.select("package_a", "package_b", "similarity", "bounded_similarity")
     if keys:
@@ -109,12 +118,20 @@ def recommend_batch(similarity: DataFrame, packages: DataFrame, requests: DataFr
     candidate list is moved), then the exact per-request limit.
     """
     keys = ["request_id"]
-    ids = resolve_seeds(packages, seed_names(requests), keys)
-    rows = with_score(pair_metadata(candidates(similarity, ids, keys), packages))
-    cap = limits.agg(F.max("max_recommendations")).first()[0] or 0
+    # The resolved seed table (requests × their known dependencies) is written
+    # once; its size check, the limit and both joins read the written copy.
+    ids = (resolve_seeds(packages, seed_names(requests), keys)
+           .join(limits.select("request_id", "max_recommendations"), "request_id")
+           .checkpoint(eager=True))
+    n_ids = ids.count()
+    cap = ids.agg(F.max("max_recommendations")).first()[0] or 0
+    rows = with_score(pair_metadata(candidates(similarity, ids.select("request_id", "id"), keys, n_ids),
+                                    packages))
+    lim = ids.select("request_id", "max_recommendations").distinct()
+    lim = F.broadcast(lim) if n_ids <= MAX_BROADCAST_ROWS else lim
     w = Window.partitionBy("request_id").orderBy(F.desc("similarity"), "package_a", "package_b")
     ranked = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.lit(int(cap)))
-    ranked = ranked.join(limits, "request_id").where(F.col("rank") <= F.col("max_recommendations"))
+    ranked = ranked.join(lim, "request_id").where(F.col("rank") <= F.col("max_recommendations"))
     return ranked.select("request_id", "rank", *RESULT_COLUMNS, "similarity", "package_a", "package_b")
 
 

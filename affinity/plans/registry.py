@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from affinity import oracle as O
 from affinity.functions import dates, purl, scoring
 from affinity.operators import api, joins, manifests, recommend, scores, similarity
-from affinity.session import apply_defaults
+from affinity.session import apply_defaults, checkpoint_dir
 from affinity.sources import corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,11 +44,37 @@ def _categories_text(col: str = "categories"):
 # ------------------------------------------------------------ shared frames
 
 def sim_table(spark: SparkSession, base: str) -> DataFrame:
+    """The similarity table computed from the edges (train side)."""
     return similarity.similarity_frame(corpus.raw_edges(spark, base))
 
 
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def stored(spark: SparkSession, base: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table written once to the shared checkpoint folder and read by later queries.
+
+    Mirrors the deployment: the daily train job writes the similarity and
+    scored package tables, and serving reads them.
+    """
+    k = (spark.sparkContext.applicationId, base, key)
+    if k not in _STORED:
+        checkpoint_dir(spark)
+        _STORED[k] = build().checkpoint(eager=True)
+    return _STORED[k]
+
+
+def stored_similarity(spark: SparkSession, base: str) -> DataFrame:
+    return stored(spark, base, "similarity", lambda: sim_table(spark, base))
+
+
 def scored_packages(spark: SparkSession, base: str) -> DataFrame:
-    return scores.score_packages(corpus.packages(spark, base), sim_table(spark, base))
+    """Scored packages computed from the stored similarity table."""
+    return scores.score_packages(corpus.packages(spark, base), stored_similarity(spark, base))
+
+
+def stored_packages(spark: SparkSession, base: str) -> DataFrame:
+    return stored(spark, base, "packages", lambda: scored_packages(spark, base))
 
 
 # ------------------------------------------------------ A: sources / scans
@@ -109,7 +135,7 @@ def q_bounded_similarity(spark, base):
 @register("popularity", O.with_ctes("p1") + "SELECT id, popularity FROM p1")
 def q_popularity(spark, base):
     """neighbours per package, 0 without any."""
-    p = scores.with_popularity(corpus.packages(spark, base), sim_table(spark, base))
+    p = scores.with_popularity(corpus.packages(spark, base), stored_similarity(spark, base))
     return p.select("id", "popularity")
 
 
@@ -117,7 +143,7 @@ def q_popularity(spark, base):
           "SELECT id, popularity, bounded_popularity FROM scored")
 def q_bounded_popularity(spark, base):
     """bucket of log10(popularity + 1) between 0 and its maximum."""
-    p = scores.with_popularity(corpus.packages(spark, base), sim_table(spark, base))
+    p = scores.with_popularity(corpus.packages(spark, base), stored_similarity(spark, base))
     return scores.bounded_popularity(p).select("id", "popularity", "bounded_popularity")
 
 
@@ -173,7 +199,7 @@ def q_score_packages(spark, base):
 def q_update_from_join(spark, base):
     """UPDATE packages SET popularity = s.popularity FROM (…) s WHERE id = s.package_b."""
     p = corpus.packages(spark, base).withColumn("popularity", F.lit(None).cast("bigint"))
-    upd = joins.update_from(p, scores.popularity(sim_table(spark, base)), "id", ["popularity"],
+    upd = joins.update_from(p, scores.popularity(stored_similarity(spark, base)), "id", ["popularity"],
                             source_key="package_b")
     return upd.select("id", "popularity")
 
@@ -247,7 +273,7 @@ _REC_SELECT = ("SELECT a.short_name AS for_package, b.short_name AS recommended_
           "ORDER BY s.similarity DESC, s.package_a, s.package_b LIMIT 10000")
 def q_recommend(spark, base):
     """Recommendations for one application's dependency list."""
-    r = recommend.recommend(sim_table(spark, base), scored_packages(spark, base),
+    r = recommend.recommend(stored_similarity(spark, base), stored_packages(spark, base),
                             _seed_purls(spark, base))
     return r.withColumn("categories", _categories_text())
 
@@ -471,7 +497,7 @@ O.NEEDS["cand"] = ["rseeds", "sim"]
 def _batch_candidates(spark, base):
     rp = api.request_purls(_valid_requests(spark, base))
     ids = recommend.resolve_seeds(corpus.package_names(spark, base), recommend.seed_names(rp), ["request_id"])
-    return recommend.candidates(sim_table(spark, base), ids, ["request_id"])
+    return recommend.candidates(stored_similarity(spark, base), ids, ["request_id"])
 
 
 @register("exclude_owned", O.with_ctes("cand") + "SELECT request_id, package_a, package_b FROM cand")
@@ -489,7 +515,7 @@ _META = ("a.short_name AS for_package, b.short_name AS recommended_package, b.ur
           "JOIN scored a ON a.id = c.package_a JOIN scored b ON b.id = c.package_b")
 def q_pair_metadata(spark, base):
     """Seed and recommendation metadata via two equi-joins."""
-    m = recommend.pair_metadata(_batch_candidates(spark, base), scored_packages(spark, base))
+    m = recommend.pair_metadata(_batch_candidates(spark, base), stored_packages(spark, base))
     return m.select("request_id", "package_a", "package_b", "for_package", "recommended_package", "url",
                     "bounded_popularity", "absolute_trend", "relative_trend", _categories_text().alias("categories"),
                     "display_date", "monthly_downloads_last_month")
@@ -501,7 +527,7 @@ def q_pair_metadata(spark, base):
           " AS score FROM cand c JOIN scored b ON b.id = c.package_b")
 def q_composite_score(spark, base):
     """ceil(ceil(10·s)·0.5 + bp·0.3 + at·0.1 + rt·0.1) in double arithmetic."""
-    m = recommend.with_score(recommend.pair_metadata(_batch_candidates(spark, base), scored_packages(spark, base)))
+    m = recommend.with_score(recommend.pair_metadata(_batch_candidates(spark, base), stored_packages(spark, base)))
     return m.select("request_id", "package_a", "package_b", "score")
 
 
@@ -509,7 +535,7 @@ def q_composite_score(spark, base):
           "SELECT package_a, package_b, similarity FROM sim ORDER BY similarity DESC, package_a, package_b LIMIT 1000")
 def q_top_n(spark, base):
     """The most similar pairs overall (ORDER BY similarity DESC LIMIT n)."""
-    return recommend.top_n(sim_table(spark, base).select("package_a", "package_b", "similarity"), 1000)
+    return recommend.top_n(stored_similarity(spark, base).select("package_a", "package_b", "similarity"), 1000)
 
 
 _BATCH_SELECT = (
@@ -530,7 +556,7 @@ def batch_recommendations(spark, base):
     v = _valid_requests(spark, base)
     rp = api.request_purls(v)
     limits = v.where(F.col("status") == "ok").select("request_id", "max_recommendations")
-    r = recommend.recommend_batch(sim_table(spark, base), scored_packages(spark, base), rp, limits)
+    r = recommend.recommend_batch(stored_similarity(spark, base), stored_packages(spark, base), rp, limits)
     return r.withColumn("rank", F.col("rank").cast("int")).withColumn("categories", _categories_text())
 
 
