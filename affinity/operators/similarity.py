@@ -131,3 +131,13 @@ def baskets(edges: DataFrame, cell_rows: int = DEFAULT_CELL_ROWS,
     return (x.groupBy(APP, chunk.alias("chunk"))
              .agg(F.array_sort(F.collect_list(PKG)).alias("package_ids")))
 
+
+
+def one_hot_coordinates(edges: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Binary application × package matrix as (application_id, index, value=1.0) entries.
+
+    vocabulary(index, package_id) is a table (see `merge.assign_ids`), joined
+    like any dimension; the matrix is never densified or collected.
+    """
+    e = dedupe_edges(edges)
+    return e.join(vocabulary, PKG).select(APP, "index", F.lit(1.0).alias("value"))

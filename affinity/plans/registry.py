@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from affinity import oracle as O
 from affinity.functions import dates, purl, scoring
-from affinity.operators import api, joins, manifests, recommend, scores, similarity
+from affinity.operators import api, browse, constraints, joins, manifests, merge, recommend, scores, similarity
+from affinity.session import scratch_path
+from affinity.sources import landed
 from affinity.session import apply_defaults, checkpoint_dir
 from affinity.sources import corpus
 
@@ -581,3 +583,350 @@ def q_response_documents(spark, base):
     recs = recommend.recommendation_records(batch_recommendations(spark, base).withColumn(
         "categories", F.split("categories", ",")))
     return recommend.response_documents(recs, v.where(F.col("status") == "ok"))
+
+
+# ------------------------------------------------------ C: merge / upsert
+
+O.CTE["apps"] = (
+    "apps AS (SELECT o_orderkey AS id, 'https://example.org/app/' || CAST(o_orderkey AS VARCHAR) AS url, "
+    "'c' || CAST(o_custkey AS VARCHAR) || '/o' || CAST(o_orderkey AS VARCHAR) AS name, "
+    "CAST(floor(o_totalprice / 1000) AS INTEGER) AS followers, "
+    "sha256('c' || CAST(o_custkey AS VARCHAR) || '/o' || CAST(o_orderkey AS VARCHAR) || ':' || o_orderstatus) AS hash, "
+    "o_orderdate AS retrieved, o_orderstatus FROM orders)")
+SPLIT_OLD, SPLIT_NEW, REFRESH = "1997-01-01", "1996-01-01", "2001-11-30"
+
+
+@register("upsert_applications", O.with_ctes("apps") + f"""
+, ex AS (SELECT * FROM apps WHERE retrieved < TIMESTAMP '{SPLIT_OLD}'),
+inc AS (SELECT url, name, followers + 1 AS followers, sha256(name) AS hash, TIMESTAMP '{O.AS_OF}' AS retrieved
+        FROM apps WHERE retrieved >= TIMESTAMP '{SPLIT_NEW}')
+SELECT ex.id, ex.url, CASE WHEN inc.url IS NULL THEN ex.name ELSE inc.name END AS name,
+  CASE WHEN inc.url IS NULL THEN ex.followers ELSE inc.followers END AS followers,
+  CASE WHEN inc.url IS NULL THEN ex.hash ELSE inc.hash END AS hash,
+  strftime(CASE WHEN inc.url IS NULL THEN ex.retrieved ELSE inc.retrieved END, '%Y-%m-%d') AS retrieved
+FROM ex LEFT JOIN inc ON ex.url = inc.url
+UNION ALL
+SELECT (SELECT max(id) FROM ex) + row_number() OVER (ORDER BY url), url, name, followers, hash,
+  strftime(retrieved, '%Y-%m-%d') FROM inc WHERE url NOT IN (SELECT url FROM ex)""")
+def q_upsert_applications(spark, base):
+    """Insert new repositories, overwrite known ones (id kept); C5 ids for the new."""
+    apps = corpus.applications(spark, base)
+    ex = apps.where(F.col("retrieved") < F.lit(SPLIT_OLD).cast("timestamp"))
+    inc = apps.where(F.col("retrieved") >= F.lit(SPLIT_NEW).cast("timestamp")).select(
+        "url", "name", (F.col("followers") + 1).alias("followers"), F.sha2("name", 256).alias("hash"),
+        F.to_timestamp(F.lit(corpus.AS_OF)).alias("retrieved"))
+    out = merge.upsert_applications(ex, inc)
+    return out.select("id", "url", "name", "followers", "hash",
+                      F.date_format("retrieved", "yyyy-MM-dd").alias("retrieved"))
+
+
+@register("assign_ids", O.with_ctes("apps") + "SELECT url, row_number() OVER (ORDER BY url) AS id FROM apps")
+def q_assign_ids(spark, base):
+    """Dense ids in key order without a single-partition window."""
+    apps = corpus.applications(spark, base).select("url")
+    return merge.assign_ids(apps, [F.col("url")])
+
+
+O.CTE["train_names"] = (
+    "train_names AS (SELECT DISTINCT purl AS name FROM ("
+    f"SELECT 'pkg:npm/' || slug || '@' || CAST(p_size AS VARCHAR) AS purl FROM mp WHERE {_NPM_OK} "
+    f"UNION ALL SELECT 'pkg:pypi/' || slug || '@' || {_PY_MAJOR} FROM mp WHERE id % 2 = 1))")
+O.NEEDS["train_names"] = ["mp"]
+
+
+@register("upsert_packages", O.with_ctes("packages", "train_names") + f"""
+, ex AS (SELECT id, name, monthly_downloads_last_month FROM packages WHERE coalesce(monthly_downloads_last_month, 0) > 0)
+SELECT id, name, CASE WHEN name IN (SELECT name FROM train_names) THEN '{REFRESH}' ELSE '{O.AS_OF}' END AS retrieved,
+  monthly_downloads_last_month FROM ex
+UNION ALL
+SELECT (SELECT max(id) FROM ex) + row_number() OVER (ORDER BY name), name, '{REFRESH}', NULL
+FROM train_names WHERE name NOT IN (SELECT name FROM ex)""")
+def q_upsert_packages(spark, base):
+    """New purls get ids; known ones only a new `retrieved`, metadata kept."""
+    ex = corpus.packages(spark, base).where(F.coalesce("monthly_downloads_last_month", F.lit(0)) > 0)
+    m = _manifests(spark, base)
+    names = (manifests.npm_train_edges(m.where(F.col("language") == "javascript")).select(F.col("purl").alias("name"))
+             .unionByName(manifests.pypi_train_edges(m.where(F.col("language") == "python"))
+                          .select(F.col("purl").alias("name"))))
+    out = merge.upsert_packages(ex, names, F.to_timestamp(F.lit(REFRESH)))
+    return out.select("id", "name", F.date_format("retrieved", "yyyy-MM-dd").alias("retrieved"),
+                      "monthly_downloads_last_month")
+
+
+@register("insert_dependencies", O.with_ctes("e") + "SELECT app AS application_id, pkg AS package_id FROM e")
+def q_insert_dependencies(spark, base):
+    """Insert-ignore of incoming edges into the existing ones."""
+    li = corpus.read_table(spark, base, "lineitem", "l_orderkey", "l_partkey", "l_shipdate").select(
+        F.col("l_orderkey").alias("application_id"), F.col("l_partkey").alias("package_id"), "l_shipdate")
+    ex = li.where(F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz"))
+    inc = li.where(F.col("l_shipdate") >= F.lit("1997-01-01").cast("timestamp_ntz"))
+    return merge.insert_dependencies(ex, inc)
+
+
+OLD_AS_OF = "2000-10-31"
+
+
+def _ship_sql(name: str, as_of: str) -> str:
+    back = lambda m: f"CAST(DATE '{as_of}' - INTERVAL {m} MONTH AS DATE)"
+    return (f"{name} AS (SELECT l_partkey, "
+            f"CAST(sum(CASE WHEN CAST(l_shipdate AS DATE) BETWEEN {back(1)} AND DATE '{as_of}' THEN l_quantity ELSE 0.0 END) AS BIGINT) AS last_month, "
+            f"CAST(sum(CASE WHEN CAST(l_shipdate AS DATE) BETWEEN {back(13)} AND {back(12)} THEN l_quantity ELSE 0.0 END) AS BIGINT) AS year_ago, "
+            f"max(l_shipdate) AS modified FROM lineitem GROUP BY l_partkey)")
+
+
+@register("update_package_metadata", O.with_ctes("pk") + ", " + _ship_sql("old", OLD_AS_OF) + ", "
+          + _ship_sql("new", O.AS_OF) + """
+SELECT pk.id,
+  CASE WHEN pk.id % 2 = 0 THEN new.last_month ELSE old.last_month END AS monthly_downloads_last_month,
+  CASE WHEN pk.id % 2 = 0 THEN new.year_ago ELSE old.year_ago END AS monthly_downloads_a_year_ago,
+  pk.p_type || ',' || pk.p_brand AS categories,
+  strftime(CASE WHEN pk.id % 2 = 0 THEN new.modified ELSE old.modified END, '%Y-%m-%d') AS display_date
+FROM pk LEFT JOIN old ON old.l_partkey = pk.id LEFT JOIN new ON new.l_partkey = pk.id""")
+def q_update_package_metadata(spark, base):
+    """C4: registry refresh by name overwrites downloads, categories, modified (NULLs too)."""
+    target = corpus.packages(spark, base, OLD_AS_OF)
+    source = corpus.packages(spark, base, corpus.AS_OF).where(F.col("name").startswith("pkg:npm/"))
+    out = merge.update_package_metadata(target, source)
+    return out.select("id", "monthly_downloads_last_month", "monthly_downloads_a_year_ago",
+                      _categories_text().alias("categories"), dates.display_date("modified").alias("display_date"))
+
+
+@register("clean_categories",
+          "SELECT p_partkey AS id, CASE WHEN p_size > 3 THEN p_type || ',' || p_brand || ',' || p_name END "
+          "AS categories FROM part")
+def q_clean_categories(spark, base):
+    """Drop , { } ' \" [ ] in each category, drop empty ones; empty list → NULL."""
+    from affinity.functions.categories import clean_categories
+    p = corpus.read_table(spark, base, "part", "p_partkey", "p_type", "p_brand", "p_name", "p_size")
+    raw = F.when(F.col("p_size") > 3, F.array(
+        "p_type", F.concat(F.lit("'"), F.col("p_brand"), F.lit("'")),
+        F.concat(F.lit("{"), F.col("p_name"), F.lit("}")), F.lit(","))).otherwise(F.array().cast("array<string>"))
+    return p.select(F.col("p_partkey").alias("id"), F.array_join(clean_categories(raw), ",").alias("categories"))
+
+
+@register("pypi_topics",
+          "SELECT p_partkey AS id, CASE WHEN p_size >= 5 THEN p_brand || ',' || p_name || ',' || p_type "
+          "ELSE p_type END AS topics FROM part WHERE p_partkey % 2 = 1")
+def q_pypi_topics(spark, base):
+    """`Topic :: ` classifiers, prefix removed, entries 2..n then 1."""
+    from affinity.functions.categories import topics_from_classifiers
+    p = corpus.read_table(spark, base, "part", "p_partkey", "p_type", "p_brand", "p_name", "p_size")
+    p = p.where(F.col("p_partkey") % 2 == 1)
+    t = lambda c: F.concat(F.lit("Topic :: "), F.col(c))
+    cls = F.when(F.col("p_size") >= 5, F.array(t("p_type"), F.lit("License :: OSI Approved"), t("p_brand"),
+                                                t("p_name"))).otherwise(
+        F.array(F.lit("License :: OSI Approved"), t("p_type")))
+    return p.select(F.col("p_partkey").alias("id"), F.array_join(topics_from_classifiers(cls), ",").alias("topics"))
+
+
+# --------------------------------------------------- D4, H: browsing
+
+@register("repo_date", "SELECT o_orderkey AS application_id, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders")
+def q_repo_date(spark, base):
+    """Date part of an ISO-8601 update time."""
+    o = corpus.read_table(spark, base, "orders", "o_orderkey", "o_orderdate")
+    iso = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return o.select(F.col("o_orderkey").alias("application_id"), dates.repo_date(iso).alias("date"))
+
+
+def _batch_with_arrays(spark, base):
+    return batch_recommendations(spark, base).withColumn("categories", F.split("categories", ","))
+
+
+@register("sort_by_score", O.with_ctes("batch") +
+          "SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, similarity DESC, "
+          "package_a, package_b) AS INTEGER) AS position, package_a, package_b, score FROM batch")
+def q_sort_by_score(spark, base):
+    """H1: listing order by score."""
+    r = browse.sort_by_score(batch_recommendations(spark, base))
+    return r.select("request_id", "position", "package_a", "package_b", "score")
+
+
+@register("filter_category", O.with_ctes("batch") +
+          "SELECT request_id, rank, recommended_package, categories FROM batch WHERE lower(categories) LIKE '%small%'")
+def q_filter_category(spark, base):
+    """H2: recommendations with a category matching the query text."""
+    r = browse.filter_category(_batch_with_arrays(spark, base), "Small")
+    return r.select("request_id", "rank", "recommended_package", _categories_text().alias("categories"))
+
+
+_SEARCH_COLS = ["for_package", "recommended_package", "url", "categories", "display_date"]
+
+
+@register("search_text", O.with_ctes("batch") +
+          "SELECT request_id, rank, recommended_package FROM batch WHERE lower(concat_ws(' ', "
+          + ", ".join(_SEARCH_COLS) + ")) LIKE '%ring%'")
+def q_search_text(spark, base):
+    """H3: free-text search over the displayed row."""
+    r = browse.search_text(batch_recommendations(spark, base), "RING", _SEARCH_COLS)
+    return r.select("request_id", "rank", "recommended_package")
+
+
+def _human_sql(x: str) -> str:
+    parts = []
+    for unit, suf in browse.MAGNITUDES:
+        t = f"(({x}) * 10 + {unit // 2}) // {unit}"
+        parts.append(f"WHEN {x} >= {unit} THEN CAST({t} // 10 AS VARCHAR) || '.' || CAST({t} % 10 AS VARCHAR) || '{suf}'")
+    return ("CASE " + " ".join(parts) + f" ELSE CAST({x} AS VARCHAR) || '.0' END")
+
+
+@register("downloads_human", O.with_ctes("scored") +
+          "SELECT id, monthly_downloads_last_month, " + _human_sql("monthly_downloads_last_month") +
+          " AS downloads_text FROM scored")
+def q_downloads_human(spark, base):
+    """H4: `0.0a` display of last month's downloads."""
+    p = stored_packages(spark, base)
+    return p.select("id", "monthly_downloads_last_month",
+                    browse.downloads_human("monthly_downloads_last_month").alias("downloads_text"))
+
+
+@register("score_components", O.with_ctes("batch") +
+          "SELECT request_id, rank, score, CAST(CEIL(10 * similarity) AS DOUBLE) * CAST(0.5 AS DOUBLE) AS similarity_part, "
+          "CAST(bounded_popularity * 0.3 AS DOUBLE) AS popularity_part, CAST(absolute_trend * 0.1 AS DOUBLE) AS absolute_part, "
+          "CAST(relative_trend * 0.1 AS DOUBLE) AS relative_part FROM batch")
+def q_score_components(spark, base):
+    """H5: the composite score and its four weighted parts."""
+    r = browse.score_components(batch_recommendations(spark, base))
+    return r.select("request_id", "rank", "score", "similarity_part", "popularity_part", "absolute_part",
+                    "relative_part")
+
+
+@register("repositories_listing", O.with_ctes("mp", "apps") + f"""
+, flags AS (SELECT application_id, bool_or({_NPM_OK}) AS has_js, bool_or(id % 2 = 1) AS has_py FROM mp GROUP BY application_id)
+SELECT apps.name, CASE WHEN has_py THEN 'python' ELSE 'javascript' END AS language,
+  strftime(apps.retrieved, '%Y-%m-%d') AS date, replace(apps.name, '/', '%2F') AS name_escaped
+FROM flags JOIN apps ON apps.id = flags.application_id WHERE has_js OR has_py""")
+def q_repositories_listing(spark, base):
+    """H6: repositories with at least one dependency, later language wins, newest first."""
+    m = _manifests(spark, base)
+    apps = corpus.applications(spark, base).select(F.col("id").alias("application_id"), "retrieved")
+    repos = m.join(apps, "application_id").select(
+        "name", F.date_format("retrieved", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated_at"), "language", "text")
+    return browse.repositories_listing(repos)
+
+
+# ------------------------------------------- E2/E4: one-hot export
+
+O.CTE["vocab"] = "vocab AS (SELECT pkg AS package_id, row_number() OVER (ORDER BY n DESC, pkg) - 1 AS index FROM deg)"
+O.NEEDS["vocab"] = ["deg"]
+
+
+def _vocabulary(spark, base):
+    e = similarity.dedupe_edges(corpus.raw_edges(spark, base))
+    deg = e.groupBy("package_id").agg(F.count(F.lit(1)).alias("n"))
+    v = merge.assign_ids(deg, [F.desc("n"), F.col("package_id")], -1, "index")
+    return e, v
+
+
+@register("vocabulary_map", O.with_ctes("vocab") + "SELECT index, package_id FROM vocab")
+def q_vocabulary_map(spark, base):
+    """Vector column index → package id (most used first), as a joinable table."""
+    return _vocabulary(spark, base)[1].select("index", "package_id")
+
+
+@register("one_hot", O.with_ctes("vocab", "e") +
+          "SELECT e.app AS application_id, vocab.index, 1.0 AS value FROM e JOIN vocab ON vocab.package_id = e.pkg")
+def q_one_hot(spark, base):
+    """Binary application × package matrix in coordinate form (never densified)."""
+    e, v = _vocabulary(spark, base)
+    return similarity.one_hot_coordinates(e, v)
+
+
+# ---------------------------------------------- A: sources and sinks
+
+@register("ingest_search_pages", O.with_ctes("mp", "apps") + """
+, langs AS (SELECT application_id, bool_or(id % 2 = 1) AS has_py FROM mp GROUP BY application_id)
+SELECT 'javascript' AS language, apps.url, apps.name AS name_with_owner, apps.followers FROM langs JOIN apps ON apps.id = langs.application_id
+UNION ALL
+SELECT 'python', apps.url, apps.name, apps.followers FROM langs JOIN apps ON apps.id = langs.application_id WHERE has_py""")
+def q_ingest_search_pages(spark, base):
+    """A3: landed search pages → one row per repository with a manifest."""
+    folder = scratch_path(spark, "pages")
+    apps = corpus.applications(spark, base)
+    m = _manifests(spark, base)
+    out = None
+    for lang in ("javascript", "python"):
+        t = m.where(F.col("language") == lang).select("application_id", "text")
+        repos = apps.join(t, apps["id"] == t["application_id"], "left").select(
+            F.col("id").alias("page_key"), "url", "name", "followers", "text")
+        path = f"{folder}/{lang}"
+        landed.build_search_pages(repos).write.mode("errorifexists").text(path)
+        rows = landed.search_page_repositories(landed.read_search_pages(spark, path)).select(
+            F.lit(lang).alias("language"), "url", "name_with_owner", "followers")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@register("ingest_slices", O.with_ctes("apps") + """
+, lim AS (SELECT CAST(max(o_orderdate) AS DATE) AS as_of FROM orders),
+days AS (SELECT CAST(lim.as_of - CAST(i AS INTEGER) AS DATE) AS day FROM lim, range(0, 30) t(i)),
+langs AS (SELECT * FROM (VALUES ('javascript'), ('python')) l(language))
+SELECT language, days.day, 'created:' || strftime(days.day - 1, '%Y-%m-%d') || '..' || strftime(days.day, '%Y-%m-%d') AS search,
+  apps.url FROM apps JOIN days ON CAST(apps.retrieved AS DATE) IN (days.day, days.day - 1), langs""")
+def q_ingest_slices(spark, base):
+    """A4: daily crawl slices `created:D-1..D` over the last 30·months days, per language."""
+    from affinity.plans import ingest
+    apps = corpus.applications(spark, base).select("url", F.to_date("retrieved").alias("created"))
+    as_of = corpus.read_table(spark, base, "orders", "o_orderdate").agg(
+        F.to_date(F.max("o_orderdate"))).scalar()
+    return ingest.crawl_slices(apps, as_of, months=1)
+
+
+O.CTE["landed"] = ("landed AS (SELECT pk.id, pk.name, pk.p_size, pk.p_type, pk.p_brand, ship.last_month, ship.year_ago, "
+                   "ship.modified FROM pk LEFT JOIN ship ON ship.l_partkey = pk.id)")
+O.NEEDS["landed"] = ["pk", "ship"]
+
+
+@register("ingest_npm_metadata", O.with_ctes("landed") + f"""
+SELECT name AS package, coalesce(last_month, 0) AS monthly_downloads_last_month,
+  coalesce(year_ago, 0) AS monthly_downloads_a_year_ago,
+  CASE WHEN p_size % {corpus.KEYWORDS_ABSENT_EVERY} = 0 THEN NULL WHEN p_size % {corpus.KEYWORD_STRING_EVERY} = 0 THEN p_type
+       ELSE p_type || ',' || p_brand END AS categories,
+  strftime(modified, '%Y-%m-%dT%H:%M:%SZ') AS modified
+FROM landed WHERE id % 2 = 0""")
+def q_ingest_npm_metadata(spark, base):
+    """A5: landed npm packuments and download bodies → metadata rows."""
+    paths = corpus.land_registry_bodies(spark, base, scratch_path(spark, "registry"))
+    r = spark.read
+    md = landed.npm_metadata(r.schema(landed.NPM_BODY).json(paths["npm_packuments"]),
+                             r.schema(landed.DOWNLOADS_BODY).json(paths["npm_last_month"]),
+                             r.schema(landed.DOWNLOADS_BODY).json(paths["npm_year_ago"]))
+    return md.withColumn("categories", _categories_text())
+
+
+@register("ingest_pypi_metadata", O.with_ctes("landed") + f"""
+SELECT name AS package, last_month AS monthly_downloads_last_month,
+  CASE WHEN modified IS NOT NULL THEN CAST(0 AS BIGINT) END AS monthly_downloads_a_year_ago,
+  CASE WHEN modified IS NOT NULL AND p_size % {corpus.PYPI_NO_CLASSIFIERS_EVERY} <> 0 THEN p_brand || ',' || p_type END AS categories,
+  CASE WHEN modified IS NOT NULL AND p_size % {corpus.PYPI_NO_URLS_EVERY} <> 0 THEN strftime(modified, '%Y-%m-%dT%H:%M:%SZ') END AS modified
+FROM landed WHERE id % 2 = 1""")
+def q_ingest_pypi_metadata(spark, base):
+    """Landed PyPI stats and project bodies → metadata rows (failures stay NULL)."""
+    paths = corpus.land_registry_bodies(spark, base, scratch_path(spark, "registry"))
+    r = spark.read
+    names = corpus.package_names(spark, base).where(F.col("name").startswith("pkg:pypi/")).select(
+        F.col("name").alias("package"))
+    md = landed.pypi_metadata(r.schema(landed.PYPI_STATS_BODY).json(paths["pypi_stats"]),
+                              r.schema(landed.PYPI_JSON_BODY).json(paths["pypi_projects"]), names)
+    return md.withColumn("categories", _categories_text())
+
+
+@register("write_similarity", O.with_ctes("sim") + "SELECT * FROM sim")
+def q_write_similarity(spark, base):
+    """The similarity table written clustered by package_a, read back."""
+    path = landed.write_similarity(stored_similarity(spark, base), scratch_path(spark, "similarity"))
+    return spark.read.parquet(path)
+
+
+@register("check_constraints", O.with_ctes("apps", "pk") + """
+SELECT 'applications.url unique' AS rule, CAST(count(*) AS BIGINT) AS violations FROM (SELECT url FROM apps GROUP BY url HAVING count(*) > 1)
+UNION ALL SELECT 'applications not null', count(*) FROM apps WHERE url IS NULL OR name IS NULL OR hash IS NULL OR retrieved IS NULL
+UNION ALL SELECT 'packages.name unique', count(*) FROM (SELECT name FROM pk GROUP BY name HAVING count(*) > 1)
+UNION ALL SELECT 'packages not null', count(*) FROM pk WHERE name IS NULL
+UNION ALL SELECT 'dependencies pair unique', count(*) FROM (SELECT l_orderkey, l_partkey FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1)
+UNION ALL SELECT 'dependencies.application_id references applications', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT id FROM apps)
+UNION ALL SELECT 'dependencies.package_id references packages', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT id FROM pk)""")
+def q_check_constraints(spark, base):
+    """The table rules as one violations report (0 = rule holds)."""
+    return constraints.check_constraints(corpus.applications(spark, base), corpus.package_names(spark, base),
+                                         corpus.raw_edges(spark, base))

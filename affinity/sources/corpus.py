@@ -244,3 +244,67 @@ def request_bodies(spark: SparkSession, base: str) -> DataFrame:
              .when(variant == 6, body(quoted, F.lit("[]")))
              .otherwise(body(quoted, dep_list)))
     return c.select(k.alias("request_id"), text.alias("body"))
+
+
+# ------------------------------------------------------- landed bodies
+
+KEYWORDS_ABSENT_EVERY = 5     # npm packuments without keywords when size % 5 = 0
+KEYWORD_STRING_EVERY = 9      # ... a bare string keyword when size % 9 = 0
+PYPI_NO_URLS_EVERY = 4        # PyPI bodies with an empty `urls` list when size % 4 = 0
+PYPI_NO_CLASSIFIERS_EVERY = 6 # ... without `classifiers` when size % 6 = 0
+
+
+def _iso(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def land_registry_bodies(spark: SparkSession, base: str, folder: str) -> dict[str, str]:
+    """Write the registry responses a crawl would land, derived from part and lineitem.
+
+    npm packuments for every npm part; download bodies only for parts that
+    shipped (others answer with an error body); PyPI stats and project bodies
+    only for pypi parts that shipped (the lookup of the others fails).
+    Returns the folder of each body kind.
+    """
+    names = package_names(spark, base)
+    meta = shipping_metadata(spark, base)
+    part = read_table(spark, base, "part", "p_partkey", "p_type", "p_brand")
+    p = (names.join(part, names["id"] == part["p_partkey"])
+              .join(meta, names["id"] == meta["l_partkey"], "left"))
+    size = F.col("p_size")
+    shipped = F.col("modified").isNotNull()
+    npm = p.where(F.col("id") % 2 == 0)
+    py = p.where(F.col("id") % 2 == 1)
+    keywords = (F.when(size % KEYWORDS_ABSENT_EVERY == 0, F.lit(None))
+                 .when(size % KEYWORD_STRING_EVERY == 0, F.concat(F.lit('"'), F.col("p_type"), F.lit('"')))
+                 .otherwise(F.to_json(F.array("p_type", "p_brand"))))
+    packument = F.to_json(F.struct(F.col("name"), F.parse_json(keywords).alias("keywords"),
+                                   F.when(shipped, F.struct(_iso(F.col("modified")).alias("modified")))
+                                   .alias("time")))
+
+    def downloads(col: str) -> Column:
+        return F.when(shipped, F.to_json(F.struct(F.col("name").alias("package"),
+                                                  F.col(col).alias("downloads")))
+                      ).otherwise(F.to_json(F.struct(F.col("name").alias("package"),
+                                                     F.lit("package not found").alias("error"))))
+
+    topics = F.array(F.concat(F.lit("Topic :: "), F.col("p_type")), F.lit("License :: OSI Approved"),
+                     F.concat(F.lit("Topic :: "), F.col("p_brand")))
+    urls = F.when(size % PYPI_NO_URLS_EVERY == 0, F.array().cast("array<struct<upload_time_iso_8601:string>>")
+                  ).otherwise(F.array(F.struct(_iso(F.col("modified")).alias("upload_time_iso_8601"))))
+    info_json = F.when(size % PYPI_NO_CLASSIFIERS_EVERY == 0,
+                       F.to_json(F.struct(F.col("name").alias("name")))).otherwise(
+        F.to_json(F.struct(F.col("name").alias("name"), topics.alias("classifiers"))))
+    pypi_body = F.to_json(F.struct(F.parse_json(info_json).alias("info"), urls.alias("urls")))
+    stats = F.to_json(F.struct(F.col("name").alias("package"),
+                               F.struct(F.col("monthly_downloads_last_month").alias("last_month")).alias("data")))
+    out = {}
+    for kind, df, body in [("npm_packuments", npm, packument),
+                           ("npm_last_month", npm, downloads("monthly_downloads_last_month")),
+                           ("npm_year_ago", npm, downloads("monthly_downloads_a_year_ago")),
+                           ("pypi_stats", py.where(shipped), stats),
+                           ("pypi_projects", py.where(shipped), pypi_body)]:
+        path = f"{folder}/{kind}"
+        df.select(body.alias("value")).write.mode("errorifexists").text(path)
+        out[kind] = path
+    return out
