@@ -64,7 +64,8 @@ def upsert_applications(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     new = inc.join(ex.select("url"), "url", "left_anti")
     new_ids = assign_ids(new.select("url"), [F.col("url")], _max_id(existing))
     inserted = new.join(new_ids, "url")
-    return updated.unionByName(untouched).unionByName(inserted.select("id", *cols))
+    out = updated.unionByName(untouched).unionByName(inserted.select("id", *cols))
+    return out.select("id", *cols)
 
 
 def upsert_packages(existing: DataFrame, names: DataFrame, retrieved: Column) -> DataFrame:
