@@ -34,17 +34,25 @@ def validate_requests(requests: DataFrame, body: str = "body") -> DataFrame:
     dependencies a non-empty list, language supported. The first failing
     check gives the error.
     """
-    v = F.try_parse_json(F.col(body))
-    deps_v = F.try_variant_get(v, "$.dependencies", "variant")
-    lang_v = F.try_variant_get(v, "$.language", "variant")
-    lang_schema = F.schema_of_variant(lang_v)
-    language = F.lower(F.try_variant_get(lang_v, "$", "string"))
-    deps = F.try_variant_get(deps_v, "$", "array<string>")
-    deps_is_list = F.schema_of_variant(deps_v).startswith("ARRAY") & (F.size(deps) > 0)
+    # Parse once per row in its own projection; the checks below read the
+    # parsed columns instead of re-parsing inside every branch.
+    parsed = requests.select(
+        "*", F.try_parse_json(F.col(body)).alias("_v")).select(
+        "*", F.try_variant_get("_v", "$.dependencies", "variant").alias("_deps_v"),
+        F.try_variant_get("_v", "$.language", "variant").alias("_lang_v"),
+        F.schema_of_variant("_v").alias("_v_kind"))
+    parsed = parsed.select(
+        "*", F.schema_of_variant("_lang_v").alias("_lang_kind"),
+        F.lower(F.try_variant_get("_lang_v", "$", "string")).alias("_language"),
+        F.try_variant_get("_deps_v", "$", "array<string>").alias("_deps"),
+        F.schema_of_variant("_deps_v").alias("_deps_kind"))
+    v, deps_v, lang_v = F.col("_v"), F.col("_deps_v"), F.col("_lang_v")
+    lang_schema, language, deps = F.col("_lang_kind"), F.col("_language"), F.col("_deps")
+    deps_is_list = F.col("_deps_kind").startswith("ARRAY") & (F.size(deps) > 0)
     capitalized = F.concat(F.upper(F.substring(language, 1, 1)), F.substring(language, 2, 1 << 30))
     supported = language.isin(*manifests.SUPPORTED_LANGUAGES)
     error = (F.when(v.isNull(), F.lit(ERR_JSON))
-              .when(~F.schema_of_variant(v).startswith("OBJECT") | deps_v.isNull() | lang_v.isNull(),
+              .when(~F.col("_v_kind").startswith("OBJECT") | deps_v.isNull() | lang_v.isNull(),
                     F.lit(ERR_KEYS))
               .when(lang_schema != "STRING",
                     F.format_string(ERR_LOWER.replace("{}", "%s"), _py_type(lang_schema)))
@@ -52,14 +60,14 @@ def validate_requests(requests: DataFrame, body: str = "body") -> DataFrame:
               .when(~supported, F.format_string(ERR_LANGUAGE.replace("{}", "%s"), language)))
     limit = F.coalesce(F.try_variant_get(v, "$.max_recommendations", "bigint"),
                        F.lit(DEFAULT_MAX_RECOMMENDATIONS).cast("bigint"))
-    out = requests.select("*", error.alias("error"))
+    out = parsed.select("*", error.alias("error"), limit.alias("_limit"))
     ok = F.col("error").isNull()
     return out.select(
         *requests.columns,
         F.when(ok, F.lit("ok")).otherwise(F.lit("error")).alias("status"), "error",
         F.when(ok, language).alias("language"),
         F.when(ok, deps).alias("dependencies"),
-        F.when(ok, limit).alias("max_recommendations"))
+        F.when(ok, F.col("_limit")).alias("max_recommendations"))
 
 
 def request_purls(valid: DataFrame) -> DataFrame:

@@ -52,24 +52,43 @@ def resolve_seeds(packages: DataFrame, names: DataFrame, keys: list[str] | None
 
 
 def candidates(similarity: DataFrame, seed_ids: DataFrame, keys: list[str] | None = None,
-               seed_count: int | None = None) -> DataFrame:
+               seed_count: int | None = None, limit=None) -> DataFrame:
     """Pairs whose package_a is a seed and whose package_b is not owned (per key group).
 
     The seed table is broadcast only when its row count (given, or counted
     here) is within the broadcast bound; otherwise both joins shuffle.
+
+    With `limit` (an int, or a column of seed_ids) and a similarity table
+    carrying `neighbor_rank`, only each seed's first limit + owned neighbours
+    are read. Exact: a pair in the final top `limit` has at most limit - 1
+    kept pairs of the same seed ahead of it, plus at most `owned` removed ones.
     """
     keys = keys or []
+    seed_ids = seed_ids.select(*keys, "id", *([] if limit is None or isinstance(limit, int) else [limit]))
     owned = seed_ids.select(*keys, F.col("id").alias("package_b"))
     if seed_count is None:
         owned = checked_broadcast(owned)
     elif seed_count <= MAX_BROADCAST_ROWS:
         owned = F.broadcast(owned)
-    seeds = owned.select(*keys, F.col("package_b").alias("package_a"))
-    s = similarity.select("package_a", "package_b", "similarity", "bounded_similarity")
-    if keys:
-        pairs = seeds.join(s, "package_a")
+    cols = ["package_a", "package_b", "similarity", "bounded_similarity"]
+    ranked = limit is not None and "neighbor_rank" in similarity.columns
+    s = similarity.select(*cols, *(["neighbor_rank"] if ranked else []))
+    if ranked:
+        lim = F.lit(limit) if isinstance(limit, int) else F.col(limit)
+        seeds = seed_ids.select(*keys, F.col("id").alias("package_a"), lim.alias("_lim"))
+        if keys:
+            n_owned = seed_ids.groupBy(*keys).agg(F.count(F.lit(1)).alias("_owned"))
+            seeds = seeds.join(n_owned, keys)
+        else:
+            seeds = seeds.withColumn("_owned", seed_ids.agg(F.count(F.lit(1))).scalar())
+        seeds = seeds.select(*keys, "package_a", (F.col("_lim") + F.col("_owned")).alias("_bound"))
+        if seed_count is None or seed_count <= MAX_BROADCAST_ROWS:
+            seeds = F.broadcast(seeds)
+        pairs = (seeds.join(s, "package_a").where(F.col("neighbor_rank") <= F.col("_bound"))
+                      .select(*keys, *cols))
     else:
-        pairs = s.join(seeds, "package_a", "left_semi")
+        seeds = owned.select(*keys, F.col("package_b").alias("package_a"))
+        pairs = seeds.join(s, "package_a").select(*keys, *cols) if keys else s.join(seeds, "package_a", "left_semi").select(*cols)
     return pairs.join(owned, keys + ["package_b"], "left_anti")
 
 
@@ -101,8 +120,12 @@ def recommend(similarity: DataFrame, packages: DataFrame, dependencies: DataFram
     recommended once per seed. An empty or unknown list gives no rows.
     """
     ids = resolve_seeds(packages, seed_names(checked_broadcast(dependencies)))
-    rows = with_score(pair_metadata(candidates(similarity, ids), packages))
-    return top_n(rows, max_recommendations).select(
+    # rank the bare pairs first; metadata is joined to the kept rows only
+    ids = ids.checkpoint(eager=True)
+    best = top_n(candidates(similarity, ids, seed_count=ids.count(), limit=max_recommendations),
+                 max_recommendations)
+    rows = with_score(pair_metadata(best, packages))
+    return rows.orderBy(F.desc("similarity"), "package_a", "package_b").select(
         *RESULT_COLUMNS, "similarity", "package_a", "package_b")
 
 
@@ -125,14 +148,15 @@ def recommend_batch(similarity: DataFrame, packages: DataFrame, requests: DataFr
            .checkpoint(eager=True))
     n_ids = ids.count()
     cap = ids.agg(F.max("max_recommendations")).first()[0] or 0
-    rows = with_score(pair_metadata(candidates(similarity, ids.select("request_id", "id"), keys, n_ids),
-                                    packages))
+    pairs = candidates(similarity, ids, keys, n_ids, limit="max_recommendations")
     lim = ids.select("request_id", "max_recommendations").distinct()
     lim = F.broadcast(lim) if n_ids <= MAX_BROADCAST_ROWS else lim
     w = Window.partitionBy("request_id").orderBy(F.desc("similarity"), "package_a", "package_b")
-    ranked = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.lit(int(cap)))
+    # rank the bare pairs; only the kept rows get metadata and a score
+    ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.lit(int(cap)))
     ranked = ranked.join(lim, "request_id").where(F.col("rank") <= F.col("max_recommendations"))
-    return ranked.select("request_id", "rank", *RESULT_COLUMNS, "similarity", "package_a", "package_b")
+    rows = with_score(pair_metadata(ranked, packages))
+    return rows.select("request_id", "rank", *RESULT_COLUMNS, "similarity", "package_a", "package_b")
 
 
 def recommendation_records(df: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ Hot packages and hot pairs collapse in the partial aggregations.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinity.functions.scoring import bounded_similarity
@@ -141,3 +141,16 @@ def one_hot_coordinates(edges: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """
     e = dedupe_edges(edges)
     return e.join(vocabulary, PKG).select(APP, "index", F.lit(1.0).alias("value"))
+
+
+def rank_neighbours(sim: DataFrame) -> DataFrame:
+    """Adds neighbor_rank: position of package_b among package_a's neighbours.
+
+    Order: similarity descending, then package_b — the serving order within
+    one seed. Computed once at train time; a neighbour list holds at most one
+    row per package, so each window group is bounded by the package count.
+    Serving uses it to read only the top (limit + owned) neighbours of each
+    seed, which is exact (see `recommend.candidates`).
+    """
+    w = Window.partitionBy("package_a").orderBy(F.desc("similarity"), "package_b")
+    return sim.withColumn("neighbor_rank", F.row_number().over(w))

@@ -67,7 +67,7 @@ def stored(spark: SparkSession, base: str, key: str, build: Callable[[], DataFra
 
 
 def stored_similarity(spark: SparkSession, base: str) -> DataFrame:
-    return stored(spark, base, "similarity", lambda: sim_table(spark, base))
+    return stored(spark, base, "similarity", lambda: similarity.rank_neighbours(sim_table(spark, base)))
 
 
 def scored_packages(spark: SparkSession, base: str) -> DataFrame:
@@ -915,7 +915,7 @@ def q_ingest_pypi_metadata(spark, base):
 def q_write_similarity(spark, base):
     """The similarity table written clustered by package_a, read back."""
     path = landed.write_similarity(stored_similarity(spark, base), scratch_path(spark, "similarity"))
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).select("package_a", "package_b", "similarity", "bounded_similarity")
 
 
 @register("check_constraints", O.with_ctes("apps", "pk") + """

@@ -148,13 +148,20 @@ def write_table(df: DataFrame, path: str, partition_cols: list[str] | None = Non
     return path
 
 
-def write_similarity(similarity: DataFrame, path: str, files_per_key_range: int | None = None) -> str:
+def write_similarity(similarity: DataFrame, path: str, files_per_key_range: int | None = None,
+                     rank: bool = False) -> str:
     """Write the scored similarity table, clustered by package_a.
 
-    Range partitioning on package_a plus a sort inside each file gives tight
-    Parquet min/max statistics, so a lookup by package_a (the serving query)
-    skips most row groups — the role the B-tree index plays in a database.
+    Hash partitioning on package_a puts all neighbours of a package in one
+    file, and the sort inside each file gives tight Parquet row-group min/max
+    statistics, so a lookup by package_a (the serving query) skips most row
+    groups — the role the B-tree index plays in a database. Hash (not range)
+    partitioning needs no sampling pass over the input.
     """
     n = files_per_key_range or similarity.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    clustered = similarity.repartitionByRange(int(n), "package_a")
+    clustered = similarity.repartition(int(n), "package_a")
+    if rank:
+        # the neighbour window reuses this partitioning: no second shuffle
+        from affinity.operators.similarity import rank_neighbours
+        clustered = rank_neighbours(clustered)
     return write_table(clustered, path, sort_within=["package_a", "package_b"])
