@@ -58,3 +58,19 @@ def train_major(specs: Column) -> Column:
     """Text before the first '.' of the first specifier, any operator; '' without one."""
     first = F.get(specs, 0)["version"]
     return F.when(F.size(specs) > 0, F.split(first, r"\.")[0]).otherwise(F.lit(""))
+
+
+def parse_lines(df, line: str = "line", out: str = "req"):
+    """`parse_line` as staged projections: clean once, match the line pattern once.
+
+    Returns df with `out` = struct(name, specs), NULL for non-requirements.
+    """
+    staged = df.withColumn("_clean", F.when(is_candidate(F.col(line)), clean_line(F.col(line))))
+    staged = staged.withColumn("_name", F.regexp_extract("_clean", LINE_PATTERN, 1)) \
+                   .withColumn("_specs_text", F.regexp_extract("_clean", LINE_PATTERN, 3))
+    ops = F.regexp_extract_all("_specs_text", F.lit(SPEC_PATTERN), F.lit(1))
+    versions = F.regexp_extract_all("_specs_text", F.lit(SPEC_PATTERN), F.lit(2))
+    specs = F.zip_with(ops, versions, lambda o, v: F.struct(o.alias("op"), v.alias("version")))
+    # a match always has a non-empty name group, so '' means "not a requirement"
+    req = F.when(F.col("_name") != "", F.struct(F.col("_name").alias("name"), specs.alias("specs")))
+    return staged.withColumn(out, req).drop("_clean", "_name", "_specs_text")

@@ -39,3 +39,9 @@ def update_from(target: DataFrame, source: DataFrame, key: str, columns: list[st
         else:
             out.append(target[name])
     return j.select(*out)
+
+
+def checked_broadcast_with_count(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, int]:
+    """Like `checked_broadcast`, also returning the counted rows (a bound for derived tables)."""
+    n = df.count()
+    return (F.broadcast(df) if n <= max_rows else df), n

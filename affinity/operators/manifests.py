@@ -87,7 +87,7 @@ def requirement_lines(manifests: DataFrame, text: str = "text") -> DataFrame:
     """One row per parsable requirement line: adds `req` struct(name, specs)."""
     lines = manifests.select(*[c for c in manifests.columns if c != text],
                              F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    parsed = lines.withColumn("req", requirements.parse_line(F.col("line")))
+    parsed = requirements.parse_lines(lines, "line", "req")
     return parsed.where(F.col("req").isNotNull()).drop("line")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinity.functions import purl, scoring
-from affinity.operators.joins import MAX_BROADCAST_ROWS, checked_broadcast
+from affinity.operators.joins import MAX_BROADCAST_ROWS, checked_broadcast, checked_broadcast_with_count
 
 # Fixed value: default result limit of the recommendation service.
 DEFAULT_MAX_RECOMMENDATIONS = 10000
@@ -119,10 +119,11 @@ def recommend(similarity: DataFrame, packages: DataFrame, dependencies: DataFram
     One row per (seed, recommended package) pair: the same package may be
     recommended once per seed. An empty or unknown list gives no rows.
     """
-    ids = resolve_seeds(packages, seed_names(checked_broadcast(dependencies)))
+    deps, n_deps = checked_broadcast_with_count(dependencies)
+    # names are unique in packages, so the seed ids are at most n_deps rows
+    ids = resolve_seeds(packages, seed_names(deps))
     # rank the bare pairs first; metadata is joined to the kept rows only
-    ids = ids.checkpoint(eager=True)
-    best = top_n(candidates(similarity, ids, seed_count=ids.count(), limit=max_recommendations),
+    best = top_n(candidates(similarity, ids, seed_count=n_deps, limit=max_recommendations),
                  max_recommendations)
     rows = with_score(pair_metadata(best, packages))
     return rows.orderBy(F.desc("similarity"), "package_a", "package_b").select(
