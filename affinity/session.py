@@ -61,3 +61,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique folder under the checkpoint location for written tables."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/affinity-{name}-{uuid.uuid4().hex}"
+
+
+# Target bytes per shuffle partition / input split on a cluster: small enough
+# to sort and aggregate in executor memory, large enough to keep task counts
+# manageable at 100 TB.
+TARGET_PARTITION_BYTES = 256 << 20
+
+
+def cluster_settings(input_bytes: int, executors_cores: int) -> dict[str, str]:
+    """Settings sized from the input: initial shuffle partitions and split size.
+
+    AQE coalesces small partitions and splits skewed ones at run time, so
+    the initial number is an upper bound chosen from the data volume (at
+    least two waves of the cluster's cores). The caller applies them with
+    `spark.conf.set` before building the plans.
+    """
+    parts = max(2 * executors_cores, -(-input_bytes // TARGET_PARTITION_BYTES))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TARGET_PARTITION_BYTES),
+        "spark.sql.files.maxPartitionBytes": str(TARGET_PARTITION_BYTES),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * TARGET_PARTITION_BYTES),
+    }
