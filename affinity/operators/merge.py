@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from affinity.session import materialize
+
 from affinity.functions.categories import clean_categories
 from affinity.operators.joins import update_from
 
@@ -28,7 +30,7 @@ def assign_ids(keys: DataFrame, order: list[Column], start: Column | int = 0,
     s = (keys.repartitionByRange(*order).sortWithinPartitions(*order)
              .withColumn("_pid", F.spark_partition_id())
              .withColumn("_mid", F.monotonically_increasing_id())
-             .checkpoint(eager=True))
+             .transform(materialize))
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))

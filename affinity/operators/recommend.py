@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from affinity.session import materialize
+
 from affinity.functions import purl, scoring
 from affinity.operators.joins import MAX_BROADCAST_ROWS, checked_broadcast, checked_broadcast_with_count
 
@@ -146,7 +148,7 @@ def recommend_batch(similarity: DataFrame, packages: DataFrame, requests: DataFr
     # once; its size check, the limit and both joins read the written copy.
     ids = (resolve_seeds(packages, seed_names(requests), keys)
            .join(limits.select("request_id", "max_recommendations"), "request_id")
-           .checkpoint(eager=True))
+           .transform(materialize))
     n_ids = ids.count()
     cap = ids.agg(F.max("max_recommendations")).first()[0] or 0
     pairs = candidates(similarity, ids, keys, n_ids, limit="max_recommendations")

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from affinity.session import materialize as write_once
+
 from affinity.functions.scoring import bounded_similarity
 from affinity.operators.joins import MAX_BROADCAST_ROWS, checked_broadcast
 
@@ -58,7 +60,7 @@ def _materialized_statistics(e: DataFrame, cell_rows: int) -> tuple[DataFrame, D
     stats = (e.groupingSets([[PKG], [APP]], PKG, APP)
               .agg(F.count(F.lit(1)).alias("cnt"), F.grouping_id().alias("gid"))
               .where((F.col("gid") == 1) | (F.col("cnt") > cell_rows))
-              .checkpoint(eager=True))
+              .transform(write_once))
     degrees = stats.where(F.col("gid") == 1).select(PKG, F.col("cnt").alias("n"))
     heavy = (stats.where(F.col("gid") == 2)
                   .select(APP, F.ceil(F.col("cnt") / cell_rows).cast("int").alias("g")))
@@ -82,7 +84,7 @@ def similarity_pairs(edges: DataFrame, cell_rows: int = DEFAULT_CELL_ROWS,
     """
     e = dedupe_edges(edges)
     if materialize:
-        e = e.checkpoint(eager=True)
+        e = e.transform(write_once)
     degrees, heavy = _materialized_statistics(e, cell_rows)
     x = _attach(e, checked_broadcast(degrees, max_broadcast_rows),
                 checked_broadcast(heavy, max_broadcast_rows))

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from affinity import oracle as O
 from affinity.functions import dates, purl, scoring
 from affinity.operators import api, browse, constraints, joins, manifests, merge, recommend, scores, similarity
-from affinity.session import scratch_path
+from affinity.session import scratch_path, materialize
 from affinity.sources import landed
-from affinity.session import apply_defaults, checkpoint_dir
+from affinity.session import apply_defaults
 from affinity.sources import corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,8 +61,7 @@ def stored(spark: SparkSession, base: str, key: str, build: Callable[[], DataFra
     """
     k = (spark.sparkContext.applicationId, base, key)
     if k not in _STORED:
-        checkpoint_dir(spark)
-        _STORED[k] = build().checkpoint(eager=True)
+        _STORED[k] = build().transform(materialize)
     return _STORED[k]
 
 

@@ -85,3 +85,13 @@ def cluster_settings(input_bytes: int, executors_cores: int) -> dict[str, str]:
         "spark.sql.files.maxPartitionBytes": str(TARGET_PARTITION_BYTES),
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * TARGET_PARTITION_BYTES),
     }
+
+
+def materialize(df):
+    """Write `df` once to the shared checkpoint folder and continue from the copy.
+
+    Cuts the lineage (an executor loss re-reads the files instead of
+    recomputing the inputs) and lets several consumers read one result.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
