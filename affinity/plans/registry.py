@@ -824,7 +824,7 @@ def q_vocabulary_map(spark, base):
 
 
 @register("one_hot", O.with_ctes("vocab", "e") +
-          "SELECT e.app AS application_id, vocab.index, 1.0 AS value FROM e JOIN vocab ON vocab.package_id = e.pkg")
+          "SELECT e.app AS application_id, vocab.index, CAST(1.0 AS DOUBLE) AS value FROM e JOIN vocab ON vocab.package_id = e.pkg")
 def q_one_hot(spark, base):
     """Binary application × package matrix in coordinate form (never densified)."""
     e, v = _vocabulary(spark, base)

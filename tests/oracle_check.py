@@ -17,6 +17,11 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "date": "DATE", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP WITH TIME ZONE",
+                 "timestamp_ntz": "TIMESTAMP"}
+
+
 def norm(v):
     if v is None:
         return None
@@ -81,6 +86,12 @@ def main():
             bad += 1
             continue
         colok = sorted(cols) == sorted(dcols)
+        stypes = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+                  for f in df.schema.fields}
+        dtypes = {d[0]: str(d[1]) for d in cur.description}
+        tdiff = {c: (stypes.get(c), dtypes.get(c)) for c in stypes if stypes.get(c) != dtypes.get(c)}
+        if tdiff:
+            print(f"   TYPES {name}: {tdiff}")
         valok = srows == drows
         if not (colok and valok):
             bad += 1
