@@ -104,11 +104,16 @@ def similarity_pairs(edges: DataFrame, cell_rows: int = DEFAULT_CELL_ROWS,
 
 
 def mirror_pairs(pairs: DataFrame) -> DataFrame:
-    """Both directions of every pair, so lookups only search package_a."""
-    return (pairs.select("package_a", "package_b", "similarity")
-                 .unionByName(pairs.select(F.col("package_b").alias("package_a"),
-                                           F.col("package_a").alias("package_b"),
-                                           "similarity")))
+    """Both directions of every pair, so lookups only search package_a.
+
+    One pass: each pair row yields its two orientations (no union of two
+    scans of the pair table).
+    """
+    both = F.explode(F.array(
+        F.struct(F.col("package_a").alias("a"), F.col("package_b").alias("b")),
+        F.struct(F.col("package_b").alias("a"), F.col("package_a").alias("b"))))
+    return (pairs.select(both.alias("d"), "similarity")
+                 .select(F.col("d.a").alias("package_a"), F.col("d.b").alias("package_b"), "similarity"))
 
 
 def similarity_frame(edges: DataFrame, **kwargs) -> DataFrame:
