@@ -554,7 +554,7 @@ _BATCH_COLS = ["request_id", "rank", *recommend.RESULT_COLUMNS, "similarity", "p
 
 
 def batch_recommendations(spark, base):
-    v = _valid_requests(spark, base)
+    v = materialize(_valid_requests(spark, base), "requests")
     rp = api.request_purls(v)
     limits = v.where(F.col("status") == "ok").select("request_id", "max_recommendations")
     r = recommend.recommend_batch(stored_similarity(spark, base), stored_packages(spark, base), rp, limits)

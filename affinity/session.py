@@ -87,11 +87,16 @@ def cluster_settings(input_bytes: int, executors_cores: int) -> dict[str, str]:
     }
 
 
-def materialize(df):
-    """Write `df` once to the shared checkpoint folder and continue from the copy.
+def materialize(df, name: str = "table"):
+    """Write `df` once as Parquet under the shared checkpoint folder and read it back.
 
     Cuts the lineage (an executor loss re-reads the files instead of
-    recomputing the inputs) and lets several consumers read one result.
+    recomputing the inputs) and lets several consumers read one result. A
+    written table is computed exactly once (an eager RDD checkpoint of an
+    unpersisted plan computes it twice) and the read-back carries real file
+    sizes for the planner's join choices.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
