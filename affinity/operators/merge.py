@@ -24,8 +24,9 @@ def assign_ids(keys: DataFrame, order: list[Column], start: Column | int = 0,
     Distributed: the keys are range-partitioned and sorted, each row gets
     its position inside its partition, and a tiny table of per-partition
     counts (one row per partition) gives each partition's offset. No window
-    over all rows, no single task. The sorted keys are checkpointed first so
-    positions and offsets are read from the same partitioning.
+    over all rows, no single task. Partition id and in-partition position are
+    written together with the sorted keys first, so positions and offsets
+    are read from the same, fixed copy (the same scheme as zipWithIndex).
     """
     s = (keys.repartitionByRange(*order).sortWithinPartitions(*order)
              .withColumn("_pid", F.spark_partition_id())

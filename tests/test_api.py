@@ -66,3 +66,20 @@ def test_batch_of_one_equals_single(spark):
     assert a == b and 0 < len(a) <= 25
     owned = {r.id for r in recommend.resolve_seeds(pk, recommend.seed_names(seeds)).collect()}
     assert not owned & {r.package_b for r in single.collect()}
+
+
+def test_neighbour_prelimit_is_exact(spark):
+    """Owned packages ranked first in a seed's list must not push real answers out."""
+    from affinity.operators import similarity
+    # seed 1's neighbours by similarity: 2 (owned), 3 (owned), 4, 5, 6; seed 2's: 1 (owned), 7
+    rows = [(1, 2, 0.9), (1, 3, 0.8), (1, 4, 0.7), (1, 5, 0.6), (1, 6, 0.5), (2, 7, 0.65), (2, 3, 0.95)]
+    pairs = spark.createDataFrame(rows, "package_a long, package_b long, similarity double")
+    sim = similarity.mirror_pairs(pairs).withColumn("bounded_similarity", F.lit(1))
+    ranked = similarity.rank_neighbours(sim)
+    seeds = spark.createDataFrame([(9, 1), (9, 2), (9, 3)], "request_id long, id long") \
+        .withColumn("max_recommendations", F.lit(2).cast("long"))
+    exact = recommend.candidates(sim, seeds.select("request_id", "id"), ["request_id"], 3)
+    cut = recommend.candidates(ranked, seeds, ["request_id"], 3, limit="max_recommendations")
+    top = lambda df: [(r.package_a, r.package_b) for r in df.orderBy(
+        F.desc("similarity"), "package_a", "package_b").limit(2).collect()]
+    assert top(cut) == top(exact) == [(1, 4), (2, 7)]
