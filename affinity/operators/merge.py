@@ -41,6 +41,28 @@ def assign_ids(keys: DataFrame, order: list[Column], start: Column | int = 0,
     return j.select(*[c for c in keys.columns], ident.alias(id_col))
 
 
+def rank_within(df: DataFrame, key: str, order: list[Column], rank_col: str = "rank") -> DataFrame:
+    """row_number() over (partition by key order by …) without putting a key in one task.
+
+    Same scheme as `assign_ids`, per key: a range-partitioned sort on
+    (key, order) spreads even a key holding a large share of the rows over
+    many partitions; each row's position inside its partition is written with
+    it; per (key, partition) counts — at most one row per partition a key
+    spans — give each piece's offset.
+    """
+    cols = [F.col(key), *order]
+    s = (df.repartitionByRange(*cols).sortWithinPartitions(*cols)
+           .withColumn("_pid", F.spark_partition_id())
+           .withColumn("_mid", F.monotonically_increasing_id())
+           .transform(materialize))
+    counts = s.groupBy(key, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
+    before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    j = s.join(offsets, [key, "_pid"])
+    rank = (F.col("_off") + (F.col("_mid") - F.col("_m0")) + 1).cast("int")
+    return j.select(*df.columns, rank.alias(rank_col))
+
+
 def _max_id(existing: DataFrame) -> Column:
     return existing.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint")).scalar()
 

@@ -150,14 +150,24 @@ def one_hot_coordinates(edges: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return e.join(vocabulary, PKG).select(APP, "index", F.lit(1.0).alias("value"))
 
 
-def rank_neighbours(sim: DataFrame) -> DataFrame:
+# Largest group one task may sort for a window (rows).
+WINDOW_GROUP_ROWS = 2_000_000
+
+
+def rank_neighbours(sim: DataFrame, max_neighbours: int | None = None) -> DataFrame:
     """Adds neighbor_rank: position of package_b among package_a's neighbours.
 
     Order: similarity descending, then package_b — the serving order within
-    one seed. Computed once at train time; a neighbour list holds at most one
-    row per package, so each window group is bounded by the package count.
-    Serving uses it to read only the top (limit + owned) neighbours of each
+    one seed. Computed once at train time. A neighbour list holds at most one
+    row per package, so `max_neighbours` (the package count) bounds every
+    group: within WINDOW_GROUP_ROWS a window ranks it in one task, beyond it
+    (or without a bound) the distributed `merge.rank_within` does. Serving
+    uses the rank to read only the top (limit + owned) neighbours of each
     seed, which is exact (see `recommend.candidates`).
     """
-    w = Window.partitionBy("package_a").orderBy(F.desc("similarity"), "package_b")
-    return sim.withColumn("neighbor_rank", F.row_number().over(w))
+    order = [F.desc("similarity"), F.col("package_b")]
+    if max_neighbours is not None and max_neighbours <= WINDOW_GROUP_ROWS:
+        w = Window.partitionBy("package_a").orderBy(*order)
+        return sim.withColumn("neighbor_rank", F.row_number().over(w))
+    from affinity.operators.merge import rank_within
+    return rank_within(sim, "package_a", order, "neighbor_rank")

@@ -66,7 +66,9 @@ def stored(spark: SparkSession, base: str, key: str, build: Callable[[], DataFra
 
 
 def stored_similarity(spark: SparkSession, base: str) -> DataFrame:
-    return stored(spark, base, "similarity", lambda: similarity.rank_neighbours(sim_table(spark, base)))
+    bound = corpus.package_names(spark, base).count()  # neighbour lists hold at most one row per package
+    return stored(spark, base, "similarity",
+                  lambda: similarity.rank_neighbours(sim_table(spark, base), bound))
 
 
 def scored_packages(spark: SparkSession, base: str) -> DataFrame:

@@ -28,7 +28,8 @@ def train(spark: SparkSession, edges: DataFrame, packages: DataFrame, root: str
     sim_path = (f"{root}/similarity" if root else scratch_path(spark, "similarity"))
     pk_path = (f"{root}/packages" if root else scratch_path(spark, "packages"))
     sim = similarity.similarity_frame(edges, materialize=materialize_edges)
-    landed.write_similarity(sim, sim_path, rank=True)
+    # the package table's row count bounds every neighbour list
+    landed.write_similarity(sim, sim_path, rank=True, max_neighbours=packages.count())
     scored = scores.score_packages(packages, spark.read.parquet(sim_path))
     landed.write_table(scored, pk_path)
     return TrainOutput(sim_path, pk_path)

@@ -149,7 +149,7 @@ def write_table(df: DataFrame, path: str, partition_cols: list[str] | None = Non
 
 
 def write_similarity(similarity: DataFrame, path: str, files_per_key_range: int | None = None,
-                     rank: bool = False) -> str:
+                     rank: bool = False, max_neighbours: int | None = None) -> str:
     """Write the scored similarity table, clustered by package_a.
 
     Hash partitioning on package_a puts all neighbours of a package in one
@@ -159,9 +159,12 @@ def write_similarity(similarity: DataFrame, path: str, files_per_key_range: int
     partitioning needs no sampling pass over the input.
     """
     n = files_per_key_range or similarity.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    from affinity.operators.similarity import WINDOW_GROUP_ROWS, rank_neighbours
+    if rank and (max_neighbours is None or max_neighbours > WINDOW_GROUP_ROWS):
+        similarity = rank_neighbours(similarity, max_neighbours)
+        rank = False
     clustered = similarity.repartition(int(n), "package_a")
     if rank:
         # the neighbour window reuses this partitioning: no second shuffle
-        from affinity.operators.similarity import rank_neighbours
-        clustered = rank_neighbours(clustered)
+        clustered = rank_neighbours(clustered, max_neighbours)
     return write_table(clustered, path, sort_within=["package_a", "package_b"])

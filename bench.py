@@ -49,7 +49,8 @@ def main() -> None:
     def train_similarity():
         paths["similarity"] = f"{root}/similarity-{next(runs)}"
         sim = similarity.similarity_frame(corpus.raw_edges(spark, base))
-        landed.write_similarity(sim, paths["similarity"], rank=True)
+        landed.write_similarity(sim, paths["similarity"], rank=True,
+                                max_neighbours=corpus.package_names(spark, base).count())
 
     def train_scores():
         paths["packages"] = f"{root}/packages-{next(runs)}"

@@ -45,3 +45,24 @@ def test_invariants_on_corpus(spark):
     mirrored = sim.select(F.col("package_b").alias("package_a"), F.col("package_a").alias("package_b"),
                           "similarity", "bounded_similarity")
     assert sim.exceptAll(mirrored).count() == 0
+
+
+def test_distributed_rank_matches_window(spark):
+    from pyspark.sql import Window
+
+    from affinity.operators.merge import rank_within
+    # key 0 holds most rows (a hot key); ties in the first order column
+    rows = [(0, i % 97 / 97.0, i) for i in range(3000)] + [(k, (k * 7 % 5) / 5.0, k) for k in range(1, 300)]
+    df = spark.createDataFrame(rows, "k long, s double, b long").repartition(7)
+    order = [F.desc("s"), F.col("b")]
+    want = df.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(*order)))
+    got = rank_within(df, "k", order, "r")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
+
+
+def test_rank_neighbours_both_paths(spark):
+    sim = similarity.similarity_frame(corpus.raw_edges(spark, SMOKE))
+    a = similarity.rank_neighbours(sim, 10)      # window path
+    b = similarity.rank_neighbours(sim, None)    # distributed path
+    key = lambda r: (r.package_a, r.package_b, r.neighbor_rank)
+    assert sorted(map(key, a.collect())) == sorted(map(key, b.collect()))
