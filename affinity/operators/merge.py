@@ -86,7 +86,9 @@ def upsert_applications(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     matched = ex.join(inc.select("url"), "url", "left_semi")
     updated = update_from(matched, inc, "url", ["name", "followers", "hash", "retrieved"])
     untouched = ex.join(inc.select("url"), "url", "left_anti")
-    new = inc.join(ex.select("url"), "url", "left_anti")
+    # the unseen rows (usually few) are written once; id assignment and the
+    # insert read that copy instead of re-running the anti join
+    new = materialize(inc.join(ex.select("url"), "url", "left_anti"), "new-applications")
     new_ids = assign_ids(new.select("url"), [F.col("url")], _max_id(existing))
     inserted = new.join(new_ids, "url")
     out = updated.unionByName(untouched).unionByName(inserted.select("id", *cols))
@@ -98,7 +100,7 @@ def upsert_packages(existing: DataFrame, names: DataFrame, retrieved: Column) ->
     inc = names.select("name").distinct()
     seen = existing.join(inc, "name", "left_semi").withColumn("retrieved", retrieved)
     untouched = existing.join(inc, "name", "left_anti")
-    new = inc.join(existing.select("name"), "name", "left_anti")
+    new = materialize(inc.join(existing.select("name"), "name", "left_anti"), "new-packages")
     new_rows = assign_ids(new, [F.col("name")], _max_id(existing)).withColumn("retrieved", retrieved)
     return seen.unionByName(untouched).unionByName(new_rows, allowMissingColumns=True)
 
