@@ -931,3 +931,17 @@ def q_check_constraints(spark, base):
     """The table rules as one violations report (0 = rule holds)."""
     return constraints.check_constraints(corpus.applications(spark, base), corpus.package_names(spark, base),
                                          corpus.raw_edges(spark, base))
+
+
+# ------------------------------------------ dense corpus (buckets 3..7)
+
+_DENSE = {
+    "e": ("e AS (SELECT DISTINCT user_id AS app, CAST(regexp_extract(props, '\"k\":\\s*(\\d+)', 1) AS BIGINT) AS pkg "
+          "FROM events WHERE regexp_extract(props, '\"k\":\\s*(\\d+)', 1) <> '')"),
+}
+
+
+@register("similarity_frame_dense", O.with_ctes("sim", extra=None).replace(O.CTE["e"], _DENSE["e"]) + "SELECT * FROM sim")
+def q_similarity_frame_dense(spark, base):
+    """E6 on the dense corpus (users × event keys): cosine 0.3–0.7, buckets 3–7."""
+    return similarity.similarity_frame(corpus.event_edges(spark, base))

@@ -308,3 +308,12 @@ def land_registry_bodies(spark: SparkSession, base: str, folder: str) -> dict[st
         df.select(body.alias("value")).write.mode("errorifexists").text(path)
         out[kind] = path
     return out
+
+
+
+def event_edges(spark: SparkSession, base: str) -> DataFrame:
+    """Dense corpus: users as applications, the `k` of each event's props as packages."""
+    ev = read_table(spark, base, "events", "user_id", "props")
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
+    return ev.select(F.col("user_id").alias("application_id"), k.alias("package_id")) \
+             .where(F.col("package_id").isNotNull())
