@@ -498,9 +498,10 @@ O.NEEDS["cand"] = ["rseeds", "sim"]
 
 
 def _batch_candidates(spark, base):
-    rp = api.request_purls(_valid_requests(spark, base))
+    rp = api.request_purls(materialize(_valid_requests(spark, base), "requests"))
     ids = recommend.resolve_seeds(corpus.package_names(spark, base), recommend.seed_names(rp), ["request_id"])
-    return recommend.candidates(stored_similarity(spark, base), ids, ["request_id"])
+    ids = materialize(ids, "seeds")  # read by the size check and both joins
+    return recommend.candidates(stored_similarity(spark, base), ids, ["request_id"], ids.count())
 
 
 @register("exclude_owned", O.with_ctes("cand") + "SELECT request_id, package_a, package_b FROM cand")
