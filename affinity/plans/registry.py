@@ -249,19 +249,24 @@ def q_display_date(spark, base):
 
 # ------------------------------------------------------- G: recommending
 
-SEED_APPLICATION = 7  # the repository whose dependencies seed `recommend`
+def _seed_application(spark, base) -> DataFrame:
+    """The repository with the most dependencies (ties: smallest id) — a top-1 report over all edges."""
+    sizes = corpus.dependencies(spark, base).groupBy("application_id").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.orderBy(F.desc("n"), "application_id").limit(1).select("application_id")
 
 
-def _seed_purls(spark, base, app_id: int = SEED_APPLICATION) -> DataFrame:
-    """Dependencies of one application as full-version purls (`…@<size>.0.0`)."""
-    edges = corpus.dependencies(spark, base).where(F.col("application_id") == app_id)
+def _seed_purls(spark, base) -> DataFrame:
+    """That repository's dependencies as full-version purls (`…@<size>.0.0`)."""
+    edges = corpus.dependencies(spark, base).join(_seed_application(spark, base), "application_id", "left_semi")
     names = corpus.package_names(spark, base)
     return (edges.join(names, edges["package_id"] == names["id"])
                  .select(F.concat(F.col("name"), F.lit(".0.0")).alias("purl")))
 
 
-_SEEDS_SQL = (f"seeds AS (SELECT DISTINCT pk.id FROM pk JOIN lineitem ON lineitem.l_partkey = pk.id "
-              f"WHERE lineitem.l_orderkey = {SEED_APPLICATION} AND regexp_matches(pk.name, '@\\d+$'))")
+_SEEDS_SQL = ("seeds AS (SELECT DISTINCT pk.id FROM pk JOIN lineitem ON lineitem.l_partkey = pk.id "
+              "WHERE lineitem.l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey "
+              "ORDER BY count(DISTINCT l_partkey) DESC, l_orderkey LIMIT 1) "
+              "AND regexp_matches(pk.name, '@\\d+$'))")
 _REC_SELECT = ("SELECT a.short_name AS for_package, b.short_name AS recommended_package, b.url, "
                + O.composite_sql("s.similarity", "b.bounded_popularity", "b.absolute_trend",
                                  "b.relative_trend") + " AS score, "

@@ -26,7 +26,6 @@ def test_batch_ranking_is_limited_before_the_shuffle(spark):
 
 
 def test_scan_pushdown_and_pruning(spark):
-    from affinity.plans import registry as R
-    text = R._seed_purls(spark, SMOKE)._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(l_orderkey,7)" in text or "(l_orderkey = 7)" in text
+    text = _plan(entry.queries()["insert_dependencies"](spark, SMOKE))
+    assert "PushedFilters: [IsNotNull(l_shipdate), LessThan(l_shipdate" in text or "LessThan(l_shipdate" in text
     assert "l_quantity" not in text  # columns not used are not read
