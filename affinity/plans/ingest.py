@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinity.functions import purl
 from affinity.operators import manifests, merge
 from affinity.sources import landed
 
@@ -55,5 +54,3 @@ def ingest_pages(pages: DataFrame, language: str, as_of: Column, existing_apps:
     deps = merge.insert_dependencies(existing_deps, deps_in)
     return apps, pkgs, deps
 
-
-__all__ = ["crawl_slices", "ingest_pages", "purl"]
