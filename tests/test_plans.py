@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from affinity.plans.registry import QUERIES
 from conftest import SMOKE
 
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
@@ -13,7 +14,7 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_join_or_python(spark, name):
     plan = _plan(entry.queries()[name](spark, SMOKE))
     assert not [f for f in FORBIDDEN if f in plan]
