@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinity.llm import bpe, html_text, quality, sharding, token_files
+from affinity.llm import bpe, decontaminate, html_text, near_dedup, neighbours, quality, sharding, token_files
 from affinity.llm.common import prepare, table
 from affinity.session import scratch_path
 
@@ -54,3 +54,18 @@ def op9_factorisation_machine(spark: SparkSession, base: str) -> DataFrame:
 @register
 def op6_tag_path_ratios(spark: SparkSession, base: str) -> DataFrame:
     return html_text.extract_pages(table(spark, base, "pages"))
+
+
+@register
+def op10_adaptive_scan(spark: SparkSession, base: str) -> DataFrame:
+    return neighbours.nearest(table(spark, base, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@register
+def op3_positional_index(spark: SparkSession, base: str) -> DataFrame:
+    return decontaminate.judge(table(spark, base, "documents"), table(spark, base, "benchmark"))
+
+
+@register
+def op1_setsketch(spark: SparkSession, base: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, base, "documents"), shingle=3, percent=85)
