@@ -26,6 +26,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -284,31 +285,37 @@ def decode_documents(encoded: DataFrame, path: str, id_column: str = "doc_id") -
         run, f"`{id_column}` {encoded.schema[id_column].dataType.simpleString()}, text string")
 
 
-def round_trip_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode every text and decode its ids again.
+def round_trip_digest(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids): encode every text and decode its ids again.
 
-    Encoding and decoding run in one pass so that the ids (several times the
-    text's size) never leave the task.
+    Encoding and decoding run in one pass so that the ids
+    leave the task only where they are asked for.
     """
 
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
         token = enc.transducer.token
         for batch in batches:
-            counts, ids_digests, text_digests = [], [], []
+            counts, ids_digests, text_digests, all_ids = [], [], [], []
             for text in batch.column(1).to_pylist():
                 parts = enc.pieces(text)
                 ids = list(chain.from_iterable([own for _, own in parts]))
                 counts.append(len(ids))
+                if with_ids:
+                    all_ids.append(np.asarray(ids, np.int32))
                 ids_digests.append(hashlib.sha256(" ".join([s for s, _ in parts]).encode()).hexdigest())
                 digest = hashlib.sha256()
                 for part in decode_stream(ids, token):
                     digest.update(part.encode())
                 text_digests.append(digest.hexdigest())
-            yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()),
-                                   pa.array(text_digests, pa.string())],
-                                  ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()),
+                       pa.array(text_digests, pa.string())]
+            if with_ids:
+                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+            yield pa.record_batch(columns, names)
 
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, "
-                                "ids_sha256 string, decoded_sha256 string")
+                                "ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

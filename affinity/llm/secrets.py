@@ -1,0 +1,185 @@
+"""Operator 7: secret scans with a random forest that removes false positives.
+
+DataFrame and SQL functions only. A broad pattern finds candidates (runs of
+key-like characters with a digit) with the words around them. Every candidate
+is described by its length, its character classes and the transitions between
+them, its entropy, how much of it dictionary words cover (words of letters
+that occur in at least `DICTIONARY_DOCS` documents of the corpus, counted over
+all of them), its path, and its neighbouring words. A random forest trained on
+labelled findings scores them; its trees are turned into SQL expressions, so
+scoring is part of the query.
+
+Labelled findings are a table of (value, before, joint, label). Where none is
+given they are derived from the corpus: a value that is assigned to a
+credential's name, or has a provider's key format, is labelled 1; e-mail
+addresses, host names, numbers with separators and values made of dictionary
+words are labelled 0; the rest has no label and is left to the forest. At most
+`FIT_ROWS` labelled findings, taken by hash, are fitted on.
+
+Defined results: null and empty texts have no findings; a value repeated in a
+text is one finding with its number of occurrences; repeated documents repeat
+their findings; with labels of one class only, all candidates get that label
+as their score; an empty table gives no rows; extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+import re
+from functools import reduce
+
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from affinity.llm.common import text_or_empty
+from affinity.session import materialize
+
+FIT_ROWS = 20_000
+DICTIONARY_DOCS = 3
+TREES, DEPTH = 20, 6
+THRESHOLD = 0.5
+MASK = "[SECRET]"
+
+_KEY = "A-Za-z0-9+/_.@=-"
+# A run of key characters that holds a digit; the look-behind lets it start at a run's start only.
+CANDIDATE = rf"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_.@=-]*+[0-9])[A-Za-z0-9+/_.@-][{_KEY}]{{6,}}[A-Za-z0-9+/_=]"
+# name = value without blanks is one run: the name is cut off
+NAME = r"^([A-Za-z][A-Za-z0-9_.-]{0,40})[=:]"
+FOUND = rf"(\S{{0,40}})([ \t]*[=:]?[ \t]*[\"'`]?)({CANDIDATE})([\"'`]?)"
+CREDENTIAL = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api_?-?key|access_?-?key|private_?-?key|auth|credential)s?\W*$"
+PROVIDER = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^(ghp|gho|ghs|ghu)_[A-Za-z0-9]{30,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^AIza[A-Za-z0-9_-]{35}$|^sk_live_[A-Za-z0-9]{16,}$"
+TEST_PATH = r"(?i)(^|[/_.-])(tests?|docs?|examples?|samples?|fixtures?|vendor)([/_.-]|$)"
+
+FEATURES = ["f_length", "f_digits", "f_upper", "f_lower", "f_symbols", "f_distinct", "f_changes", "f_entropy", "f_hex",
+            "f_longest", "f_dictionary", "f_credential", "f_assigned", "f_quoted", "f_path"]
+
+
+def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
+    """(doc_id, text_key, path, value, before, joint, start, occurrences): every candidate of every text."""
+    where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
+    rows = (docs.select("doc_id", where.alias("path"), text_or_empty().alias("text"))
+            .where(F.col("text").rlike(CANDIDATE)))
+    rows = rows.select("doc_id", "path", "text", F.xxhash64("text").alias("text_key"), F.explode(F.array_distinct(
+        F.regexp_extract_all("text", F.lit(FOUND), F.lit(0)))).alias("match"))
+    raw = F.regexp_extract("match", FOUND, 3)
+    name = F.regexp_extract(raw, NAME, 1)
+    value = F.when(name != "", F.expr("substring(raw, length(name) + 2)")).otherwise(F.col("raw"))
+    before = F.when(F.col("name") != "", F.col("name")).otherwise(F.regexp_extract("match", FOUND, 1))
+    joint = F.when(F.col("name") != "", F.lit("=")).otherwise(F.regexp_extract("match", FOUND, 2))
+    found = (rows.withColumn("raw", raw).withColumn("name", name.substr(F.lit(1), F.lit(41)))
+             .withColumn("value", F.regexp_replace(value, r"^=+", "")).withColumn("before", before)
+             .withColumn("joint", joint).where(F.length("value") >= 8))
+    occurrences = F.floor((F.length("text") - F.length(F.replace("text", "value", F.lit("")))) / F.length("value"))
+    return found.select("doc_id", "text_key", "path", "value", "before", "joint",
+                        F.expr("instr(text, value)").alias("start"), occurrences.cast("int").alias("occurrences")) \
+                .dropDuplicates(["doc_id", "text_key", "path", "value", "before", "joint"])
+
+
+def dictionary_coverage(values: DataFrame, docs: DataFrame, least: int = DICTIONARY_DOCS) -> DataFrame:
+    """(value, coverage): the share of a value's characters in runs of letters that are words of the corpus."""
+    runs = values.select("value").distinct().select("value", F.explode(F.regexp_extract_all(
+        F.lower("value"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word"))
+    text = F.lower(text_or_empty())
+    words = (docs.select(F.explode(F.array_distinct(F.split(text, r"[^\p{L}]+"))).alias("word"))
+             .where(F.length("word") >= 3).groupBy("word").count().where(F.col("count") >= least).select("word"))
+    known = runs.join(words, "word").groupBy("value").agg(F.sum(F.length("word")).alias("known"))
+    return known.select("value", (F.col("known") / F.length("value")).alias("coverage"))
+
+
+def describe(found: DataFrame, coverage: DataFrame) -> DataFrame:
+    """Candidates with the forest's features."""
+    v = F.col("value")
+    n = F.length(v)
+
+    def share(pattern: str) -> Column:
+        return F.regexp_count(v, F.lit(pattern)) / n
+
+    chars = F.array_distinct(F.split(v, ""))
+    changes = reduce(lambda a, b: a + b, [F.regexp_count(v, F.lit(p)) for p in (
+        r"[a-z](?=[A-Z0-9])", r"[A-Z](?=[0-9])", r"[0-9](?=[A-Za-z])")])
+    entropy = F.aggregate(chars, F.lit(0.0), lambda total, c: total + F.when(c == "", 0.0).otherwise(
+        -(n - F.length(F.replace(v, c, F.lit("")))) / n * F.log2((n - F.length(F.replace(v, c, F.lit("")))) / n)))
+    longest = F.array_max(F.transform(F.regexp_extract_all(v, F.lit("[A-Za-z]+"), F.lit(0)), F.length))
+    flag = {"f_credential": F.col("before").rlike(CREDENTIAL), "f_assigned": F.col("joint").rlike("[=:]"),
+            "f_quoted": F.col("joint").rlike("[\"'`]"), "f_path": F.col("path").rlike(TEST_PATH),
+            "f_hex": v.rlike("^([0-9a-f]+|[0-9A-F]+)$")}
+    out = found.join(coverage, "value", "left").withColumns({
+        "f_length": n.cast("double"), "f_digits": share("[0-9]"), "f_upper": share("[A-Z]"), "f_lower": share("[a-z]"),
+        "f_symbols": share("[^A-Za-z0-9]"), "f_distinct": F.size(chars) / n, "f_changes": changes / n,
+        "f_entropy": entropy, "f_longest": F.coalesce(longest, F.lit(0)) / n,
+        "f_dictionary": F.coalesce("coverage", F.lit(0.0)), **{k: c.cast("double") for k, c in flag.items()}})
+    return out.drop("coverage")
+
+
+def derived_label() -> Column:
+    """The label of a finding whose surroundings or format settle it; null for the rest."""
+    v = F.col("value")
+    secret = v.rlike(PROVIDER) | ((F.col("f_credential") == 1) & (F.col("f_assigned") == 1)
+                                  & (F.col("f_length") >= 12) & (F.col("f_dictionary") < 0.5))
+    harmless = (v.contains("@") | v.rlike(r"^[0-9+./_=-]+$") | (F.col("f_dictionary") >= 0.5)
+                | v.rlike(r"^(www\.|[a-z0-9-]+\.)+[a-z]{2,}(/|$)"))
+    return F.when(secret, 1.0).when(harmless, 0.0)
+
+
+def _tree_sql(lines: list[str]) -> str:
+    """A tree's printed form as one CASE expression giving its vote."""
+    line = lines.pop(0).strip()
+    if line.startswith("Predict"):
+        return line.split(":")[1].strip()
+    feature, limit = re.match(r"If \(feature (\d+) <= ([^)]+)\)", line).groups()
+    low = _tree_sql(lines)
+    lines.pop(0)                                            # Else
+    return f"CASE WHEN {FEATURES[int(feature)]} <= {float(limit)!r}D THEN {low} ELSE {_tree_sql(lines)} END"
+
+
+def fit_forest(labelled: DataFrame, max_rows: int = FIT_ROWS) -> str:
+    """A SQL expression of a finding's score: the share of trees that call it a secret."""
+    rows = labelled.select("label", *FEATURES, F.xxhash64("value", "before", "joint").alias("__h")) \
+                   .dropDuplicates(["__h"]).orderBy("__h").limit(max_rows)
+    rows = materialize(rows, "labelled-findings")
+    classes = {r.label for r in rows.select("label").distinct().collect()}     # two rows at most
+    if len(classes) < 2:
+        return f"{float(classes.pop()) if classes else 0.0}D"
+    ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
+    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=3).fit(ready.select("label", "features"))
+    trees = []
+    for tree in model.trees:
+        lines = [x for x in tree.toDebugString.split("\n")[1:] if x.strip()]
+        trees.append(f"({_tree_sql(lines)})")
+    return f"({' + '.join(trees)}) / {float(len(trees))}D"
+
+
+def scan(docs: DataFrame, labelled: DataFrame | None = None, path: str | None = "source") -> DataFrame:
+    """Every candidate of every document with its score and verdict.
+
+    `labelled`: findings (value, before, joint, path, label), from an audit.
+    """
+    found = materialize(candidates(docs, path), "secret-candidates")
+    known = found.select("value") if labelled is None else found.select("value").union(labelled.select("value"))
+    coverage = dictionary_coverage(known, docs)
+    described = materialize(describe(found, coverage), "described-findings")
+    if labelled is None:
+        training = described.withColumn("label", derived_label()).where(F.col("label").isNotNull())
+    else:
+        training = describe(labelled.where(F.col("label").isNotNull()).withColumn("label", F.col("label").cast("double")),
+                            coverage)
+    score = F.expr(fit_forest(training))
+    return (described.withColumn("score", score.cast("double"))
+            .select("doc_id", "text_key", "path", "value", "before", "joint", "start", "occurrences", "score",
+                    (F.col("score") >= THRESHOLD).alias("is_secret")))
+
+
+def mask_secrets(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """The documents with every confirmed secret replaced by a mask; `n_chars` follows the text."""
+    found = scan(docs, labelled).where("is_secret").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")) \
+                .agg(F.sort_array(F.collect_set(F.struct(-F.length("value"), "value"))).alias("__values"))
+    columns = docs.columns
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")), "left")
+    # longer values first: one may contain another
+    masked = F.aggregate("__values", F.col("text"), lambda text, v: F.replace(text, v["value"], F.lit(MASK)))
+    out = joined.withColumn("text", F.when(F.col("__values").isNotNull(), masked).otherwise(F.col("text")))
+    if "n_chars" in columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("__values").isNotNull(), length).otherwise(F.col("n_chars")))
+    return out.select(*columns)
