@@ -17,10 +17,12 @@ at a time.
    after it can start a repeated string. The fingerprints of these positions'
    whole strings are dealt and sorted in the same way.
 
-A message is one document's names (or one `CHUNK` of a long document) for one
-bucket; a bucket answers with one bit a name, so positions are never sent. Names
-seen twice in one task are settled there and sent on once, so a passage shared
-by a third of all documents reaches its bucket once a task. The number of
+A message holds the names that about `FLUSH` positions of a task have for one
+bucket; the bucket answers with one bit a name, and a message's answers are put
+together again by document (or `CHUNK` of a long one), so positions are never
+sent. Names seen twice in one message's positions are settled there and sent on
+once, so a passage shared by a third of all documents reaches its bucket once a
+message. The number of
 buckets grows with the input and bounds a bucket; a chunk bounds the arrays of
 a long document. Texts that occur twice as a whole are settled by a count and
 stand in the second round once.
@@ -38,10 +40,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinity.llm.common import shuffle_partitions, text_or_empty
+from affinity.llm.common import text_or_empty
 from affinity.session import materialize
 
 LENGTH = 400
@@ -50,6 +53,7 @@ V = ORDER * ORDER + ORDER + 1
 CHUNK = 1 << 18                     # bytes of a document worked on at once
 FLUSH = 1 << 20                     # names compared in a task before they are sent
 BUCKET_NAMES = 4 << 20
+LEAST_BUCKETS = 16
 
 
 @functools.cache
@@ -137,8 +141,14 @@ def _ranges(flat: list[int] | None) -> np.ndarray:
     return np.asarray(flat or [], np.int64).reshape(-1, 2)
 
 
-MESSAGE = pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("chunk", pa.int32()), ("asked", pa.binary()),
-                     ("known_bits", pa.binary()), ("asked_bits", pa.binary()), ("n", pa.int32())])
+MESSAGE = pa.schema([("bucket", pa.int32()), ("flush", pa.int64()), ("keys", pa.binary()), ("chunks", pa.binary()),
+                     ("counts", pa.binary()), ("asked", pa.binary()), ("known_bits", pa.binary()),
+                     ("asked_bits", pa.binary())])
+ANSWER = pa.schema([("flush", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("chunks", pa.binary()),
+                    ("counts", pa.binary()), ("bits", pa.binary())])
+FLAGGED = pa.schema([("key", pa.binary()), ("chunk", pa.int32()), ("buckets", pa.list_(pa.int32())),
+                     ("bits", pa.list_(pa.binary()))])
+KEY_BYTES = 16
 
 
 def _bucket_of(names: np.ndarray, buckets: int) -> np.ndarray:
@@ -147,19 +157,22 @@ def _bucket_of(names: np.ndarray, buckets: int) -> np.ndarray:
 
 def repeated_bits(rows: DataFrame, name: Callable[[bytes, int, np.ndarray], np.ndarray], buckets: int,
                   kind: type) -> DataFrame:
-    """(key, chunk, bucket, bits): which names of `rows` (key, text, ranges) occur twice anywhere.
+    """(key, chunk, buckets, bits): which names of `rows` (key, text, ranges) occur twice anywhere.
 
-    A bit for every name of the key's chunk in the bucket, in the order of
-    positions; rows without a set bit are left out.
+    For each bucket with a repeated name of the key's chunk, a bit for each of
+    the chunk's names in the bucket, in the order of positions. Chunks without
+    repeated names are left out.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[bytes] = []
         chunks: list[int] = []
         held: list[np.ndarray] = []
+        size = 0
+        number = TaskContext.get().partitionId() << 32
 
         def flush() -> pa.RecordBatch:
-            nonlocal keys, chunks, held
+            nonlocal keys, chunks, held, size, number
             names = np.concatenate(held)
             owner = np.repeat(np.arange(len(held)), [len(h) for h in held])
             _, first, inverse, counts = np.unique(names, return_index=True, return_inverse=True, return_counts=True)
@@ -167,24 +180,23 @@ def repeated_bits(rows: DataFrame, name: Callable[[bytes, int, np.ndarray], np.n
             asked = ~known
             asked[first] = True
             bucket = _bucket_of(names, buckets)
-            group = owner * buckets + bucket
-            order = np.argsort(group, kind="stable")
-            cuts = np.flatnonzero(np.diff(group[order], prepend=-1))
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             out = {c: [] for c in MESSAGE.names}
-            for lo, hi in zip(cuts, [*cuts[1:], len(order)]):
-                own = order[lo:hi]
-                out["bucket"].append(bucket[own[0]])
-                out["key"].append(keys[owner[own[0]]])
-                out["chunk"].append(chunks[owner[own[0]]])
+            for b in np.flatnonzero(np.diff(cuts)):
+                own = order[cuts[b]:cuts[b + 1]]
+                there, counts = np.unique(owner[own], return_counts=True)
+                out["bucket"].append(b)
+                out["flush"].append(number)
+                out["keys"].append(b"".join([keys[o] for o in there]))
+                out["chunks"].append(np.array([chunks[o] for o in there], np.int32).tobytes())
+                out["counts"].append(counts.astype(np.int32).tobytes())
                 out["asked"].append(names[own[asked[own]]].astype(kind).tobytes())
-                some = known[own].any()
-                out["known_bits"].append(np.packbits(known[own]).tobytes() if some else b"")
-                out["asked_bits"].append(np.packbits(asked[own]).tobytes() if some else b"")
-                out["n"].append(len(own))
-            keys, chunks, held = [], [], []
+                out["known_bits"].append(np.packbits(known[own]).tobytes())
+                out["asked_bits"].append(np.packbits(asked[own]).tobytes())
+            keys, chunks, held, size, number = [], [], [], 0, number + 1
             return pa.RecordBatch.from_pydict(out, MESSAGE)
 
-        size = 0
         for batch in batches:
             for key, text, flat in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 data, ranges = text.encode(), _ranges(flat)
@@ -197,7 +209,6 @@ def repeated_bits(rows: DataFrame, name: Callable[[bytes, int, np.ndarray], np.n
                         size += len(names)
                     if size >= FLUSH:
                         yield flush()
-                        size = 0
         if size:
             yield flush()
 
@@ -205,38 +216,56 @@ def repeated_bits(rows: DataFrame, name: Callable[[bytes, int, np.ndarray], np.n
         asked = [np.frombuffer(b, kind) for b in table["asked"].to_pylist()]
         _, inverse, counts = np.unique(np.concatenate(asked), return_inverse=True, return_counts=True)
         twice = counts[inverse] > 1
-        keep, bits, start = [], [], 0
-        columns = (table[c].to_pylist() for c in ("known_bits", "asked_bits", "n"))
-        for row, (own, known, sent, n) in enumerate(zip(asked, *columns)):
-            flags = twice[start:start + len(own)]
+        out = {c: [] for c in ANSWER.names}
+        start = 0
+        columns = (table[c].to_pylist() for c in MESSAGE.names if c != "asked")
+        for own, (bucket, flush, keys, chunks, counts, known, sent) in zip(asked, zip(*columns)):
+            counts = np.frombuffer(counts, np.int32)
+            n = counts.sum()
+            flags = np.unpackbits(np.frombuffer(known, np.uint8), count=n).astype(bool)
+            flags[np.unpackbits(np.frombuffer(sent, np.uint8), count=n).astype(bool)] |= twice[start:start + len(own)]
             start += len(own)
-            if known:
-                out = np.unpackbits(np.frombuffer(known, np.uint8), count=n).astype(bool)
-                out[np.unpackbits(np.frombuffer(sent, np.uint8), count=n).astype(bool)] |= flags
-                flags = out
-            if flags.any():
-                keep.append(row)
-                bits.append(np.packbits(flags).tobytes())
-        kept = table.select(["key", "chunk", "bucket"]).take(pa.array(keep, pa.int64()))
-        return kept.append_column("bits", pa.array(bits, pa.binary()))
+            some = np.logical_or.reduceat(flags, np.cumsum(counts) - counts)
+            if some.any():
+                out["flush"].append(flush)
+                out["bucket"].append(bucket)
+                out["keys"].append(np.frombuffer(keys, f"V{KEY_BYTES}")[some].tobytes())
+                out["chunks"].append(np.frombuffer(chunks, np.int32)[some].tobytes())
+                out["counts"].append(counts[some].tobytes())
+                out["bits"].append(np.packbits(flags[np.repeat(some, counts)]).tobytes())
+        return pa.Table.from_pydict(out, ANSWER)
+
+    def gather(table: pa.Table) -> pa.Table:
+        found: dict[tuple[bytes, int], tuple[list[int], list[bytes]]] = {}
+        for _, bucket, keys, chunks, counts, bits in zip(*(table[c].to_pylist() for c in ANSWER.names)):
+            counts = np.frombuffer(counts, np.int32)
+            flags, at = np.unpackbits(np.frombuffer(bits, np.uint8)), 0
+            for k, (chunk, n) in enumerate(zip(np.frombuffer(chunks, np.int32).tolist(), counts.tolist())):
+                own = found.setdefault((keys[k * KEY_BYTES:(k + 1) * KEY_BYTES], chunk), ([], []))
+                own[0].append(bucket)
+                own[1].append(np.packbits(flags[at:at + n]).tobytes())
+                at += n
+        return pa.Table.from_pydict({"key": [k for k, _ in found], "chunk": [c for _, c in found],
+                                     "buckets": [b for b, _ in found.values()], "bits": [b for _, b in found.values()]},
+                                    FLAGGED)
 
     messages = rows.select("key", "text", "ranges").mapInArrow(
-        send, "bucket int, key binary, chunk int, asked binary, known_bits binary, asked_bits binary, n int")
-    return messages.groupBy("bucket").applyInArrow(answer, "key binary, chunk int, bucket int, bits binary")
+        send, "bucket int, flush long, keys binary, chunks binary, counts binary, asked binary, known_bits binary, "
+              "asked_bits binary")
+    answers = messages.groupBy("bucket").applyInArrow(
+        answer, "flush long, bucket int, keys binary, chunks binary, counts binary, bits binary")
+    return answers.groupBy("flush").applyInArrow(gather, "key binary, chunk int, buckets array<int>, bits array<binary>")
 
 
 def _flags(data: bytes, ranges: np.ndarray, name, answers: list[dict], buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """(chunk's start, a flag for each of its names) of a document, from its answers."""
-    by_chunk: dict[int, list[dict]] = {}
-    for a in answers:
-        by_chunk.setdefault(a["chunk"], []).append(a)
-    for chunk in sorted(by_chunk):
-        at = chunk * CHUNK
+    for a in sorted(answers, key=lambda a: a["chunk"]):
+        at = a["chunk"] * CHUNK
         bucket = _bucket_of(name(data, at, ranges), buckets)
         flags = np.zeros(len(bucket), bool)
-        for a in by_chunk[chunk]:
-            own = np.flatnonzero(bucket == a["bucket"])
-            flags[own] = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=len(own)).astype(bool)
+        for b, bits in zip(a["buckets"], a["bits"]):
+            own = np.flatnonzero(bucket == b)
+            flags[own] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)
         yield at, flags
 
 
@@ -252,7 +281,7 @@ def _joined(places: np.ndarray, before: int, after: int) -> list[int]:
 
 def _answered(rows: DataFrame, bits: DataFrame) -> DataFrame:
     """Rows (key, text, ranges) with their answers; a key's answers are as many as its chunks and buckets at most."""
-    answers = bits.groupBy("key").agg(F.collect_list(F.struct("chunk", "bucket", "bits")).alias("answers"))
+    answers = bits.groupBy("key").agg(F.collect_list(F.struct("chunk", "buckets", "bits")).alias("answers"))
     return rows.join(answers, "key").select("key", "text", "ranges", "answers")
 
 
@@ -261,8 +290,7 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.unhex(F.md5("text")).alias("key"), "text", F.lit(None).cast("array<int>").alias("ranges")) \
                .where(F.octet_length("text") >= LENGTH)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    least = shuffle_partitions(docs.sparkSession) // 4 + 1
-    buckets = max(least, -(-total * (ORDER + 1) // V // BUCKET_NAMES))
+    buckets = max(LEAST_BUCKETS, -(-total * (ORDER + 1) // V // BUCKET_NAMES))
     bits = materialize(repeated_bits(rows, sample_names, buckets, np.uint32), "sample-answers")
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,11 +312,11 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
                                   ["key", "text", "ranges", "size"])
 
     # a copy's answers are those of its text: one set of them, one text
-    once = bits.dropDuplicates(["key", "chunk", "bucket"])
+    once = bits.dropDuplicates(["key", "chunk"])
     some = materialize(_answered(rows.dropDuplicates(["key"]), once).mapInArrow(
         narrow, "key binary, text string, ranges array<int>, size long"), "repeat-candidates")
     positions = some.agg(F.sum("size")).first()[0] or 0
-    buckets_2 = max(least, -(-positions // BUCKET_NAMES))
+    buckets_2 = max(LEAST_BUCKETS, -(-positions // BUCKET_NAMES))
     bits = materialize(repeated_bits(some, string_names, buckets_2, np.uint64), "string-answers")
     copies = docs.groupBy(F.unhex(F.md5("text")).alias("key")).agg(
         (F.count("*") > 1).alias("copied"), F.max(F.octet_length("text")).alias("size")) \
