@@ -22,6 +22,10 @@ def prepare(spark: SparkSession) -> None:
     it was shipped to them (`--py-files`).
     """
     apply_defaults(spark)
+    # filter scans of any size by the keys of a selective join side; the filter's bits are bounded by Spark
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1g")
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "").split(os.pathsep)

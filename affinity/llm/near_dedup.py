@@ -11,13 +11,15 @@ similarity of 0.8 a pair misses all 32 buckets with probability 5e-8.
 
 Links. In each bucket the node whose buckets are fullest is the hub, and the
 others are compared with it; in a group of edited copies that is the copy
-closest to what they have in common. Nodes still apart from the hub get a
-second hub. What links leave apart in a bucket is compared pair by pair, in
-blocks of `BLOCK` nodes, so no link between different sets is lost while a
-group that has come together costs nothing more. A pair is given up when the
-joint likelihood of its registers (their order and ties, given the exact set
-sizes) makes the threshold hopeless (a log-likelihood ratio over `SURELY`); all
-others are confirmed on the full sets. Components follow from the links.
+closest to what they have in common. The members of a hub that its links leave
+in several components are then compared with each other, in pairs of blocks of
+`BLOCK` nodes, first by registers and then by the full sets of the nodes that
+may have a partner; a block pair returns the links that tie components
+together. So no link that matters is lost, no task emits pairs, and a group
+that has come together costs nothing more. A pair is given up when the joint
+likelihood of its registers (their order and ties, given the exact set sizes)
+makes the threshold hopeless (a log-likelihood ratio over `SURELY`); all others
+are confirmed on the full sets. Components follow from the links.
 
 Shingles are 64-bit hashes of word sequences; sets are compared by them.
 
@@ -49,6 +51,7 @@ RATE = 20.0
 TOP = (1 << 16) - 1
 SURELY = 18.0             # a true link is given up with a probability of about 1e-8
 BLOCK = 512
+COLUMNS = 4_096           # shingles in a slice of a block's membership matrix
 
 _random = np.random.default_rng(1)
 _TIMES = _random.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -184,10 +187,9 @@ def _promising(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return materialize(joined.mapInArrow(run, "a long, b long").distinct(), "promising")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    ends = materialize(ends.join(nodes.select("node", "set_key"), "node"), "pair-ends")
+def _sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles): the full sets of the nodes in `wanted` (node), made again from the texts."""
+    ends = materialize(wanted.distinct().join(nodes.select("node", "set_key"), "node"), "wanted-sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,9 +202,17 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int
             yield pa.record_batch([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(sets, pa.list_(pa.int64()))],
                                   ["node", "shingles"])
 
+    # the filter holds for every row; with it Spark sends a bounded Bloom filter of the ids to the scan of the
+    # texts, so that only about the wanted ones are shuffled
+    ends = ends.where("set_key <> X''")
     texts = (docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text"))
              .join(ends, "node").select("node", "text", "set_key"))
-    sets = materialize(texts.mapInArrow(run, "node long, shingles array<long>"), "sets")
+    return materialize(texts.mapInArrow(run, "node long, shingles array<long>"), "sets")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
+    sets = _sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))), docs, nodes, shingle)
     both = (pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b")
             .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a"))
     common = F.size(F.array_intersect("s_a", "s_b"))
@@ -210,55 +220,118 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int
     return materialize(both.where(100 * common >= percent * union).select("a", "b").distinct(), "confirmed")
 
 
-def _hub_pairs(rows: DataFrame, allowed) -> DataFrame:
-    """(a, b): every node of a bucket with the bucket's hub, where their components differ.
+def _hub_members(shared: DataFrame) -> DataFrame:
+    """(hub, node): the nodes that share a bucket (bucket, node, members) with the bucket's hub.
 
-    `rows`: (bucket, node, score, component); the hub is the node of the
-    highest score (the smallest node on a tie) among those `allowed`.
+    The hub is the node with the most members in all its buckets, the
+    smallest node on a tie.
     """
-    hubs = (rows.where(allowed).groupBy("bucket")
-            .agg(F.max(F.struct("score", (-F.col("node")).alias("minus"), F.col("component").alias("at"))).alias("hub"))
-            .select("bucket", (-F.col("hub.minus")).alias("hub"), F.col("hub.at").alias("at")))
-    return (rows.join(hubs, "bucket").where("component <> at")
-            .select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
-
-
-def _relabelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows of buckets that still hold several components, with these."""
-    found = components(links).select("node", F.col("component").alias("found"))
-    rows = (rows.drop("component").join(found, "node", "left")
-            .withColumn("component", F.coalesce("found", "node")).drop("found"))
-    apart = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
-                .where("lo <> hi").select("bucket")
-    return materialize(rows.join(apart, "bucket").select("bucket", "node", "score", "component", "members"), "apart")
-
-
-def _block_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): promising pairs of different components in one bucket, compared block by block."""
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = (rows.withColumn("blocks", blocks)
+    scores = shared.groupBy("node").agg(F.sum("members").alias("score"))
+    hubs = (shared.join(scores, "node").groupBy("bucket")
+            .agg(F.max(F.struct("score", (-F.col("node")).alias("minus"))).alias("hub"))
+            .select("bucket", (-F.col("hub.minus")).alias("hub")))
+    return shared.join(hubs, "bucket").where("hub <> node").select("hub", "node").distinct()
+
+
+def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(hub, node, component, members) of the hubs whose nodes are still in several components."""
+    found = components(links)
+    rows = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    hubs = rows.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                   F.count("*").alias("members")).where("lo <> hi").select("hub", "members")
+    return materialize(rows.join(hubs, "hub").select("hub", "node", "component", "members"), "apart")
+
+
+def _by_blocks(rows: DataFrame, run, schema: str) -> DataFrame:
+    """Apply `run` to every pair of blocks of a hub's rows; at most 2 * BLOCK rows on average meet in a task."""
+    dealt = (rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
              .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     "own", "node", "component")
-             .join(nodes.select("node", "n", "registers"), "node"))
+             .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+             .drop("blocks", "other", "members"))
+    return dealt.groupBy("hub", "i", "j").applyInArrow(run, schema)
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rows of the left and the right block, and whether they are one."""
+    own, i, j = table["own"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
+    return np.flatnonzero(own == i), np.flatnonzero(own == j), i == j
+
+
+def _promising_members(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(hub, node, component): those with a promising pair across components in their hub's block pairs."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, part, n = (table[c].to_numpy() for c in ("node", "component", "n"))
-        own, i, j = table["own"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
-        sketch = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16).reshape(len(node), -1)
-        left, right = np.where(own == i)[0], np.where(own == j)[0]
+        left, right, _ = _sides(table)
+        part, n = (table[c].to_numpy() for c in ("component", "n"))
+        some = np.zeros(table.num_rows, bool)
+        if len(np.unique(part)) > 1:
+            sketch = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16).reshape(table.num_rows, -1)
+            for x in left:
+                y = right[part[right] != part[x]]
+                same = (sketch[y] == sketch[x]).sum(1)
+                y, same = y[same >= REGISTERS // 3], same[same >= REGISTERS // 3]   # at 0.8 fewer have odds below 1e-30
+                if len(y):
+                    above = (sketch[y] < sketch[x]).sum(1)
+                    y = y[hopeful(np.full(len(y), n[x]), n[y], above, REGISTERS - same - above, same, percent)]
+                    some[y] = True
+                    some[x] |= len(y) > 0
+        return table.select(["hub", "node", "component"]).filter(pa.array(some))
+
+    found = _by_blocks(rows.join(nodes.select("node", "n", "registers"), "node"), run,
+                       "hub long, node long, component long").distinct()
+    return materialize(found, "promising-members")
+
+
+def _exact_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links across components among a hub's members, by their full sets.
+
+    Of the links in a pair of blocks, those that tie components together are
+    returned (a spanning forest), which leaves the components as they are.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        left, right, one = _sides(table)
+        node, part = (table[c].to_numpy() for c in ("node", "component"))
+        shingles = [np.asarray(s) for s in (x.values.to_numpy() for x in table["shingles"])]
+        n = np.array([len(s) for s in shingles])
+        ids = np.unique(np.concatenate(shingles), return_inverse=True)[1]
+        owner = np.repeat(np.arange(len(n)), n)
+        counts = np.bincount(ids)
+        frequent = np.cumsum(counts > 1) - 1                       # only a shared shingle adds to an intersection
+        keep = counts[ids] > 1
+        ids, owner = frequent[ids[keep]], owner[keep]
+        order = np.argsort(ids, kind="stable")
+        ids, owner = ids[order], owner[order]
+        common = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, int(ids[-1]) + 1 if len(ids) else 0, COLUMNS):
+            lo, hi = np.searchsorted(ids, [at, at + COLUMNS])
+            x = np.zeros((len(n), COLUMNS), np.float32)
+            x[owner[lo:hi], ids[lo:hi] - at] = 1
+            common += x[left] @ x[right].T
+        common = np.rint(common).astype(np.int64)
+        linked = 100 * common >= percent * (n[left][:, None] + n[right][None] - common)
+        linked &= part[left][:, None] != part[right][None]
+        root = {int(c): int(c) for c in part}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
         a, b = [], []
-        for x in left:
-            y = right[(part[right] != part[x]) & ((node[right] > node[x]) if i == j else True)]
-            ties = (sketch[y] == sketch[x]).sum(1)
-            above = (sketch[y] < sketch[x]).sum(1)
-            keep = y[hopeful(np.full(len(y), n[x]), n[y], above, REGISTERS - ties - above, ties, percent)]
-            a += np.minimum(node[keep], node[x]).tolist()
-            b += np.maximum(node[keep], node[x]).tolist()
+        for x, y in zip(*np.nonzero(linked)):
+            x, y = left[x], right[y]
+            c, d = find(int(part[x])), find(int(part[y]))
+            if c != d:
+                root[max(c, d)] = min(c, d)
+                a.append(min(node[x], node[y]))
+                b.append(max(node[x], node[y]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    counted = members.join(members.groupBy("hub").agg(F.count("*").alias("members")), "hub")
+    return materialize(_by_blocks(counted.join(sets, "node"), run, "a long, b long").distinct(), "exact-links")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -273,20 +346,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     bands = _bands(nodes)
     members = bands.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     shared = materialize(bands.join(members, "bucket"), "shared-buckets")
-    scores = shared.groupBy("node").agg(F.sum("members").alias("score"))
-    rows = shared.join(scores, "node").withColumn("component", F.col("node"))
-
-    def link(pairs: DataFrame) -> DataFrame:
-        return _confirmed(_promising(pairs, nodes, percent), docs, nodes, shingle, percent)
-
-    links = link(_hub_pairs(rows, F.lit(True)))
-    # a bucket of two is settled by its only pair
-    rows = _relabelled(rows.where("members > 2"), links)
-    first = rows.groupBy("bucket").agg(F.max_by("component", F.struct("score", -F.col("node"))).alias("settled"))
-    second = _hub_pairs(rows.join(first, "bucket"), F.col("component") != F.col("settled"))
-    links = links.union(link(second))
-    rows = _relabelled(rows, links)
-    links = links.union(link(_block_pairs(rows, nodes, percent)))
+    members = materialize(_hub_members(shared), "hub-members")
+    pairs = members.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    links = _confirmed(_promising(pairs, nodes, percent), docs, nodes, shingle, percent)
+    left = _promising_members(_apart(members, links), nodes, percent)
+    links = links.union(_exact_links(left, _sets(left.select("node"), docs, nodes, shingle), percent))
     # documents of one set, then sets that are linked
     same = usable.join(firsts, "set_key").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     of_nodes = components(links)

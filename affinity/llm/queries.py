@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinity.llm import bpe, decontaminate, html_text, near_dedup, neighbours, quality, secrets, sharding, suffix_dedup, token_files
+from affinity.llm import bpe, decontaminate, html_text, near_dedup, neighbours, quality, secret_scan, sharding, suffix_dedup, token_files
 from affinity.llm.common import prepare, table
 from affinity.session import scratch_path
 
@@ -73,7 +73,7 @@ def op1_setsketch(spark: SparkSession, base: str) -> DataFrame:
 
 @register
 def op7_secret_forest(spark: SparkSession, base: str) -> DataFrame:
-    found = secrets.scan(table(spark, base, "documents"))
+    found = secret_scan.scan(table(spark, base, "documents"))
     return found.select("doc_id", "path", F.sha2("value", 256).alias("value_sha256"), F.length("value").alias("n_chars"),
                         "before", "start", "occurrences", "score", "is_secret")
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from affinity.llm import bpe, decontaminate, near_dedup, quality, secrets
+from affinity.llm import bpe, decontaminate, near_dedup, quality, secret_scan
 from affinity.llm.common import prepare, table
 from affinity.session import materialize
 
@@ -39,7 +39,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with confirmed secrets masked."""
     prepare(spark)
-    return secrets.mask_secrets(docs)
+    return secret_scan.mask_secrets(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
