@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinity.llm.common import text_or_empty
+from affinity.llm.common import fresh, text_or_empty
 from affinity.session import materialize
 
 WINDOW = 10
@@ -283,6 +283,7 @@ def judge(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents in which no window occurs, with their columns."""
-    hit = contamination(docs, items).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")),
+    own_id, own_key = fresh("__id", docs.columns), fresh("__key", docs.columns)
+    hit = contamination(docs, items).select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key))
+    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col(own_id)) & (F.xxhash64(docs["text"]) == F.col(own_key)),
                      "left_anti")

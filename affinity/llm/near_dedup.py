@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinity.llm.common import text_or_empty
+from affinity.llm.common import fresh, text_or_empty
 from affinity.llm.components import components
 from affinity.session import materialize
 
@@ -370,11 +370,12 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
 
     Rows that share an id: the row of the smallest text hash stays.
     """
-    kept = near_duplicates(docs, shingle, percent).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    own = fresh("__id", docs.columns)
+    kept = near_duplicates(docs, shingle, percent).where("kept").select(F.col("doc_id").alias(own)).distinct()
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col(own)), "left_semi")
     ids = out.where(F.col("doc_id").isNotNull()).select("doc_id")
     if not ids.groupBy("doc_id").count().where("count > 1").isEmpty():
         order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
         row = F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(order))
-        out = out.withColumn("__row", row).where("__row = 1").drop("__row")
+        out = out.withColumn(own, row).where(F.col(own) == 1).drop(own)
     return out

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinity.llm.common import text_or_empty
+from affinity.llm.common import fresh, text_or_empty
 
 BITS = 14                 # hashed features: 2^BITS
 FACTORS = 8
@@ -208,4 +208,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier does not reject, with their columns."""
     columns = docs.columns
-    return score_documents(docs, train(docs, labels), columns).where(F.col("score") >= threshold).select(*columns)
+    score = fresh("score", columns)
+    scored = score_documents(docs, train(docs, labels), columns).toDF(*columns, score)
+    return scored.where(F.col(score) >= threshold).select(*[F.col(f"`{c}`") for c in columns])

@@ -32,7 +32,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinity.llm.common import text_or_empty
+from affinity.llm.common import fresh, text_or_empty
 from affinity.session import materialize
 
 FIT_ROWS = 20_000
@@ -172,14 +172,15 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, path: str | None =
 
 def mask_secrets(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """The documents with every confirmed secret replaced by a mask; `n_chars` follows the text."""
-    found = scan(docs, labelled).where("is_secret").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")) \
-                .agg(F.sort_array(F.collect_set(F.struct(-F.length("value"), "value"))).alias("__values"))
     columns = docs.columns
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")), "left")
+    own_id, own_key, values = (fresh(c, columns) for c in ("__id", "__key", "__values"))
+    found = scan(docs, labelled).where("is_secret").groupBy(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key)) \
+                .agg(F.sort_array(F.collect_set(F.struct(-F.length("value"), "value"))).alias(values))
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col(own_id)) & (F.xxhash64(docs["text"]) == F.col(own_key)), "left")
     # longer values first: one may contain another
-    masked = F.aggregate("__values", F.col("text"), lambda text, v: F.replace(text, v["value"], F.lit(MASK)))
-    out = joined.withColumn("text", F.when(F.col("__values").isNotNull(), masked).otherwise(F.col("text")))
+    masked = F.aggregate(values, F.col("text"), lambda text, v: F.replace(text, v["value"], F.lit(MASK)))
+    out = joined.withColumn("text", F.when(F.col(values).isNotNull(), masked).otherwise(F.col("text")))
     if "n_chars" in columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("__values").isNotNull(), length).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+        out = out.withColumn("n_chars", F.when(F.col(values).isNotNull(), length).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in columns])

@@ -1,0 +1,322 @@
+"""The operators against brute force and their libraries, on odd rows and on the smallest tables."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+
+from affinity.llm import (bpe, decontaminate, html_text, near_dedup, neighbours, quality, queries, secret_scan, sharding,
+                          suffix_dedup, token_files)
+
+SMOKE = "/root/testdata/sf0.001"
+RANKS, WORDS = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
+
+
+def rows(df):
+    return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+
+
+def smoke(spark, name="documents"):
+    return spark.read.parquet(f"{SMOKE}/{name}.parquet")
+
+
+def jaccard_components(found, size, percent):
+    sets = []
+    for i, text in found:
+        w = (text or "").encode().lower().split()
+        sets.append({tuple(w[k:k + size]) for k in range(max(len(w) - size, 0) + 1)} if w else set())
+    root = {i: i for i, _ in found if i is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(found)):
+        for b in range(a):
+            x, y = sets[a], sets[b]
+            if x and y and None not in (found[a][0], found[b][0]) and 100 * len(x & y) >= percent * len(x | y):
+                c, d = find(found[a][0]), find(found[b][0])
+                root[max(c, d)] = min(c, d)
+    return Counter((i, len(s), None if i is None else find(i)) for (i, _), s in zip(found, sets))
+
+
+@pytest.mark.parametrize("size,percent", [(3, 85), (5, 80)])
+def test_near_duplicates(spark, odd_docs, size, percent):
+    for docs in (odd_docs, smoke(spark)):
+        got = near_dedup.near_duplicates(docs, size, percent).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == jaccard_components(rows(docs), size, percent)
+        assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
+
+
+def test_near_duplicate_blocks_lose_no_link(spark, monkeypatch):
+    """A chain of edits: neighbours are linked, the ends are far apart, and no hub reaches all."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    words, texts = [f"w{i}" for i in range(120)], []
+    for k in range(20):
+        words[5 * k % 120] = f"edit{k}"
+        texts.append((k, " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = near_dedup.near_duplicates(docs, 3, 85).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == jaccard_components(texts, 3, 85)
+
+
+def test_sketches_merge_and_estimate():
+    x, y = (near_dedup._mix(np.arange(a, b, dtype=np.uint64)) for a, b in ((0, 900), (100, 1000)))
+    a, b = near_dedup.registers(x), near_dedup.registers(y)
+    assert (near_dedup.merged(a, b) == near_dedup.registers(np.union1d(x, y))).all()
+    j, _ = near_dedup.estimate([900], [900], [(a > b).sum()], [(a < b).sum()], [(a == b).sum()])
+    assert abs(j[0] - 0.8) < 0.12
+
+
+def test_bpe_round_trip(spark, odd_docs):
+    import tiktoken
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
+    for docs in (odd_docs, smoke(spark)):
+        want = Counter()
+        for i, t in rows(docs):
+            ids = lib.encode_ordinary(t or "")
+            want[i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(),
+                 hashlib.sha256((t or "").encode()).hexdigest()] += 1
+        assert Counter(map(tuple, bpe.round_trip_digest(docs, RANKS, P.PATTERN).collect())) == want
+    coded = bpe.encode_documents(odd_docs, RANKS, P.PATTERN)
+    assert Counter(map(tuple, bpe.decode_documents(coded, RANKS).collect())) == Counter((i, t or "") for i, t in rows(odd_docs))
+
+
+def test_streaming_decoder_never_cuts_a_character():
+    data = "aé漢😀".encode() * 5 + b"\xf0\x9f" + b"\xed\xa0\x80\xc3"
+    for step in (1, 2, 3, 5):
+        machine = bpe.Utf8Machine()
+        parts = [machine.feed(data[i:i + step]) for i in range(0, len(data), step)] + [machine.finish()]
+        assert "".join(parts) == data.decode("utf-8", "replace")
+
+
+def test_transducer_restarts_when_full():
+    ranks = bpe.load_ranks(RANKS)
+    small, large = bpe.Transducer(ranks, max_states=10), bpe.Transducer(ranks)
+    for word in ("thhation", "Zwölfboxkämpfer", "aaaaaaaaaaaaaaaaaaaaaaaaab", "ing" * 9):
+        assert small.encode(word.encode()) == large.encode(word.encode()) == large._merged(word.encode())
+
+
+def brute_hits(docs, items):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+    def split(t):
+        return word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+    windows = defaultdict(set)
+    for i, t in items:
+        w = split(t)
+        for k in range(max(len(w) - 10, 0) + 1 if w and i is not None else 0):
+            windows[tuple(w[k:k + 10])].add(str(i))
+    lengths, out = {len(w) for w in windows}, Counter()
+    for i, t in docs:
+        w, hit, found = split(t), set(), set()
+        for n in lengths:
+            for k in range(len(w) - n + 1):
+                own = windows.get(tuple(w[k:k + n]))
+                if own:
+                    hit.update(range(k, k + n))
+                    found |= own
+        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        out[i, len(w), len(hit), len(found), digest, bool(hit)] += 1
+    return out
+
+
+def test_decontamination(spark, odd_docs):
+    base = odd_docs.where("doc_id = 1").first().text.split()
+    items = [(1, " ".join(base[10:40])), (2, "Tie!"), (3, None), (4, " .. "), (None, "short"), (5, " ".join(base[30:41])),
+             (5, "two words"), (6, "words two")]
+    for docs, found in ((odd_docs, items), (smoke(spark), [tuple(r) for r in smoke(spark, "benchmark").collect()])):
+        frame = spark.createDataFrame(found, "item_id long, text string")
+        assert Counter(map(tuple, decontaminate.judge(docs, frame).collect())) == brute_hits(rows(docs), found)
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    sliced = decontaminate.phrase_matches(odd_docs, frame, max_windows=3)
+    assert sorted(map(tuple, sliced.collect()), key=str) == sorted(
+        map(tuple, decontaminate.phrase_matches(odd_docs, frame).collect()), key=str)
+    clean = decontaminate.drop_contaminated(odd_docs, frame)
+    assert clean.columns == odd_docs.columns and clean.where("text = 'tie'").count() == 0 and clean.where("doc_id = 6").count() == 1
+    near = spark.createDataFrame([(1, "alpha x y beta one two three four five six")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "alpha x y gap gap beta one two three four five six"), (2, "alpha beta")],
+                                 "doc_id long, text string")
+    assert {r.doc_id for r in decontaminate.proximity_matches(docs, near, slop=2).collect()} <= {1}
+
+
+def brute_cut(found):
+    counts, out = Counter(), Counter()
+    data = [(i, (t or "").encode()) for i, t in found]
+    for _, x in data:
+        counts.update(x[k:k + 400] for k in range(len(x) - 399))
+    for i, x in data:
+        cover = np.zeros(len(x) + 1, int)
+        for k in range(len(x) - 399):
+            if counts[x[k:k + 400]] > 1:
+                cover[k] += 1
+                cover[k + 400] -= 1
+        gone = np.cumsum(cover)[:-1] > 0
+        kept = bytes(np.frombuffer(x, np.uint8)[~gone])
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        out[i, len(x), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()] += 1
+    return out
+
+
+def test_repeated_strings(spark, odd_docs, monkeypatch):
+    short = odd_docs.where("doc_id is null or doc_id <> 10")
+    want = brute_cut(rows(short))
+    assert Counter(map(tuple, suffix_dedup.remove_repeats(short).collect())) == want
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(odd_docs).collect()}
+    assert got[10].n_removed == got[10].n_bytes == 200_000      # a long text that repeats itself
+    cover = suffix_dedup.difference_cover()
+    assert len({(a - b) % suffix_dedup.V for a in cover for b in cover}) == suffix_dedup.V
+    docs = smoke(spark).limit(120)
+    assert Counter(map(tuple, suffix_dedup.remove_repeats(docs).collect())) == brute_cut(rows(docs))
+
+
+def test_sharding(spark, odd_docs, tmp_path):
+    for docs in (odd_docs, smoke(spark)):
+        path = str(tmp_path / str(id(docs)))
+        got = sharding.shard_documents(docs, 16, path).collect()
+        assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter(
+            (i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows(docs))
+        by = defaultdict(list)
+        for r in got:
+            by[r.shard].append(r.slot)
+        assert all(sorted(s) == list(range(len(s))) for s in by.values())
+        before = {(r.doc_id, r.text_crc32): r.shard for r in got}
+        grown = sharding.reshard_documents(docs, 17, path).collect()
+        assert {r.map_version for r in grown} == {2}
+        # a record changes its shard only with its slot
+        assert all(len({r.shard for r in grown if r.virtual_slot == s}) == 1 for s in {r.virtual_slot for r in grown})
+        assert sum(before[r.doc_id, r.text_crc32] != r.shard for r in grown) <= len(grown) / 4 + 4
+    load = Counter()
+    for r in got:
+        load[r.shard] += r.size
+    assert max(load.values()) - min(load.values()) <= max(r.size for r in got)
+
+
+PAGE = """<html><head><title>No</title></head><body><header><h1>Site</h1></header><div id="cookie-notice">We use cookies.</div>
+<div class="content"><h2>Head &amp; shoulders</h2><p>A long paragraph, with commas, and words. It goes on; and on.<p>Second
+<a href=x>link</a> one, with   text.<br>More.<ul><li>Item one, first.<li>Item two.</ul></div><div class="sidebar"><p>Side, text.</p>
+</div><section id="comments"><p>I like it, very much, all of it.</p></section><form><label>Name</label></form>
+<script>var t="</p>"</script><footer>c 2020</footer></body></html>"""
+
+
+def test_page_text(spark):
+    want = "Head & shoulders\nA long paragraph, with commas, and words. It goes on; and on.\nSecond link one, with text. More." \
+           "\nItem one, first.\nItem two."
+    pages = spark.createDataFrame([(1, "u", PAGE, 0), (2, None, None, 0), (None, "u", "", 0), (3, "u", "<!-- open", 0),
+                                   (4, "u", "plain &lt; text", 0), (1, "u", PAGE, 0)], "page_id long, url string, html string, text int")
+    got = Counter(map(tuple, html_text.extract_pages(pages).collect()))
+    assert got == Counter({(1, "u", want, len(want)): 2, (2, None, "", 0): 1, (None, "u", "", 0): 1, (3, "u", "", 0): 1,
+                           (4, "u", "plain < text", 12): 1})
+    for r in smoke(spark, "pages").collect():
+        inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        blocks = [" ".join(__import__("html").unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))).split())
+                  for b in re.split(r"</?(?:p|h1)>", inner)]
+        assert html_text.main_text(r.html) == "\n".join(b for b in blocks if b)
+
+
+def test_secrets(spark, odd_docs):
+    docs = odd_docs.unionByName(smoke(spark), allowMissingColumns=True)
+    found = secret_scan.scan(docs).collect()
+    assert any(r.value == "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and r.is_secret for r in found)
+    assert not any("@" in r.value and r.is_secret for r in found)
+    plan = secret_scan.scan(docs)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    masked = {r.doc_id: r for r in secret_scan.mask_secrets(docs).where("doc_id in (11, 6)").collect() if r.key == "k"}
+    assert masked[11].text == 'key token = "[SECRET]" and a.29@mail5.example.com' and masked[11].n_chars == len(masked[11].text)
+    assert masked[6].text == "short"
+    audit = spark.createDataFrame([("24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "token", "=", "", 1)],
+                                  "value string, before string, joint string, path string, label int")
+    assert all(r.score == 1.0 for r in secret_scan.scan(odd_docs, audit).collect())
+
+
+def test_token_files(spark, odd_docs, tmp_path):
+    from tokenizers import Tokenizer
+    lib = Tokenizer.from_file(WORDS)
+    for name, docs in (("odd", odd_docs), ("smoke", smoke(spark))):
+        path = str(tmp_path / name)
+        token_files.write_token_files(docs, path, WORDS, 2, ranges=3)
+        got = token_files.token_file_digest(spark, path).collect()
+        want = Counter()
+        for i, t in rows(docs):
+            ids = lib.encode(t or "", add_special_tokens=False).ids + [2]
+            want[i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+        assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+        running = 0
+        for r in sorted(got, key=lambda r: r.start):
+            assert r.start == running
+            running += r.n_tokens
+        order = [r.doc_id for r in sorted(got, key=lambda r: r.start) if r.doc_id is not None]
+        assert order == sorted(order)
+    assert token_files.read_document(spark, str(tmp_path / "odd"), 7) == lib.encode("two words", add_special_tokens=False).ids + [2]
+
+
+def test_quality(spark, odd_docs, labels):
+    got = quality.classify(odd_docs, labels).collect()
+    assert len(got) == odd_docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    assert all(r.held_out == (zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()) % 5 == 0) for r in got)
+    assert quality.keep_good(odd_docs, labels).columns == odd_docs.columns
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = quality.classify(docs, marks).where("held_out").join(marks, "doc_id").collect()
+    assert np.mean([r.predicted == r.quality for r in held]) > 0.93
+    # the identity: pairs in linear time
+    machine = quality.Machine(0.1, np.arange(6.0), np.random.default_rng(0).normal(size=(6, 3)))
+    index, value = np.array([1, 3, 4]), np.array([0.5, 2.0, 1.0])
+    pairs = sum(machine.factors[i] @ machine.factors[j] * a * b for n, (i, a) in enumerate(zip(index, value))
+                for j, b in list(zip(index, value))[:n])
+    assert np.isclose(machine.margin(index, value), 0.1 + machine.linear[index] @ value + pairs)
+
+
+def test_neighbours(spark):
+    nan = float("nan")
+    odd = [(0, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [None, 1.0]), (6, [1.0, 2.0, 3.0]),
+           (100, [1.0, 0.0]), (7, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [2.0, 0.0]), (None, [1.0, 1.0])]
+    frame = spark.createDataFrame(odd, "vec_id long, embedding array<float>")
+    got = neighbours.nearest(frame, __import__("pyspark").sql.functions.col("vec_id") % 100 == 0).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [
+        (0, 1, 7, 0.0), (0, 2, 100, 0.0), (0, 3, 8, 1.0), (100, 1, 0, 0.0), (100, 2, 7, 0.0), (100, 3, 8, 1.0)]
+    assert neighbours.nearest(frame.limit(0), __import__("pyspark").sql.functions.lit(True)).count() == 0
+
+
+def test_empty_tables(spark, no_docs, labels, tmp_path):
+    items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    assert near_dedup.near_duplicates(no_docs).count() == 0
+    assert bpe.round_trip_digest(no_docs, RANKS, P.PATTERN).count() == 0
+    assert decontaminate.judge(no_docs, items).count() == 0
+    assert suffix_dedup.remove_repeats(no_docs).count() == 0
+    assert sharding.shard_documents(no_docs, 16, str(tmp_path / "m")).count() == 0
+    assert secret_scan.scan(no_docs).count() == 0
+    assert quality.classify(no_docs, labels).count() == 0
+    token_files.write_token_files(no_docs, str(tmp_path / "t"), WORDS, 2)
+    assert token_files.token_file_digest(spark, str(tmp_path / "t")).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_text.extract_pages(pages).count() == 0
+
+
+def test_no_items_or_labels(spark, odd_docs, labels):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert not any(r.contaminated for r in decontaminate.judge(odd_docs, none).collect())
+    assert {r.score for r in quality.classify(odd_docs, labels.limit(0)).collect()} == {0.5}
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_queries_run(spark, name):
+    assert queries.QUERIES[name](spark, SMOKE).count() > 0
+
+
+def test_pipeline(spark, odd_docs):
+    import corpus_pipeline as c
+    docs = spark.read.parquet(f"{SMOKE}/documents.parquet")
+    for k, (_, stage) in enumerate(c.STAGES):
+        out = stage(spark, docs, SMOKE)
+        if k < 4:
+            assert out.columns == docs.columns and stage(spark, odd_docs, SMOKE).columns == odd_docs.columns
+        else:
+            assert out.count() == docs.count()
+        docs = out
+    assert c.run(spark, SMOKE).columns == docs.columns
