@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from affinity.functions.json import strict_json
 from affinity.operators import manifests
 from affinity.operators.recommend import DEFAULT_MAX_RECOMMENDATIONS
 
@@ -37,7 +38,7 @@ def validate_requests(requests: DataFrame, body: str = "body") -> DataFrame:
     # Parse once per row in its own projection; the checks below read the
     # parsed columns instead of re-parsing inside every branch.
     parsed = requests.select(
-        "*", F.try_parse_json(F.col(body)).alias("_v")).select(
+        "*", strict_json(body).alias("_v")).select(
         "*", F.try_variant_get("_v", "$.dependencies", "variant").alias("_deps_v"),
         F.try_variant_get("_v", "$.language", "variant").alias("_lang_v"),
         F.schema_of_variant("_v").alias("_v_kind"))

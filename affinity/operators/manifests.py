@@ -7,7 +7,7 @@ Two readings exist, as in the reference:
 - serve: what a user's list is matched with — npm versions keep everything
   after stripping range marks; PyPI versions are the first specifier whose
   operator allows equality, none → no '@'.
-JSON is parsed with `try_parse_json` (strict; single quotes rejected) and the
+JSON is parsed strictly (one whole document, single quotes rejected) and the
 dependency object is read as map<string, variant>, so non-string values are
 recognised and skipped.
 """
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinity.functions import purl, requirements
+from affinity.functions.json import strict_json
 
 JAVASCRIPT = "javascript"
 PYTHON = "python"
@@ -29,12 +30,12 @@ LANGUAGE_ORDER = {JAVASCRIPT: 0, PYTHON: 1}
 def parse_package_json(df: DataFrame, text: str = "text", remove_newlines: bool = True) -> DataFrame:
     """Adds `doc` (variant); rows whose text is not JSON get NULL (corrupt manifests)."""
     t = F.translate(F.col(text), "\n", "") if remove_newlines else F.col(text)
-    return df.withColumn("doc", F.try_parse_json(t))
+    return df.withColumn("doc", strict_json(t))
 
 
-def _dependency_entries(df: DataFrame) -> DataFrame:
-    """One row per (key, value) of the `dependencies` object, value kept as variant."""
-    deps = F.try_variant_get(F.col("doc"), "$.dependencies", "map<string,variant>")
+def _dependency_entries(df: DataFrame, at: str = "$.dependencies") -> DataFrame:
+    """One row per (key, value) of the object at `at` of `doc`, value kept as variant."""
+    deps = F.try_variant_get(F.col("doc"), at, "map<string,variant>")
     kept = df.select(*[c for c in df.columns if c != "doc"], F.explode(deps).alias("dep_name", "dep_value"))
     return kept.withColumn("dep_version",
                            F.when(F.schema_of_variant("dep_value") == "STRING",
@@ -69,18 +70,25 @@ def npm_serve_purls(manifests: DataFrame, text: str = "text") -> DataFrame:
     Only a non-empty `dependencies` object yields purls; non-string values are
     skipped [decision: the reference fails on them].
     """
-    e = _dependency_entries(parse_package_json(manifests, text, remove_newlines=False))
+    return _serve_purls(_dependency_entries(parse_package_json(manifests, text, remove_newlines=False)),
+                        [c for c in manifests.columns if c != text])
+
+
+def _serve_purls(e: DataFrame, columns: list[str]) -> DataFrame:
     e = e.where(F.col("dep_version").isNotNull())
-    return e.select(*[c for c in manifests.columns if c != text],
+    return e.select(*columns,
                     purl.make_purl(purl.NPM, F.concat(F.col("dep_name"), F.lit("@"),
                                                       purl.strip_range_marks("dep_version"))).alias("purl"))
 
 
 def npm_fragment_purls(fragments: DataFrame, text: str = "text") -> DataFrame:
-    """Pasted `"a": "1", "b": "^2"` fragments: commas trimmed at both ends, wrapped in braces."""
+    """Pasted `"a": "1", "b": "^2"` fragments: commas trimmed at both ends, wrapped in braces.
+
+    The wrapped text must be one JSON object: a fragment that closes the brace itself yields nothing.
+    """
     trimmed = F.regexp_replace(F.col(text), r"^,+|,+$", "")
-    wrapped = F.concat(F.lit("{ \"dependencies\": { "), trimmed, F.lit(" } }"))
-    return npm_serve_purls(fragments.withColumn(text, wrapped), text)
+    wrapped = fragments.withColumn("doc", strict_json(F.concat(F.lit("{ "), trimmed, F.lit(" }"))))
+    return _serve_purls(_dependency_entries(wrapped, "$"), [c for c in fragments.columns if c != text])
 
 
 def requirement_lines(manifests: DataFrame, text: str = "text") -> DataFrame:

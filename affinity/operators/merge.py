@@ -83,26 +83,24 @@ def upsert_applications(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     cols = ["url", "name", "followers", "hash", "retrieved"]
     inc = latest_per_key(incoming.select(*cols), "url", ["retrieved", "hash"])
     ex = existing.select("id", *cols)
-    matched = ex.join(inc.select("url"), "url", "left_semi")
-    updated = update_from(matched, inc, "url", ["name", "followers", "hash", "retrieved"])
-    untouched = ex.join(inc.select("url"), "url", "left_anti")
+    # unmatched rows keep their values, so one left join makes all the existing rows
+    updated = update_from(ex, inc, "url", ["name", "followers", "hash", "retrieved"])
     # the unseen rows (usually few) are written once; id assignment and the
     # insert read that copy instead of re-running the anti join
     new = materialize(inc.join(ex.select("url"), "url", "left_anti"), "new-applications")
     new_ids = assign_ids(new.select("url"), [F.col("url")], _max_id(existing))
     inserted = new.join(new_ids, "url")
-    out = updated.unionByName(untouched).unionByName(inserted.select("id", *cols))
+    out = updated.unionByName(inserted.select("id", *cols))
     return out.select("id", *cols)
 
 
 def upsert_packages(existing: DataFrame, names: DataFrame, retrieved: Column) -> DataFrame:
     """Insert unseen names; seen names only get a new `retrieved`, metadata survives."""
     inc = names.select("name").distinct()
-    seen = existing.join(inc, "name", "left_semi").withColumn("retrieved", retrieved)
-    untouched = existing.join(inc, "name", "left_anti")
+    kept = update_from(existing, inc.withColumn("retrieved", retrieved), "name", ["retrieved"])
     new = materialize(inc.join(existing.select("name"), "name", "left_anti"), "new-packages")
     new_rows = assign_ids(new, [F.col("name")], _max_id(existing)).withColumn("retrieved", retrieved)
-    return seen.unionByName(untouched).unionByName(new_rows, allowMissingColumns=True)
+    return kept.unionByName(new_rows, allowMissingColumns=True)
 
 
 def insert_dependencies(existing: DataFrame, incoming: DataFrame) -> DataFrame:

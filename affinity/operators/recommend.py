@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from affinity.session import materialize
 
 from affinity.functions import purl, scoring
-from affinity.operators.joins import MAX_BROADCAST_ROWS, checked_broadcast, checked_broadcast_with_count
+from affinity.operators.joins import MAX_BROADCAST_ROWS, checked_broadcast_with_count
 
 # Fixed value: default result limit of the recommendation service.
 DEFAULT_MAX_RECOMMENDATIONS = 10000
@@ -67,10 +67,10 @@ def candidates(similarity: DataFrame, seed_ids: DataFrame, keys: list[str] | Non
     """
     keys = keys or []
     seed_ids = seed_ids.select(*keys, "id", *([] if limit is None or isinstance(limit, int) else [limit]))
-    owned = seed_ids.select(*keys, F.col("id").alias("package_b"))
     if seed_count is None:
-        owned = checked_broadcast(owned)
-    elif seed_count <= MAX_BROADCAST_ROWS:
+        seed_count = seed_ids.count()
+    owned = seed_ids.select(*keys, F.col("id").alias("package_b"))
+    if seed_count <= MAX_BROADCAST_ROWS:
         owned = F.broadcast(owned)
     cols = ["package_a", "package_b", "similarity", "bounded_similarity"]
     ranked = limit is not None and "neighbor_rank" in similarity.columns
@@ -84,7 +84,7 @@ def candidates(similarity: DataFrame, seed_ids: DataFrame, keys: list[str] | Non
         else:
             seeds = seeds.withColumn("_owned", seed_ids.agg(F.count(F.lit(1))).scalar())
         seeds = seeds.select(*keys, "package_a", (F.col("_lim") + F.col("_owned")).alias("_bound"))
-        if seed_count is None or seed_count <= MAX_BROADCAST_ROWS:
+        if seed_count <= MAX_BROADCAST_ROWS:
             seeds = F.broadcast(seeds)
         pairs = (seeds.join(s, "package_a").where(F.col("neighbor_rank") <= F.col("_bound"))
                       .select(*keys, *cols))
@@ -123,7 +123,8 @@ def recommend(similarity: DataFrame, packages: DataFrame, dependencies: DataFram
     """
     deps, n_deps = checked_broadcast_with_count(dependencies)
     # names are unique in packages, so the seed ids are at most n_deps rows
-    ids = resolve_seeds(packages, seed_names(deps))
+    # written once: the owned side, the seeds and their count read it
+    ids = materialize(resolve_seeds(packages, seed_names(deps)), "seeds")
     # rank the bare pairs first; metadata is joined to the kept rows only
     best = top_n(candidates(similarity, ids, seed_count=n_deps, limit=max_recommendations),
                  max_recommendations)

@@ -22,6 +22,7 @@ from affinity.session import materialize as write_once
 
 from affinity.functions.scoring import bounded_similarity
 from affinity.operators.joins import MAX_BROADCAST_ROWS, checked_broadcast
+from affinity.operators.merge import rank_within
 
 APP = "application_id"
 PKG = "package_id"
@@ -122,20 +123,16 @@ def similarity_frame(edges: DataFrame, **kwargs) -> DataFrame:
     return m.withColumn("bounded_similarity", bounded_similarity("similarity"))
 
 
-def baskets(edges: DataFrame, cell_rows: int = DEFAULT_CELL_ROWS,
-            max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Sorted package ids per application, in bounded chunks.
+def baskets(edges: DataFrame, cell_rows: int = DEFAULT_CELL_ROWS) -> DataFrame:
+    """Sorted package ids per application, `cell_rows` to a chunk.
 
-    Ordinary applications give one row (chunk 0). An application with more
-    than `cell_rows` packages is split into g hash chunks, so no single row or
-    task holds an unbounded basket.
+    The packages of an application are numbered by a distributed ranking, and
+    package number p (from 1) is in chunk (p - 1) div cell_rows, so the result
+    has one meaning at every size and no row or task holds a whole large basket.
     """
-    e = dedupe_edges(edges)
-    _, heavy = edge_statistics(e, cell_rows)
-    x = e.join(checked_broadcast(heavy, max_broadcast_rows), APP, "left") \
-         .withColumn("g", F.coalesce(F.col("g"), F.lit(1)))
-    chunk = F.pmod(F.xxhash64(PKG), F.col("g")).cast("int")
-    return (x.groupBy(APP, chunk.alias("chunk"))
+    ranked = rank_within(dedupe_edges(edges), APP, [F.col(PKG)], "position")
+    chunk = F.floor((F.col("position") - 1) / cell_rows).cast("int")
+    return (ranked.groupBy(APP, chunk.alias("chunk"))
              .agg(F.array_sort(F.collect_list(PKG)).alias("package_ids")))
 
 

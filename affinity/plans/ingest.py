@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +21,14 @@ def crawl_slices(repos: DataFrame, as_of: Column, months: int = 1) -> DataFrame:
     each of the last 30·months days D up to as_of. A repository created on
     day c is therefore found by the slices D = c and D = c + 1 (twice, so
     the upserts must be idempotent). repos(url, created date).
-    Output: language, day, search, url.
+    Output: language, day, search, url (NULL where a slice finds nothing).
     """
     n = DAYS_PER_MONTH * months
-    first = F.date_sub(as_of, n - 1)
     hits = repos.select("url", F.explode(F.array(F.col("created"), F.date_add("created", 1))).alias("day"))
-    hits = hits.where(F.col("day").between(first, as_of))
+    # every slice is in the plan, whether or not it finds a repository
+    one = repos.sparkSession.range(1).select(as_of.alias("as_of"))
+    days = one.select(F.explode(F.sequence(F.date_sub("as_of", n - 1), F.col("as_of"))).alias("day"))
+    hits = days.join(hits, "day", "left")
     langs = F.explode(F.array(*[F.lit(lang) for lang in LANGUAGES]))
     search = F.concat(F.lit("created:"), F.date_format(F.date_sub("day", 1), "yyyy-MM-dd"), F.lit(".."),
                       F.date_format("day", "yyyy-MM-dd"))
@@ -32,11 +36,13 @@ def crawl_slices(repos: DataFrame, as_of: Column, months: int = 1) -> DataFrame:
 
 
 def ingest_pages(pages: DataFrame, language: str, as_of: Column, existing_apps: DataFrame,
-                 existing_packages: DataFrame, existing_deps: DataFrame):
+                 existing_packages: DataFrame, existing_deps: DataFrame,
+                 settle: Callable[[str, DataFrame], DataFrame] = lambda name, df: df):
     """One language's landed search pages merged into the three tables.
 
-    Returns (applications, packages, dependencies) as new DataFrames; the
-    caller writes each to a new folder.
+    Returns (applications, packages, dependencies) as new DataFrames.
+    `settle(name, df)` may write a table and return the written copy;
+    the dependencies are then built from the copies.
     """
     repos = landed.search_page_repositories(pages).withColumn("language", F.lit(language))
     if language == manifests.JAVASCRIPT:
@@ -47,10 +53,10 @@ def ingest_pages(pages: DataFrame, language: str, as_of: Column, existing_apps:
         edges = manifests.pypi_train_edges(repos)
     incoming_apps = apps_in.select("url", F.col("name_with_owner").alias("name"), "followers",
                                    F.sha2("text", 256).alias("hash"), as_of.alias("retrieved"))
-    apps = merge.upsert_applications(existing_apps, incoming_apps)
-    pkgs = merge.upsert_packages(existing_packages, edges.select(F.col("purl").alias("name")), as_of)
+    apps = settle("applications", merge.upsert_applications(existing_apps, incoming_apps))
+    pkgs = settle("packages", merge.upsert_packages(existing_packages, edges.select(F.col("purl").alias("name")), as_of))
     deps_in = (edges.join(apps.select(F.col("id").alias("application_id"), "url"), "url")
                     .join(pkgs.select(F.col("id").alias("package_id"), F.col("name").alias("purl")), "purl"))
-    deps = merge.insert_dependencies(existing_deps, deps_in)
+    deps = settle("dependencies", merge.insert_dependencies(existing_deps, deps_in))
     return apps, pkgs, deps
 

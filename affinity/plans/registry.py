@@ -50,34 +50,29 @@ def sim_table(spark: SparkSession, base: str) -> DataFrame:
     return similarity.similarity_frame(corpus.raw_edges(spark, base))
 
 
-_STORED: dict[tuple, DataFrame] = {}
-
-
-def stored(spark: SparkSession, base: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table written once to the shared checkpoint folder and read by later queries.
-
-    Mirrors the deployment: the daily train job writes the similarity and
-    scored package tables, and serving reads them.
-    """
-    k = (spark.sparkContext.applicationId, base, key)
-    if k not in _STORED:
-        _STORED[k] = build().transform(materialize)
-    return _STORED[k]
+def stored(build: Callable[[], DataFrame]) -> DataFrame:
+    """A table written to the checkpoint folder, as the daily train job leaves it to serving."""
+    return build().transform(materialize)
 
 
 def stored_similarity(spark: SparkSession, base: str) -> DataFrame:
     bound = corpus.package_names(spark, base).count()  # neighbour lists hold at most one row per package
-    return stored(spark, base, "similarity",
-                  lambda: similarity.rank_neighbours(sim_table(spark, base), bound))
+    return stored(lambda: similarity.rank_neighbours(sim_table(spark, base), bound))
 
 
-def scored_packages(spark: SparkSession, base: str) -> DataFrame:
+def scored_packages(spark: SparkSession, base: str, sim: DataFrame | None = None) -> DataFrame:
     """Scored packages computed from the stored similarity table."""
-    return scores.score_packages(corpus.packages(spark, base), stored_similarity(spark, base))
+    return scores.score_packages(corpus.packages(spark, base), sim or stored_similarity(spark, base))
+
+
+def stored_packages(spark: SparkSession, base: str, sim: DataFrame | None = None) -> DataFrame:
+    return stored(lambda: scored_packages(spark, base, sim))
 
 
-def stored_packages(spark: SparkSession, base: str) -> DataFrame:
-    return stored(spark, base, "packages", lambda: scored_packages(spark, base))
+def trained(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """The two tables of one training run: similarity and scored packages."""
+    sim = stored_similarity(spark, base)
+    return sim, stored_packages(spark, base, sim)
 
 
 # ------------------------------------------------------ A: sources / scans
@@ -89,18 +84,22 @@ def q_scan_dependencies(spark, base):
 
 
 @register("scan_packages_by_ecosystem", O.with_ctes("pk") +
-          "SELECT id, name FROM pk WHERE name LIKE 'pkg:npm/%'")
+          "SELECT CASE WHEN name LIKE 'pkg:npm/%' THEN 'npm' ELSE 'pypi' END AS ecosystem, id, name FROM pk "
+          "WHERE name LIKE 'pkg:npm/%' OR name LIKE 'pkg:pypi/%'")
 def q_scan_packages_by_ecosystem(spark, base):
-    """A2: packages of one ecosystem by name prefix."""
+    """A2: packages of each ecosystem by name prefix."""
     p = corpus.package_names(spark, base)
-    return p.where(F.col("name").startswith("pkg:npm/")).select("id", "name")
+    of = [p.where(F.col("name").startswith(f"pkg:{e}/")).select(F.lit(e).alias("ecosystem"), "id", "name")
+          for e in ("npm", "pypi")]
+    return of[0].unionByName(of[1])
 
 
 # --------------------------------------------------------- E: similarity
 
 @register("baskets", O.with_ctes("e") +
-          "SELECT app AS application_id, 0 AS chunk, "
-          "string_agg(CAST(pkg AS VARCHAR), ' ' ORDER BY pkg) AS package_ids FROM e GROUP BY app")
+          f"SELECT app AS application_id, chunk, string_agg(CAST(pkg AS VARCHAR), ' ' ORDER BY pkg) AS package_ids FROM "
+          f"(SELECT app, pkg, CAST((row_number() OVER (PARTITION BY app ORDER BY pkg) - 1) // {similarity.DEFAULT_CELL_ROWS} "
+          f"AS INTEGER) AS chunk FROM e) GROUP BY app, chunk")
 def q_baskets(spark, base):
     """Sorted package ids per application (bounded chunks)."""
     b = similarity.baskets(corpus.raw_edges(spark, base))
@@ -281,8 +280,7 @@ _REC_SELECT = ("SELECT a.short_name AS for_package, b.short_name AS recommended_
           "ORDER BY s.similarity DESC, s.package_a, s.package_b LIMIT 10000")
 def q_recommend(spark, base):
     """Recommendations for one application's dependency list."""
-    r = recommend.recommend(stored_similarity(spark, base), stored_packages(spark, base),
-                            _seed_purls(spark, base))
+    r = recommend.recommend(*trained(spark, base), _seed_purls(spark, base))
     return r.withColumn("categories", _categories_text())
 
 
@@ -502,11 +500,11 @@ O.CTE["cand"] = ("cand AS (SELECT rseeds.request_id, s.package_a, s.package_b, s
 O.NEEDS["cand"] = ["rseeds", "sim"]
 
 
-def _batch_candidates(spark, base):
+def _batch_candidates(spark, base, sim=None):
     rp = api.request_purls(materialize(_valid_requests(spark, base), "requests"))
     ids = recommend.resolve_seeds(corpus.package_names(spark, base), recommend.seed_names(rp), ["request_id"])
     ids = materialize(ids, "seeds")  # read by the size check and both joins
-    return recommend.candidates(stored_similarity(spark, base), ids, ["request_id"], ids.count())
+    return recommend.candidates(sim or stored_similarity(spark, base), ids, ["request_id"], ids.count())
 
 
 @register("exclude_owned", O.with_ctes("cand") + "SELECT request_id, package_a, package_b FROM cand")
@@ -524,7 +522,8 @@ _META = ("a.short_name AS for_package, b.short_name AS recommended_package, b.ur
           "JOIN scored a ON a.id = c.package_a JOIN scored b ON b.id = c.package_b")
 def q_pair_metadata(spark, base):
     """Seed and recommendation metadata via two equi-joins."""
-    m = recommend.pair_metadata(_batch_candidates(spark, base), stored_packages(spark, base))
+    sim, packages = trained(spark, base)
+    m = recommend.pair_metadata(_batch_candidates(spark, base, sim), packages)
     return m.select("request_id", "package_a", "package_b", "for_package", "recommended_package", "url",
                     "bounded_popularity", "absolute_trend", "relative_trend", _categories_text().alias("categories"),
                     "display_date", "monthly_downloads_last_month")
@@ -536,7 +535,8 @@ def q_pair_metadata(spark, base):
           " AS score FROM cand c JOIN scored b ON b.id = c.package_b")
 def q_composite_score(spark, base):
     """ceil(ceil(10·s)·0.5 + bp·0.3 + at·0.1 + rt·0.1) in double arithmetic."""
-    m = recommend.with_score(recommend.pair_metadata(_batch_candidates(spark, base), stored_packages(spark, base)))
+    sim, packages = trained(spark, base)
+    m = recommend.with_score(recommend.pair_metadata(_batch_candidates(spark, base, sim), packages))
     return m.select("request_id", "package_a", "package_b", "score")
 
 
@@ -565,7 +565,7 @@ def batch_recommendations(spark, base):
     v = materialize(_valid_requests(spark, base), "requests")
     rp = api.request_purls(v)
     limits = v.where(F.col("status") == "ok").select("request_id", "max_recommendations")
-    r = recommend.recommend_batch(stored_similarity(spark, base), stored_packages(spark, base), rp, limits)
+    r = recommend.recommend_batch(*trained(spark, base), rp, limits)
     return r.withColumn("rank", F.col("rank").cast("int")).withColumn("categories", _categories_text())
 
 
@@ -869,7 +869,7 @@ def q_ingest_search_pages(spark, base):
 days AS (SELECT CAST(lim.as_of - CAST(i AS INTEGER) AS DATE) AS day FROM lim, range(0, 30) t(i)),
 langs AS (SELECT * FROM (VALUES ('javascript'), ('python')) l(language))
 SELECT language, days.day, 'created:' || strftime(days.day - 1, '%Y-%m-%d') || '..' || strftime(days.day, '%Y-%m-%d') AS search,
-  apps.url FROM apps JOIN days ON CAST(apps.retrieved AS DATE) IN (days.day, days.day - 1), langs""")
+  apps.url FROM days LEFT JOIN apps ON CAST(apps.retrieved AS DATE) IN (days.day, days.day - 1) CROSS JOIN langs""")
 def q_ingest_slices(spark, base):
     """A4: daily crawl slices `created:D-1..D` over the last 30·months days, per language."""
     from affinity.plans import ingest

@@ -1,19 +1,20 @@
 """The daily train job: edges → similarity table → scored packages, both written.
 
-Each table goes to a new folder (readers switch afterwards); the similarity
+Each run writes a new version (readers switch when both tables are complete); the similarity
 table is written before scoring reads it, so no reader ever sees unbounded
 placeholder scores.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from affinity.operators import scores, similarity
 from affinity.session import scratch_path
-from affinity.sources import landed
+from affinity.sources import landed, versions
 
 
 @dataclass
@@ -24,12 +25,29 @@ class TrainOutput:
 
 def train(spark: SparkSession, edges: DataFrame, packages: DataFrame, root: str | None = None,
           materialize_edges: bool = False) -> TrainOutput:
-    """Compute and write the similarity table, then score and write the packages table."""
-    sim_path = (f"{root}/similarity" if root else scratch_path(spark, "similarity"))
-    pk_path = (f"{root}/packages" if root else scratch_path(spark, "packages"))
+    """Compute and write the similarity table, then score and write the packages table.
+
+    Every run under `root` is a new version, which readers see (`current`)
+    once both tables are complete; a failed run leaves the one before in place.
+    """
+    root = root or scratch_path(spark, "trained")
+    version = versions.following(spark, root)
+    # a failed attempt may have left tables of this number
+    attempt = uuid.uuid4().hex
+    sim_path, pk_path = (versions.path(root, version, f"{t}-{attempt}") for t in ("similarity", "packages"))
     sim = similarity.similarity_frame(edges, materialize=materialize_edges)
     # the package table's row count bounds every neighbour list
     landed.write_similarity(sim, sim_path, rank=True, max_neighbours=packages.count())
     scored = scores.score_packages(packages, spark.read.parquet(sim_path))
     landed.write_table(scored, pk_path)
+    versions.commit(spark, root, version, attempt)
     return TrainOutput(sim_path, pk_path)
+
+
+def current(spark: SparkSession, root: str) -> TrainOutput:
+    """The tables of the newest complete run under `root`."""
+    runs = versions.commits(spark, root)
+    if not runs:
+        raise FileNotFoundError(f"no complete training run under {root}")
+    version = max(runs)
+    return TrainOutput(*(versions.path(root, version, f"{t}-{runs[version]}") for t in ("similarity", "packages")))

@@ -43,14 +43,16 @@ def apply_defaults(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Read from the session; only when nothing is configured (local tests) a
-    fresh private folder is made.
+    Read from the session. Only a local master, where everything runs in one
+    process, gets a fresh private folder when nothing is configured.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="affinity-ckpt-")
     sc.setCheckpointDir(configured)

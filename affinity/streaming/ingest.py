@@ -2,11 +2,12 @@
 
 New page files in a landing folder are picked up by the file source; each
 micro-batch is merged into the applications, packages and dependencies
-tables by the idempotent upserts. Every batch writes a NEW version folder
-per table (`<root>/<table>/v=<batch id>`) and readers take the newest
-complete version, so no job ever overwrites a path another one reads. A
-replayed batch (after a failure) reads the versions before it and rewrites
-its own, giving the same tables.
+tables by the idempotent upserts. Every batch, of whatever language and
+stream, becomes the next version of all three tables under one root; readers
+take the newest committed version (`affinity.sources.versions`), so the three
+tables always belong together. The marker names the stream and its batch: a
+replayed batch that was committed is skipped, one that was not is written
+again.
 """
 
 from __future__ import annotations
@@ -17,55 +18,41 @@ from pyspark.sql import functions as F
 from affinity import schemas
 from affinity.plans import ingest
 from affinity.session import checkpoint_dir
+from affinity.sources import versions
 
 TABLES = {"applications": schemas.APPLICATIONS, "packages": schemas.PACKAGES,
           "dependencies": schemas.DEPENDENCIES}
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def versions(spark: SparkSession, table_root: str) -> list[int]:
-    """Complete versions (with a _SUCCESS marker) of one table, ascending."""
-    fs, p = _fs(spark, table_root)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(st.getPath().suffix("/_SUCCESS")):
-            out.append(int(name[2:]))
-    return sorted(out)
-
-
-def read_version(spark: SparkSession, root: str, table: str, before: int | None = None) -> DataFrame:
-    """Newest complete version of a table (older than `before` when given), or an empty table."""
-    vs = [v for v in versions(spark, f"{root}/{table}") if before is None or v < before]
-    if not vs:
+def read_version(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """A table's newest committed version, or an empty table."""
+    version = versions.newest(spark, root)
+    if version is None:
         return spark.createDataFrame([], TABLES[table])
-    return spark.read.parquet(f"{root}/{table}/v={vs[-1]:010d}")
+    return spark.read.parquet(versions.path(root, version, table))
 
 
 def merge_batch(spark: SparkSession, root: str, language: str, as_of_col=None):
     """The foreachBatch function for one language's landed pages."""
     def run(pages: DataFrame, batch_id: int) -> None:
+        # the id of a stream stays the same for all runs on its checkpoint
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        label = f"{language}.{stream}.{batch_id}"
+        if label in versions.commits(spark, root).values():
+            return
+        version = versions.following(spark, root)
+
+        def settle(table: str, df: DataFrame) -> DataFrame:
+            fields = TABLES[table].fields
+            out = df.select(*[F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                              for f in fields])
+            path = versions.path(root, version, table)
+            out.write.mode("overwrite").parquet(path)      # what a crash left of this number is replaced
+            return spark.read.parquet(path)
+
         as_of = as_of_col if as_of_col is not None else F.current_timestamp()
-        apps, pkgs, deps = ingest.ingest_pages(
-            pages, language, as_of,
-            read_version(spark, root, "applications", batch_id),
-            read_version(spark, root, "packages", batch_id).select("id", "name", "retrieved"),
-            read_version(spark, root, "dependencies", batch_id))
-        for table, df in (("applications", apps), ("packages", pkgs), ("dependencies", deps)):
-            cols = [f.name for f in TABLES[table].fields if f.name in df.columns]
-            out = df.select(*cols)
-            for f in TABLES[table].fields:
-                if f.name not in out.columns:
-                    out = out.withColumn(f.name, F.lit(None).cast(f.dataType))
-            out.select(*[f.name for f in TABLES[table].fields]).write.mode("overwrite").parquet(
-                f"{root}/{table}/v={batch_id:010d}")
+        ingest.ingest_pages(pages, language, as_of, *(read_version(spark, root, t) for t in TABLES), settle=settle)
+        versions.commit(spark, root, version, label)
     return run
 
 

@@ -104,3 +104,17 @@ def test_requirement_line_grammar(spark):
     got = [None if r[0] is None else (r[0].name, [tuple(s) for s in r[0].specs])
            for r in df.select(requirements.parse_line(F.col("l"))).collect()]
     assert got == [("a", [("==", "1"), (">=", "0.5")]), None, ("b", [("~=", "2.1")]), ("c", []), ("d", []), None]
+
+
+def test_strict_json(spark):
+    from affinity.functions.json import strict_json
+    good = ['{"a":1}', ' {"a":"x} ]"} ', "[1,2]", "null", '"x"', "12"]
+    bad = ['{"a":1} garbage', "{} {}", '{"a":1}}', "{}] junk", "{},{}", "", "  ", "{'a':1}"]
+    df = spark.createDataFrame([(t,) for t in good + bad + [None]], "text string")
+    got = {r.text: r.ok for r in df.select("text", strict_json("text").isNotNull().alias("ok")).collect()}
+    assert {t for t, ok in got.items() if ok} == set(good)
+
+
+def test_fragment_cannot_close_its_brace(spark):
+    df = spark.createDataFrame([(1, '"a":"1"}, "x":{"b":"2"'), (2, ',"a": "^1", "b": "2",')], "id long, text string")
+    assert sorted(tuple(r) for r in manifests.npm_fragment_purls(df).collect()) == [(2, "pkg:npm/a@1"), (2, "pkg:npm/b@2")]

@@ -19,3 +19,16 @@ def test_train_then_serve(spark):
                                          corpus.request_bodies(spark, SMOKE))
     assert status.count() == corpus.read_table(spark, SMOKE, "customer", "c_custkey").count()
     assert recs.where("rank < 1").count() == 0
+
+
+def test_daily_refresh(spark, tmp_path):
+    """A second run on the same root is the one served; a failed third leaves it in place."""
+    import pytest
+    root = str(tmp_path / "trained")
+    edges, packages = corpus.raw_edges(spark, SMOKE), corpus.packages(spark, SMOKE)
+    first = train.train(spark, edges, packages, root)
+    second = train.train(spark, edges.limit(500), packages, root)
+    assert train.current(spark, root) == second != first
+    with pytest.raises(Exception):
+        train.train(spark, edges.selectExpr("application_id", "raise_error('x') as package_id"), packages, root)
+    assert train.current(spark, root) == second
