@@ -37,7 +37,7 @@ from affinity.llm.common import fresh, text_or_empty
 from affinity.session import materialize
 
 WINDOW = 10
-ANCHORS = 3
+ANCHORS = 2
 MAX_WINDOWS = 500_000
 
 _WORD_BYTES = bytes(
@@ -89,17 +89,17 @@ def document_frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes,
 
 
 def anchors_of(phrases: list[str], frequencies: dict[bytes, int], anchors: int = ANCHORS) -> list[tuple]:
-    """(word, anchor number, offset, anchors of the window, phrase, words of the window), rarest words first."""
+    """(word, anchor number, offset, anchors of the window, its number, its words), rarest words first."""
     out = []
-    for phrase in phrases:
+    for number, phrase in enumerate(phrases):
         w = phrase.encode().split(b" ")
         if all(x in frequencies for x in w):
             rarest = sorted(set(w), key=lambda x: (frequencies[x], x))[:anchors]
-            out += [(bytearray(x), k, w.index(x), len(rarest), phrase, len(w)) for k, x in enumerate(rarest)]
+            out += [(bytearray(x), k, w.index(x), len(rarest), number, len(w)) for k, x in enumerate(rarest)]
     return out
 
 
-ANCHOR_SCHEMA = "word binary, anchor int, offset int, anchors int, phrase string, n_phrase int"
+ANCHOR_SCHEMA = "word binary, anchor int, offset int, anchors int, phrase int, n_phrase int"
 
 
 def positional_index(docs: DataFrame, vocabulary: set[bytes]) -> DataFrame:
@@ -142,7 +142,10 @@ def _slices(phrases: DataFrame, max_windows: int) -> Iterator[list[str]]:
 
 
 def _moved(docs: DataFrame, phrases: list[str], anchors: int) -> DataFrame:
-    """(doc_id, text_key, n_words, phrase, n_phrase, anchor, anchors, start): postings moved back by their offsets."""
+    """(doc_id, text_key, n_words, phrase, n_phrase, anchor, anchors, start): postings moved back by their offsets.
+
+    `phrase` is the number of a phrase in the list.
+    """
     vocabulary = {w for p in phrases for w in p.encode().split(b" ")}
     chosen = anchors_of(phrases, document_frequencies(docs, vocabulary), anchors)
     index = positional_index(docs, {bytes(a[0]) for a in chosen})
@@ -171,18 +174,19 @@ def phrase_places(docs: DataFrame, phrases: list[str], anchors: int = ANCHORS) -
                  .select("d.doc_id", "d.text_key", "d.text", "c.places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = [p.encode().split(b" ") for p in phrases]
         for batch in batches:
             rows, starts, lengths, found = [], [], [], []
             for row, (text, places) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 w = words(text)
                 for place in places:
-                    phrase = place["phrase"].encode().split(b" ")
+                    phrase = wanted[place["phrase"]]
                     start = place["start"]
                     if w[start:start + len(phrase)] == phrase:
                         rows.append(row)
                         starts.append(start)
                         lengths.append(len(phrase))
-                        found.append(place["phrase"])
+                        found.append(phrases[place["phrase"]])
             take = pa.array(rows, pa.int32())
             yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array(found, pa.string()),
                                    pa.array(starts, pa.int32()), pa.array(lengths, pa.int32())],
@@ -228,7 +232,9 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 5, window:
                       & a["doc_id"].eqNullSafe(b["other_doc"]) & (F.abs(a["start"] - b["other"]) <= slop))
         near = near.select(a["doc_id"], a["phrase"], a["start"], F.abs(a["start"] - b["other"]).alias("gap"))
         alone = a.where(F.col("anchors") == 1).select("doc_id", "phrase", "start", F.lit(0).alias("gap"))
-        near = near.union(alone)
+        names = docs.sparkSession.createDataFrame(list(enumerate(part)), "number int, text string")
+        near = near.union(alone).join(F.broadcast(names), F.col("phrase") == F.col("number")) \
+                   .select("doc_id", F.col("text").alias("phrase"), "start", "gap")
         found = near if found is None else found.union(near)
     if found is None:
         kind = docs.schema["doc_id"].dataType.simpleString()
