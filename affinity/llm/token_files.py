@@ -96,7 +96,7 @@ class PieceTokenizer:
         if len(known) > MAX_PIECES:
             known.clear()
         new = list({p for p in pieces if p not in known})
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
+        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             known[p] = self.pack(e.ids)
         return b"".join([known[p] for p in pieces])
 
