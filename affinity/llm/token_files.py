@@ -114,9 +114,11 @@ def piece_tokenizer(path: str) -> PieceTokenizer:
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, max_docs: int = DICTIONARY_DOCS,
                      max_text_bytes: int = DICTIONARY_TEXT_BYTES) -> bytes:
     """A zstandard dictionary from the id arrays of a bounded sample; empty where there is too little to train on."""
-    sample = (docs.select(text_or_empty().alias("text"))
-              .where(F.octet_length("text") <= max_text_bytes)
-              .orderBy(F.xxhash64("text")).limit(max_docs).collect())
+    texts = docs.select(text_or_empty().alias("text")).where(F.octet_length("text") <= max_text_bytes) \
+                .withColumn("hash", F.xxhash64("text"))
+    # the smallest hashes first, so that only the chosen texts travel
+    last = texts.select("hash").orderBy("hash").limit(max_docs).agg(F.max("hash")).first()[0]
+    sample = texts.where(F.col("hash") <= F.lit(last)).dropDuplicates(["hash"]).orderBy("hash").collect()
     tok = piece_tokenizer(tokenizer_path)
     arrays = [tok.encode(r.text) + tok.pack([end_id]) for r in sample]
     try:
