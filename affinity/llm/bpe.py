@@ -24,7 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -126,15 +126,16 @@ class Transducer:
         alive.append(newest)
         first = alive[0][1]
         agreed = len(first)
-        for _, pending in alive:
-            agreed = min(agreed, len(pending))
-            while first[:agreed] != pending[:agreed]:
-                agreed -= 1
-        if agreed:
-            anchor = first[agreed - 1]
-            alive = [(node, pending[agreed:]) for node, pending in alive]
-        elif all(pending for _, pending in alive):
-            anchor = None                      # no item looks at it any more
+        if first:
+            for _, pending in alive:
+                agreed = min(agreed, len(pending))
+                while first[:agreed] != pending[:agreed]:
+                    agreed -= 1
+            if agreed:
+                anchor = first[agreed - 1]
+                alive = [(node, pending[agreed:]) for node, pending in alive]
+            elif all([pending for _, pending in alive]):
+                anchor = None                  # no item looks at it any more
         key = (anchor, tuple(alive))
         following = self.number.get(key)
         if following is None:
@@ -165,35 +166,44 @@ class Transducer:
         return out
 
 
+class PieceTable(dict):
+    """Pieces met so far, each with (decimal ids joined by spaces, ids).
+
+    Two generations of at most `most` pieces: when the newer is full it
+    becomes the older, and a piece found there moves up. So frequent pieces
+    stay and memory is bounded.
+    """
+
+    def __init__(self, transducer: Transducer, most: int):
+        super().__init__()
+        self.transducer = transducer
+        self.most = most
+        self.older: dict[str, tuple[str, tuple[int, ...]]] = {}
+
+    def __missing__(self, piece: str) -> tuple[str, tuple[int, ...]]:
+        hit = self.older.get(piece)
+        if hit is None:
+            ids = tuple(self.transducer.encode(piece.encode()))
+            hit = (" ".join(map(str, ids)), ids)
+        if len(piece) <= 64:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = hit
+        return hit
+
+
 class Encoder:
     """Whole texts to token ids: split by the pattern, then each piece through the transducer."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = MAX_PIECES):
         self.transducer = Transducer(ranks)
         self.split = Splitter(pattern)
-        self.max_pieces = max_pieces
-        self.known: dict[str, tuple[str, list[int]]] = {}
+        self.known = PieceTable(self.transducer, max_pieces)
 
-    def pieces(self, text: str) -> list[tuple[str, list[int]]]:
+    def pieces(self, text: str) -> list[tuple[str, tuple[int, ...]]]:
         """(decimal ids joined by spaces, ids) of each piece."""
-        found = self.split(text)
-        known = self.known
-        try:
-            return [known[p] for p in found]
-        except KeyError:
-            pass
-        if len(known) > self.max_pieces:
-            known.clear()
-        out = []
-        for p in found:
-            hit = known.get(p)
-            if hit is None:
-                ids = self.transducer.encode(p.encode())
-                hit = (" ".join(map(str, ids)), ids)
-                if len(p) <= 64:
-                    known[p] = hit
-            out.append(hit)
-        return out
+        return list(map(self.known.__getitem__, self.split(text)))
 
     def encode(self, text: str) -> list[int]:
         return [i for _, ids in self.pieces(text) for i in ids]
@@ -237,13 +247,9 @@ class Utf8Machine:
 def decode_stream(ids: Iterable[int], token: dict[int, bytes], chunk: int = DECODE_CHUNK) -> Iterator[str]:
     """Text of a stream of ids, in parts that never cut a character."""
     machine = Utf8Machine()
-    held: list[int] = []
-    for i in ids:
-        held.append(i)
-        if len(held) == chunk:
-            yield machine.feed(b"".join([token[i] for i in held]))
-            held = []
-    yield machine.feed(b"".join([token[i] for i in held]))
+    stream = iter(ids)
+    while held := list(islice(stream, chunk)):
+        yield machine.feed(b"".join(map(token.__getitem__, held)))
     yield machine.finish()
 
 
