@@ -22,6 +22,7 @@ repeated rows give repeated results; extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from affinity.llm.common import text_or_empty
 from affinity.llm.pieces import Splitter
 
-MAX_STATES = 250_000
+MAX_STATES = 600_000
 MAX_PIECES = 300_000
 DECODE_CHUNK = 8_192
 
@@ -53,19 +54,19 @@ class Transducer:
         self.ranks = ranks
         self.max_states = max_states
         self.token = {rank: token for token, rank in ranks.items()}
-        self.child: dict[int, int] = {}      # node << 8 | byte -> node
-        self.accepts: dict[int, int] = {}    # node -> token id
-        self.grows: set[int] = set()         # nodes with children
-        nodes = 1
+        self.child: list[dict[int, int]] = [{}]        # of each node: byte -> node
+        self.accepts: list[int | None] = [None]        # of each node: token id
+        leaf: dict[int, int] = {}                      # shared by the nodes without children
         for token, rank in ranks.items():
             node = self.ROOT
             for byte in token:
-                edge = node << 8 | byte
-                following = self.child.get(edge)
+                following = self.child[node].get(byte)
                 if following is None:
-                    self.grows.add(node)
-                    following = self.child[edge] = nodes
-                    nodes += 1
+                    if self.child[node] is leaf:
+                        self.child[node] = {}
+                    following = self.child[node][byte] = len(self.child)
+                    self.child.append(leaf)
+                    self.accepts.append(None)
                 node = following
             self.accepts[node] = rank
         self.fits: dict[tuple[int | None, int], bool] = {}
@@ -111,17 +112,17 @@ class Transducer:
 
     def _make(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         anchor, items = self.items[state]
-        child, accepts, grows = self.child, self.accepts, self.grows
+        child, accepts = self.child, self.accepts
         alive, newest = [], None
         for node, pending in items:
-            following = child.get(node << 8 | byte)
+            following = child[node].get(byte)
             if following is None:
                 continue
             if newest is None:
-                token = accepts.get(following)
+                token = accepts[following]
                 if token is not None and self._fit(pending[-1] if pending else anchor, token):
                     newest = (self.ROOT, (*pending, token))
-            if following in grows:
+            if child[following]:
                 alive.append((following, pending))
         alive.append(newest)
         first = alive[0][1]
@@ -259,6 +260,7 @@ _ENCODERS: dict[tuple[str, str], Encoder] = {}
 def encoder(path: str, pattern: str) -> Encoder:
     """One encoder a Python worker, kept between tasks."""
     if (path, pattern) not in _ENCODERS:
+        gc.set_threshold(100_000, 50, 100)     # the tables are large and hold no cycles
         _ENCODERS[path, pattern] = Encoder(load_ranks(path), pattern)
     return _ENCODERS[path, pattern]
 
