@@ -26,6 +26,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -48,27 +49,33 @@ def held_out(column: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(5)) == 0
 
 
-class Features:
-    """Texts to (index, value) arrays."""
+class WordTable(dict):
+    """Words to the indices of the word (low 32 bits) and of its shape (high 32 bits)."""
 
-    def __init__(self, bits: int = BITS):
-        self.size = 1 << bits
-        self.known: dict[str, tuple[int, int]] = {}
+    def __init__(self, size: int):
+        super().__init__()
+        self.size = size
 
-    def _index(self, name: str) -> int:
+    def index(self, name: str) -> int:
         return zlib.crc32(name.encode()) & (self.size - 1)
 
-    def _word(self, word: str) -> tuple[int, int]:
-        """Index of the word and of its shape."""
+    def __missing__(self, word: str) -> int:
         shape = "".join(dict.fromkeys("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
                                       for c in word[-4:]))
-        out = (self._index("w " + word.lower()), self._index("s " + shape))
-        if len(self.known) > MAX_WORDS:
-            self.known.clear()
+        out = self.index("w " + word.lower()) | self.index("s " + shape) << 32
+        if len(self) > MAX_WORDS:
+            self.clear()
         if len(word) <= 40:
-            self.known[word] = out
+            self[word] = out
         return out
 
+
+class Features:
+    """Texts to (index, value) arrays."""
+
+    def __init__(self, bits: int = BITS):
+        self.known = WordTable(1 << bits)
+
     def statistics(self, text: str, words: list[str]) -> dict[str, float]:
         """Shares and rates that describe the structure of a text, all between 0 and 1 but the lengths."""
         n, m = max(len(text), 1), max(len(words), 1)
@@ -76,7 +83,7 @@ class Features:
         letters = sum(map(len, re.findall(r"[^\W\d_]+", text))) if not text.isascii() else \
             sum(map(len, re.findall(r"[A-Za-z]+", text)))
         upper = sum(map(len, re.findall(r"[A-ZÀ-Þ]+", text)))
-        repeats = sum(a == b for a, b in zip(words, words[1:]))
+        repeats = sum(map(eq, words, words[1:]))
         return {
             "chars": np.log2(n), "words": np.log2(m), "word length": min(n / m / 20, 1.0),
             "letters": letters / n, "upper": upper / max(letters, 1),
@@ -91,21 +98,18 @@ class Features:
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         words = text.split()
-        known, hashed = self.known, []
-        for w in words:
-            hashed.append(known.get(w) or self._word(w))
         index, value = [], []
-        if hashed:
-            pairs = np.array(hashed)
-            for column, weight in ((0, 1.0), (1, 2.0)):
-                found, counts = np.unique(pairs[:, column], return_counts=True)
+        if words:
+            pairs = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            for column, weight in ((pairs & 0xFFFFFFFF, 1.0), (pairs >> 32, 2.0)):
+                found, counts = np.unique(column, return_counts=True)
                 index.append(found)
                 value.append(weight * np.sqrt(counts / len(words)))
         found = self.statistics(text, words)
-        index.append(np.array([self._index(f"b {name} {int(v if v > 1 else v * 20)} {v > 1}")
+        index.append(np.array([self.known.index(f"b {name} {int(v if v > 1 else v * 20)} {v > 1}")
                                for name, v in found.items()]))
         value.append(np.full(len(found), 0.5))
-        index.append(np.array([self._index(f"v {name}") for name in found]))
+        index.append(np.array([self.known.index(f"v {name}") for name in found]))
         value.append(np.array([v / 20 if v > 1 else v for v in found.values()]))
         return np.concatenate(index).astype(np.int64), np.concatenate(value)
 
