@@ -23,20 +23,25 @@ def null_rows(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def dangling(child: DataFrame, key: str, parent: DataFrame, parent_key: str = "id") -> DataFrame:
-    """Child rows whose key has no parent row (left anti join)."""
-    return child.join(parent.select(F.col(parent_key).alias(key)), key, "left_anti")
+    """Child rows whose key is given and has no parent row (left anti join)."""
+    return child.where(F.col(key).isNotNull()).join(parent.select(F.col(parent_key).alias(key)), key, "left_anti")
 
 
-def check_constraints(applications: DataFrame, packages: DataFrame, dependencies: DataFrame) -> DataFrame:
+def check_constraints(applications: DataFrame, packages: DataFrame, dependencies: DataFrame,
+                      similarity: DataFrame) -> DataFrame:
     """(rule, violations) for the data model's unique, not-null and reference rules."""
     checks = [
         _count("applications.url unique", duplicate_keys(applications, "url")),
         _count("applications not null", null_rows(applications, "url", "name", "hash", "retrieved")),
         _count("packages.name unique", duplicate_keys(packages, "name")),
-        _count("packages not null", null_rows(packages, "name")),
+        _count("packages not null", null_rows(packages, "name", "retrieved")),
         _count("dependencies pair unique", duplicate_keys(dependencies, "application_id", "package_id")),
         _count("dependencies.application_id references applications",
                dangling(dependencies, "application_id", applications)),
         _count("dependencies.package_id references packages", dangling(dependencies, "package_id", packages)),
+        _count("similarity pair unique", duplicate_keys(similarity, "package_a", "package_b")),
+        _count("similarity not null", null_rows(similarity, "similarity")),
+        _count("similarity.package_a references packages", dangling(similarity, "package_a", packages)),
+        _count("similarity.package_b references packages", dangling(similarity, "package_b", packages)),
     ]
     return reduce(DataFrame.unionByName, checks)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinity import oracle as O
-from affinity.functions import dates, purl, scoring
+from affinity.functions import dates, purl, requirements, scoring
 from affinity.operators import api, browse, constraints, joins, manifests, merge, recommend, scores, similarity
 from affinity.session import scratch_path, materialize
 from affinity.sources import landed
@@ -457,17 +457,22 @@ def q_validate_requests(spark, base):
 
 
 @register("api_dependency_list", O.with_ctes("vreq", "pk") +
-          "SELECT DISTINCT o_custkey AS request_id, pk.slug AS name, CAST(p_size AS VARCHAR) || '.0.0' AS version "
+          "SELECT DISTINCT o_custkey AS request_id, pk.slug AS name, "
+          "CASE WHEN l_partkey % 2 = 0 THEN CAST(p_size AS VARCHAR) || '.0.0' "
+          f"WHEN p_size < {corpus.VERSIONLESS_MIN_SIZE} THEN CAST(p_size AS VARCHAR) || '.0' END AS version "
           "FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN pk ON pk.id = l_partkey "
           "JOIN vreq ON vreq.request_id = o_custkey "
-          "WHERE vreq.error IS NULL AND l_partkey % 2 = 0 AND o_custkey % 2 = 0")
+          "WHERE vreq.error IS NULL AND l_partkey % 2 = o_custkey % 2")
 def q_api_dependency_list(spark, base):
-    """Javascript API entries `name@version` → manifest form, split at the last '@'."""
-    v = _valid_requests(spark, base).where((F.col("status") == "ok") & (F.col("language") == "javascript"))
+    """API entries → manifest form: javascript split at the last '@', python one requirement a line."""
+    v = _valid_requests(spark, base).where(F.col("status") == "ok")
     t = manifests.api_manifest_text(v)
+    js, py = (t.where(F.col("language") == x).select("request_id", "text") for x in ("javascript", "python"))
     doc = F.try_parse_json(F.concat(F.lit("{"), F.col("text"), F.lit("}")))
-    m = t.select("request_id", F.explode(F.try_variant_get(doc, "$", "map<string,string>")).alias("name", "version"))
-    return m
+    entries = js.select("request_id", F.explode(F.try_variant_get(doc, "$", "map<string,string>")).alias("name", "version"))
+    lines = manifests.requirement_lines(py).select("request_id", F.col("req.name").alias("name"),
+                                                   requirements.serve_version(F.col("req.specs")).alias("version"))
+    return entries.unionByName(lines)
 
 
 O.CTE["rseeds"] = (
@@ -925,18 +930,75 @@ def q_write_similarity(spark, base):
     return spark.read.parquet(path).select("package_a", "package_b", "similarity", "bounded_similarity")
 
 
-@register("check_constraints", O.with_ctes("apps", "pk") + """
-SELECT 'applications.url unique' AS rule, CAST(count(*) AS BIGINT) AS violations FROM (SELECT url FROM apps GROUP BY url HAVING count(*) > 1)
-UNION ALL SELECT 'applications not null', count(*) FROM apps WHERE url IS NULL OR name IS NULL OR hash IS NULL OR retrieved IS NULL
-UNION ALL SELECT 'packages.name unique', count(*) FROM (SELECT name FROM pk GROUP BY name HAVING count(*) > 1)
-UNION ALL SELECT 'packages not null', count(*) FROM pk WHERE name IS NULL
-UNION ALL SELECT 'dependencies pair unique', count(*) FROM (SELECT l_orderkey, l_partkey FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1)
-UNION ALL SELECT 'dependencies.application_id references applications', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT id FROM apps)
-UNION ALL SELECT 'dependencies.package_id references packages', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT id FROM pk)""")
+def _constraints_sql(apps: str, pk: str, deps: str, sim: str) -> str:
+    """The report over tables of the given names (deps: app, pkg)."""
+    return f"""
+SELECT 'applications.url unique' AS rule, CAST(count(*) AS BIGINT) AS violations FROM (SELECT url FROM {apps} GROUP BY url HAVING count(*) > 1)
+UNION ALL SELECT 'applications not null', count(*) FROM {apps} WHERE url IS NULL OR name IS NULL OR hash IS NULL OR retrieved IS NULL
+UNION ALL SELECT 'packages.name unique', count(*) FROM (SELECT name FROM {pk} GROUP BY name HAVING count(*) > 1)
+UNION ALL SELECT 'packages not null', count(*) FROM {pk} WHERE name IS NULL OR retrieved IS NULL
+UNION ALL SELECT 'dependencies pair unique', count(*) FROM (SELECT app, pkg FROM {deps} GROUP BY 1, 2 HAVING count(*) > 1)
+UNION ALL SELECT 'dependencies.application_id references applications', count(*) FROM {deps} WHERE app NOT IN (SELECT id FROM {apps})
+UNION ALL SELECT 'dependencies.package_id references packages', count(*) FROM {deps} WHERE pkg NOT IN (SELECT id FROM {pk})
+UNION ALL SELECT 'similarity pair unique', count(*) FROM (SELECT package_a, package_b FROM {sim} GROUP BY 1, 2 HAVING count(*) > 1)
+UNION ALL SELECT 'similarity not null', count(*) FROM {sim} WHERE similarity IS NULL
+UNION ALL SELECT 'similarity.package_a references packages', count(*) FROM {sim} WHERE package_a NOT IN (SELECT id FROM {pk})
+UNION ALL SELECT 'similarity.package_b references packages', count(*) FROM {sim} WHERE package_b NOT IN (SELECT id FROM {pk})"""
+
+
+_RETRIEVED = f"TIMESTAMP '{corpus.AS_OF}'"
+
+
+@register("check_constraints", O.with_ctes("apps", "pk", "sim") + f"""
+, pkr AS (SELECT id, name, {_RETRIEVED} AS retrieved FROM pk),
+deps AS (SELECT l_orderkey AS app, l_partkey AS pkg FROM lineitem)""" + _constraints_sql("apps", "pkr", "deps", "sim"))
 def q_check_constraints(spark, base):
     """The table rules as one violations report (0 = rule holds)."""
-    return constraints.check_constraints(corpus.applications(spark, base), corpus.package_names(spark, base),
-                                         corpus.raw_edges(spark, base))
+    return constraints.check_constraints(corpus.applications(spark, base), corpus.packages(spark, base),
+                                         corpus.raw_edges(spark, base), stored(lambda: sim_table(spark, base)))
+
+
+@register("check_constraints_faults", O.with_ctes("apps", "pk", "sim") + f"""
+, fapps AS (SELECT id, url, CASE WHEN id % 10 <> 2 THEN name END AS name, hash, retrieved FROM apps WHERE id % 10 <> 6
+  UNION ALL SELECT id, url, name, hash, retrieved FROM apps WHERE id % 10 = 1),
+fpk AS (SELECT id, name, CASE WHEN id % 10 <> 4 THEN {_RETRIEVED} END AS retrieved FROM pk WHERE id % 10 <> 5
+  UNION ALL SELECT id, name, {_RETRIEVED} FROM pk WHERE id % 10 = 3),
+deps AS (SELECT l_orderkey AS app, l_partkey AS pkg FROM lineitem UNION ALL SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
+fsim AS (SELECT package_a, package_b, CASE WHEN package_a % 10 <> 8 THEN similarity END AS similarity FROM sim
+  UNION ALL SELECT package_a, package_b, similarity FROM sim WHERE package_a % 10 = 7)"""
+          + _constraints_sql("fapps", "fpk", "deps", "fsim"))
+def q_check_constraints_faults(spark, base):
+    """A8 on whole tables with planted faults: repeated rows, NULLs and missing parents, so that every rule counts."""
+    digit = F.col("id") % 10
+    apps = corpus.applications(spark, base).select("id", "url", "name", "hash", "retrieved")
+    pkgs = corpus.packages(spark, base).select("id", "name", "retrieved")
+    sim = stored(lambda: sim_table(spark, base)).select("package_a", "package_b", "similarity")
+    edges = corpus.raw_edges(spark, base)
+    return constraints.check_constraints(
+        apps.where(digit != 6).withColumn("name", F.when(digit != 2, F.col("name"))).unionByName(apps.where(digit == 1)),
+        pkgs.where(digit != 5).withColumn("retrieved", F.when(digit != 4, F.col("retrieved")))
+            .unionByName(pkgs.where(digit == 3)),
+        edges.unionByName(corpus.dependencies(spark, base)),
+        sim.withColumn("similarity", F.when(F.col("package_a") % 10 != 8, F.col("similarity")))
+           .unionByName(sim.where(F.col("package_a") % 10 == 7)))
+
+
+@register("refresh_metadata", O.with_ctes("landed") + f"""
+SELECT id, name,
+  CASE WHEN id % 2 = 0 THEN coalesce(last_month, 0) ELSE last_month END AS monthly_downloads_last_month,
+  CASE WHEN id % 2 = 0 THEN coalesce(year_ago, 0) WHEN modified IS NOT NULL THEN CAST(0 AS BIGINT) END AS monthly_downloads_a_year_ago,
+  CASE WHEN id % 2 = 0 THEN (CASE WHEN p_size % {corpus.KEYWORDS_ABSENT_EVERY} = 0 THEN NULL
+                                  WHEN p_size % {corpus.KEYWORD_STRING_EVERY} = 0 THEN p_type ELSE p_type || ',' || p_brand END)
+       WHEN modified IS NOT NULL AND p_size % {corpus.PYPI_NO_CLASSIFIERS_EVERY} <> 0 THEN p_brand || ',' || p_type END AS categories,
+  CASE WHEN id % 2 = 0 OR p_size % {corpus.PYPI_NO_URLS_EVERY} <> 0 THEN strftime(modified, '%Y-%m-%d') END AS display_date
+FROM landed""")
+def q_refresh_metadata(spark, base):
+    """A2, A5, A6, C4 as one job: stale packages of both ecosystems updated from the landed registry bodies."""
+    from affinity.plans import refresh
+    paths = corpus.land_registry_bodies(spark, base, scratch_path(spark, "registry"))
+    out = refresh.refresh_metadata(spark, corpus.packages(spark, base, OLD_AS_OF), paths)
+    return out.select("id", "name", "monthly_downloads_last_month", "monthly_downloads_a_year_ago",
+                      _categories_text().alias("categories"), dates.display_date("modified").alias("display_date"))
 
 
 # ------------------------------------------ dense corpus (buckets 3..7)

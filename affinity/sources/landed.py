@@ -152,19 +152,20 @@ def write_similarity(similarity: DataFrame, path: str, files_per_key_range: int
                      rank: bool = False, max_neighbours: int | None = None) -> str:
     """Write the scored similarity table, clustered by package_a.
 
-    Hash partitioning on package_a puts all neighbours of a package in one
-    file, and the sort inside each file gives tight Parquet row-group min/max
-    statistics, so a lookup by package_a (the serving query) skips most row
-    groups — the role the B-tree index plays in a database. Hash (not range)
-    partitioning needs no sampling pass over the input.
+    Within `WINDOW_GROUP_ROWS` neighbours a package, hash partitioning keeps a
+    package's list, whose size that bounds, in one file. Beyond it the lists
+    are ranked and written by range of (package_a, package_b), so that a long
+    list spreads over tasks and files; ranking has written the table already,
+    so the sampling pass reads a copy. Files are sorted, which keeps a
+    package's rows together in few row groups.
     """
-    n = files_per_key_range or similarity.sparkSession.conf.get("spark.sql.shuffle.partitions")
     from affinity.operators.similarity import WINDOW_GROUP_ROWS, rank_neighbours
+    n = int(files_per_key_range or similarity.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if rank and (max_neighbours is None or max_neighbours > WINDOW_GROUP_ROWS):
-        similarity = rank_neighbours(similarity, max_neighbours)
-        rank = False
-    clustered = similarity.repartition(int(n), "package_a")
-    if rank:
-        # the neighbour window reuses this partitioning: no second shuffle
-        clustered = rank_neighbours(clustered, max_neighbours)
+        clustered = rank_neighbours(similarity, max_neighbours).repartitionByRange(n, "package_a", "package_b")
+    else:
+        clustered = similarity.repartition(n, "package_a")
+        if rank:
+            # the neighbour window reuses this partitioning: no second shuffle
+            clustered = rank_neighbours(clustered, max_neighbours)
     return write_table(clustered, path, sort_within=["package_a", "package_b"])
