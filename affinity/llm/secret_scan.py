@@ -46,7 +46,9 @@ _KEY = "A-Za-z0-9+/_.@=-"
 CANDIDATE = rf"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_.@=-]*+[0-9])[A-Za-z0-9+/_.@-][{_KEY}]{{6,}}[A-Za-z0-9+/_=]"
 # name = value without blanks is one run: the name is cut off
 NAME = r"^([A-Za-z][A-Za-z0-9_.-]{0,40})[=:]"
-FOUND = rf"(\S{{0,40}})([ \t]*[=:]?[ \t]*[\"'`]?)({CANDIDATE})([\"'`]?)"
+# The neighbouring word and what joins it to the value, at the end of the text before the value.
+BEFORE = r"(\S{0,40}?)([ \t]*[=:]?[ \t]*[\"'`]?)$"
+CONTEXT = 120
 CREDENTIAL = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api_?-?key|access_?-?key|private_?-?key|auth|credential)s?\W*$"
 PROVIDER = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^(ghp|gho|ghs|ghu)_[A-Za-z0-9]{30,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^AIza[A-Za-z0-9_-]{35}$|^sk_live_[A-Za-z0-9]{16,}$"
 TEST_PATH = r"(?i)(^|[/_.-])(tests?|docs?|examples?|samples?|fixtures?|vendor)([/_.-]|$)"
@@ -55,18 +57,39 @@ FEATURES = ["f_length", "f_digits", "f_upper", "f_lower", "f_symbols", "f_distin
             "f_longest", "f_dictionary", "f_credential", "f_assigned", "f_quoted", "f_path"]
 
 
+def _with_context(rows: DataFrame, values: Column, taken: Column) -> DataFrame:
+    """`match` (value, joint, before) of every distinct one of `values`, each of which follows one of `gaps`.
+
+    `taken`: the text between a gap and the next. The text before a value holds the value before that, so context
+    takes nothing away from the values.
+    """
+    none = F.array(F.lit(""))
+    parts = F.arrays_zip(values.alias("value"), F.concat(none, F.col("gaps")).alias("gap_before"),
+                         F.concat(none, taken).alias("taken_before"), F.col("gaps").alias("gap"))
+
+    def packed(part: Column) -> Column:              # neither part holds a line feed
+        text = F.concat(F.right(F.concat(part["gap_before"], part["taken_before"]), F.lit(CONTEXT)),
+                        F.right(part["gap"], F.lit(CONTEXT)))
+        return F.concat_ws("\n", part["value"], F.regexp_extract(text, BEFORE, 2), F.regexp_extract(text, BEFORE, 1))
+
+    matches = F.transform(F.slice(parts, F.lit(1), F.size(values)), packed)
+    return rows.select("doc_id", "path", "text", "text_key", F.explode(F.array_distinct(matches)).alias("match")) \
+               .withColumn("match", F.split("match", "\n"))
+
+
 def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
     """(doc_id, text_key, path, value, before, joint, start, occurrences): every candidate of every text."""
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
     rows = (docs.select("doc_id", where.alias("path"), text_or_empty().alias("text"))
             .where(F.col("text").rlike(CANDIDATE)))
-    rows = rows.select("doc_id", "path", "text", F.xxhash64("text").alias("text_key"), F.explode(F.array_distinct(
-        F.regexp_extract_all("text", F.lit(FOUND), F.lit(0)))).alias("match"))
-    raw = F.regexp_extract("match", FOUND, 3)
+    rows = rows.withColumns({"text_key": F.xxhash64("text"), "gaps": F.split("text", CANDIDATE, -1),
+                             "runs": F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))})
+    rows = _with_context(rows, F.col("runs"), F.col("runs"))
+    raw = F.col("match")[0]
     name = F.regexp_extract(raw, NAME, 1)
     value = F.when(name != "", F.expr("substring(raw, length(name) + 2)")).otherwise(F.col("raw"))
-    before = F.when(F.col("name") != "", F.col("name")).otherwise(F.regexp_extract("match", FOUND, 1))
-    joint = F.when(F.col("name") != "", F.lit("=")).otherwise(F.regexp_extract("match", FOUND, 2))
+    before = F.when(F.col("name") != "", F.col("name")).otherwise(F.col("match")[2])
+    joint = F.when(F.col("name") != "", F.lit("=")).otherwise(F.col("match")[1])
     found = (rows.withColumn("raw", raw).withColumn("name", name.substr(F.lit(1), F.lit(41)))
              .withColumn("value", F.regexp_replace(value, r"^=+", "")).withColumn("before", before)
              .withColumn("joint", joint).where(F.length("value") >= 8))
