@@ -253,6 +253,17 @@ def test_secrets_side_by_side(spark):
     assert got[2] == [("", "", "token1234"), ("token1234", ' = "', "abc123def456")]
 
 
+def test_secrets_with_padding(spark):
+    """Padding is no sign of a name: the name before it is a value."""
+    got = found_values(spark, 'api_key = "QWxhZGRpbjpvcGVuIHNlc2FtZQ=="', "secret: c2VjcmV0MTIzNDU2Nzg5MA==",
+                       "api_key=QWxhZGRpbjpvcGVuIHNlc2FtZQ==", "key=hunter2hunter2", "password=hunter2")
+    assert got[0] == [("api_key", ' = "', "QWxhZGRpbjpvcGVuIHNlc2FtZQ==")]
+    assert got[1] == [("secret", ": ", "c2VjcmV0MTIzNDU2Nzg5MA==")]
+    assert got[2] == [("api_key", "=", "QWxhZGRpbjpvcGVuIHNlc2FtZQ==")]
+    assert got[3] == [("key", "=", "hunter2hunter2")]
+    assert [v for _, _, v in got[4]] == ["password=hunter2"]
+
+
 def test_token_files(spark, odd_docs, tmp_path):
     from tokenizers import Tokenizer
     lib = Tokenizer.from_file(WORDS)
