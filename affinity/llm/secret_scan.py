@@ -1,8 +1,10 @@
 """Operator 7: secret scans with a random forest that removes false positives.
 
-DataFrame and SQL functions only. A broad pattern finds candidates (runs of
-key-like characters with a digit) with the words around them. Every candidate
-is described by its length, its character classes and the transitions between
+DataFrame and SQL functions only. Broad patterns find candidates of at least 8
+characters with the word before them: runs of key-like characters with a digit,
+and whatever is assigned to a credential's name, up to its closing quote or, if
+unquoted, up to a blank and up to the first of , ; & < > or a quote. Candidates
+may overlap; the forest judges each. Every candidate is described by its length, its character classes and the transitions between
 them, its entropy, how much of it dictionary words cover (words of letters
 that occur in at least `DICTIONARY_DOCS` documents of the corpus, counted over
 all of them), its path, and its neighbouring words. A random forest trained on
@@ -47,9 +49,17 @@ CANDIDATE = rf"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_.@=-]*+[0-9])[A-Za-z0-9+/_.@-]
 # name = value without blanks is one run: the name is cut off where a value follows, not before the padding of base64
 NAME = rf"^([A-Za-z][A-Za-z0-9_.-]{{0,40}})=(?==*[A-Za-z0-9+/_.@-][{_KEY}]{{7}})"
 # The neighbouring word and what joins it to the value, at the end of the text before the value.
-BEFORE = r"(\S{0,40}?)([ \t]*[=:]?[ \t]*[\"'`]?)$"
+BEFORE = r"(\S{0,40}?)([ \t]*(?:[=:][=:>]{0,2})?[ \t]*\\?[\"'`]?)$"
 CONTEXT = 120
-CREDENTIAL = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api_?-?key|access_?-?key|private_?-?key|auth|credential)s?\W*$"
+NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api_?-?key|access_?-?key|private_?-?key|auth|credential)s?"
+CREDENTIAL = rf"(?i){NAMES}\W*$"
+# What is assigned to a credential's name, of any characters: up to its closing quote, or else up to a blank. Only
+# the place before the value is matched, so a value doesn't hide another one inside it.
+_ASSIGNS = r"[^\w\s]{0,3}[ \t]{0,20}[=:][=:>]{0,2}"
+NAMED = rf"(?i){NAMES}{_ASSIGNS}"
+ASSIGNED = (rf"(?<=[=:>\s\"'`])(?<=(?i:{NAMES}){_ASSIGNS}[ \t]{{0,20}}\\?[\"'`]?)(?!(?<=[=:])[=:>])(?=("
+            + "|".join(rf"(?<=\\{q})[^\n]+?(?=\\{q})|(?<={q})[^\n]+?(?=(?<!\\){q})" for q in "\"'`")
+            + r"|(?!\\?[\"'`])\S+))")
 PROVIDER = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^(ghp|gho|ghs|ghu)_[A-Za-z0-9]{30,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^AIza[A-Za-z0-9_-]{35}$|^sk_live_[A-Za-z0-9]{16,}$"
 TEST_PATH = r"(?i)(^|[/_.-])(tests?|docs?|examples?|samples?|fixtures?|vendor)([/_.-]|$)"
 
@@ -77,21 +87,38 @@ def _with_context(rows: DataFrame, values: Column, taken: Column) -> DataFrame:
                .withColumn("match", F.split("match", "\n"))
 
 
+def _assigned(rows: DataFrame) -> DataFrame:
+    """The rows of `_with_context` of values assigned to a credential's name."""
+    # a match at the very start would have no gap before it
+    led = rows.where(F.col("text").rlike(NAMED)).withColumn("led", F.concat(F.lit("\n"), "text"))
+    led = led.withColumns({"gaps": F.split("led", ASSIGNED, -1),
+                           "values": F.regexp_extract_all("led", F.lit(ASSIGNED), F.lit(1))})
+    found = _with_context(led, F.col("values"), F.transform("values", lambda _: F.lit("")))
+    value, joint, before = (F.col("match")[k] for k in range(3))
+    # an unquoted value: without the punctuation after it, and up to the first character that may end it
+    bare = F.regexp_replace(value, r"""[,;.)\]}>"'`\\]+$""", "")
+    values = F.when(joint.rlike("[\"'`]$"), F.array(value)).otherwise(F.array_distinct(F.array(
+        bare, F.regexp_extract(bare, r"""^[^,;&<>"'`]*""", 0))))
+    return found.withColumn("value", F.explode(values)).withColumn("match", F.array("value", joint, before)).drop("value")
+
+
 def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
     """(doc_id, text_key, path, value, before, joint, start, occurrences): every candidate of every text."""
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
+    text = F.col("text")
     rows = (docs.select("doc_id", where.alias("path"), text_or_empty().alias("text"))
-            .where(F.col("text").rlike(CANDIDATE)))
-    rows = rows.withColumns({"text_key": F.xxhash64("text"), "gaps": F.split("text", CANDIDATE, -1),
+            .where(text.rlike(CANDIDATE) | text.rlike(NAMED)).withColumn("text_key", F.xxhash64("text")))
+    runs = rows.withColumns({"gaps": F.split("text", CANDIDATE, -1),
                              "runs": F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))})
-    rows = _with_context(rows, F.col("runs"), F.col("runs"))
+    rows = _with_context(runs, F.col("runs"), F.col("runs")).withColumn("whole", F.lit(False)).unionByName(
+        _assigned(rows).withColumn("whole", F.lit(True)))
     raw = F.col("match")[0]
-    name = F.regexp_extract(raw, NAME, 1)
+    name = F.when(F.col("whole"), "").otherwise(F.regexp_extract(raw, NAME, 1))
     value = F.when(name != "", F.expr("substring(raw, length(name) + 2)")).otherwise(F.col("raw"))
     before = F.when(F.col("name") != "", F.col("name")).otherwise(F.col("match")[2])
     joint = F.when(F.col("name") != "", F.lit("=")).otherwise(F.col("match")[1])
     found = (rows.withColumn("raw", raw).withColumn("name", name.substr(F.lit(1), F.lit(41)))
-             .withColumn("value", F.regexp_replace(value, r"^=+", "")).withColumn("before", before)
+             .withColumn("value", F.when(F.col("whole"), raw).otherwise(F.regexp_replace(value, r"^=+", ""))).withColumn("before", before)
              .withColumn("joint", joint).where(F.length("value") >= 8))
     occurrences = F.floor((F.length("text") - F.length(F.replace("text", "value", F.lit("")))) / F.length("value"))
     return found.select("doc_id", "text_key", "path", "value", "before", "joint",

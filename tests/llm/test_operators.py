@@ -264,6 +264,22 @@ def test_secrets_with_padding(spark):
     assert [v for _, _, v in got[4]] == ["password=hunter2"]
 
 
+def test_secrets_of_any_characters(spark):
+    """What is assigned to a credential's name needs neither a digit nor key characters."""
+    got = found_values(spark, 'password = "correcthorsebattery"', 'password = "S3cr3t!x$9Qw"', "password=P4ss!word#2024x",
+                       "password=correcthorse&token=batterystaple", "{'pwd': 'correct horse battery'}, the end",
+                       '{\\"secret\\":\\"it\'s a long one\\",\\"n\\":1}', "the password is nowhere", 'password = ""',
+                       'password = "abc=defg,hijkl"')
+    values = [{v for _, _, v in x} for x in got]
+    assert got[0] == [("password", ' = "', "correcthorsebattery")] and got[1] == [("password", ' = "', "S3cr3t!x$9Qw")]
+    assert "P4ss!word#2024x" in values[2]
+    assert values[3] == {"correcthorse&token=batterystaple", "correcthorse", "batterystaple"}
+    assert got[4] == [("{'pwd'", ": '", "correct horse battery")]
+    assert values[5] == {"it's a long one"}
+    assert values[6] == values[7] == set()
+    assert "abc=defg,hijkl" in values[8]
+
+
 def test_token_files(spark, odd_docs, tmp_path):
     from tokenizers import Tokenizer
     lib = Tokenizer.from_file(WORDS)
