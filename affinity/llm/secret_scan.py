@@ -4,7 +4,9 @@ DataFrame and SQL functions only. Broad patterns find candidates of at least 8
 characters with the word before them: runs of key-like characters with a digit,
 and whatever is assigned to a credential's name, up to its closing quote or, if
 unquoted, up to a blank and up to the first of , ; & < > or a quote. Candidates
-may overlap; the forest judges each. Every candidate is described by its length, its character classes and the transitions between
+may overlap; the forest judges each. Of scheme://user:password@host the password
+is the candidate (one of under 8 characters: with its host), joined by ":@".
+Every candidate is described by its length, its character classes and the transitions between
 them, its entropy, how much of it dictionary words cover (words of letters
 that occur in at least `DICTIONARY_DOCS` documents of the corpus, counted over
 all of them), its path, and its neighbouring words. A random forest trained on
@@ -13,8 +15,8 @@ scoring is part of the query.
 
 Labelled findings are a table of (value, before, joint, label). Where none is
 given they are derived from the corpus: a value that is assigned to a
-credential's name, or has a provider's key format, is labelled 1; e-mail
-addresses, host names, numbers with separators and values made of dictionary
+credential's name, is a login's password or has a provider's key format, is
+labelled 1; whole e-mail addresses, host names, numbers with separators and values made of dictionary
 words are labelled 0; the rest has no label and is left to the forest. At most
 `FIT_ROWS` labelled findings, taken by hash, are fitted on.
 
@@ -49,7 +51,7 @@ CANDIDATE = rf"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_.@=-]*+[0-9])[A-Za-z0-9+/_.@-]
 # name = value without blanks is one run: the name is cut off where a value follows, not before the padding of base64
 NAME = rf"^([A-Za-z][A-Za-z0-9_.-]{{0,40}})=(?==*[A-Za-z0-9+/_.@-][{_KEY}]{{7}})"
 # The neighbouring word and what joins it to the value, at the end of the text before the value.
-BEFORE = r"(\S{0,40}?)([ \t]*(?:[=:][=:>]{0,2})?[ \t]*\\?[\"'`]?)$"
+BEFORE = r"(://[^\s/:@]{0,64}|\S{0,40}?)([ \t]*(?:[=:][=:>]{0,2})?[ \t]*\\?[\"'`]?)$"
 CONTEXT = 120
 NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api_?-?key|access_?-?key|private_?-?key|auth|credential)s?"
 CREDENTIAL = rf"(?i){NAMES}\W*$"
@@ -60,6 +62,12 @@ NAMED = rf"(?i){NAMES}{_ASSIGNS}"
 ASSIGNED = (rf"(?<=[=:>\s\"'`])(?<=(?i:{NAMES}){_ASSIGNS}[ \t]{{0,20}}\\?[\"'`]?)(?!(?<=[=:])[=:>])(?=("
             + "|".join(rf"(?<=\\{q})[^\n]+?(?=\\{q})|(?<={q})[^\n]+?(?=(?<!\\){q})" for q in "\"'`")
             + r"|(?!\\?[\"'`])\S+))")
+# scheme://user:password@host, with the place before the password; in front of it; and the password itself
+LOGIN = r"://[^\s/:@]{0,64}:[^\s/]*@"
+LOGIN_VALUE = r"(?<=://[^\s/:@]{0,64}:)(?=([^\s/\"'`<>]+@[^\s\"'`<>]*))"
+LOGIN_BEFORE = r"://[^\s/:@]*:[^\s/]*$"
+LOGIN_PASSWORD = r"^([^/]{8,})@"
+EMAIL = r"^[A-Za-z0-9._%+/=-]+@([A-Za-z0-9-]+\.)+[A-Za-z]{2,}$"
 PROVIDER = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^(ghp|gho|ghs|ghu)_[A-Za-z0-9]{30,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^AIza[A-Za-z0-9_-]{35}$|^sk_live_[A-Za-z0-9]{16,}$"
 TEST_PATH = r"(?i)(^|[/_.-])(tests?|docs?|examples?|samples?|fixtures?|vendor)([/_.-]|$)"
 
@@ -87,13 +95,18 @@ def _with_context(rows: DataFrame, values: Column, taken: Column) -> DataFrame:
                .withColumn("match", F.split("match", "\n"))
 
 
+def _at_places(rows: DataFrame, places: str) -> DataFrame:
+    """The rows of `_with_context` of the values that stand at a pattern's places."""
+    # a match at the very start would have no gap before it
+    led = rows.withColumn("led", F.concat(F.lit("\n"), "text"))
+    led = led.withColumns({"gaps": F.split("led", places, -1),
+                           "values": F.regexp_extract_all("led", F.lit(places), F.lit(1))})
+    return _with_context(led, F.col("values"), F.transform("values", lambda _: F.lit("")))
+
+
 def _assigned(rows: DataFrame) -> DataFrame:
     """The rows of `_with_context` of values assigned to a credential's name."""
-    # a match at the very start would have no gap before it
-    led = rows.where(F.col("text").rlike(NAMED)).withColumn("led", F.concat(F.lit("\n"), "text"))
-    led = led.withColumns({"gaps": F.split("led", ASSIGNED, -1),
-                           "values": F.regexp_extract_all("led", F.lit(ASSIGNED), F.lit(1))})
-    found = _with_context(led, F.col("values"), F.transform("values", lambda _: F.lit("")))
+    found = _at_places(rows.where(F.col("text").rlike(NAMED)), ASSIGNED)
     value, joint, before = (F.col("match")[k] for k in range(3))
     # an unquoted value: without the punctuation after it, and up to the first character that may end it
     bare = F.regexp_replace(value, r"""[,;.)\]}>"'`\\]+$""", "")
@@ -107,19 +120,23 @@ def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
     text = F.col("text")
     rows = (docs.select("doc_id", where.alias("path"), text_or_empty().alias("text"))
-            .where(text.rlike(CANDIDATE) | text.rlike(NAMED)).withColumn("text_key", F.xxhash64("text")))
+            .where(text.rlike(CANDIDATE) | text.rlike(NAMED) | text.rlike(LOGIN)).withColumn("text_key", F.xxhash64("text")))
     runs = rows.withColumns({"gaps": F.split("text", CANDIDATE, -1),
                              "runs": F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))})
     rows = _with_context(runs, F.col("runs"), F.col("runs")).withColumn("whole", F.lit(False)).unionByName(
-        _assigned(rows).withColumn("whole", F.lit(True)))
+        _assigned(rows).unionByName(_at_places(rows.where(text.rlike(LOGIN)), LOGIN_VALUE)).withColumn("whole", F.lit(True)))
     raw = F.col("match")[0]
-    name = F.when(F.col("whole"), "").otherwise(F.regexp_extract(raw, NAME, 1))
-    value = F.when(name != "", F.expr("substring(raw, length(name) + 2)")).otherwise(F.col("raw"))
+    # user:password@host: the password, or with its host one that is too short to be masked wherever it stands
+    login = F.concat(F.col("match")[2], F.col("match")[1]).rlike(LOGIN_BEFORE) & raw.rlike("^[^/]+@")
+    password = F.regexp_extract(raw, LOGIN_PASSWORD, 1)
+    name = F.when(F.col("whole") | F.col("login"), "").otherwise(F.regexp_extract(raw, NAME, 1))
+    value = F.when(F.col("login"), F.when(password != "", password).otherwise(raw)).when(F.col("whole"), raw).otherwise(
+        F.regexp_replace(F.when(name != "", F.expr("substring(raw, length(name) + 2)")).otherwise(F.col("raw")), r"^=+", ""))
     before = F.when(F.col("name") != "", F.col("name")).otherwise(F.col("match")[2])
-    joint = F.when(F.col("name") != "", F.lit("=")).otherwise(F.col("match")[1])
-    found = (rows.withColumn("raw", raw).withColumn("name", name.substr(F.lit(1), F.lit(41)))
-             .withColumn("value", F.when(F.col("whole"), raw).otherwise(F.regexp_replace(value, r"^=+", ""))).withColumn("before", before)
-             .withColumn("joint", joint).where(F.length("value") >= 8))
+    joint = F.when(F.col("name") != "", F.lit("=")).when(F.col("login"), F.concat(F.col("match")[1], F.lit("@"))) \
+             .otherwise(F.col("match")[1])
+    found = (rows.withColumns({"raw": raw, "login": login}).withColumn("name", name.substr(F.lit(1), F.lit(41)))
+             .withColumns({"value": value, "before": before, "joint": joint}).where(F.length("value") >= 8))
     occurrences = F.floor((F.length("text") - F.length(F.replace("text", "value", F.lit("")))) / F.length("value"))
     return found.select("doc_id", "text_key", "path", "value", "before", "joint",
                         F.expr("instr(text, value)").alias("start"), occurrences.cast("int").alias("occurrences")) \
@@ -151,7 +168,7 @@ def describe(found: DataFrame, coverage: DataFrame) -> DataFrame:
     entropy = F.aggregate(chars, F.lit(0.0), lambda total, c: total + F.when(c == "", 0.0).otherwise(
         -(n - F.length(F.replace(v, c, F.lit("")))) / n * F.log2((n - F.length(F.replace(v, c, F.lit("")))) / n)))
     longest = F.array_max(F.transform(F.regexp_extract_all(v, F.lit("[A-Za-z]+"), F.lit(0)), F.length))
-    flag = {"f_credential": F.col("before").rlike(CREDENTIAL), "f_assigned": F.col("joint").rlike("[=:]"),
+    flag = {"f_credential": F.col("before").rlike(CREDENTIAL) | _in_login(), "f_assigned": F.col("joint").rlike("[=:]"),
             "f_quoted": F.col("joint").rlike("[\"'`]"), "f_path": F.col("path").rlike(TEST_PATH),
             "f_hex": v.rlike("^([0-9a-f]+|[0-9A-F]+)$")}
     out = found.join(coverage, "value", "left").withColumns({
@@ -162,13 +179,18 @@ def describe(found: DataFrame, coverage: DataFrame) -> DataFrame:
     return out.drop("coverage")
 
 
+def _in_login() -> Column:
+    """Whether a finding is the password of user:password@host."""
+    return F.concat("before", "joint").rlike(rf"{LOGIN_BEFORE[:-1]}@$")
+
+
 def derived_label() -> Column:
     """The label of a finding whose surroundings or format settle it; null for the rest."""
     v = F.col("value")
     secret = v.rlike(PROVIDER) | ((F.col("f_credential") == 1) & (F.col("f_assigned") == 1)
                                   & (F.col("f_length") >= 12) & (F.col("f_dictionary") < 0.5))
-    harmless = (v.contains("@") | v.rlike(r"^[0-9+./_=-]+$") | (F.col("f_dictionary") >= 0.5)
-                | v.rlike(r"^(www\.|[a-z0-9-]+\.)+[a-z]{2,}(/|$)"))
+    harmless = ~_in_login() & (v.rlike(EMAIL) | v.rlike(r"^[0-9+./_=-]+$") | (F.col("f_dictionary") >= 0.5)
+                               | v.rlike(r"^(www\.|[a-z0-9-]+\.)+[a-z]{2,}(/|$)"))
     return F.when(secret, 1.0).when(harmless, 0.0)
 
 

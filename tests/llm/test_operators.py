@@ -280,6 +280,20 @@ def test_secrets_of_any_characters(spark):
     assert "abc=defg,hijkl" in values[8]
 
 
+def test_secrets_in_connection_strings(spark):
+    """The password is cut from user:password@host, is no e-mail address and is masked."""
+    texts = ["postgres://admin:s3cretPassw0rd@db.example.com/x", "see amqp://u:correct!horse$@mq:5672", "redis://:ab1@cache.example.com",
+             "mail someone.27@mail.example.com", "http://localhost:8080/index"]
+    got = found_values(spark, *texts)
+    assert got[0] == [("postgres://admin", ":@", "s3cretPassw0rd")]
+    assert got[1] == [("amqp://u", ":@", "correct!horse$")]
+    assert got[2] == [("redis://", ":@", "ab1@cache.example.com")]
+    assert [v for _, _, v in got[3]] == ["someone.27@mail.example.com"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    masked = {r.doc_id: r.text for r in secret_scan.mask_secrets(docs).collect()}
+    assert masked[0] == "postgres://admin:[SECRET]@db.example.com/x" and masked[3] == texts[3]
+
+
 def test_token_files(spark, odd_docs, tmp_path):
     from tokenizers import Tokenizer
     lib = Tokenizer.from_file(WORDS)
