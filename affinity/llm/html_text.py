@@ -8,7 +8,9 @@ of its parent container, so a short heading among long paragraphs is carried
 by them, and fused with what the markup itself says: elements, roles and class
 names of menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments count nothing, and `article` and `main` count in
-full. Paths above half of the page's best evidence are kept, with all of their
+full. Class and id words alone never drop an element that holds most of the
+page's text outside links, or that is or holds an `article` or `main` (the
+latter not for words of comments and related pages). Paths above half of the page's best evidence are kept, with all of their
 blocks. Where a page has an `article` or `main` with text, paths outside it
 are not considered.
 
@@ -47,6 +49,8 @@ WORDS = frozenset(
     "cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe signup login share "
     "sharing social related recommended recommendations comment comments reply replies respond discussion disqus "
     "pagination pager toolbar banner copyright alert warning disclaimer".split())
+# Of these, also an element that holds an article is dropped, unless it holds most of the page's text.
+ASIDE_WORDS = frozenset("comment comments reply replies respond discussion disqus related recommended recommendations".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # An open element of the first kind is closed by a start tag of the second.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"},
@@ -65,14 +69,15 @@ PLAIN, DROPPED, CONTENT, HEADER = range(4)
 class Element:
     """An open element: what it adds to the path and what it says about the text below it."""
 
-    __slots__ = ("name", "path", "state", "link")
+    __slots__ = ("name", "path", "state", "link", "doubts", "outer")
 
-    def __init__(self, name: str, path: int, state: int, link: bool):
+    def __init__(self, name: str, path: int, state: int, link: bool, doubts: tuple[int, ...] = (), outer: tuple[int, ...] = ()):
         self.name, self.path, self.state, self.link = name, path, state, link
+        self.doubts, self.outer = doubts, outer      # elements of boilerplate words around it; those around its article
 
 
-def _judge(name: str, attributes: str, parent: int) -> tuple[int, str]:
-    """What an element is, given its parent, and its label in the path."""
+def _judge(name: str, attributes: str, parent: int) -> tuple[int, str, set[str]]:
+    """What an element is, given its parent, its label in the path, and its words of boilerplate."""
     found = {a.lower(): v.strip("\"'") for a, v in ATTRIBUTE.findall(attributes)} if attributes else {}
     label = f"{name}.{found.get('class', '')}#{found.get('id', '')}" if found else name
     words = {w.lower() for w in PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
@@ -80,23 +85,34 @@ def _judge(name: str, attributes: str, parent: int) -> tuple[int, str]:
               or re.search(r"display\s*:\s*none", found.get("style", ""), re.I))
     heading = name == "header" or words & {"header"}
     if parent == DROPPED or hidden:
-        return DROPPED, label
+        return DROPPED, label, set()
     if heading and parent in (CONTENT, HEADER):      # an article's own header: its headings are its text
-        return HEADER, label
-    if name in BOILERPLATE or found.get("role", "").lower() in ROLES \
-            or (words & WORDS and name not in ("html", "body", "main")):
-        return DROPPED, label
+        return HEADER, label, set()
+    if name in BOILERPLATE or found.get("role", "").lower() in ROLES:
+        return DROPPED, label, set()
+    doubt = words & WORDS if name not in ("html", "body", "main") else set()
     if parent == HEADER:
-        return (CONTENT if name in HEADINGS else HEADER), label
-    return (CONTENT if parent == CONTENT or name in ("article", "main") else PLAIN), label
+        return (CONTENT if name in HEADINGS else HEADER), label, doubt
+    return (CONTENT if parent == CONTENT or name in ("article", "main") else PLAIN), label, doubt
 
 
-def blocks(page: str) -> list[tuple[int, int, int, str, int]]:
-    """(path, parent path, state, text, characters in links) of the page's blocks, in order."""
+def _dropped_span(attributes: str) -> bool:
+    state, _, words = _judge("span", attributes, PLAIN)
+    return state == DROPPED or bool(words)
+
+
+def blocks(page: str) -> tuple[list[tuple[int, int, int, str, int]], list[int]]:
+    """(path, parent path, state, text, characters in links) of the page's blocks, in order; the parent of each path.
+
+    Class and id words drop an element only if it neither holds an article or main nor most of the text outside links.
+    """
     paths: dict[tuple[int, str], int] = {}
     parent_of = [0]
     stack = [Element("", 0, PLAIN, False)]
     out: list[tuple[int, int, int, str, int]] = []
+    doubted: list[tuple[int, ...]] = []               # of each block
+    words_of: list[set[str]] = []                     # of each doubted element
+    holds_article: set[int] = set()
     text: list[str] = []
     links = 0
     where = stack[0]
@@ -113,6 +129,8 @@ def blocks(page: str) -> list[tuple[int, int, int, str, int]]:
         joined = " ".join("".join(text).split())
         if joined:
             out.append((where.path, parent_of[where.path], where.state, joined, links))
+            doubted.append(where.doubts)
+            holds_article.update(where.outer)
         text, links = [], 0
 
     def add(raw: str) -> None:
@@ -177,15 +195,30 @@ def blocks(page: str) -> list[tuple[int, int, int, str, int]]:
                     break
         top = stack[-1]
         if name in INLINE:
-            hidden = name == "span" and _judge(name, token["attributes"], PLAIN)[0] == DROPPED
-            stack.append(Element(name, top.path, DROPPED if hidden else top.state, top.link or name == "a"))
+            hidden = name == "span" and _dropped_span(token["attributes"])
+            stack.append(Element(name, top.path, DROPPED if hidden else top.state, top.link or name == "a", top.doubts, top.outer))
         elif token["attributes"].endswith("/") and name not in ("p", "div", "li"):
             continue
         else:
-            state, label = _judge(name, token["attributes"], top.state)
-            stack.append(Element(name, path_of(top.path, label), state, top.link))
+            state, label, words = _judge(name, token["attributes"], top.state)
+            doubts = top.doubts
+            if words:
+                doubts += (len(words_of),)
+                words_of.append(words)
+            outer = doubts if name in ("article", "main") and state == CONTENT else top.outer
+            stack.append(Element(name, path_of(top.path, label), state, top.link, doubts, outer))
     end_block()
-    return out
+    if words_of:
+        held, total = [0] * len(words_of), 0
+        for (_, _, _, joined, linked), doubts in zip(out, doubted):
+            own = max(len(joined) - linked, 0)
+            total += own
+            for d in doubts:
+                held[d] += own
+        dropped = {d for d, words in enumerate(words_of) if 2 * held[d] <= total
+                   and (d not in holds_article or words & ASIDE_WORDS)}
+        out = [b for b, doubts in zip(out, doubted) if dropped.isdisjoint(doubts)]
+    return out, parent_of
 
 
 def _evidence(length: int, links: int, marks: int, count: int) -> float:
@@ -194,7 +227,7 @@ def _evidence(length: int, links: int, marks: int, count: int) -> float:
 
 def main_text(page: str | None) -> str:
     """The main text of a page."""
-    found = blocks(page or "")
+    found, _ = blocks(page or "")
     inside = [b for b in found if b[2] == CONTENT]
     found = inside or found
     if not found:

@@ -220,6 +220,14 @@ def test_page_text(spark):
         assert html_text.main_text(r.html) == "\n".join(b for b in blocks if b)
 
 
+@pytest.mark.parametrize("opening", ['<div class="content has-sidebar"><p>', '<div id="page-with-comments"><p>',
+                                     '<article class="post category-advertising"><p>', '<div class="has-widget"><main><p>'])
+def test_page_text_words_drop_no_article(opening):
+    body = "The article, with commas, is long. It goes on; and on."
+    page = f'<body><div class="sidebar"><p>Side, text.</p></div>{opening}{body}</p><div class="share">Share it</div></body>'
+    assert html_text.main_text(page) == body
+
+
 def test_secrets(spark, odd_docs):
     docs = odd_docs.unionByName(smoke(spark), allowMissingColumns=True)
     found = secret_scan.scan(docs).collect()
