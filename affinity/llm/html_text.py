@@ -11,7 +11,8 @@ styles and reader comments count nothing, and `article` and `main` count in
 full. Class and id words alone never drop an element that holds most of the
 page's text outside links, or that is or holds an `article` or `main` (the
 latter not for words of comments and related pages). Paths above half of the page's best evidence are kept, with all of their
-blocks. Where a page has an `article` or `main` with text, paths outside it
+blocks, and so are blocks that are mostly no links and lie in the container of
+the best path (below `body`) or between kept blocks of one container. Where a page has an `article` or `main` with text, paths outside it
 are not considered.
 
 Blocks are joined in page order by one line feed; white space inside a block,
@@ -227,7 +228,7 @@ def _evidence(length: int, links: int, marks: int, count: int) -> float:
 
 def main_text(page: str | None) -> str:
     """The main text of a page."""
-    found, _ = blocks(page or "")
+    found, parent_of = blocks(page or "")
     inside = [b for b in found if b[2] == CONTENT]
     found = inside or found
     if not found:
@@ -245,7 +246,33 @@ def main_text(page: str | None) -> str:
         only_links = own[1] >= 0.8 * own[0] and own[3] >= 3
         score[path] = math.inf if state == CONTENT and not only_links else smooth
     best = max((s for s in score.values() if s < math.inf), default=0.0)
-    return "\n".join(text for path, _, _, text, _ in found if score[path] > 0.5 * best or score[path] == math.inf)
+    kept = [score[path] > 0.5 * best or score[path] == math.inf for path, *_ in found]
+    if best > 0:
+        kept = _with_short_blocks(found, kept, score, best, parent_of)
+    return "\n".join(b[3] for b, k in zip(found, kept) if k)
+
+
+def _with_short_blocks(found: list[tuple[int, int, int, str, int]], kept: list[bool], score: dict[int, float], best: float,
+                       parent_of: list[int]) -> list[bool]:
+    """Kept blocks, with those that aren't links inside the best path's container or between kept blocks of one container."""
+    reach: dict[int, list[int]] = {}
+    for k, (_, parent, *_) in enumerate(found):
+        if kept[k]:
+            reach.setdefault(parent, [k, k])[1] = k
+    between = [0] * (len(found) + 1)
+    for first, last in reach.values():
+        between[first] += 1
+        between[last] -= 1
+    containers = {parent for path, parent, *_ in found if score[path] == best and parent_of[parent_of[parent]]}
+    out, depth = [], 0
+    for k, (path, parent, _, text, links) in enumerate(found):
+        depth += between[k]
+        inside = depth > 0
+        while parent and not inside:
+            inside = parent in containers
+            parent = parent_of[parent]
+        out.append(kept[k] or (inside and 2 * links < len(text)))
+    return out
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

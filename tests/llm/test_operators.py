@@ -228,6 +228,19 @@ def test_page_text_words_drop_no_article(opening):
     assert html_text.main_text(page) == body
 
 
+def test_page_text_keeps_short_items():
+    """Bullets, cells and code lines among and after long paragraphs; the menu beside them stays out."""
+    long = "Words of a sentence, and more of them, run on and on here. " * 8
+    items = "".join(f"<li>Short item number {'abcdefghij'[k]} of the list</li>" for k in range(10))
+    menu = "".join(f"<li><a href=x>Menu entry {k}</a></li>" for k in range(5))
+    page = f"<html><body><div id=top><ul>{menu}</ul></div><div class=content><p>{long}</p><ul>{items}</ul><p>{long}</p>" \
+           "<table><tr><td>cell</td></tr></table><pre>x = 1</pre></div><div id=end><p>Bye</p></div></body></html>"
+    got = html_text.main_text(page).split("\n")
+    assert got == [long.strip(), *(f"Short item number {c} of the list" for c in "abcdefghij"), long.strip(), "cell", "x = 1"]
+    flat = page.replace("<div class=content>", "").replace("</pre></div>", "</pre>")
+    assert html_text.main_text(flat).split("\n")[:12] == got[:12]
+
+
 def test_secrets(spark, odd_docs):
     docs = odd_docs.unionByName(smoke(spark), allowMissingColumns=True)
     found = secret_scan.scan(docs).collect()
