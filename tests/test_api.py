@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from affinity.operators import api, browse, manifests, recommend
 from affinity.plans import registry as R
-from conftest import SMOKE
+from inputs import SMOKE
 
 
 def _errors(spark, bodies):

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SMOKE
+from inputs import SMOKE
 from oracle_check import duck, rows_of
 
 import __spark_entry__ as entry

@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from affinity.plans.registry import QUERIES
-from conftest import SMOKE
+from inputs import SMOKE
 
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
              "FlatMapGroupsInPandas", "MapInPandas"]

@@ -3,7 +3,7 @@
 from affinity.plans import registry as R
 from affinity.plans import serve, train
 from affinity.sources import corpus
-from conftest import SMOKE
+from inputs import SMOKE
 
 
 def test_train_then_serve(spark):

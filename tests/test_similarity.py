@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from affinity.operators import similarity
 from affinity.sources import corpus
-from conftest import SMOKE
+from inputs import SMOKE
 
 
 def _pairs(df):
