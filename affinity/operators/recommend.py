@@ -14,6 +14,7 @@ from affinity.session import materialize
 
 from affinity.functions import purl, scoring
 from affinity.operators.joins import MAX_BROADCAST_ROWS, checked_broadcast_with_count
+from affinity.sources.landed import BUCKET, bucket_of, similarity_buckets
 
 # Fixed value: default result limit of the recommendation service.
 DEFAULT_MAX_RECOMMENDATIONS = 10000
@@ -53,6 +54,15 @@ def resolve_seeds(packages: DataFrame, names: DataFrame, keys: list[str] | None
                  .select(*keys, "id").dropDuplicates(keys + ["id"]))
 
 
+def _in_bucket(seeds: DataFrame, buckets: int | None) -> DataFrame:
+    """The seeds with the bucket of the similarity table that holds their rows, if it has buckets.
+
+    Joined on, it is the scan's partition column: Spark reads only the folders
+    of the seeds' buckets (dynamic partition pruning).
+    """
+    return seeds if not buckets else seeds.withColumn(BUCKET, bucket_of(F.col("package_a"), buckets))
+
+
 def candidates(similarity: DataFrame, seed_ids: DataFrame, keys: list[str] | None = None,
                seed_count: int | None = None, limit=None) -> DataFrame:
     """Pairs whose package_a is a seed and whose package_b is not owned (per key group).
@@ -62,19 +72,21 @@ def candidates(similarity: DataFrame, seed_ids: DataFrame, keys: list[str] | Non
 
     With `limit` (an int, or a column of seed_ids) and a similarity table
     carrying `neighbor_rank`, only each seed's first limit + owned neighbours
-    are read. Exact: a pair in the final top `limit` has at most limit - 1
+    are read, and of a table written in buckets only those of the seeds. Exact: a pair in the final top `limit` has at most limit - 1
     kept pairs of the same seed ahead of it, plus at most `owned` removed ones.
     """
     keys = keys or []
     seed_ids = seed_ids.select(*keys, "id", *([] if limit is None or isinstance(limit, int) else [limit]))
     if seed_count is None:
         seed_count = seed_ids.count()
+    buckets = similarity_buckets(similarity)
     owned = seed_ids.select(*keys, F.col("id").alias("package_b"))
     if seed_count <= MAX_BROADCAST_ROWS:
         owned = F.broadcast(owned)
     cols = ["package_a", "package_b", "similarity", "bounded_similarity"]
     ranked = limit is not None and "neighbor_rank" in similarity.columns
-    s = similarity.select(*cols, *(["neighbor_rank"] if ranked else []))
+    at = ["package_a"] + ([BUCKET] if buckets else [])
+    s = similarity.select(*cols, *at[1:], *(["neighbor_rank"] if ranked else []))
     if ranked:
         lim = F.lit(limit) if isinstance(limit, int) else F.col(limit)
         seeds = seed_ids.select(*keys, F.col("id").alias("package_a"), lim.alias("_lim"))
@@ -83,14 +95,14 @@ def candidates(similarity: DataFrame, seed_ids: DataFrame, keys: list[str] | Non
             seeds = seeds.join(n_owned, keys)
         else:
             seeds = seeds.withColumn("_owned", seed_ids.agg(F.count(F.lit(1))).scalar())
-        seeds = seeds.select(*keys, "package_a", (F.col("_lim") + F.col("_owned")).alias("_bound"))
+        seeds = seeds.select(*keys, "package_a", (F.col("_lim") + F.col("_owned")).alias("_bound")).where("_bound > 0")
         if seed_count <= MAX_BROADCAST_ROWS:
             seeds = F.broadcast(seeds)
-        pairs = (seeds.join(s, "package_a").where(F.col("neighbor_rank") <= F.col("_bound"))
+        pairs = (_in_bucket(seeds, buckets).join(s, at).where(F.col("neighbor_rank") <= F.col("_bound"))
                       .select(*keys, *cols))
     else:
-        seeds = owned.select(*keys, F.col("package_b").alias("package_a"))
-        pairs = seeds.join(s, "package_a").select(*keys, *cols) if keys else s.join(seeds, "package_a", "left_semi").select(*cols)
+        seeds = _in_bucket(owned.select(*keys, F.col("package_b").alias("package_a")), buckets)
+        pairs = seeds.join(s, at).select(*keys, *cols) if keys else s.join(seeds, at, "left_semi").select(*cols)
     return pairs.join(owned, keys + ["package_b"], "left_anti")
 
 

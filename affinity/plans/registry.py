@@ -56,8 +56,14 @@ def stored(build: Callable[[], DataFrame]) -> DataFrame:
 
 
 def stored_similarity(spark: SparkSession, base: str) -> DataFrame:
+    """The similarity table as a training run writes it: ranked, in folders by bucket of package_a."""
+    state = similarity.state(corpus.raw_edges(spark, base))
+    counts = materialize(state.counts, "counts")
+    sim = similarity.scored_mirror(similarity.cosine(counts, materialize(state.degrees, "degrees")))
     bound = corpus.package_names(spark, base).count()  # neighbour lists hold at most one row per package
-    return stored(lambda: similarity.rank_neighbours(sim_table(spark, base), bound))
+    path = landed.write_similarity(sim, scratch_path(spark, "similarity"), landed.bucket_count(2 * counts.count()),
+                                   rank=True, max_neighbours=bound)
+    return spark.read.parquet(path)
 
 
 def scored_packages(spark: SparkSession, base: str, sim: DataFrame | None = None) -> DataFrame:
@@ -127,6 +133,29 @@ def q_similarity_frame(spark, base):
 
 # ------------------------------------------------------------- F: scores
 
+# Edges in three steps: what the first deliveries hold, then two sets of signed changes; first lines of every
+# seventh repository are taken out again by the second.
+_CHANGES_SQL = ("WITH e AS (SELECT DISTINCT l_orderkey AS app, l_partkey AS pkg FROM lineitem EXCEPT "
+                "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey % 7 = 0 AND l_linenumber = 1), "
+                + O.with_ctes("sim")[len("WITH "):].replace(O.CTE["e"] + ",\n", ""))
+
+
+@register("similarity_incremental", _CHANGES_SQL + "SELECT * FROM sim")
+def q_similarity_incremental(spark, base):
+    """E6 kept up to date: pair counts and degrees of a first edge table, changed by two sets of signed edges."""
+    li = corpus.read_table(spark, base, "lineitem", "l_orderkey", "l_partkey", "l_linenumber").select(
+        F.col("l_orderkey").alias("application_id"), F.col("l_partkey").alias("package_id"), "l_linenumber")
+    state = similarity.state(li.where("l_linenumber <= 3"))
+    sign = lambda df, s: df.select("application_id", "package_id", F.lit(s).alias("sign"))
+    second = sign(li.where("l_linenumber between 3 and 4"), 1)          # partly known already
+    gone = sign(li.where("l_orderkey % 7 = 0 and l_linenumber = 1").distinct(), -1000)
+    third = sign(li.where("l_linenumber > 4"), 1).unionByName(gone)
+    for deltas in (second, third):
+        state = similarity.State(*(materialize(t, "state") for t in (state.edges, state.counts, state.degrees)))
+        state = similarity.merge_state(state, deltas)
+    return similarity.scored_mirror(similarity.cosine(state.counts, materialize(state.degrees, "degrees")))
+
+
 @register("bounded_similarity", O.with_ctes("sim") +
           "SELECT package_a, package_b, bounded_similarity FROM sim")
 def q_bounded_similarity(spark, base):
@@ -925,9 +954,8 @@ def q_ingest_pypi_metadata(spark, base):
 
 @register("write_similarity", O.with_ctes("sim") + "SELECT * FROM sim")
 def q_write_similarity(spark, base):
-    """The similarity table written clustered by package_a, read back."""
-    path = landed.write_similarity(stored_similarity(spark, base), scratch_path(spark, "similarity"))
-    return spark.read.parquet(path).select("package_a", "package_b", "similarity", "bounded_similarity")
+    """The similarity table written in folders by bucket of package_a, read back."""
+    return stored_similarity(spark, base).select("package_a", "package_b", "similarity", "bounded_similarity")
 
 
 def _constraints_sql(apps: str, pk: str, deps: str, sim: str) -> str:

@@ -1,8 +1,10 @@
 """The daily train job: edges → similarity table → scored packages, both written.
 
-Each run writes a new version (readers switch when both tables are complete); the similarity
-table is written before scoring reads it, so no reader ever sees unbounded
-placeholder scores.
+Each run writes a new version (readers switch when all its tables are complete). Beside the two
+tables that are served it writes the state they come from (unique edges, pair counts, degrees),
+so the next day's run can start from there: `refresh` adds signed edges to it instead of going
+through all baskets again. The similarity table is written before scoring reads it, so no reader
+ever sees unbounded placeholder scores.
 """
 
 from __future__ import annotations
@@ -16,32 +18,61 @@ from affinity.operators import scores, similarity
 from affinity.session import scratch_path
 from affinity.sources import landed, versions
 
+STATE_TABLES = ("edges", "counts", "degrees")
+
 
 @dataclass
 class TrainOutput:
     similarity_path: str
     packages_path: str
+    state_paths: dict[str, str]
 
+    def state(self, spark: SparkSession) -> similarity.State:
+        return similarity.State(**{t: spark.read.parquet(self.state_paths[t]) for t in STATE_TABLES})
 
-def train(spark: SparkSession, edges: DataFrame, packages: DataFrame, root: str | None = None,
-          materialize_edges: bool = False) -> TrainOutput:
-    """Compute and write the similarity table, then score and write the packages table.
 
-    Every run under `root` is a new version, which readers see (`current`)
-    once both tables are complete; a failed run leaves the one before in place.
-    """
-    root = root or scratch_path(spark, "trained")
+def _output(root: str, version: int, attempt: str) -> TrainOutput:
+    at = {t: versions.path(root, version, f"{t}-{attempt}") for t in ("similarity", "packages", *STATE_TABLES)}
+    return TrainOutput(at["similarity"], at["packages"], {t: at[t] for t in STATE_TABLES})
+
+
+def write_served(spark: SparkSession, state: similarity.State, packages: DataFrame, similarity_path: str,
+                 packages_path: str) -> None:
+    """The two served tables from a written state. Its pair count is known by then and sets the number of buckets."""
+    buckets = landed.bucket_count(2 * state.counts.count())
+    sim = similarity.scored_mirror(similarity.cosine(state.counts, state.degrees))
+    # the package table's row count bounds every neighbour list
+    landed.write_similarity(sim, similarity_path, buckets, rank=True, max_neighbours=packages.count())
+    landed.write_table(scores.score_packages(packages, spark.read.parquet(similarity_path)), packages_path)
+
+
+def _write(spark: SparkSession, state: similarity.State, packages: DataFrame, root: str) -> TrainOutput:
     version = versions.following(spark, root)
     # a failed attempt may have left tables of this number
     attempt = uuid.uuid4().hex
-    sim_path, pk_path = (versions.path(root, version, f"{t}-{attempt}") for t in ("similarity", "packages"))
-    sim = similarity.similarity_frame(edges, materialize=materialize_edges)
-    # the package table's row count bounds every neighbour list
-    landed.write_similarity(sim, sim_path, rank=True, max_neighbours=packages.count())
-    scored = scores.score_packages(packages, spark.read.parquet(sim_path))
-    landed.write_table(scored, pk_path)
+    out = _output(root, version, attempt)
+    for t in STATE_TABLES:
+        landed.write_table(getattr(state, t), out.state_paths[t])
+    write_served(spark, out.state(spark), packages, out.similarity_path, out.packages_path)
     versions.commit(spark, root, version, attempt)
-    return TrainOutput(sim_path, pk_path)
+    return out
+
+
+def train(spark: SparkSession, edges: DataFrame, packages: DataFrame, root: str | None = None) -> TrainOutput:
+    """Compute and write everything from the whole edge table.
+
+    Every run under `root` is a new version, which readers see (`current`)
+    once all its tables are complete; a failed run leaves the one before in place.
+    """
+    return _write(spark, similarity.state(edges), packages, root or scratch_path(spark, "trained"))
+
+
+def refresh(spark: SparkSession, deltas: DataFrame, packages: DataFrame, root: str) -> TrainOutput:
+    """The next version from the newest one and signed edges (application_id, package_id, sign).
+
+    Gives the tables that `train` on the changed edges would give.
+    """
+    return _write(spark, similarity.merge_state(current(spark, root).state(spark), deltas), packages, root)
 
 
 def current(spark: SparkSession, root: str) -> TrainOutput:
@@ -50,4 +81,4 @@ def current(spark: SparkSession, root: str) -> TrainOutput:
     if not runs:
         raise FileNotFoundError(f"no complete training run under {root}")
     version = max(runs)
-    return TrainOutput(*(versions.path(root, version, f"{t}-{runs[version]}") for t in ("similarity", "packages")))
+    return _output(root, version, runs[version])

@@ -14,6 +14,8 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # lists are collected per key in a hash map for this many keys of a task before sorting takes over
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
     # a duplicated JSON key keeps its last value, as a JSON object reader would
     "spark.sql.variant.allowDuplicateKeys": "true",
 }

@@ -148,24 +148,53 @@ def write_table(df: DataFrame, path: str, partition_cols: list[str] | None = Non
     return path
 
 
-def write_similarity(similarity: DataFrame, path: str, files_per_key_range: int | None = None,
+# A bucket of the similarity table holds at least this many rows until there
+# are MANY_BUCKETS of them; from there buckets grow to BUCKET_ROWS rows.
+LEAST_BUCKET_ROWS, BUCKET_ROWS, MANY_BUCKETS = 100_000, 8_000_000, 4096
+BUCKET = "key_bucket"
+BUCKETS = "key_buckets"     # metadata of package_a: into how many buckets the table was written
+
+
+def bucket_count(rows: int) -> int:
+    """Buckets of a similarity table of so many rows."""
+    return max(1, -(-rows // BUCKET_ROWS), min(MANY_BUCKETS, -(-rows // LEAST_BUCKET_ROWS)))
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    """The bucket of a package id: the partition that `repartition(buckets, package_a)` gives it."""
+    return F.pmod(F.hash(key.cast("long")), F.lit(buckets))
+
+
+def write_similarity(similarity: DataFrame, path: str, buckets: int | None = None,
                      rank: bool = False, max_neighbours: int | None = None) -> str:
-    """Write the scored similarity table, clustered by package_a.
-
-    Within `WINDOW_GROUP_ROWS` neighbours a package, hash partitioning keeps a
-    package's list, whose size that bounds, in one file. Beyond it the lists
-    are ranked and written by range of (package_a, package_b), so that a long
-    list spreads over tasks and files; ranking has written the table already,
-    so the sampling pass reads a copy. Files are sorted, which keeps a
-    package's rows together in few row groups.
+    """Write the scored similarity table in folders by bucket of package_a, so that a lookup reads its seeds' only.
+
+    `buckets` should come from `bucket_count`; without it the session's shuffle
+    partitions are used. It is kept as metadata of package_a in the files, for
+    readers. Within `WINDOW_GROUP_ROWS` neighbours a package, a bucket is one
+    task and one file, since the bucket is Spark's own partition of the key.
+    Beyond it the lists are ranked and written by range of (bucket, package_a,
+    rank), so that a long list spreads over tasks and files; ranking has
+    written the table already, so the sampling pass reads a copy. Files are
+    sorted by package_a and rank, best neighbours first.
     """
     from affinity.operators.similarity import WINDOW_GROUP_ROWS, rank_neighbours
-    n = int(files_per_key_range or similarity.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(buckets or similarity.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = (similarity.withColumn("package_a", F.col("package_a").cast("long"))
+             .withColumn(BUCKET, bucket_of(F.col("package_a"), n)))
     if rank and (max_neighbours is None or max_neighbours > WINDOW_GROUP_ROWS):
-        clustered = rank_neighbours(similarity, max_neighbours).repartitionByRange(n, "package_a", "package_b")
+        order = [BUCKET, "package_a", "neighbor_rank"]
+        placed = rank_neighbours(keyed, max_neighbours).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    elif rank:
+        # the window reuses this partitioning, and its order is the order of the files: one shuffle, one sort
+        placed = rank_neighbours(keyed.repartition(n, "package_a"), max_neighbours, [BUCKET])
     else:
-        clustered = similarity.repartition(n, "package_a")
-        if rank:
-            # the neighbour window reuses this partitioning: no second shuffle
-            clustered = rank_neighbours(clustered, max_neighbours)
-    return write_table(clustered, path, sort_within=["package_a", "package_b"])
+        placed = keyed.repartition(n, "package_a").sortWithinPartitions(BUCKET, "package_a", "package_b")
+    return write_table(placed.withMetadata("package_a", {BUCKETS: n}), path, partition_cols=[BUCKET])
+
+
+def similarity_buckets(similarity: DataFrame) -> int | None:
+    """Into how many buckets a similarity table was written; None if it has none."""
+    if BUCKET not in similarity.columns:
+        return None
+    return similarity.schema["package_a"].metadata.get(BUCKETS)

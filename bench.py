@@ -28,7 +28,7 @@ def main() -> None:
     from affinity.operators import manifests, merge, scores, similarity
     from affinity.plans import registry as R
     from affinity.plans import serve
-    from affinity.session import build_session, scratch_path
+    from affinity.session import build_session, materialize, scratch_path
     from affinity.sources import corpus, landed
 
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, app_name="affinity-bench")
@@ -48,8 +48,10 @@ def main() -> None:
 
     def train_similarity():
         paths["similarity"] = f"{root}/similarity-{next(runs)}"
-        sim = similarity.similarity_frame(corpus.raw_edges(spark, base))
-        landed.write_similarity(sim, paths["similarity"], rank=True,
+        state = similarity.state(corpus.raw_edges(spark, base))
+        counts, degrees = materialize(state.counts, "counts"), materialize(state.degrees, "degrees")
+        landed.write_similarity(similarity.scored_mirror(similarity.cosine(counts, degrees)), paths["similarity"],
+                                landed.bucket_count(2 * counts.count()), rank=True,
                                 max_neighbours=corpus.package_names(spark, base).count())
 
     def train_scores():

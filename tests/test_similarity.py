@@ -74,7 +74,7 @@ def test_long_neighbour_list_is_spread_over_files(spark):
     from affinity.sources import landed
     sim = spark.range(2, 4002).select(F.lit(1).cast("long").alias("package_a"), F.col("id").alias("package_b"),
                                       (F.lit(1.0) / F.col("id")).alias("similarity"))
-    path = landed.write_similarity(sim, scratch_path(spark, "spread"), files_per_key_range=4, rank=True)
+    path = landed.write_similarity(sim, scratch_path(spark, "spread"), buckets=4, rank=True)
     got = spark.read.parquet(path)
     assert got.select(F.input_file_name()).distinct().count() > 1
     assert got.where(F.col("neighbor_rank") != F.col("package_b") - 1).count() == 0 and got.count() == 4000
