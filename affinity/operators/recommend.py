@@ -7,7 +7,9 @@ anti join, metadata comes from two equi-joins, and a weighted score is added.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from affinity.session import materialize
@@ -41,9 +43,9 @@ RECORD_NAMES = {
 
 def seed_names(dependencies: DataFrame, column: str = "purl") -> DataFrame:
     """Dependency purls cut to `pkg:<eco>/<name>@<major>`; non-matching ones dropped."""
-    names = dependencies.select(*[c for c in dependencies.columns if c != column],
-                                purl.strip_to_major(column).alias("name"))
-    return names.where(F.col("name") != "")
+    # a filter above the projection would be pushed below it and search every text twice
+    found = F.filter(F.array(purl.strip_to_major(column)), lambda name: name != "")
+    return dependencies.select(*[c for c in dependencies.columns if c != column], F.explode(found).alias("name"))
 
 
 def resolve_seeds(packages: DataFrame, names: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -63,6 +65,11 @@ def _in_bucket(seeds: DataFrame, buckets: int | None) -> DataFrame:
     return seeds if not buckets else seeds.withColumn(BUCKET, bucket_of(F.col("package_a"), buckets))
 
 
+def _any_id(seeds: DataFrame) -> DataFrame:
+    """All seeds, under a filter that keeps every id: Spark prunes by a join's keys only if they come from a filter."""
+    return seeds.where(F.col("id") >= F.lit(-(2 ** 63)))
+
+
 def candidates(similarity: DataFrame, seed_ids: DataFrame, keys: list[str] | None = None,
                seed_count: int | None = None, limit=None) -> DataFrame:
     """Pairs whose package_a is a seed and whose package_b is not owned (per key group).
@@ -80,6 +87,7 @@ def candidates(similarity: DataFrame, seed_ids: DataFrame, keys: list[str] | Non
     if seed_count is None:
         seed_count = seed_ids.count()
     buckets = similarity_buckets(similarity)
+    seed_ids = _any_id(seed_ids)
     owned = seed_ids.select(*keys, F.col("id").alias("package_b"))
     if seed_count <= MAX_BROADCAST_ROWS:
         owned = F.broadcast(owned)
@@ -95,7 +103,7 @@ def candidates(similarity: DataFrame, seed_ids: DataFrame, keys: list[str] | Non
             seeds = seeds.join(n_owned, keys)
         else:
             seeds = seeds.withColumn("_owned", seed_ids.agg(F.count(F.lit(1))).scalar())
-        seeds = seeds.select(*keys, "package_a", (F.col("_lim") + F.col("_owned")).alias("_bound")).where("_bound > 0")
+        seeds = seeds.select(*keys, "package_a", (F.col("_lim") + F.col("_owned")).alias("_bound"))
         if seed_count <= MAX_BROADCAST_ROWS:
             seeds = F.broadcast(seeds)
         pairs = (_in_bucket(seeds, buckets).join(s, at).where(F.col("neighbor_rank") <= F.col("_bound"))
@@ -106,6 +114,76 @@ def candidates(similarity: DataFrame, seed_ids: DataFrame, keys: list[str] | Non
     return pairs.join(owned, keys + ["package_b"], "left_anti")
 
 
+# A round reads this many times further down the neighbour lists than the one before.
+ROUND_GROWTH = 4
+
+
+@dataclass
+class EarlyTop:
+    """The ranked pairs of `top_candidates`, and what it took to find them."""
+    pairs: DataFrame
+    rounds: int
+    rows_read: int
+
+
+def top_candidates(similarity: DataFrame, seed_ids: DataFrame) -> EarlyTop:
+    """Each request's best pairs, reading its seeds' neighbour lists only as far as they can matter.
+
+    similarity carries `neighbor_rank`; seed_ids(request_id, id,
+    max_recommendations) is written. A list is read in blocks of falling
+    similarity. The last row read is an upper bound of the rest: once as many
+    kept pairs of the request as it may return come before or at that row, in
+    the order of the answer (similarity, package_a, package_b), nothing further
+    down that list is in the answer. The other lists go into the next round,
+    four times as far. The first block of a request is twice its share of
+    `max_recommendations` per seed. Exact: the rows are those of the whole
+    lists ranked together. Between rounds a request has its best pairs and one
+    row a list, written to the checkpoint folder.
+    """
+    order = [F.desc("similarity"), F.col("package_a"), F.col("package_b")]
+    buckets = similarity_buckets(similarity)
+    at = ["package_a"] + ([BUCKET] if buckets else [])
+    cols = ["request_id", "package_a", "package_b", "similarity", "bounded_similarity", "limit"]
+    per_request = seed_ids.groupBy("request_id").agg(F.count(F.lit(1)).alias("seeds"))
+    active = (seed_ids.where("max_recommendations > 0").join(per_request, "request_id")
+              .select("request_id", F.col("id").cast("long").alias("package_a"), F.col("max_recommendations").alias("limit"),
+                      F.lit(0).cast("long").alias("lo"),
+                      (F.ceil(2 * F.col("max_recommendations") / F.col("seeds")) + 1).alias("hi"))
+              .transform(lambda d: materialize(d, "active")))
+    owned = seed_ids.select("request_id", F.col("id").cast("long").alias("package_b"), F.lit(True).alias("mine"))
+    seed_count = seed_ids.count()
+    owned = F.broadcast(owned) if seed_count <= MAX_BROADCAST_ROWS else owned
+    w = Window.partitionBy("request_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    best, rounds, rows_read = None, 0, 0
+    while True:
+        n, lo, hi = active.agg(F.count(F.lit(1)), F.min("lo"), F.max("hi")).first()
+        if n == 0:
+            break
+        # a filter on the lists' side of the join: their files are pruned by bucket, their pages by rank
+        lists = _in_bucket(active.where(F.col("hi") > 0), buckets)
+        lists = F.broadcast(lists) if n <= MAX_BROADCAST_ROWS else lists
+        s = similarity.where((F.col("neighbor_rank") > lo) & (F.col("neighbor_rank") <= hi))
+        seen = Observation(f"read-{rounds}")
+        read = (lists.join(s, at).where("neighbor_rank > lo and neighbor_rank <= hi")
+                .observe(seen, F.count(F.lit(1)).alias("rows")).join(owned, ["request_id", "package_b"], "left"))
+        rows = read.select(*cols, F.col("mine").isNull().alias("kept"), F.when(F.col("neighbor_rank") == F.col("hi"), F.col("hi")).alias("read_to"))
+        if best is not None:
+            rows = rows.unionByName(best.select(*cols, F.lit(True).alias("kept"), F.lit(None).cast("long").alias("read_to")))
+        found = materialize(rows.withColumn("rank", F.sum(F.col("kept").cast("int")).over(w))
+                            .where((F.col("kept") & (F.col("rank") <= F.col("limit")))
+                                   | (F.col("read_to").isNotNull() & (F.col("rank") < F.col("limit")))), "best")
+        best = found.where(F.col("kept"))
+        # a list goes on if its last row read may be followed by a row of the answer
+        active = found.where(F.col("read_to").isNotNull() & (F.col("rank") < F.col("limit"))).select(
+            "request_id", "package_a", "limit", F.col("read_to").alias("lo"), (F.col("read_to") * ROUND_GROWTH).alias("hi"))
+        rounds, rows_read = rounds + 1, rows_read + seen.get["rows"]
+    if best is None:
+        best = seed_ids.limit(0).join(similarity.limit(0).select("package_a", "package_b", "similarity", "bounded_similarity"),
+                                      F.col("id") == F.col("package_a")).withColumn("rank", F.lit(0))
+    pairs = best.select("request_id", "package_a", "package_b", "similarity", "bounded_similarity", F.col("rank").cast("int").alias("rank"))
+    return EarlyTop(pairs, rounds, rows_read)
+
+
 def pair_metadata(pairs: DataFrame, packages: DataFrame) -> DataFrame:
     """Attach the seed's short name and the recommendation's scores and display data."""
     a = packages.select(F.col("id").alias("package_a"), F.col("short_name").alias("for_package"))
@@ -152,9 +230,10 @@ def recommend_batch(similarity: DataFrame, packages: DataFrame, requests: DataFr
     requests(request_id, purl): the parsed dependencies of each request;
     limits(request_id, max_recommendations). Owned packages are excluded per
     request, and each request keeps its own top `max_recommendations`.
-    The rank filter uses the largest limit as a literal first, so Catalyst
-    applies a partial per-request top-k before the shuffle (no request's full
-    candidate list is moved), then the exact per-request limit.
+    Lists with a `neighbor_rank` are read block by block (`top_candidates`).
+    Without, the rank filter uses the largest limit as a literal first, so
+    Catalyst applies a partial per-request top-k before the shuffle (no
+    request's full candidate list is moved), then the exact per-request limit.
     """
     keys = ["request_id"]
     # The resolved seed table (requests × their known dependencies) is written
@@ -162,15 +241,18 @@ def recommend_batch(similarity: DataFrame, packages: DataFrame, requests: DataFr
     ids = (resolve_seeds(packages, seed_names(requests), keys)
            .join(limits.select("request_id", "max_recommendations"), "request_id")
            .transform(materialize))
-    n_ids = ids.count()
-    cap = ids.agg(F.max("max_recommendations")).first()[0] or 0
-    pairs = candidates(similarity, ids, keys, n_ids, limit="max_recommendations")
-    lim = ids.select("request_id", "max_recommendations").distinct()
-    lim = F.broadcast(lim) if n_ids <= MAX_BROADCAST_ROWS else lim
-    w = Window.partitionBy("request_id").orderBy(F.desc("similarity"), "package_a", "package_b")
-    # rank the bare pairs; only the kept rows get metadata and a score
-    ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.lit(int(cap)))
-    ranked = ranked.join(lim, "request_id").where(F.col("rank") <= F.col("max_recommendations"))
+    if "neighbor_rank" in similarity.columns:
+        ranked = top_candidates(similarity, ids).pairs
+    else:
+        n_ids = ids.count()
+        cap = ids.agg(F.max("max_recommendations")).first()[0] or 0
+        pairs = candidates(similarity, ids, keys, n_ids)
+        lim = ids.select("request_id", "max_recommendations").distinct()
+        lim = F.broadcast(lim) if n_ids <= MAX_BROADCAST_ROWS else lim
+        w = Window.partitionBy("request_id").orderBy(F.desc("similarity"), "package_a", "package_b")
+        ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.lit(int(cap)))
+        ranked = ranked.join(lim, "request_id").where(F.col("rank") <= F.col("max_recommendations"))
+    # only the kept rows get metadata and a score
     rows = with_score(pair_metadata(ranked, packages))
     return rows.select("request_id", "rank", *RESULT_COLUMNS, "similarity", "package_a", "package_b")
 

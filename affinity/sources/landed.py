@@ -173,21 +173,22 @@ def write_similarity(similarity: DataFrame, path: str, buckets: int | None = Non
     partitions are used. It is kept as metadata of package_a in the files, for
     readers. Within `WINDOW_GROUP_ROWS` neighbours a package, a bucket is one
     task and one file, since the bucket is Spark's own partition of the key.
-    Beyond it the lists are ranked and written by range of (bucket, package_a,
-    rank), so that a long list spreads over tasks and files; ranking has
-    written the table already, so the sampling pass reads a copy. Files are
-    sorted by package_a and rank, best neighbours first.
+    Beyond it the lists are ranked and written by range of (bucket, rank,
+    package_a), so that a long list spreads over tasks and files; ranking has
+    written the table already, so the sampling pass reads a copy. Ranked files
+    have all packages' best neighbours first, in pages that a filter on the
+    rank selects.
     """
     from affinity.operators.similarity import WINDOW_GROUP_ROWS, rank_neighbours
     n = int(buckets or similarity.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = (similarity.withColumn("package_a", F.col("package_a").cast("long"))
              .withColumn(BUCKET, bucket_of(F.col("package_a"), n)))
+    order = [BUCKET, "neighbor_rank", "package_a"]
     if rank and (max_neighbours is None or max_neighbours > WINDOW_GROUP_ROWS):
-        order = [BUCKET, "package_a", "neighbor_rank"]
         placed = rank_neighbours(keyed, max_neighbours).repartitionByRange(n, *order).sortWithinPartitions(*order)
     elif rank:
-        # the window reuses this partitioning, and its order is the order of the files: one shuffle, one sort
-        placed = rank_neighbours(keyed.repartition(n, "package_a"), max_neighbours, [BUCKET])
+        # the window reuses this partitioning: no second shuffle
+        placed = rank_neighbours(keyed.repartition(n, "package_a"), max_neighbours).sortWithinPartitions(*order)
     else:
         placed = keyed.repartition(n, "package_a").sortWithinPartitions(BUCKET, "package_a", "package_b")
     return write_table(placed.withMetadata("package_a", {BUCKETS: n}), path, partition_cols=[BUCKET])
