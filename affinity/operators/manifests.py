@@ -149,12 +149,52 @@ def api_manifest_text(requests: DataFrame) -> DataFrame:
     return requests.withColumn("text", text)
 
 
-def repo_dependency_union(manifests: DataFrame, key: str = "application_id") -> DataFrame:
-    """Per repository: all purls from every language's manifest; language = the last one found."""
+def changed_manifests(manifests: DataFrame, stored: DataFrame, key: str = "application_id") -> DataFrame:
+    """Manifests (key, language, text) whose fingerprint isn't stored (key, language, hash), with their hash.
+
+    Only hashes are compared; nothing is parsed.
+    """
+    hashed = manifests.withColumn("hash", F.sha2("text", 256))
+    return hashed.join(stored.select(key, "language", "hash"), [key, "language", "hash"], "left_anti")
+
+
+def edge_changes(changed: DataFrame, edges: DataFrame, key: str = "application_id") -> DataFrame:
+    """(key, purl, sign): what changed manifests add to and take from the stored edges (key, purl).
+
+    A manifest stands for the edges of its language's ecosystem: those that it
+    no longer lists get sign -1, new ones +1. Manifests that are skipped as a
+    whole (corrupt, or package.json without `dependencies`) change nothing, as
+    do repositories that have no manifest in `changed`. `changed` is read three
+    times: callers pass a written table.
+    """
+    js, py = (changed.where(F.col("language") == x) for x in (JAVASCRIPT, PYTHON))
+    listed = npm_train_edges(js).select(key, "purl").unionByName(pypi_train_edges(py).select(key, "purl"))
+    read = (npm_applications(js).select(key, F.lit(purl.NPM).alias("_eco"))
+            .unionByName(py.select(key, F.lit(purl.PYPI).alias("_eco"))).distinct())
+    held = edges.select(key, "purl", purl.ecosystem("purl").alias("_eco")).join(read, [key, "_eco"], "left_semi")
+    both = listed.select(key, "purl", F.lit(1).alias("now"), F.lit(0).alias("then")).unionByName(
+        held.select(key, "purl", F.lit(0).alias("now"), F.lit(1).alias("then")))
+    return (both.groupBy(key, "purl").agg((F.max("now") - F.max("then")).alias("sign")).where("sign <> 0"))
+
+
+def latest_by_branch(manifests: DataFrame, key: str = "application_id", order: str = "retrieved") -> DataFrame:
+    """The newest manifest of each (key, branch, language); equal times: the greater text."""
+    rest = [c for c in manifests.columns if c not in (key, "branch", "language")]
+    best = F.max_by(F.struct(*rest), F.struct(order, "text"))
+    return (manifests.groupBy(key, "branch", "language").agg(best.alias("_m"))
+            .select(key, "branch", "language", *[F.col(f"_m.{c}").alias(c) for c in rest]))
+
+
+def repo_dependency_union(manifests: DataFrame, key: str | list[str] = "application_id") -> DataFrame:
+    """Per repository, or per `key` columns such as (repository, branch): all purls from every language's manifest.
+
+    `language` is the last one found.
+    """
+    keys = [key] if isinstance(key, str) else key
     purls = parse_dependencies(manifests)
     order = F.create_map(*[x for k, v in LANGUAGE_ORDER.items() for x in (F.lit(k), F.lit(v))])
-    lang = manifests.groupBy(key).agg(
+    lang = manifests.groupBy(*keys).agg(
         F.max_by("language", order[F.col("language")]).alias("language"))
-    deps = purls.groupBy(key).agg(F.array_sort(F.collect_list("purl")).alias("purls"))
-    return lang.join(deps, key, "left").select(
-        key, "language", F.coalesce("purls", F.array().cast("array<string>")).alias("purls"))
+    deps = purls.groupBy(*keys).agg(F.array_sort(F.collect_list("purl")).alias("purls"))
+    return lang.join(deps, keys, "left").select(
+        *keys, "language", F.coalesce("purls", F.array().cast("array<string>")).alias("purls"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinity.operators import manifests, merge
+from affinity.session import materialize
 from affinity.sources import landed
 
 LANGUAGES = ["javascript", "python"]
@@ -60,3 +61,21 @@ def ingest_pages(pages: DataFrame, language: str, as_of: Column, existing_apps:
     deps = settle("dependencies", merge.insert_dependencies(existing_deps, deps_in))
     return apps, pkgs, deps
 
+
+
+def changed_edges(repos: DataFrame, stored_hashes: DataFrame, applications: DataFrame, packages: DataFrame,
+                  dependencies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Signed edges for `train.refresh`, and the fingerprints to store, from newly landed manifests.
+
+    repos(url, language, text); stored_hashes(url, language, hash). Manifests
+    whose hash is stored are not parsed. Packages that a change adds must be in
+    `packages` already (`merge.upsert_packages`).
+    """
+    changed = materialize(manifests.changed_manifests(repos.select("url", "language", "text"), stored_hashes, "url"), "changed")
+    apps = applications.select(F.col("id").alias("application_id"), "url")
+    pkgs = packages.select(F.col("id").alias("package_id"), F.col("name").alias("purl"))
+    # the stored edges of repositories with a changed manifest, by their names
+    edges = (dependencies.join(apps.join(changed.select("url").distinct(), "url", "left_semi"), "application_id")
+             .join(pkgs, "package_id").select("url", "purl"))
+    signed = manifests.edge_changes(changed, edges, "url").join(apps, "url").join(pkgs, "purl")
+    return signed.select("application_id", "package_id", "sign"), changed.select("url", "language", "hash")

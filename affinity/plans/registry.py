@@ -454,6 +454,68 @@ def q_repo_dependency_union(spark, base):
     return u.select("application_id", "language", F.array_join("purls", " ").alias("purls"))
 
 
+def _dep_lines(lines: str) -> str:
+    """Edges of the manifests that list the given lines of lineitem, by the rules of the train side."""
+    return (f"SELECT DISTINCT mp.application_id, mp.id % 2 AS eco, CASE WHEN mp.id % 2 = 0 THEN 'pkg:npm/' || slug || '@' || "
+            f"CAST(p_size AS VARCHAR) ELSE 'pkg:pypi/' || slug || '@' || {_PY_MAJOR} END AS purl, "
+            f"(mp.id % 2 = 1 OR ({_NPM_OK.replace('id %', 'mp.id %')})) AS edge, corrupt FROM mp JOIN lineitem ON l_orderkey = application_id "
+            f"AND l_partkey = mp.id WHERE {lines}")
+
+
+# Two deliveries of the same repositories' manifests: which lines of lineitem they list (our choice).
+FIRST_LINES = "l_linenumber > 1 or l_orderkey % 5 <> 0"
+SECOND_LINES = "l_linenumber <> 2 or l_orderkey % 7 <> 0"
+
+
+@register("manifest_changes", O.with_ctes("mp") + f"""
+, was AS ({_dep_lines(FIRST_LINES)}), now AS ({_dep_lines(SECOND_LINES)}),
+readable AS (SELECT DISTINCT application_id, eco FROM now WHERE eco = 1 OR NOT corrupt)
+SELECT application_id, purl, 1 AS sign FROM (SELECT application_id, purl FROM now WHERE edge
+  EXCEPT SELECT application_id, purl FROM was WHERE edge)
+UNION ALL
+SELECT application_id, purl, -1 FROM (
+  SELECT was.application_id, purl FROM was JOIN readable r ON r.application_id = was.application_id AND r.eco = was.eco WHERE edge
+  EXCEPT SELECT application_id, purl FROM now WHERE edge)""")
+def q_manifest_changes(spark, base):
+    """B12 → B1/B3/C3: only manifests with a new fingerprint are parsed; their edges come as signed rows."""
+    first, second = (corpus.manifests(spark, base, lines) for lines in (FIRST_LINES, SECOND_LINES))
+    stored_hashes = first.select("application_id", "language", F.sha2("text", 256).alias("hash"))
+    edges = manifests.npm_train_edges(first.where(F.col("language") == "javascript")).select("application_id", "purl").unionByName(
+        manifests.pypi_train_edges(first.where(F.col("language") == "python")).select("application_id", "purl"))
+    changed = materialize(manifests.changed_manifests(second, stored_hashes), "changed")
+    return manifests.edge_changes(changed, edges).select("application_id", "purl", "sign")
+
+
+# Branches: `main` as landed; `dev` lists the second delivery's lines, and an older copy of it the first one's.
+@register("repo_dependency_by_branch", O.with_ctes("mp") + f"""
+, lines AS (SELECT 'main' AS branch, application_id, id, slug, p_size, corrupt FROM mp
+  UNION ALL SELECT DISTINCT 'dev', application_id, id, slug, p_size, corrupt FROM mp JOIN lineitem
+    ON l_orderkey = application_id AND l_partkey = id WHERE {SECOND_LINES}
+  UNION ALL SELECT DISTINCT 'dev', application_id, id, slug, p_size, corrupt FROM mp JOIN lineitem
+    ON l_orderkey = application_id AND l_partkey = id WHERE ({FIRST_LINES}) AND NOT EXISTS (
+      SELECT 1 FROM lineitem x WHERE x.l_orderkey = application_id AND (id % 2 = 0 OR x.l_partkey % 2 = 1)
+      AND (x.l_linenumber <> 2 OR x.l_orderkey % 7 <> 0))),
+purls AS (SELECT application_id, branch, 'pkg:npm/' || slug || '@' || CAST(p_size AS VARCHAR) || '.0.0' AS purl
+  FROM lines WHERE {_NPM_OK} UNION ALL SELECT application_id, branch, 'pkg:pypi/' || slug || {_PY_SERVE} FROM lines WHERE id % 2 = 1),
+found AS (SELECT application_id, branch, CASE WHEN bool_or(id % 2 = 1) THEN 'python' ELSE 'javascript' END AS language
+  FROM lines GROUP BY application_id, branch
+  UNION SELECT DISTINCT application_id, 'dev', 'javascript' FROM mp JOIN lineitem ON l_orderkey = application_id AND l_partkey = id
+    WHERE ({FIRST_LINES}) AND application_id NOT IN (SELECT application_id FROM lines WHERE branch = 'dev'))
+SELECT f.application_id, f.branch, f.language, coalesce(string_agg(purl, ' ' ORDER BY purl), '') AS purls
+FROM found f LEFT JOIN purls p ON p.application_id = f.application_id AND p.branch = f.branch GROUP BY 1, 2, 3""")
+def q_repo_dependency_by_branch(spark, base):
+    """The union per repository and branch, from the newest manifest of each language of a branch."""
+    def landed_as(lines, branch, day):
+        return corpus.manifests(spark, base, lines).select(
+            "application_id", F.lit(branch).alias("branch"), "language", "text", F.to_date(F.lit(day)).alias("retrieved"))
+
+    rows = (landed_as("true", "main", corpus.AS_OF).unionByName(landed_as(FIRST_LINES, "dev", "2001-10-01"))
+            .unionByName(landed_as(SECOND_LINES, "dev", corpus.AS_OF)))
+    newest = manifests.latest_by_branch(rows)
+    u = manifests.repo_dependency_union(newest, ["application_id", "branch"])
+    return u.select("application_id", "branch", "language", F.array_join("purls", " ").alias("purls"))
+
+
 # ------------------------------------------- G7–G9: the API as a table job
 
 def _valid_requests(spark, base):
@@ -617,9 +679,24 @@ def q_recommendation_records(spark, base):
     return r.select("request_id", "rank", *recommend.RECORD_NAMES.values())
 
 
-@register("response_documents")
+def _json_fields() -> str:
+    """A record as JSON text, fields in API order; null fields are left out."""
+    def value(column: str) -> str:
+        if column == "categories":
+            return "'[\"' || replace(categories, ',', '\",\"') || '\"]'"
+        quoted = column in ("for_package", "recommended_package", "url", "display_date")
+        return f"'\"' || {column} || '\"'" if quoted else f"CAST({column} AS VARCHAR)"
+    parts = [f"""'"{name}":' || {value(c)}""" for c, name in recommend.RECORD_NAMES.items()]
+    return "'{' || concat_ws(',', " + ", ".join(parts) + ") || '}'"
+
+
+@register("response_documents", O.with_ctes("batch", "vreq") + f"""
+, docs AS (SELECT request_id, string_agg({_json_fields()}, ',' ORDER BY rank) AS recs FROM batch GROUP BY request_id)
+SELECT v.request_id, '{{"language":"' || CASE WHEN v.request_id % 2 = 0 THEN 'javascript' ELSE 'python' END
+  || '","recommended_dependencies":[' || coalesce(recs, '') || ']}}' AS response
+FROM vreq v LEFT JOIN docs ON docs.request_id = v.request_id WHERE v.error IS NULL""")
 def q_response_documents(spark, base):
-    """One JSON response per valid request (rows-only check)."""
+    """One JSON response per valid request."""
     v = _valid_requests(spark, base)
     recs = recommend.recommendation_records(batch_recommendations(spark, base).withColumn(
         "categories", F.split("categories", ",")))
@@ -997,12 +1074,16 @@ fsim AS (SELECT package_a, package_b, CASE WHEN package_a % 10 <> 8 THEN similar
           + _constraints_sql("fapps", "fpk", "deps", "fsim"))
 def q_check_constraints_faults(spark, base):
     """A8 on whole tables with planted faults: repeated rows, NULLs and missing parents, so that every rule counts."""
+    return constraints.check_constraints(*_faulty_tables(spark, base))
+
+
+def _faulty_tables(spark, base):
     digit = F.col("id") % 10
     apps = corpus.applications(spark, base).select("id", "url", "name", "hash", "retrieved")
     pkgs = corpus.packages(spark, base).select("id", "name", "retrieved")
     sim = stored(lambda: sim_table(spark, base)).select("package_a", "package_b", "similarity")
     edges = corpus.raw_edges(spark, base)
-    return constraints.check_constraints(
+    return (
         apps.where(digit != 6).withColumn("name", F.when(digit != 2, F.col("name"))).unionByName(apps.where(digit == 1)),
         pkgs.where(digit != 5).withColumn("retrieved", F.when(digit != 4, F.col("retrieved")))
             .unionByName(pkgs.where(digit == 3)),
@@ -1011,6 +1092,26 @@ def q_check_constraints_faults(spark, base):
            .unionByName(sim.where(F.col("package_a") % 10 == 7)))
 
 
+_FAULTY = ORACLE["check_constraints_faults"].split("SELECT 'applications.url unique'")[0]
+
+
+@register("check_constraints_keys", _FAULTY + """
+SELECT 'applications.url unique' AS rule, url AS key, count(*) AS rows FROM fapps GROUP BY url HAVING count(*) > 1
+UNION ALL SELECT 'applications not null', url, count(*) FROM fapps WHERE url IS NULL OR name IS NULL OR hash IS NULL OR retrieved IS NULL GROUP BY url
+UNION ALL SELECT 'packages.name unique', name, count(*) FROM fpk GROUP BY name HAVING count(*) > 1
+UNION ALL SELECT 'packages not null', name, count(*) FROM fpk WHERE name IS NULL OR retrieved IS NULL GROUP BY name
+UNION ALL SELECT 'dependencies pair unique', CAST(app AS VARCHAR) || ',' || CAST(pkg AS VARCHAR), count(*) FROM deps GROUP BY app, pkg HAVING count(*) > 1
+UNION ALL SELECT 'dependencies.application_id references applications', CAST(app AS VARCHAR), count(*) FROM deps WHERE app NOT IN (SELECT id FROM fapps) GROUP BY app
+UNION ALL SELECT 'dependencies.package_id references packages', CAST(pkg AS VARCHAR), count(*) FROM deps WHERE pkg NOT IN (SELECT id FROM fpk) GROUP BY pkg
+UNION ALL SELECT 'similarity pair unique', CAST(package_a AS VARCHAR) || ',' || CAST(package_b AS VARCHAR), count(*) FROM fsim GROUP BY package_a, package_b HAVING count(*) > 1
+UNION ALL SELECT 'similarity not null', CAST(package_a AS VARCHAR) || ',' || CAST(package_b AS VARCHAR), count(*) FROM fsim WHERE similarity IS NULL GROUP BY package_a, package_b
+UNION ALL SELECT 'similarity.package_a references packages', CAST(package_a AS VARCHAR), count(*) FROM fsim WHERE package_a NOT IN (SELECT id FROM fpk) GROUP BY package_a
+UNION ALL SELECT 'similarity.package_b references packages', CAST(package_b AS VARCHAR), count(*) FROM fsim WHERE package_b NOT IN (SELECT id FROM fpk) GROUP BY package_b""")
+def q_check_constraints_keys(spark, base):
+    """Every key that breaks a rule, on the tables with planted faults."""
+    return constraints.violating_keys(*_faulty_tables(spark, base))
+
+
 @register("refresh_metadata", O.with_ctes("landed") + f"""
 SELECT id, name,
   CASE WHEN id % 2 = 0 THEN coalesce(last_month, 0) ELSE last_month END AS monthly_downloads_last_month,

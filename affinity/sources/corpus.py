@@ -136,7 +136,7 @@ def _sorted_join(entries: Column, sep: str) -> Column:
     return F.array_join(F.transform(F.array_sort(entries), lambda e: e["text"]), sep)
 
 
-def manifests(spark: SparkSession, base: str) -> DataFrame:
+def manifests(spark: SparkSession, base: str, lines: str = "true") -> DataFrame:
     """Per order: package.json text (npm parts) and requirements.txt text (pypi parts).
 
     - package.json lists npm parts as `"slug": "^size.0.0"`, or as a bare number
@@ -148,8 +148,10 @@ def manifests(spark: SparkSession, base: str) -> DataFrame:
       (size ≥ 46).
     Output: application_id, url, name, followers, language, text; one row per
     (order, language) with a manifest (requirements.txt only when it has parts).
+    `lines` is a condition on lineitem: which lines the manifests list.
     """
-    li = read_table(spark, base, "lineitem", "l_orderkey", "l_partkey").dropDuplicates()
+    li = (read_table(spark, base, "lineitem", "l_orderkey", "l_partkey", "l_linenumber").where(lines)
+          .select("l_orderkey", "l_partkey").dropDuplicates())
     part = read_table(spark, base, "part", "p_partkey", "p_name", "p_size")
     key, size = F.col("p_partkey"), F.col("p_size")
     slug = part_slug(F.col("p_name"), key)

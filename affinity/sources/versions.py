@@ -1,10 +1,11 @@
 """Numbered versions of a set of tables under one root, made visible by a marker written last.
 
-`<root>/v=<number>/…` holds the tables of one version and
-`<root>/_commits/<number>.<label>` is created after all of them are complete.
-Readers go by the markers, so tables of one version are always seen together,
-and what a crash left behind is overwritten by the next attempt. One writer a
-root at a time.
+`<root>/v=<number>/…` holds the tables of one version and the marker
+`<root>/_commits/<number>`, which holds the version's label, is created after
+all of them are complete. Readers go by the markers, so tables of one version
+are always seen together, and what a crash left behind is overwritten by the
+next attempt. A marker is never overwritten: of two writers of one number, the
+second fails.
 """
 
 from __future__ import annotations
@@ -17,23 +18,35 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def commits(spark: SparkSession, root: str) -> dict[int, str]:
-    """Label of every committed version, oldest first."""
+def _markers(spark: SparkSession, root: str) -> dict[int, str | None]:
+    """Label of every marker; None where a writer hasn't finished it (or never will)."""
     fs, p = _fs(spark, f"{root}/_commits")
     if not fs.exists(p):
         return {}
-    names = [st.getPath().getName() for st in fs.listStatus(p)]
-    found = {int(n.split(".", 1)[0]): n.split(".", 1)[1] for n in names if n[:1].isdigit()}
+    found: dict[int, str | None] = {}
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if name.isdigit():
+            found[int(name)] = None
+            if st.getLen():
+                stream = fs.open(st.getPath())
+                found[int(name)] = stream.readUTF()
+                stream.close()
     return dict(sorted(found.items()))
 
 
+def commits(spark: SparkSession, root: str) -> dict[int, str]:
+    """Label of every committed version, oldest first."""
+    return {n: label for n, label in _markers(spark, root).items() if label is not None}
+
+
 def newest(spark: SparkSession, root: str) -> int | None:
     return max(commits(spark, root), default=None)
 
 
 def following(spark: SparkSession, root: str) -> int:
     """The number of the next version."""
-    return (newest(spark, root) or 0) + 1
+    return max(_markers(spark, root), default=0) + 1
 
 
 def path(root: str, version: int, table: str) -> str:
@@ -42,8 +55,12 @@ def path(root: str, version: int, table: str) -> str:
 
 def commit(spark: SparkSession, root: str, version: int, label: str) -> None:
     """Make a version visible. Fails if another writer has committed the same number."""
-    for number in commits(spark, root):
-        if number == version:
-            raise RuntimeError(f"version {version} of {root} is already committed")
-    fs, p = _fs(spark, f"{root}/_commits/{version:010d}.{label}")
-    fs.create(p, False).close()
+    fs, marker = _fs(spark, f"{root}/_commits/{version:010d}")
+    try:
+        stream = fs.create(marker, False)      # without overwriting: the file system lets one writer through
+    except Exception as e:
+        if version in _markers(spark, root):
+            raise RuntimeError(f"version {version} of {root} is already committed") from e
+        raise
+    stream.writeUTF(label)
+    stream.close()

@@ -12,14 +12,20 @@ again.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinity import schemas
+from affinity.operators import constraints
 from affinity.plans import ingest
 from affinity.session import checkpoint_dir
 from affinity.sources import versions
 
+# `retrieved` is the caller's own as-of time, not landed data, so a batch isn't judged by it.
+RULES = {r.table: replace(r, required=tuple(c for c in r.required if c != "retrieved"))
+         for r in (constraints.APPLICATIONS, constraints.PACKAGES, constraints.DEPENDENCIES)}
 TABLES = {"applications": schemas.APPLICATIONS, "packages": schemas.PACKAGES,
           "dependencies": schemas.DEPENDENCIES}
 
@@ -47,8 +53,8 @@ def merge_batch(spark: SparkSession, root: str, language: str, as_of_col=None):
             out = df.select(*[F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)
                               for f in fields])
             path = versions.path(root, version, table)
-            out.write.mode("overwrite").parquet(path)      # what a crash left of this number is replaced
-            return spark.read.parquet(path)
+            # what a crash left of this number is replaced; rows that break a rule stop the version
+            return constraints.write_checked(out, path, RULES[table], mode="overwrite")
 
         as_of = as_of_col if as_of_col is not None else F.current_timestamp()
         ingest.ingest_pages(pages, language, as_of, *(read_version(spark, root, t) for t in TABLES), settle=settle)
