@@ -33,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinity.llm.common import fresh, text_or_empty
+from affinity.llm.common import fresh, release, text_or_empty
+from affinity.operators.joins import checked_broadcast
 from affinity.session import materialize
 
 WINDOW = 10
 ANCHORS = 2
 MAX_WINDOWS = 500_000
+MAX_SENT_BYTES = 32 << 20     # found documents up to this size are broadcast; more are joined by a shuffle
 
 _WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
@@ -77,6 +79,7 @@ def document_frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes,
     """In how many documents each word of a bounded vocabulary occurs; counted over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         found: Counter[bytes] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -168,7 +171,10 @@ def _candidates(docs: DataFrame, phrases: list[str], anchors: int) -> DataFrame:
 
 def phrase_places(docs: DataFrame, phrases: list[str], anchors: int = ANCHORS) -> DataFrame:
     """(doc_id, text_key, phrase, start, n): exact occurrences of a bounded list of phrases."""
-    found = materialize(_candidates(docs, phrases, anchors), "phrase-candidates")
+    # the filter holds for every row. Beyond the size that is broadcast Spark makes a bounded Bloom filter of the
+    # filtered side's keys for the scan of the texts, so that about the documents with candidates alone are shuffled
+    found = checked_broadcast(materialize(_candidates(docs, phrases, anchors), "phrase-candidates").where(F.size("places") > 0),
+                              max_bytes=MAX_SENT_BYTES)
     joined = _keyed(docs).alias("d").join(found.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))
                                   & (F.col("d.text_key") == F.col("c.text_key"))) \
                  .select("d.doc_id", "d.text_key", "d.text", "c.places")
@@ -290,6 +296,7 @@ def judge(docs: DataFrame, items: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents in which no window occurs, with their columns."""
     own_id, own_key = fresh("__id", docs.columns), fresh("__key", docs.columns)
-    hit = contamination(docs, items).select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key))
+    hit = materialize(contamination(docs, items).select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key)), "hit")
+    hit = checked_broadcast(hit, max_bytes=MAX_SENT_BYTES)
     return docs.join(hit, docs["doc_id"].eqNullSafe(F.col(own_id)) & (F.xxhash64(docs["text"]) == F.col(own_key)),
                      "left_anti")
