@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from affinity.llm.common import text_or_empty
+from affinity.llm.common import kept, text_or_empty
 from affinity.llm.pieces import Splitter
 
 MAX_STATES = 600_000
@@ -254,15 +254,14 @@ def decode_stream(ids: Iterable[int], token: dict[int, bytes], chunk: int = DECO
     yield machine.finish()
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str, pattern: str) -> Encoder:
-    """One encoder a Python worker, kept between tasks."""
-    if (path, pattern) not in _ENCODERS:
+    """One encoder a Python worker, kept between the tasks of a stage."""
+
+    def make() -> Encoder:
         gc.set_threshold(100_000, 50, 100)     # the tables are large and hold no cycles
-        _ENCODERS[path, pattern] = Encoder(load_ranks(path), pattern)
-    return _ENCODERS[path, pattern]
+        return Encoder(load_ranks(path), pattern)
+
+    return kept(("bpe", path, pattern), make)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id",

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +38,30 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between its tasks: one table at a time, the last asked for.
+
+    Workers serve one stage after another; the tables of an earlier stage
+    go before the next one makes its own.
+    """
+    if key not in _KEPT:
+        release()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Give back what an earlier stage has left in this worker. Tasks that keep nothing call it when they start."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):       # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinity.llm.common import fresh, text_or_empty
+from affinity.llm.common import fresh, release, text_or_empty
 
 BITS = 14                 # hashed features: 2^BITS
 FACTORS = 8
@@ -167,6 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = FIT_ROWS, bits: in
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         features = Features(bits)
         for batch in batches:
             made = [features(t) for t in batch.column(0).to_pylist()]
@@ -191,6 +192,7 @@ def score_documents(docs: DataFrame, model: Machine, keep: list[str] | None = No
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], text_or_empty().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         features = Features(bits)
         for batch in batches:
             scores = [model.score(*features(t)) for t in batch.column(len(names)).to_pylist()]

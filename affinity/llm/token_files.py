@@ -38,15 +38,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from affinity.llm.common import shuffle_partitions, text_or_empty
+from affinity.llm.common import kept, shuffle_partitions, text_or_empty
 from affinity.llm.pieces import Splitter, is_common
 
 DICTIONARY_DOCS = 1_000
 DICTIONARY_TEXT_BYTES = 16_384
 DICTIONARY_BYTES = 65_536
 SEGMENT_BYTES = 1 << 20
+RANGE_BYTES = 32 << 20        # bytes of text of a range, on average
 LEVEL = 3
 MAX_PIECES = 500_000
+GROUP_CHARS = 1_000_000       # characters split into pieces at a time, except that a text is never cut
 
 
 class PieceTokenizer:
@@ -83,32 +85,37 @@ class PieceTokenizer:
     def pack(self, ids: list[int]) -> bytes:
         return np.asarray(ids, f"<u{self.width}").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """Serialized ids of a text."""
-        if self.split is None or not is_common(text) or self.added.search(text):
-            return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        pieces = self.split(text.lower())
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Serialized ids of each text, texts of GROUP_CHARS characters at a time."""
+        out, group, held = [], [], 0
+        for t in texts:
+            if group and held + len(t) > GROUP_CHARS:
+                out += self._encode_group(group)
+                group, held = [], 0
+            group.append(t)
+            held += len(t)
+        return out + self._encode_group(group)
+
+    def _encode_group(self, texts: list[str]) -> list[bytes]:
+        """New pieces of all the texts go through the library together."""
+        split = [self.split(t.lower()) if self.split and is_common(t) and not self.added.search(t) else None for t in texts]
+        if len(self.known) > MAX_PIECES:
+            self.known.clear()
         known = self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
-        if len(known) > MAX_PIECES:
-            known.clear()
-        new = list({p for p in pieces if p not in known})
+        new = list(set().union(*filter(None, split)).difference(known))
         for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             known[p] = self.pack(e.ids)
-        return b"".join([known[p] for p in pieces])
-
+        return [self.pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if pieces is None
+                else b"".join(map(known.__getitem__, pieces)) for t, pieces in zip(texts, split)]
 
-_TOKENIZERS: dict[str, PieceTokenizer] = {}
+    def encode(self, text: str) -> bytes:
+        """Serialized ids of a text."""
+        return self.encode_all([text])[0]
 
 
 def piece_tokenizer(path: str) -> PieceTokenizer:
-    """One tokenizer a Python worker, kept between tasks."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = PieceTokenizer(path)
-    return _TOKENIZERS[path]
+    """One tokenizer a Python worker, kept between the tasks of a stage."""
+    return kept(("tokenizer", path), lambda: PieceTokenizer(path))
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, max_docs: int = DICTIONARY_DOCS,
@@ -153,7 +160,7 @@ def encode_frames(docs: DataFrame, tokenizer_path: str, end_id: int, dictionary:
         end = tok.pack([end_id])
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            arrays = [tok.encode(t) + end for t in batch.column(1).to_pylist()]
+            arrays = [a + end for a in tok.encode_all(batch.column(1).to_pylist())]
             where = [-1 if i is None else int(np.searchsorted(borders, float(i))) for i in ids]
             yield pa.record_batch([pa.array(where, pa.int32()), batch.column(0),
                                    pa.array([len(a) // tok.width for a in arrays], pa.int64()),
@@ -220,7 +227,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     digest = dictionary_hash(dictionary)
     spark.createDataFrame([(digest, bytearray(dictionary))], "dictionary string, data binary").coalesce(1) \
          .write.parquet(f"{path}/dictionary")
-    ranges = ranges or shuffle_partitions(spark)
+    if ranges is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        ranges = max(shuffle_partitions(spark), -(-size // RANGE_BYTES))
     frames = encode_frames(docs, tokenizer_path, end_id, dictionary, range_borders(docs, ranges))
     (frames.repartition(ranges, "range")
      .sortWithinPartitions("range", "doc_id", "n_tokens", "frame")
