@@ -40,7 +40,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinity.llm.common import fresh, text_or_empty
+from affinity.llm.common import fresh, release, text_or_empty
+from affinity.operators.joins import checked_broadcast
 from affinity.llm.components import components
 from affinity.session import materialize
 
@@ -132,21 +133,24 @@ def hopeful(n_a: np.ndarray, n_b: np.ndarray, above: np.ndarray, below: np.ndarr
 
 
 def sketch_documents(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n, set_key, registers) of every row, written once; set_key names the set."""
+    """(doc_id, text_key, n, set_key, registers, node) of every row, written once; set_key names the set, node is its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             counts, keys, made = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingle_set(text, shingle)
                 counts.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 made.append(registers(s).tobytes() if len(s) else b"")
-            yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()),
-                                   pa.array(made, pa.binary())], ["doc_id", "n", "set_key", "registers"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()),
+                                   pa.array(made, pa.binary())], ["doc_id", "text_key", "n", "set_key", "registers"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return materialize(rows.mapInArrow(run, "doc_id long, n long, set_key binary, registers binary"), "sketches")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"),
+                       text_or_empty().alias("text"))
+    made = rows.mapInArrow(run, "doc_id long, text_key long, n long, set_key binary, registers binary")
+    return materialize(made.withColumn("node", F.xxhash64("set_key")), "sketches")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
@@ -188,8 +192,8 @@ def _promising(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles): the full sets of the nodes in `wanted` (node), made again from the texts."""
-    ends = materialize(wanted.distinct().join(nodes.select("node", "set_key"), "node"), "wanted-sets")
+    """(node, shingles): the full sets of the nodes in `wanted` (node), made again from a text of each."""
+    ends = materialize(wanted.distinct().join(nodes.select("node", "doc", "set_key"), "node"), "wanted-sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,9 +209,11 @@ def _sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) ->
     # the filter holds for every row; with it Spark sends a bounded Bloom filter of the ids to the scan of the
     # texts, so that only about the wanted ones are shuffled
     ends = ends.where("set_key <> X''")
-    texts = (docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text"))
-             .join(ends, "node").select("node", "text", "set_key"))
-    return materialize(texts.mapInArrow(run, "node long, shingles array<long>"), "sets")
+    texts = (docs.select(F.col("doc_id").cast("long").alias("doc"), text_or_empty().alias("text"))
+             .join(ends, "doc").select("node", "text", "set_key"))
+    sets = texts.mapInArrow(run, "node long, shingles array<long>")
+    # rows that share the id and the set give it more than once
+    return materialize(sets.dropDuplicates(["node"]), "sets")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -334,15 +340,16 @@ def _exact_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return materialize(_by_blocks(counted.join(sets, "node"), run, "a long, b long").distinct(), "exact-links")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row; linked: Jaccard similarity of `percent` or more."""
+def set_links(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sketches, nodes, links): a node is a distinct shingle set of rows with an id; links (a, b) tie nodes together.
+
+    The links join whatever reaches the threshold into one component; copies
+    of a text are one node, combined before they are shuffled.
+    """
     sketches = sketch_documents(docs, shingle)
     usable = sketches.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    firsts = usable.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    # an id may stand for several rows: each of its sets is a node's set
-    nodes = materialize(usable.join(firsts.withColumnRenamed("set_key", "key"),
-                                    (F.col("doc_id") == F.col("node")) & (F.col("set_key") == F.col("key")))
-                        .select("node", "n", "set_key", "registers").dropDuplicates(["node", "set_key"]), "nodes")
+    nodes = materialize(usable.groupBy("node").agg(F.min("doc_id").alias("doc"), F.min("set_key").alias("set_key"),
+                                                   F.max("n").alias("n"), F.max("registers").alias("registers")), "nodes")
     bands = _bands(nodes)
     members = bands.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     shared = materialize(bands.join(members, "bucket"), "shared-buckets")
@@ -350,32 +357,58 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     pairs = members.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     links = _confirmed(_promising(pairs, nodes, percent), docs, nodes, shingle, percent)
     left = _promising_members(_apart(members, links), nodes, percent)
-    links = links.union(_exact_links(left, _sets(left.select("node"), docs, nodes, shingle), percent))
-    # documents of one set, then sets that are linked
-    same = usable.join(firsts, "set_key").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    of_nodes = components(links)
-    several = same.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo <> hi")
-    if not several.isEmpty():               # rows that share an id but not a set tie their sets together
-        of_nodes = components(links.union(same))
-    located = usable.join(firsts, "set_key").select("doc_id", "node").join(of_nodes, "node", "left") \
-                    .groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component"))
-    return (sketches.select("doc_id", F.col("n").alias("n_shingles"))
-            .join(located, "doc_id", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return sketches, nodes, links.union(_exact_links(left, _sets(left.select("node"), docs, nodes, shingle), percent))
+
+
+def _component_of_nodes(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) of every node; a component is named by one of its nodes."""
+    return nodes.select("node").join(components(links), "node", "left").select(
+        "node", F.coalesce("component", "node").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row; linked: Jaccard similarity of `percent` or more."""
+    sketches, nodes, links = set_links(docs, shingle, percent)
+    usable = sketches.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).select("doc_id", "node")
+    # rows that share an id but not a set tie their sets together
+    several = materialize(usable.groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+                          .select("doc_id", "lo"), "shared-ids")
+    if not several.isEmpty():
+        links = links.union(usable.join(several, "doc_id").select(F.col("lo").alias("a"), F.col("node").alias("b")))
+    of_nodes = _component_of_nodes(nodes, links)
+    least = of_nodes.join(nodes.select("node", "doc"), "node")
+    named = least.join(least.groupBy("component").agg(F.min("doc").alias("component_id")), "component").select("node", "component_id")
+    return (sketches.select("doc_id", F.col("n").alias("n_shingles"), "node")
+            .join(named, "node", "left")
+            .select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id"))
+                    .otherwise(F.col("doc_id")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
+# Rows to be dropped are broadcast up to this size; more are joined by a shuffle.
+MAX_SENT_BYTES = 32 << 20
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, the one of the smallest id, with its columns.
+    """One document of each component of texts, the one of the smallest id, with its columns.
 
-    Rows that share an id: the row of the smallest text hash stays.
+    Here a row is known by its id and text: of rows that share an id but
+    resemble nothing kept, each stays; of equal rows, and of an id's rows of
+    one component, one stays (of the smallest text hash). Rows without id or
+    without shingles stay.
     """
-    own = fresh("__id", docs.columns)
-    kept = near_duplicates(docs, shingle, percent).where("kept").select(F.col("doc_id").alias(own)).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col(own)), "left_semi")
-    ids = out.where(F.col("doc_id").isNotNull()).select("doc_id")
-    if not ids.groupBy("doc_id").count().where("count > 1").isEmpty():
-        order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-        row = F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(order))
-        out = out.withColumn(own, row).where(F.col(own) == 1).drop(own)
+    id_, key, of = (fresh(x, docs.columns) for x in ("__id", "__key", "__row"))
+    sketches, nodes, links = set_links(docs, shingle, percent)
+    rows = (sketches.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).select("doc_id", "text_key", "node").distinct()
+            .join(_component_of_nodes(nodes, links), "node"))
+    best = rows.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("best"))
+    dropped = materialize(rows.join(best, "component").where(F.struct("doc_id", "text_key") != F.col("best"))
+                          .select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)), "dropped")
+    same = (docs["doc_id"].cast("long") == F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(key))
+    out = docs.join(checked_broadcast(dropped, max_bytes=MAX_SENT_BYTES), same, "left_anti")
+    repeated = sketches.where("doc_id is not null and n > 0").groupBy("doc_id", "text_key").count().where("count > 1")
+    if not repeated.isEmpty():
+        order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64("text"))
+        first = F.when(F.col("doc_id").isNull() | ~text_or_empty().rlike("[^ \t-\r]"), 1).otherwise(F.row_number().over(order))
+        out = out.withColumn(of, first).where(F.col(of) == 1).drop(of)
     return out

@@ -65,6 +65,17 @@ def test_near_duplicate_blocks_lose_no_link(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == jaccard_components(texts, 3, 85)
 
 
+def test_keep_one_drops_a_text_only_for_one_like_it(spark):
+    """Rows that share an id but not a text: each text is judged by itself."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows_ = [(1, a), (1, b), (2, b + " more"), (3, c), (4, c), (4, c), (5, ""), (5, ""), (None, c), (6, None), (7, a), (7, a + " tail"), (8, "x"), (8, "x")]
+    docs = spark.createDataFrame([(*r, "s") for r in rows_], "doc_id long, text string, __id string")
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(
+        [(1, a), (1, b), (3, c), (5, ""), (5, ""), (None, c), (6, None), (8, "x")])
+
+
 def test_sketches_merge_and_estimate():
     x, y = (near_dedup._mix(np.arange(a, b, dtype=np.uint64)) for a, b in ((0, 900), (100, 1000)))
     a, b = near_dedup.registers(x), near_dedup.registers(y)
