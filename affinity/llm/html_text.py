@@ -7,13 +7,14 @@ log scale, are a path's own evidence. A path's evidence is smoothed with that
 of its parent container, so a short heading among long paragraphs is carried
 by them, and fused with what the markup itself says: elements, roles and class
 names of menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments count nothing, and `article` and `main` count in
-full. Class and id words alone never drop an element that holds most of the
+styles and reader comments count nothing. Class and id words alone never drop an element that holds most of the
 page's text outside links, or that is or holds an `article` or `main` (the
 latter not for words of comments and related pages). Paths above half of the page's best evidence are kept, with all of their
 blocks, and so are blocks that are mostly no links and lie in the container of
-the best path (below `body`) or between kept blocks of one container. Where a page has an `article` or `main` with text, paths outside it
-are not considered.
+the best path (below `body`) or between kept blocks of one container. Where a
+page has an `article` or `main` with text, all of that and nothing else is
+taken, unless a container outside holds more than twice as much text and a
+notice's length besides; then the ratios alone decide.
 
 Blocks are joined in page order by one line feed; white space inside a block,
 `<br>` included, becomes one space.
@@ -37,10 +38,13 @@ from pyspark.sql import functions as F
 
 # Fixed values of the HTML vocabulary.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math title textarea object canvas audio video".split())
+RAW = frozenset("script style noscript template iframe svg title textarea object canvas audio video annotation".split())
+RAW_BLOCKS = frozenset("title textarea".split())       # the others stand in a line of text without ending it
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span "
-    "strike strong sub sup time tt u var wbr".split())
+    "strike strong sub sup time tt u var wbr "
+    # formulas
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd semantics".split())
 BOILERPLATE = frozenset("head nav header footer aside form button select fieldset dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar "
                   "toolbar".split())
@@ -70,10 +74,12 @@ PLAIN, DROPPED, CONTENT, HEADER = range(4)
 class Element:
     """An open element: what it adds to the path and what it says about the text below it."""
 
-    __slots__ = ("name", "path", "state", "link", "doubts", "outer")
+    __slots__ = ("name", "path", "state", "link", "doubts", "outer", "block")
 
-    def __init__(self, name: str, path: int, state: int, link: bool, doubts: tuple[int, ...] = (), outer: tuple[int, ...] = ()):
+    def __init__(self, name: str, path: int, state: int, link: bool, doubts: tuple[int, ...] = (), outer: tuple[int, ...] = (),
+                 block: int = 0):
         self.name, self.path, self.state, self.link = name, path, state, link
+        self.block = block                           # where in the stack the nearest block element is, itself included
         self.doubts, self.outer = doubts, outer      # elements of boilerplate words around it; those around its article
 
 
@@ -115,8 +121,9 @@ def blocks(page: str) -> tuple[list[tuple[int, int, int, str, int]], list[int]]:
     words_of: list[set[str]] = []                     # of each doubted element
     holds_article: set[int] = set()
     text: list[str] = []
-    links = 0
+    links, filled = 0, False                          # filled: the text holds more than white space
     where = stack[0]
+    opened: dict[str, int] = defaultdict(int)         # names of the elements of the stack
 
     def path_of(parent: int, label: str) -> int:
         key = (parent, label)
@@ -126,24 +133,23 @@ def blocks(page: str) -> tuple[list[tuple[int, int, int, str, int]], list[int]]:
         return paths[key]
 
     def end_block() -> None:
-        nonlocal text, links
+        nonlocal text, links, filled
         joined = " ".join("".join(text).split())
         if joined:
             out.append((where.path, parent_of[where.path], where.state, joined, links))
             doubted.append(where.doubts)
             holds_article.update(where.outer)
-        text, links = [], 0
+        text, links, filled = [], 0, False
 
     def add(raw: str) -> None:
-        nonlocal links, where
+        nonlocal links, where, filled
         top = stack[-1]
         if top.state in (DROPPED, HEADER) or not raw:
             return
         raw = html.unescape(raw)
         if not raw.isspace():
-            block = next(e for e in reversed(stack) if e.name not in INLINE)
-            if not "".join(text).strip():
-                where = block
+            if not filled:
+                where, filled = stack[top.block], True
             if top.link:
                 links += len(" ".join(raw.split()))
         text.append(raw)
@@ -151,8 +157,14 @@ def blocks(page: str) -> tuple[list[tuple[int, int, int, str, int]], list[int]]:
     def close(depth: int) -> None:
         if any(e.name not in INLINE for e in stack[depth:]):
             end_block()
+        for e in stack[depth:]:
+            opened[e.name] -= 1
         del stack[depth:]
 
+    def push(element: Element) -> None:
+        opened[element.name] += 1
+        stack.append(element)
+
     at, n = 0, len(page)
     while at < n:
         token = TOKEN.search(page, at)
@@ -165,6 +177,8 @@ def blocks(page: str) -> tuple[list[tuple[int, int, int, str, int]], list[int]]:
         if not name:
             continue
         if token["end"]:
+            if not opened[name]:
+                continue
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].name == name:
                     close(depth)
@@ -176,7 +190,7 @@ def blocks(page: str) -> tuple[list[tuple[int, int, int, str, int]], list[int]]:
             if not token["attributes"].endswith("/"):
                 stop = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
                 at = stop.end() if stop else n
-            if name not in INLINE:
+            if name in RAW_BLOCKS:
                 end_block()
             continue
         if name in VOID:
@@ -187,17 +201,13 @@ def blocks(page: str) -> tuple[list[tuple[int, int, int, str, int]], list[int]]:
             continue
         if name not in INLINE:
             end_block()
-            for depth in range(len(stack) - 1, 0, -1):
-                top = stack[depth].name
-                if top == "p" or name in CLOSES.get(top, ()):
-                    close(depth)
-                    break
-                if top not in INLINE:
-                    break
+            nearest = stack[-1].block
+            if nearest and (stack[nearest].name == "p" or name in CLOSES.get(stack[nearest].name, ())):
+                close(nearest)
         top = stack[-1]
         if name in INLINE:
             hidden = name == "span" and _dropped_span(token["attributes"])
-            stack.append(Element(name, top.path, DROPPED if hidden else top.state, top.link or name == "a", top.doubts, top.outer))
+            push(Element(name, top.path, DROPPED if hidden else top.state, top.link or name == "a", top.doubts, top.outer, top.block))
         elif token["attributes"].endswith("/") and name not in ("p", "div", "li"):
             continue
         else:
@@ -207,7 +217,7 @@ def blocks(page: str) -> tuple[list[tuple[int, int, int, str, int]], list[int]]:
                 doubts += (len(words_of),)
                 words_of.append(words)
             outer = doubts if name in ("article", "main") and state == CONTENT else top.outer
-            stack.append(Element(name, path_of(top.path, label), state, top.link, doubts, outer))
+            push(Element(name, path_of(top.path, label), state, top.link, doubts, outer, len(stack)))
     end_block()
     if words_of:
         held, total = [0] * len(words_of), 0
@@ -226,11 +236,28 @@ def _evidence(length: int, links: int, marks: int, count: int) -> float:
     return math.log1p(max(length - links, 0) / count) + math.log1p(marks / count)
 
 
+# How many times the text of its article or main a container outside may hold, beyond a notice's length in characters,
+# before the ratios alone decide.
+ARTICLE_WEIGHT, NOTICE = 2, 300
+
+
+def _of_article(found: list[tuple[int, int, int, str, int]]) -> bool:
+    """Is the text in article and main elements the page's? Not if some container outside holds far more of it (a teaser)."""
+    inside, outside = 0, defaultdict(int)
+    for _, parent, state, text, links in found:
+        if state == CONTENT:
+            inside += max(len(text) - links, 0)
+        else:
+            outside[parent] += max(len(text) - links, 0)
+    return any(b[2] == CONTENT for b in found) and ARTICLE_WEIGHT * inside + NOTICE >= max(outside.values(), default=0)
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page."""
     found, parent_of = blocks(page or "")
-    inside = [b for b in found if b[2] == CONTENT]
-    found = inside or found
+    if _of_article(found):
+        # all that stands in the article is its text, lists of links too
+        return "\n".join(b[3] for b in found if b[2] == CONTENT)
     if not found:
         return ""
     totals: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
@@ -240,13 +267,10 @@ def main_text(page: str | None) -> str:
             for k, v in enumerate((len(text), links, marks, 1)):
                 totals[key][k] += v
     score = {}
-    for path, parent, state, _, _ in found:
-        own = totals["path", path]
-        smooth = (_evidence(*own) + _evidence(*totals["container", parent])) / 2
-        only_links = own[1] >= 0.8 * own[0] and own[3] >= 3
-        score[path] = math.inf if state == CONTENT and not only_links else smooth
-    best = max((s for s in score.values() if s < math.inf), default=0.0)
-    kept = [score[path] > 0.5 * best or score[path] == math.inf for path, *_ in found]
+    for path, parent, *_ in found:
+        score[path] = (_evidence(*totals["path", path]) + _evidence(*totals["container", parent])) / 2
+    best = max(score.values())
+    kept = [score[path] > 0.5 * best for path, *_ in found]
     if best > 0:
         kept = _with_short_blocks(found, kept, score, best, parent_of)
     return "\n".join(b[3] for b, k in zip(found, kept) if k)

@@ -252,6 +252,31 @@ def test_page_text_keeps_short_items():
     assert html_text.main_text(flat).split("\n")[:12] == got[:12]
 
 
+def test_page_text_of_a_page_with_a_teaser():
+    """A short article element beside the post doesn't win over it."""
+    long = "Words of a sentence, and more of them, run on and on here. " * 8
+    page = f"<body><div class=post><p>{long}</p><p>{long}</p></div><article class=teaser><p>Read this.</p></article></body>"
+    assert html_text.main_text(page).split("\n")[:2] == [long.strip()] * 2
+
+
+def test_page_text_keeps_lists_of_links_and_formulas():
+    links = "".join(f"<li><a href=x>Source {k}</a></li>" for k in "abc")
+    page = "<body><article><p>The sum, <math><mi>a</mi><mo>+</mo><mi>b</mi></math>, is <svg><text>x</text></svg>known.</p>" \
+           f"<ul>{links}</ul><script>x</script></article></body>"
+    assert html_text.main_text(page).split("\n") == ["The sum, a+b, is known.", "Source a", "Source b", "Source c"]
+
+
+@pytest.mark.parametrize("piece", ["<b>x</b> ", "<b>x ", "<i></b>x ", "<div>x", "</div>x ", "<p><b>x"])
+def test_page_text_of_long_pages_takes_proportional_time(piece):
+    import time
+    took = []
+    for n in (10_000, 40_000):
+        began = time.process_time()
+        html_text.main_text("<body><article><p>" + piece * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.2
+
+
 def test_secrets(spark, odd_docs):
     docs = odd_docs.unionByName(smoke(spark), allowMissingColumns=True)
     found = secret_scan.scan(docs).collect()
