@@ -46,8 +46,9 @@ THRESHOLD = 0.5
 MASK = "[SECRET]"
 
 _KEY = "A-Za-z0-9+/_.@=-"
-# A run of key characters that holds a digit; the look-behind lets it start at a run's start only.
-CANDIDATE = rf"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_.@=-]*+[0-9])[A-Za-z0-9+/_.@-][{_KEY}]{{6,}}[A-Za-z0-9+/_=]"
+# A run of key characters that holds a digit; the look-behind lets it start at a run's start only, or after the signs
+# that open a run: inside one, every sign would search the rest of the run for a digit again.
+CANDIDATE = rf"(?<![A-Za-z0-9+/_.@-]={{0,16}})(?=[A-Za-z+/_.@=-]*+[0-9])[A-Za-z0-9+/_.@-][{_KEY}]{{6,}}[A-Za-z0-9+/_=]"
 # name = value without blanks is one run: the name is cut off where a value follows, not before the padding of base64
 NAME = rf"^([A-Za-z][A-Za-z0-9_.-]{{0,40}})=(?==*[A-Za-z0-9+/_.@-][{_KEY}]{{7}})"
 # The neighbouring word and what joins it to the value, at the end of the text before the value.
