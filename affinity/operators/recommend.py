@@ -230,10 +230,11 @@ def recommend_batch(similarity: DataFrame, packages: DataFrame, requests: DataFr
     requests(request_id, purl): the parsed dependencies of each request;
     limits(request_id, max_recommendations). Owned packages are excluded per
     request, and each request keeps its own top `max_recommendations`.
-    Lists with a `neighbor_rank` are read block by block (`top_candidates`).
-    Without, the rank filter uses the largest limit as a literal first, so
-    Catalyst applies a partial per-request top-k before the shuffle (no
-    request's full candidate list is moved), then the exact per-request limit.
+    Lists with a `neighbor_rank` are read block by block (`top_candidates`),
+    which leaves each request's answer to be numbered. Either way the rank
+    filter uses the largest limit as a literal first, so Catalyst applies a
+    partial per-request top-k before the shuffle (no request's full candidate
+    list is moved); whole lists then take the exact per-request limit.
     """
     keys = ["request_id"]
     # The resolved seed table (requests × their known dependencies) is written
@@ -241,17 +242,17 @@ def recommend_batch(similarity: DataFrame, packages: DataFrame, requests: DataFr
     ids = (resolve_seeds(packages, seed_names(requests), keys)
            .join(limits.select("request_id", "max_recommendations"), "request_id")
            .transform(materialize))
+    cap = F.lit(int(ids.agg(F.max("max_recommendations")).first()[0] or 0))
+    w = Window.partitionBy("request_id").orderBy(F.desc("similarity"), "package_a", "package_b")
     if "neighbor_rank" in similarity.columns:
-        ranked = top_candidates(similarity, ids).pairs
+        pairs = top_candidates(similarity, ids).pairs.drop("rank")
+        ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
     else:
         n_ids = ids.count()
-        cap = ids.agg(F.max("max_recommendations")).first()[0] or 0
-        pairs = candidates(similarity, ids, keys, n_ids)
         lim = ids.select("request_id", "max_recommendations").distinct()
         lim = F.broadcast(lim) if n_ids <= MAX_BROADCAST_ROWS else lim
-        w = Window.partitionBy("request_id").orderBy(F.desc("similarity"), "package_a", "package_b")
-        ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.lit(int(cap)))
-        ranked = ranked.join(lim, "request_id").where(F.col("rank") <= F.col("max_recommendations"))
+        ranked = (candidates(similarity, ids, keys, n_ids).withColumn("rank", F.row_number().over(w))
+                  .where(F.col("rank") <= cap).join(lim, "request_id").where(F.col("rank") <= F.col("max_recommendations")))
     # only the kept rows get metadata and a score
     rows = with_score(pair_metadata(ranked, packages))
     return rows.select("request_id", "rank", *RESULT_COLUMNS, "similarity", "package_a", "package_b")
