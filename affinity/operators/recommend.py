@@ -115,7 +115,7 @@ def candidates(similarity: DataFrame, seed_ids: DataFrame, keys: list[str] | Non
 
 
 # A round reads this many times further down the neighbour lists than the one before.
-ROUND_GROWTH = 4
+ROUND_GROWTH = 8
 
 
 @dataclass
@@ -135,7 +135,7 @@ def top_candidates(similarity: DataFrame, seed_ids: DataFrame) -> EarlyTop:
     kept pairs of the request as it may return come before or at that row, in
     the order of the answer (similarity, package_a, package_b), nothing further
     down that list is in the answer. The other lists go into the next round,
-    four times as far. The first block of a request is twice its share of
+    eight times as far. The first block of a request is four times its share of
     `max_recommendations` per seed. Exact: the rows are those of the whole
     lists ranked together. Between rounds a request has its best pairs and one
     row a list, written to the checkpoint folder.
@@ -148,7 +148,7 @@ def top_candidates(similarity: DataFrame, seed_ids: DataFrame) -> EarlyTop:
     active = (seed_ids.where("max_recommendations > 0").join(per_request, "request_id")
               .select("request_id", F.col("id").cast("long").alias("package_a"), F.col("max_recommendations").alias("limit"),
                       F.lit(0).cast("long").alias("lo"),
-                      (F.ceil(2 * F.col("max_recommendations") / F.col("seeds")) + 1).alias("hi"))
+                      (F.ceil(4 * F.col("max_recommendations") / F.col("seeds")) + 2).alias("hi"))
               .transform(lambda d: materialize(d, "active")))
     owned = seed_ids.select("request_id", F.col("id").cast("long").alias("package_b"), F.lit(True).alias("mine"))
     seed_count = seed_ids.count()
