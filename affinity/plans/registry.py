@@ -7,6 +7,7 @@ registered outputs so that results compare by value with the oracle.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from affinity import oracle as O
 from affinity.functions import dates, purl, requirements, scoring
-from affinity.operators import api, browse, constraints, joins, manifests, merge, recommend, scores, similarity
+from affinity.operators import (api, browse, constraints, joins, manifests, merge, recommend, rollup, scores, similarity,
+                                text_search)
 from affinity.session import scratch_path, materialize
 from affinity.sources import landed
 from affinity.session import apply_defaults
@@ -268,6 +270,31 @@ def q_download_windows(spark, base):
     return m.select(F.col("l_partkey").alias("id"), *scores.DOWNLOAD_COLUMNS)
 
 
+# As-of dates of the rolled-up query: a month's last day, a clamped one (leap year) and one within a month.
+ROLLED_DATES = [dt.date(2001, 10, 31), dt.date(2000, 2, 29), dt.date(1998, 7, 9)]
+
+
+def _rolled_sql(day: dt.date) -> str:
+    def total(window: str) -> str:
+        lo, hi = rollup.windows_of(day)[window]
+        return (f"CAST(sum(CASE WHEN CAST(l_shipdate AS DATE) BETWEEN DATE '{lo}' AND DATE '{hi}' "
+                f"THEN l_quantity ELSE 0.0 END) AS BIGINT) AS {window}")
+    return (f"SELECT DATE '{day}' AS as_of, l_partkey AS id, {total('last_month')}, {total('year_ago')} "
+            "FROM lineitem GROUP BY l_partkey")
+
+
+@register("download_windows_rolled", "SELECT * FROM (" + " UNION ALL ".join(map(_rolled_sql, ROLLED_DATES)) +
+          ") WHERE last_month <> 0 OR year_ago <> 0")
+def q_download_windows_rolled(spark, base):
+    """The windows of three as-of dates from daily and monthly sums, whole months and edge days only."""
+    li = corpus.shipments(spark, base)
+    days = rollup.store(materialize(rollup.daily(li, "l_partkey", "l_shipdate", "l_quantity"), "days"),
+                        scratch_path(spark, "rollup-days"))
+    months = rollup.store(materialize(rollup.monthly(days), "months"), scratch_path(spark, "rollup-months"))
+    r = rollup.window_downloads(days, months, ROLLED_DATES)
+    return r.withColumnRenamed("key", "id")
+
+
 @register("display_date", O.with_ctes("scored") + "SELECT id, display_date FROM scored")
 def q_display_date(spark, base):
     """D3: yyyy-MM-dd of the modified time, NULL kept."""
@@ -880,6 +907,16 @@ def q_search_text(spark, base):
     return r.select("request_id", "rank", "recommended_package")
 
 
+@register("search_text_indexed", O.with_ctes("batch") + "SELECT request_id, rank FROM batch WHERE lower(concat_ws(' ', "
+          + ", ".join(_SEARCH_COLS) + ")) LIKE '%red-widget%'")
+def q_search_text_indexed(spark, base):
+    """H3: the same search through trigram postings of the displayed rows."""
+    shown = batch_recommendations(spark, base)
+    index = text_search.build(shown, ["request_id", "rank"], text_search.display_text(_SEARCH_COLS),
+                              scratch_path(spark, "search-index"))
+    return text_search.search(spark, index, "RED-Widget")
+
+
 def _human_sql(x: str) -> str:
     parts = []
     for unit, suf in browse.MAGNITUDES:

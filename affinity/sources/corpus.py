@@ -56,13 +56,18 @@ def package_names(spark: SparkSession, base: str) -> DataFrame:
         F.col("p_size"))
 
 
+def shipments(spark: SparkSession, base: str) -> DataFrame:
+    """Every shipped line: part, quantity and time."""
+    return read_table(spark, base, "lineitem", "l_partkey", "l_quantity", "l_shipdate")
+
+
 def shipping_metadata(spark: SparkSession, base: str, as_of: str = AS_OF) -> DataFrame:
     """Per part: downloads in the two windows (sum of quantity) and last ship time.
 
     One pass over lineitem with two conditional sums; partial aggregation
     happens before the shuffle on l_partkey.
     """
-    li = read_table(spark, base, "lineitem", "l_partkey", "l_quantity", "l_shipdate")
+    li = shipments(spark, base)
     w = dates.download_windows(F.lit(as_of))
     day = F.to_date("l_shipdate")
 
