@@ -24,8 +24,9 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import marshal
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,9 @@ from pyspark.sql import DataFrame
 from affinity.llm.common import kept, text_or_empty
 from affinity.llm.pieces import Splitter
 
-MAX_STATES = 600_000
-MAX_PIECES = 300_000
+MAX_STATES = 200_000
+MAX_FITS = 400_000
+MAX_PIECES = 200_000
 DECODE_CHUNK = 8_192
 
 
@@ -69,15 +71,17 @@ class Transducer:
                     self.accepts.append(None)
                 node = following
             self.accepts[node] = rank
-        self.fits: dict[tuple[int | None, int], bool] = {}
+        self.fits: dict[int, bool] = {}                # of a pair, both in one number
         self._restart()
 
     def _restart(self) -> None:
         start = (None, ((self.ROOT, ()),))
-        self.number = {start: 0}
-        self.items = [start]
+        # states are kept as bytes, a fifth of the size of the nested tuples; version 2 gives equal states equal bytes
+        packed = marshal.dumps(start, 2)
+        self.number = {packed: 0}
+        self.items = [packed]
         self.final: list[tuple[int, ...]] = [()]
-        self.delta: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        self.delta: dict[int, tuple[int, tuple[int, ...]]] = {}        # state * 256 + byte -> state, tokens
 
     def _merged(self, text: bytes) -> list[int]:
         """The definition: merge the adjacent pair of lowest rank, leftmost first, while one exists."""
@@ -99,19 +103,20 @@ class Transducer:
 
     def _fit(self, before: int | None, token: int) -> bool:
         """Can `token` follow `before` in an encoding?"""
-        known = self.fits.get((before, token))
+        pair = token if before is None else (before + 1) << 32 | token
+        known = self.fits.get(pair)
         if known is None:
-            if len(self.fits) > 4 * self.max_states:
+            if len(self.fits) > MAX_FITS:
                 self.fits.clear()
             if before is None:
                 known = self._merged(self.token[token]) == [token]
             else:
                 known = self._merged(self.token[before] + self.token[token]) == [before, token]
-            self.fits[before, token] = known
+            self.fits[pair] = known
         return known
 
     def _make(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        anchor, items = self.items[state]
+        anchor, items = marshal.loads(self.items[state])
         child, accepts = self.child, self.accepts
         alive, newest = [], None
         for node, pending in items:
@@ -137,14 +142,13 @@ class Transducer:
                 alive = [(node, pending[agreed:]) for node, pending in alive]
             elif all([pending for _, pending in alive]):
                 anchor = None                  # no item looks at it any more
-        key = (anchor, tuple(alive))
+        key = marshal.dumps((anchor, tuple(alive)), 2)
         following = self.number.get(key)
         if following is None:
             following = self.number[key] = len(self.items)
             self.items.append(key)
-            self.final.append(key[1][-1][1])
-            self.delta.append({})
-        step = self.delta[state][byte] = (following, first[:agreed])
+            self.final.append(alive[-1][1])
+        step = self.delta[state << 8 | byte] = (following, first[:agreed])
         return step
 
     def encode(self, piece: bytes) -> list[int]:
@@ -157,7 +161,7 @@ class Transducer:
         out: list[int] = []
         state, delta = 0, self.delta
         for byte in piece:
-            step = delta[state].get(byte)
+            step = delta.get(state << 8 | byte)
             if step is None:
                 step = self._make(state, byte)
             state = step[0]
@@ -168,7 +172,7 @@ class Transducer:
 
 
 class PieceTable(dict):
-    """Pieces met so far, each with (decimal ids joined by spaces, ids).
+    """Pieces met so far, each with its decimal ids joined by spaces.
 
     Two generations of at most `most` pieces: when the newer is full it
     becomes the older, and a piece found there moves up. So frequent pieces
@@ -179,13 +183,12 @@ class PieceTable(dict):
         super().__init__()
         self.transducer = transducer
         self.most = most
-        self.older: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.older: dict[str, str] = {}
 
-    def __missing__(self, piece: str) -> tuple[str, tuple[int, ...]]:
+    def __missing__(self, piece: str) -> str:
         hit = self.older.get(piece)
         if hit is None:
-            ids = tuple(self.transducer.encode(piece.encode()))
-            hit = (" ".join(map(str, ids)), ids)
+            hit = " ".join(map(str, self.transducer.encode(piece.encode())))
         if len(piece) <= 64:
             if len(self) >= self.most:
                 self.older = dict(self)
@@ -194,6 +197,11 @@ class PieceTable(dict):
         return hit
 
 
+def parse_ids(decimal: str) -> np.ndarray:
+    """The ids of a text from their decimal form."""
+    return np.fromstring(decimal, np.int32, sep=" ") if decimal else np.empty(0, np.int32)
+
+
 class Encoder:
     """Whole texts to token ids: split by the pattern, then each piece through the transducer."""
 
@@ -202,12 +210,12 @@ class Encoder:
         self.split = Splitter(pattern)
         self.known = PieceTable(self.transducer, max_pieces)
 
-    def pieces(self, text: str) -> list[tuple[str, tuple[int, ...]]]:
-        """(decimal ids joined by spaces, ids) of each piece."""
-        return list(map(self.known.__getitem__, self.split(text)))
+    def decimal(self, text: str) -> str:
+        """The ids of a text, decimal and joined by spaces."""
+        return " ".join(map(self.known.__getitem__, self.split(text)))
 
     def encode(self, text: str) -> list[int]:
-        return [i for _, ids in self.pieces(text) for i in ids]
+        return parse_ids(self.decimal(text)).tolist()
 
 
 class Utf8Machine:
@@ -307,14 +315,14 @@ def round_trip_digest(docs: DataFrame, path: str, pattern: str, with_ids: bool =
         for batch in batches:
             counts, ids_digests, text_digests, all_ids = [], [], [], []
             for text in batch.column(1).to_pylist():
-                parts = enc.pieces(text)
-                ids = list(chain.from_iterable([own for _, own in parts]))
+                decimal = enc.decimal(text)
+                ids = parse_ids(decimal)
                 counts.append(len(ids))
                 if with_ids:
-                    all_ids.append(np.asarray(ids, np.int32))
-                ids_digests.append(hashlib.sha256(" ".join([s for s, _ in parts]).encode()).hexdigest())
+                    all_ids.append(ids)
+                ids_digests.append(hashlib.sha256(decimal.encode()).hexdigest())
                 digest = hashlib.sha256()
-                for part in decode_stream(ids, token):
+                for part in decode_stream(ids.tolist(), token):
                     digest.update(part.encode())
                 text_digests.append(digest.hexdigest())
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()),
