@@ -172,3 +172,49 @@ def test_broadcast_is_bounded_by_bytes(spark):
     hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
     assert hinted(joins.checked_broadcast(df)) and not hinted(joins.checked_broadcast(df, max_bytes=50_000))
     assert not hinted(joins.checked_broadcast(df, max_rows=99))
+
+
+# ---------------------------------------------- batches beyond the broadcast
+
+@pytest.mark.parametrize("in_row", [2, 256])
+def test_batch_beyond_the_broadcast_moves_no_pairs(spark, monkeypatch, in_row):
+    """Owned packages travel with the seeds; only requests of long lists have their pairs moved. Same rows either way."""
+    sim = bucketed(spark, 5, 1500)
+    rng = random.Random(4)
+    rows = [(r if r else None, p, 1 + r % 30) for r in range(40) for p in rng.sample(range(210), rng.choice([1, 2, 12]))]
+    ids = materialize(spark.createDataFrame(rows, "request_id long, id long, max_recommendations long"))
+    keyed = ids.where("request_id is not null")
+
+    def answers():
+        whole = recommend.candidates(sim, ids.drop("max_recommendations"), ["request_id"])
+        cut = recommend.candidates(sim, ids, ["request_id"], limit="max_recommendations")
+        return whole, [sorted(map(tuple, d.collect()), key=str) for d in (
+            whole.select("request_id", "package_a", "package_b", "similarity", "bounded_similarity"),
+            cut.select("request_id", "package_a", "package_b"), recommend.top_candidates(sim, keyed).pairs)]
+
+    _, want = answers()
+    monkeypatch.setattr(recommend, "MAX_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(recommend, "OWNED_IN_ROW", in_row)
+    whole, got = answers()
+    assert got == want and all(want)
+    moved = "LeftAnti" in whole._jdf.queryExecution().optimizedPlan().toString()
+    assert moved == (in_row == 2)
+
+
+def test_pairs_are_combined_in_bounded_tasks(spark, monkeypatch):
+    """A scan of the baskets has as many tasks as cores; each task combines a bounded number of pairs all the same."""
+    edges = spark.range(3000).select(F.expr("id div 6").alias("application_id"), (F.col("id") % 97).alias("package_id"))
+    want = similarity.state(edges).counts.collect()
+    monkeypatch.setattr(similarity, "PAIRS_A_TASK", 100)
+    counts = similarity.state(edges).counts
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, want))
+    chunks = materialize(similarity.chunked_baskets(edges))
+    made = similarity._triangle(similarity.spread(chunks, 100)).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert made <= 200 and "RoundRobin" in counts._jdf.queryExecution().toString()
+
+
+def test_longest_list_bounds_the_lists(spark, monkeypatch):
+    counts = spark.createDataFrame([(1, 2, 1), (1, 3, 1), (2, 3, 1), (1, 4, 2)], "package_a long, package_b long, c long")
+    assert similarity.longest_list(counts, 9) == 9
+    monkeypatch.setattr(similarity, "WINDOW_GROUP_ROWS", 5)
+    assert similarity.longest_list(counts, 9) == 3 and similarity.longest_list(counts.limit(0), 9) == 0
