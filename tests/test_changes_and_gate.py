@@ -125,3 +125,14 @@ def test_violating_keys(spark):
 def test_pypi_and_npm_are_the_ecosystems_of_purls(spark):
     df = spark.createDataFrame([("pkg:npm/@a/b@1",), ("pkg:pypi/c@2",)], "p string")
     assert [r.e for r in df.select(purl.ecosystem("p").alias("e")).collect()] == [purl.NPM, purl.PYPI]
+
+
+def test_both_manifests_come_from_one_row(spark):
+    """One pass over the lines for both languages, and the same rows as each language on its own."""
+    from affinity.sources import corpus
+    from inputs import SMOKE
+    both = corpus.manifests(spark, SMOKE)
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_linenumber") <= 2 and plan.count("Aggregate [l_orderkey") <= 2 and "Union" not in plan
+    each = corpus.manifests(spark, SMOKE, language="javascript").unionByName(corpus.manifests(spark, SMOKE, language="python"))
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, each.collect()))
