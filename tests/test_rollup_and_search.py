@@ -153,3 +153,22 @@ def test_indexed_query_equals_the_scan(spark):
     got = registry.QUERIES["search_text_indexed"](spark, SMOKE)
     rows = sorted(tuple(r) for r in got.collect())
     assert rows and rows == sorted(tuple(r) for r in scan.select("request_id", "rank").collect())
+
+
+def test_grams_are_made_once_a_word_not_once_a_text(spark):
+    """Texts that share their words share the gram postings; a text has one place for each of its words."""
+    rows = [(i, f"red-widget-{i % 5} https://example.org/package/red-widget-{i % 5} small") for i in range(200)]
+    ix = text_search.build(spark.createDataFrame(rows, "id long, text string"), ["id"], F.col("text"), scratch_path(spark, "search"))
+    words = {w for _, t in rows for w in t.split(" ")}
+    assert spark.read.parquet(ix.postings).count() == sum(len({w[i:i + 3] for i in range(len(w) - 2)}) for w in words)
+    assert spark.read.parquet(ix.places).count() == 3 * len(rows)
+
+
+@pytest.mark.parametrize("query", ["red ring", "ed ring bl", " ring ", "g b", "ring  red", "ring blue red", "blue", "x ring blue y"])
+def test_parts_of_a_query_are_found_in_words(spark, query):
+    """A part may end, begin or be a word, as its place in the query says; spaces at the ends count."""
+    texts = ["red ring blue", "redring blue", "red  ring", "ring  red", "ring red blue ring blue red", "a red ring blue y",
+             "xx ring blue yy", "ring", " ring ", "bluering", "ring blu e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    ix = text_search.build(df, ["id"], F.col("text"), scratch_path(spark, "search"))
+    assert sorted(r.id for r in text_search.search(spark, ix, query).collect()) == [i for i, t in enumerate(texts) if query in t]
