@@ -55,15 +55,27 @@ def broken_keys(df: DataFrame, rules: Rules) -> DataFrame:
 
 
 def dangling_keys(tables: dict[str, DataFrame]) -> DataFrame:
-    """(rule, key, rows): ids that have no parent row. The children of one parent share one anti join."""
+    """(rule, key, rows): ids that have no parent row.
+
+    The children of one parent share one grouping by the id, with a count a
+    rule, and one anti join. Each child is read once for all its columns, and
+    what moves is one row of numbers an id.
+    """
     out = []
     for parent in sorted({p for _, _, p in REFERENCES}):
-        keys = [tables[child].where(F.col(column).isNotNull())
-                .select(F.lit(f"{child}.{column} references {parent}").alias("rule"), F.col(column).cast("long").alias("id"))
-                for child, column, p in REFERENCES if p == parent]
-        counted = reduce(DataFrame.unionByName, keys).groupBy("id", "rule").agg(F.count(F.lit(1)).alias("rows"))
-        out.append(counted.join(tables[parent].select(F.col("id").cast("long").alias("id")), "id", "left_anti")
-                   .select("rule", F.col("id").cast("string").alias("key"), "rows"))
+        rules = [(child, column) for child, column, p in REFERENCES if p == parent]
+        keys = []
+        for child in dict.fromkeys(child for child, _ in rules):
+            found = [F.struct(F.col(column).cast("long").alias("id"), F.lit(i).alias("rule"))
+                     for i, (c, column) in enumerate(rules) if c == child]
+            keys.append(tables[child].select(F.explode(F.array(*found)).alias("k")).select("k.id", "k.rule").where("id is not null"))
+        counted = reduce(DataFrame.unionByName, keys).groupBy("id").agg(
+            *[F.count_if(F.col("rule") == i).alias(f"n{i}") for i in range(len(rules))])
+        lost = counted.join(tables[parent].select(F.col("id").cast("long").alias("id")), "id", "left_anti")
+        named = [F.struct(F.lit(f"{child}.{column} references {parent}").alias("rule"), F.col(f"n{i}").alias("rows"))
+                 for i, (child, column) in enumerate(rules)]
+        out.append(lost.select(F.col("id").cast("string").alias("key"), F.explode(F.array(*named)).alias("f"))
+                   .where("f.rows > 0").select("f.rule", "key", "f.rows"))
     return reduce(DataFrame.unionByName, out)
 
 

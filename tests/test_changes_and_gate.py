@@ -122,6 +122,21 @@ def test_violating_keys(spark):
     assert len(counts) == 11 and counts["applications not null"] == 2 and counts["packages.name unique"] == 0
 
 
+def test_an_id_moves_once_for_all_rules_of_its_parent(spark):
+    """Ids of every referring column are counted in one grouping by the id alone; names of rules aren't moved."""
+    apps = spark.createDataFrame([(1,), (None,)], "id long")
+    pkgs = spark.createDataFrame([(10,), (10,), (None,)], "id long")
+    deps = spark.createDataFrame([(1, 10), (2, 12), (2, 12), (None, 12), (1, None)], "application_id long, package_id long")
+    sim = spark.createDataFrame([(12, 10), (10, 12), (12, 13), (None, 13)], "package_a int, package_b int")
+    found = constraints.dangling_keys({"applications": apps, "packages": pkgs, "dependencies": deps, "similarity": sim})
+    assert sorted(tuple(r) for r in found.collect()) == [
+        ("dependencies.application_id references applications", "2", 2), ("dependencies.package_id references packages", "12", 3),
+        ("similarity.package_a references packages", "12", 2), ("similarity.package_b references packages", "12", 1),
+        ("similarity.package_b references packages", "13", 2)]
+    moved = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in line]
+    assert moved and not any("rule" in line for line in moved)
+
+
 def test_pypi_and_npm_are_the_ecosystems_of_purls(spark):
     df = spark.createDataFrame([("pkg:npm/@a/b@1",), ("pkg:pypi/c@2",)], "p string")
     assert [r.e for r in df.select(purl.ecosystem("p").alias("e")).collect()] == [purl.NPM, purl.PYPI]
