@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from affinity.operators import joins, recommend, similarity
 from affinity.plans import train
-from affinity.session import materialize, scratch_path
+from affinity.session import PACKED, materialize, scratch_path
 from affinity.sources import corpus, landed
 from inputs import SMOKE
 
@@ -218,3 +218,12 @@ def test_longest_list_bounds_the_lists(spark, monkeypatch):
     assert similarity.longest_list(counts, 9) == 9
     monkeypatch.setattr(similarity, "WINDOW_GROUP_ROWS", 5)
     assert similarity.longest_list(counts, 9) == 3 and similarity.longest_list(counts.limit(0), 9) == 0
+
+
+def test_tables_as_long_as_the_pairs_are_packed(spark, tmp_path):
+    """The similarity table and the written pair counts use the packed codec, other written tables the session's."""
+    sim = spark.createDataFrame([(1, 2, 0.5, 5)], "package_a long, package_b long, similarity double, bounded_similarity int")
+    path = landed.write_similarity(sim, str(tmp_path / "sim"), 1, rank=True, max_neighbours=2)
+    files = [*spark.read.parquet(path).inputFiles(), *materialize(sim, "counts", PACKED).inputFiles()]
+    assert all(f.endswith(".zstd.parquet") for f in files)
+    assert not any(f.endswith(".zstd.parquet") for f in materialize(sim).inputFiles())
