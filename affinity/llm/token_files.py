@@ -29,7 +29,9 @@ import hashlib
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -51,13 +53,31 @@ MAX_PIECES = 500_000
 GROUP_CHARS = 1_000_000       # characters split into pieces at a time, except that a text is never cut
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character of each byte: its own where it is printed in Latin-1, else the next from U+0100 on."""
+    printed = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = count(0x100)
+    return {b: chr(b if b in printed else next(others)) for b in range(256)}
+
+
+_BYTE_CHARACTERS = _byte_characters()
+
+
+def byte_level(piece: str) -> str:
+    """A piece as the ByteLevel step hands it to the model: one character a byte of its UTF-8."""
+    return piece if piece.isascii() and piece.isprintable() and " " not in piece else \
+        piece.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+
+
 class PieceTokenizer:
     """A `tokenizers` file, with the ids of pieces seen before kept (a table of bounded size).
 
     A tokenizer that normalises to NFC, collapses white space, lower-cases and
     then splits by one pattern gives each piece the same ids everywhere. Such
-    a tokenizer's common texts are split here and only new pieces go through
-    the library; every other text or tokenizer goes through it whole.
+    a tokenizer's common texts are split here and only new pieces go to the
+    library's model, spelled as its ByteLevel step spells them (normalising and
+    splitting a piece again would give the piece); every other text or
+    tokenizer goes through the library whole.
     """
 
     STEPS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -71,6 +91,7 @@ class PieceTokenizer:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.code = {2: "H", 4: "I"}[self.width]
         self.known: dict[str, bytes] = {}
         self.split = None
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
@@ -79,6 +100,7 @@ class PieceTokenizer:
                 and pre[1].get("type") == "ByteLevel" and not pre[1].get("add_prefix_space")
                 and not pre[1].get("use_regex") and spec.get("post_processor") is None):
             self.split = Splitter(pre[0]["pattern"]["Regex"])
+            self.merge = self.tokenizer.model.tokenize
             added = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
             self.added = re.compile("|".join(added) or r"(?!)")
 
@@ -103,8 +125,8 @@ class PieceTokenizer:
             self.known.clear()
         known = self.known
         new = list(set().union(*filter(None, split)).difference(known))
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[p] = self.pack(e.ids)
+        for p in new:
+            known[p] = array(self.code, [t.id for t in self.merge(byte_level(p))]).tobytes()
         return [self.pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if pieces is None
                 else b"".join(map(known.__getitem__, pieces)) for t, pieces in zip(texts, split)]
 
