@@ -10,7 +10,8 @@ read" (a vocabulary trie node and the tokens before it that are not emitted
 yet). A state is a set of such items and the token emitted last; it is made
 the first time it is reached. A token is emitted as soon as all items agree on it, so the lookahead
 is bounded by the longest vocabulary entry. States and finished pieces are
-kept in tables of bounded size, which start again when full.
+kept in tables of bounded size, which start again when full; a piece is kept
+from its second occurrence on.
 
 Decoding is streaming: an incremental UTF-8 state machine holds back the bytes
 of an unfinished character until the ids that complete it arrive.
@@ -25,6 +26,7 @@ import base64
 import gc
 import hashlib
 import marshal
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
@@ -36,9 +38,14 @@ from affinity.llm.common import kept, text_or_empty
 from affinity.llm.pieces import Splitter
 
 MAX_STATES = 200_000
-MAX_FITS = 400_000
-MAX_PIECES = 200_000
+MAX_PIECES = 60_000
+MET_FLAGS = 1 << 21
 DECODE_CHUNK = 8_192
+STATE_BITS = 32
+STATE_MASK = (1 << STATE_BITS) - 1
+MANY = STATE_MASK                  # of a step: more than one token is emitted
+NO_BYTE = 256
+UNKNOWN, NEVER = -1, -2         # of a token: its last merge hasn't been looked for, or isn't there
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -71,23 +78,29 @@ class Transducer:
                     self.accepts.append(None)
                 node = following
             self.accepts[node] = rank
-        self.fits: dict[int, bool] = {}                # of a pair, both in one number
+        self.left = array("q", [UNKNOWN]) * (max(ranks.values(), default=0) + 1)      # of each token: its last merge
+        self.right = array("q", self.left)
+        self.in_order = True                           # as far as seen: no merge has a part of a higher rank
         self._restart()
 
     def _restart(self) -> None:
-        start = (None, ((self.ROOT, ()),))
         # states are kept as bytes, a fifth of the size of the nested tuples; version 2 gives equal states equal bytes
-        packed = marshal.dumps(start, 2)
+        packed = marshal.dumps((None, ((self.ROOT, ()),)), 2)
         self.number = {packed: 0}
         self.items = [packed]
-        self.final: list[tuple[int, ...]] = [()]
-        self.delta: dict[int, tuple[int, tuple[int, ...]]] = {}        # state * 256 + byte -> state, tokens
-
-    def _merged(self, text: bytes) -> list[int]:
-        """The definition: merge the adjacent pair of lowest rank, leftmost first, while one exists."""
+        # a step is one number, the next state and above STATE_BITS what is emitted: nothing (0), a token id + 1,
+        # or MANY, where `emitted` has the tokens; a state's first step stands in two arrays, others in `delta`
+        self.first = array("H", [NO_BYTE])
+        self.first_step = array("Q", [0])
+        self.delta: dict[int, int] = {}                # state * 256 + byte -> step
+        self.emitted: dict[int, tuple[int, ...]] = {}
+
+    def _merges(self, text: bytes) -> Iterator[list[bytes]]:
+        """The definition: merge the adjacent pair of lowest rank, leftmost first, while one exists; the parts after each step."""
         ranks, none = self.ranks, len(self.ranks) + 1
         parts = [text[i:i + 1] for i in range(len(text))]
         costs = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
+        yield parts
         while costs:
             best = min(costs)
             if best == none:
@@ -99,24 +112,55 @@ class Transducer:
                 costs[at - 1] = ranks.get(parts[at - 1] + parts[at], none)
             if at < len(costs):
                 costs[at] = ranks.get(parts[at] + parts[at + 1], none)
-        return [ranks[p] for p in parts]
+            yield parts
+
+    def _merged(self, text: bytes) -> list[int]:
+        return [self.ranks[p] for p in [*self._merges(text)][-1]]
+
+    def _made(self, token: int) -> bool:
+        """Does merging the bytes of a token give it? If so, `left` and `right` have its last merge (a byte: itself)."""
+        if self.left[token] == UNKNOWN:
+            ranks, parts, last = self.ranks, [], (token, token)
+            for parts in self._merges(self.token[token]):
+                if len(parts) == 2:
+                    last = ranks[parts[0]], ranks[parts[1]]
+            self.left[token], self.right[token] = last if len(parts) == 1 else (NEVER, NEVER)
+            self.in_order &= len(self.token[token]) == 1 or max(last) < token
+        return self.left[token] != NEVER
 
     def _fit(self, before: int | None, token: int) -> bool:
-        """Can `token` follow `before` in an encoding?"""
-        pair = token if before is None else (before + 1) << 32 | token
-        known = self.fits.get(pair)
-        if known is None:
-            if len(self.fits) > MAX_FITS:
-                self.fits.clear()
-            if before is None:
-                known = self._merged(self.token[token]) == [token]
+        """Can `token` follow `before` in an encoding?
+
+        It can if both can be made and no merge across their border comes
+        before theirs: the later of their last merges is undone, and the two
+        parts at the border compared again, until only bytes are left. On the
+        same rank the left one was merged first. That takes ranks that rise
+        with the merges; for other tables the pair is merged as defined.
+        """
+        if not self._made(token):
+            return False
+        if before is None:
+            return True
+        ranks, text, left, right = self.ranks, self.token, self.left, self.right
+        pair, limit = [before, token], None
+        while self.in_order:
+            across = ranks.get(text[before] + text[token])
+            if across is not None and (limit is None or across < limit):
+                return False
+            if right[before] == before and left[token] == token:
+                return True
+            if left[token] == token or (right[before] != before and before > token):
+                limit = before
+                before = right[before]
+                self._made(before)
             else:
-                known = self._merged(self.token[before] + self.token[token]) == [before, token]
-            self.fits[pair] = known
-        return known
+                limit = token + 1
+                token = left[token]
+                self._made(token)
+        return self._merged(b"".join(map(text.__getitem__, pair))) == pair
 
-    def _make(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        anchor, items = marshal.loads(self.items[state])
+    def _follow(self, anchor: int | None, items: tuple, byte: int) -> tuple[int | None, tuple, tuple[int, ...]]:
+        """What a state becomes by a byte, and the tokens emitted."""
         child, accepts = self.child, self.accepts
         alive, newest = [], None
         for node, pending in items:
@@ -142,13 +186,27 @@ class Transducer:
                 alive = [(node, pending[agreed:]) for node, pending in alive]
             elif all([pending for _, pending in alive]):
                 anchor = None                  # no item looks at it any more
-        key = marshal.dumps((anchor, tuple(alive)), 2)
-        following = self.number.get(key)
-        if following is None:
-            following = self.number[key] = len(self.items)
+        return anchor, tuple(alive), first[:agreed]
+
+    def _make(self, state: int, byte: int) -> int:
+        anchor, items, tokens = self._follow(*marshal.loads(self.items[state]), byte)
+        key = marshal.dumps((anchor, items), 2)
+        step = self.number.get(key)
+        if step is None:
+            step = self.number[key] = len(self.items)
             self.items.append(key)
-            self.final.append(alive[-1][1])
-        step = self.delta[state << 8 | byte] = (following, first[:agreed])
+            self.first.append(NO_BYTE)
+            self.first_step.append(0)
+        at = state << 8 | byte
+        if len(tokens) == 1:
+            step |= tokens[0] + 1 << STATE_BITS
+        elif tokens:
+            step |= MANY << STATE_BITS
+            self.emitted[at] = tokens
+        if self.first[state] == NO_BYTE:
+            self.first[state], self.first_step[state] = byte, step
+        else:
+            self.delta[at] = step
         return step
 
     def encode(self, piece: bytes) -> list[int]:
@@ -159,24 +217,33 @@ class Transducer:
         if len(self.items) > self.max_states:
             self._restart()
         out: list[int] = []
-        state, delta = 0, self.delta
+        state, first, first_step, delta = 0, self.first, self.first_step, self.delta
         for byte in piece:
-            step = delta.get(state << 8 | byte)
-            if step is None:
-                step = self._make(state, byte)
-            state = step[0]
-            if step[1]:
-                out += step[1]
-        out += self.final[state]
+            if first[state] == byte:
+                step = first_step[state]
+            else:
+                step = delta.get(state << 8 | byte)
+                if step is None:
+                    step = self._make(state, byte)
+            if step > STATE_MASK:
+                token = step >> STATE_BITS
+                if token == MANY:
+                    out += self.emitted[state << 8 | byte]
+                else:
+                    out.append(token - 1)
+            state = step & STATE_MASK
+        # the newest item holds what is read and not emitted
+        out += marshal.loads(self.items[state])[1][-1][1]
         return out
 
 
 class PieceTable(dict):
-    """Pieces met so far, each with its decimal ids joined by spaces.
+    """Pieces met more than once, each with its decimal ids joined by spaces.
 
     Two generations of at most `most` pieces: when the newer is full it
     becomes the older, and a piece found there moves up. So frequent pieces
-    stay and memory is bounded.
+    stay and memory is bounded. A piece enters when it is met again, which one
+    bit of its hash remembers; most pieces of a corpus are met once.
     """
 
     def __init__(self, transducer: Transducer, most: int):
@@ -184,11 +251,26 @@ class PieceTable(dict):
         self.transducer = transducer
         self.most = most
         self.older: dict[str, str] = {}
+        self.met = bytearray(MET_FLAGS)
+        self.first_met = 0
+
+    def _again(self, piece: str) -> bool:
+        """Has the piece, or one of the same hash, been met since the flags were last cleared?"""
+        flag = hash(piece) % MET_FLAGS
+        if self.met[flag]:
+            return True
+        if self.first_met >= MET_FLAGS // 2:
+            self.met, self.first_met = bytearray(MET_FLAGS), 0
+        self.met[flag] = 1
+        self.first_met += 1
+        return False
 
     def __missing__(self, piece: str) -> str:
         hit = self.older.get(piece)
         if hit is None:
             hit = " ".join(map(str, self.transducer.encode(piece.encode())))
+            if not self._again(piece):
+                return hit
         if len(piece) <= 64:
             if len(self) >= self.most:
                 self.older = dict(self)

@@ -113,6 +113,36 @@ def test_transducer_restarts_when_full():
         assert small.encode(word.encode()) == large.encode(word.encode()) == large._merged(word.encode())
 
 
+def test_pieces_are_kept_from_their_second_occurrence():
+    """Most pieces of a corpus are met once; they would fill a worker's memory."""
+    known = bpe.PieceTable(bpe.Transducer(bpe.load_ranks(RANKS)), 1_000)
+    once = [f" piece{k}" for k in range(500)]
+    first = [known[p] for p in once]
+    assert len(known) < 10                     # a few may share a flag
+    assert [known[p] for p in once] == first and set(once) <= set(known)
+    assert all(type(step) is int for step in known.transducer.delta.values())
+
+
+def test_pairs_fit_as_merging_them_says():
+    """Tables made of merges, and tables with tokens that no merge gives or whose parts have higher ranks."""
+    for seed in range(12):
+        random = np.random.default_rng(seed)
+        ranks = {bytes([c]): i for i, c in enumerate(b"abc")}
+        while len(ranks) < 40:
+            if seed % 2 or random.random() < 0.85:
+                token = b"".join(list(ranks)[k] for k in random.integers(0, len(ranks), 2))
+            else:
+                token = bytes(random.choice(list(b"abc"), random.integers(2, 7)).tolist())
+            if len(token) < 12:
+                ranks.setdefault(token, len(ranks))
+        machine = bpe.Transducer(ranks)
+        made = [t for t in machine.token if machine._made(t)]
+        assert made == [t for t in machine.token if machine._merged(machine.token[t]) == [t]]
+        for a in made:
+            for b in machine.token:
+                assert machine._fit(a, b) == (machine._merged(machine.token[a] + machine.token[b]) == [a, b])
+
+
 def brute_hits(docs, items):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -364,6 +394,17 @@ def test_secrets_in_connection_strings(spark):
     assert masked[0] == "postgres://admin:[SECRET]@db.example.com/x" and masked[3] == texts[3]
 
 
+def test_new_pieces_go_to_the_model_alone():
+    """Normalising and splitting a piece again would take most of the time."""
+    from tokenizers import Tokenizer
+    lib, own = Tokenizer.from_file(WORDS), token_files.PieceTokenizer(WORDS)
+    random = np.random.default_rng(8)
+    signs = [chr(c) for c in range(0x21, 0x250) if c != 0x130 and not 0x7F <= c <= 0xA0] + list("  \t\n'sx9") * 20
+    texts = ["".join(random.choice(signs, 40)) for _ in range(2_000)] + ["", "It's 1990: don't!", "naïve ÀÉÎ œuvre"]
+    own.tokenizer = None                       # common texts do without the whole tokenizer
+    assert own.encode_all(texts) == [own.pack(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_token_files(spark, odd_docs, tmp_path):
     from tokenizers import Tokenizer
     lib = Tokenizer.from_file(WORDS)
