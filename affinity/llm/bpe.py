@@ -11,9 +11,10 @@ yet). A state is a set of such items and the token emitted last; it is made
 the first time it is reached. A token is emitted as soon as all items agree on it, so the lookahead
 is bounded by the longest vocabulary entry. States and finished pieces are
 kept in tables of bounded size, which start again when full; a piece is kept
-from its second occurrence on.
+from its second occurrence on. A piece's first bytes are read in one step once
+they have been met, and whether two tokens fit is kept past a restart.
 
-Decoding is streaming: an incremental UTF-8 state machine holds back the bytes
+Decoding is streaming: Arrow puts the tokens' bytes together, and an incremental UTF-8 state machine holds back the bytes
 of an unfinished character until the ids that complete it arrive.
 
 Defined results: null text counts as empty text; empty text has no tokens;
@@ -27,8 +28,7 @@ import gc
 import hashlib
 import marshal
 from array import array
-from collections.abc import Iterable, Iterator
-from itertools import islice
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +37,19 @@ from pyspark.sql import DataFrame
 from affinity.llm.common import kept, text_or_empty
 from affinity.llm.pieces import Splitter
 
-MAX_STATES = 200_000
+MAX_STATES = 250_000
 MAX_PIECES = 60_000
 MET_FLAGS = 1 << 21
 DECODE_CHUNK = 8_192
 STATE_BITS = 32
 STATE_MASK = (1 << STATE_BITS) - 1
+TOKEN_BITS = 21
+TOKEN_MASK = (1 << TOKEN_BITS) - 1
+LONG = (1 << 64) - 1
 MANY = STATE_MASK                  # of a step: more than one token is emitted
 NO_BYTE = 256
+PREFIX = 5                         # bytes of a piece that are read in one step once they have been met
+FITS = 1 << 18                     # answers of `_fit` kept, each in the place of its pair's hash
 UNKNOWN, NEVER = -1, -2         # of a token: its last merge hasn't been looked for, or isn't there
 
 
@@ -81,6 +86,7 @@ class Transducer:
         self.left = array("q", [UNKNOWN]) * (max(ranks.values(), default=0) + 1)      # of each token: its last merge
         self.right = array("q", self.left)
         self.in_order = True                           # as far as seen: no merge has a part of a higher rank
+        self.fits = array("Q", [0]) * FITS             # a pair of tokens, and in the last bit whether they fit; 0: none
         self._restart()
 
     def _restart(self) -> None:
@@ -92,8 +98,11 @@ class Transducer:
         # or MANY, where `emitted` has the tokens; a state's first step stands in two arrays, others in `delta`
         self.first = array("H", [NO_BYTE])
         self.first_step = array("Q", [0])
+        self.last = array("Q", [0])                    # of each state: the tokens read and not emitted, TOKEN_BITS each; LONG: see `items`
         self.delta: dict[int, int] = {}                # state * 256 + byte -> step
         self.emitted: dict[int, tuple[int, ...]] = {}
+        self.prefix: dict[bytes, tuple[int, ...]] = {} # the first PREFIX bytes of a piece -> the state, and the tokens emitted
+        self.newest = 0, (None, ((self.ROOT, ()),))    # the state made last, and what it holds
 
     def _merges(self, text: bytes) -> Iterator[list[bytes]]:
         """The definition: merge the adjacent pair of lowest rank, leftmost first, while one exists; the parts after each step."""
@@ -159,6 +168,17 @@ class Transducer:
                 self._made(token)
         return self._merged(b"".join(map(text.__getitem__, pair))) == pair
 
+    def _fits(self, before: int | None, token: int) -> bool:
+        """`_fit`, which most pairs are asked more than once."""
+        if before is None:
+            return self._made(token)
+        key = (before << STATE_BITS | token) + 1 << 1
+        at = (before * 40_503 + token) % len(self.fits)
+        held = self.fits[at]
+        if held & ~1 != key:
+            held = self.fits[at] = key | self._fit(before, token)
+        return held & 1 == 1
+
     def _follow(self, anchor: int | None, items: tuple, byte: int) -> tuple[int | None, tuple, tuple[int, ...]]:
         """What a state becomes by a byte, and the tokens emitted."""
         child, accepts = self.child, self.accepts
@@ -169,7 +189,7 @@ class Transducer:
                 continue
             if newest is None:
                 token = accepts[following]
-                if token is not None and self._fit(pending[-1] if pending else anchor, token):
+                if token is not None and self._fits(pending[-1] if pending else anchor, token):
                     newest = (self.ROOT, (*pending, token))
             if child[following]:
                 alive.append((following, pending))
@@ -189,7 +209,8 @@ class Transducer:
         return anchor, tuple(alive), first[:agreed]
 
     def _make(self, state: int, byte: int) -> int:
-        anchor, items, tokens = self._follow(*marshal.loads(self.items[state]), byte)
+        last, held = self.newest                       # a new state is mostly asked for its step at once
+        anchor, items, tokens = self._follow(*(held if last == state else marshal.loads(self.items[state])), byte)
         key = marshal.dumps((anchor, items), 2)
         step = self.number.get(key)
         if step is None:
@@ -197,6 +218,12 @@ class Transducer:
             self.items.append(key)
             self.first.append(NO_BYTE)
             self.first_step.append(0)
+            held = items[-1][1]                        # the newest item holds them
+            last = 0
+            for token in reversed(held):
+                last = last << TOKEN_BITS | token + 1
+            self.last.append(last if len(held) <= 64 // TOKEN_BITS and max(held, default=0) < TOKEN_MASK else LONG)
+            self.newest = step, (anchor, items)
         at = state << 8 | byte
         if len(tokens) == 1:
             step |= tokens[0] + 1 << STATE_BITS
@@ -216,9 +243,30 @@ class Transducer:
             return [whole]
         if len(self.items) > self.max_states:
             self._restart()
+        if len(piece) <= PREFIX:
+            state, out = self._read(0, piece)
+        else:
+            start = piece[:PREFIX]
+            met = self.prefix.get(start)
+            if met is None:
+                state, out = self._read(0, start)
+                met = self.prefix[start] = (state, *out)
+            state, out = self._read(met[0], piece[PREFIX:])
+            if len(met) > 1:
+                out[:0] = met[1:]
+        last = self.last[state]
+        if last == LONG:
+            return [*out, *marshal.loads(self.items[state])[1][-1][1]]
+        while last:
+            out.append((last & TOKEN_MASK) - 1)
+            last >>= TOKEN_BITS
+        return out
+
+    def _read(self, state: int, text: bytes) -> tuple[int, list[int]]:
+        """The state after `text` is read from a state, and the tokens emitted."""
         out: list[int] = []
-        state, first, first_step, delta = 0, self.first, self.first_step, self.delta
-        for byte in piece:
+        first, first_step, delta = self.first, self.first_step, self.delta
+        for byte in text:
             if first[state] == byte:
                 step = first_step[state]
             else:
@@ -232,9 +280,7 @@ class Transducer:
                 else:
                     out.append(token - 1)
             state = step & STATE_MASK
-        # the newest item holds what is read and not emitted
-        out += marshal.loads(self.items[state])[1][-1][1]
-        return out
+        return state, out
 
 
 class PieceTable(dict):
@@ -289,6 +335,7 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = MAX_PIECES):
         self.transducer = Transducer(ranks)
+        self.decoder = Decoder(ranks)
         self.split = Splitter(pattern)
         self.known = PieceTable(self.transducer, max_pieces)
 
@@ -335,13 +382,28 @@ class Utf8Machine:
         return data.decode("utf-8", "replace")
 
 
-def decode_stream(ids: Iterable[int], token: dict[int, bytes], chunk: int = DECODE_CHUNK) -> Iterator[str]:
-    """Text of a stream of ids, in parts that never cut a character."""
-    machine = Utf8Machine()
-    stream = iter(ids)
-    while held := list(islice(stream, chunk)):
-        yield machine.feed(b"".join(map(token.__getitem__, held)))
-    yield machine.finish()
+class Decoder:
+    """Ids to text: the tokens are one Arrow column, and taking its rows puts their bytes one after another."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.tokens = pa.array(tokens, pa.binary())
+
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        taken = self.tokens.take(pa.array(ids, pa.int32()))
+        if taken.null_count:
+            raise KeyError("an id without a token")
+        _, ends, data = taken.buffers()
+        return data.slice(0, int(np.frombuffer(ends, np.int32)[len(ids)])).to_pybytes() if len(ids) else b""
+
+    def stream(self, ids: np.ndarray, chunk: int = DECODE_CHUNK) -> Iterator[str]:
+        """Text of ids, read in chunks, in parts that never cut a character."""
+        machine = Utf8Machine()
+        for at in range(0, len(ids), chunk):
+            yield machine.feed(self._bytes(ids[at:at + chunk]))
+        yield machine.finish()
 
 
 def encoder(path: str, pattern: str) -> Encoder:
@@ -373,9 +435,9 @@ def decode_documents(encoded: DataFrame, path: str, id_column: str = "doc_id") -
     """(id, text) from (id, ids array<int>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {rank: t for t, rank in load_ranks(path).items()}
+        decoder = Decoder(load_ranks(path))
         for batch in batches:
-            texts = ["".join(decode_stream(ids or [], token)) for ids in batch.column(1).to_pylist()]
+            texts = ["".join(decoder.stream(np.array(ids or [], np.int32))) for ids in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], [id_column, "text"])
 
     return encoded.select(id_column, "ids").mapInArrow(
@@ -393,7 +455,6 @@ def round_trip_digest(docs: DataFrame, path: str, pattern: str, with_ids: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
-        token = enc.transducer.token
         for batch in batches:
             counts, ids_digests, text_digests, all_ids = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -404,7 +465,7 @@ def round_trip_digest(docs: DataFrame, path: str, pattern: str, with_ids: bool =
                     all_ids.append(ids)
                 ids_digests.append(hashlib.sha256(decimal.encode()).hexdigest())
                 digest = hashlib.sha256()
-                for part in decode_stream(ids.tolist(), token):
+                for part in enc.decoder.stream(ids):
                     digest.update(part.encode())
                 text_digests.append(digest.hexdigest())
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()),

@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from affinity.llm import (bpe, decontaminate, html_text, near_dedup, neighbours, quality, queries, secret_scan, sharding,
+from affinity.llm import (bpe, common, decontaminate, html_text, near_dedup, neighbours, quality, queries, secret_scan, sharding,
                           suffix_dedup, token_files)
 
 SMOKE = "/root/testdata/sf0.001"
@@ -123,6 +123,48 @@ def test_pieces_are_kept_from_their_second_occurrence():
     assert all(type(step) is int for step in known.transducer.delta.values())
 
 
+def test_known_prefixes_and_pairs_are_not_worked_out_again(monkeypatch):
+    machine = bpe.Transducer(bpe.load_ranks(RANKS))
+    words = [w.encode() for w in ("thhationed", "thhatouing", "Zwölfboxkämpfer", "Zwölfkampf", "aaaaaaaaaaaaaab", "ab", "abcde", "abcdé")]
+    want = [machine._merged(w) for w in words]
+    assert [machine.encode(w) for w in words] == want
+    read, lengths = machine._read, []
+    monkeypatch.setattr(machine, "_read", lambda state, text: (lengths.append(len(text)), read(state, text))[1])
+    assert [machine.encode(w) for w in words if len(w) > bpe.PREFIX] == [t for w, t in zip(words, want) if len(w) > bpe.PREFIX]
+    assert lengths == [len(w) - bpe.PREFIX for w in words if len(w) > bpe.PREFIX]
+    monkeypatch.setattr(machine, "_fit", None)           # the answers outlive the states
+    machine._restart()
+    assert [machine.encode(w) for w in words] == want
+
+
+def test_pairs_that_share_a_place_are_told_apart():
+    machine = bpe.Transducer(bpe.load_ranks(RANKS))
+    machine.fits = machine.fits[:1]
+    for word in ("thhation", "Zwölfboxkämpfer", "stonlyement", "thhation"):
+        assert machine.encode(word.encode()) == machine._merged(word.encode())
+
+
+def test_arrow_decoder_reads_chunks_of_any_size():
+    ranks = bpe.load_ranks(RANKS)
+    machine, decoder = bpe.Transducer(ranks), bpe.Decoder(ranks)
+    text = "aé漢😀 thhation 😀"
+    ids = np.array(machine.encode(text.encode()), np.int32)
+    for chunk in (1, 2, 3, 100):
+        assert "".join(decoder.stream(ids, chunk)) == text
+    assert "".join(decoder.stream(ids[:0])) == ""
+    with pytest.raises(KeyError):
+        list(bpe.Decoder({b"a": 0, b"b": 2}).stream(np.array([0, 1], np.int32)))
+
+
+def test_a_worker_gives_memory_back_before_it_makes_a_table(monkeypatch):
+    """Also where earlier stages kept no table: their arrays and batches leave free memory behind."""
+    calls = []
+    monkeypatch.setattr(common, "_KEPT", {})
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(dict(common._KEPT)), raising=False)
+    assert [common.kept((k,), lambda: k) for k in (1, 1, 2)] == [1, 1, 2]
+    assert calls == [{}, {}]
+
+
 def test_pairs_fit_as_merging_them_says():
     """Tables made of merges, and tables with tokens that no merge gives or whose parts have higher ranks."""
     for seed in range(12):
