@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from affinity.functions import purl, requirements
 from affinity.functions.json import strict_json
-from affinity.session import materialize
+from affinity.session import PACKED, materialize
 
 JAVASCRIPT = "javascript"
 PYTHON = "python"
@@ -190,9 +190,10 @@ def repo_dependency_union(manifests: DataFrame, key: str | list[str] = "applicat
     """Per repository, or per `key` columns such as (repository, branch): all purls from every language's manifest.
 
     `language` is the last one found. The manifests are read three times, so they are written first.
+    Their texts move to their key's task, not the purls, which repeat what the texts hold.
     """
     keys = [key] if isinstance(key, str) else key
-    manifests = materialize(manifests.select(*keys, "language", "text"), "manifests")
+    manifests = materialize(manifests.select(*keys, "language", "text"), "manifests", PACKED).repartition(*keys)
     purls = parse_dependencies(manifests)
     order = F.create_map(*[x for k, v in LANGUAGE_ORDER.items() for x in (F.lit(k), F.lit(v))])
     lang = manifests.groupBy(*keys).agg(

@@ -161,34 +161,40 @@ def manifests(spark: SparkSession, base: str, lines: str = "true", language: str
     part = read_table(spark, base, "part", "p_partkey", "p_name", "p_size")
     key, size = F.col("p_partkey"), F.col("p_size")
     slug = part_slug(F.col("p_name"), key)
-    npm_value = F.when(size % NUMERIC_VERSION_EVERY == 0, size.cast("string")).otherwise(
-        F.concat(F.lit('"^'), size.cast("string"), F.lit('.0.0"')))
-    py_line = (F.when(size >= VERSIONLESS_MIN_SIZE, slug)
-                .when(size % EXTRAS_EVERY == 0,
-                      F.concat(slug, F.lit("[extra]=="), size.cast("string"), F.lit(".1")))
-                .otherwise(F.concat(slug, F.lit(">="), size.cast("string"), F.lit(".0"))))
-    entry = F.when(key % 2 == 0, F.concat(F.lit('"'), slug, F.lit('": '), npm_value)).otherwise(py_line)
-    parts = part.select(key, slug.alias("slug"), (key % 2 == 0).alias("is_npm"), entry.alias("entry"))
-    lines = li.join(parts, li["l_partkey"] == parts["p_partkey"])
-    per_order = lines.groupBy("l_orderkey").agg(
-        F.collect_list(F.when(F.col("is_npm"), F.struct(F.col("slug").alias("k"),
-                                                        F.col("entry").alias("text")))).alias("npm"),
-        F.collect_list(F.when(~F.col("is_npm"), F.struct(F.col("slug").alias("k"),
-                                                         F.col("entry").alias("text")))).alias("py"))
+    parts = part.select(key, slug.alias("slug"), size, (key % 2 == 0).alias("is_npm"))
+
+    def npm_entry(slug: Column, size: Column) -> Column:
+        value = F.when(size % NUMERIC_VERSION_EVERY == 0, size.cast("string")).otherwise(
+            F.concat(F.lit('"^'), size.cast("string"), F.lit('.0.0"')))
+        return F.concat(F.lit('"'), slug, F.lit('": '), value)
+
+    def py_line(slug: Column, size: Column) -> Column:
+        return (F.when(size >= VERSIONLESS_MIN_SIZE, slug)
+                 .when(size % EXTRAS_EVERY == 0, F.concat(slug, F.lit("[extra]=="), size.cast("string"), F.lit(".1")))
+                 .otherwise(F.concat(slug, F.lit(">="), size.cast("string"), F.lit(".0"))))
+
+    def joined(listed: str, entry, sep: str) -> Column:
+        return _sorted_join(F.transform(listed, lambda p: F.struct(p["slug"].alias("k"), entry(p["slug"], p["p_size"]).alias("text"))), sep)
+
+    # rows of name and size move; entries, which hold the name twice, are made where an order's rows are
+    lines = li.join(parts, li["l_partkey"] == parts["p_partkey"]).select("l_orderkey", "slug", "p_size", "is_npm")
+    listed = F.struct("slug", "p_size")
+    per_order = lines.repartition("l_orderkey").groupBy("l_orderkey").agg(
+        F.collect_list(F.when(F.col("is_npm"), listed)).alias("npm"), F.collect_list(F.when(~F.col("is_npm"), listed)).alias("py"))
     apps = applications(spark, base).join(
         read_table(spark, base, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority"),
         F.col("id") == F.col("o_orderkey"))
     j = (apps.join(per_order, apps["id"] == per_order["l_orderkey"])
              .withColumnRenamed("id", "application_id"))
     head = F.concat(F.lit('{"name": "app-'), F.col("application_id").cast("string"), F.lit('"'))
-    full = F.concat(head, F.lit(', "dependencies": {'), _sorted_join(F.col("npm"), ", "), F.lit("}}"))
+    full = F.concat(head, F.lit(', "dependencies": {'), joined("npm", npm_entry, ", "), F.lit("}}"))
     npm_text = (F.when(F.size("npm") == 0, F.concat(head, F.lit(', "private": true}')))
                  .when((F.col("o_orderstatus") == CORRUPT_STATUS)
                        & (F.col("o_orderpriority") == CORRUPT_PRIORITY),
                        F.expr("substring(full_text, 1, length(full_text) - 1)"))
                  .otherwise(F.col("full_text")))
     py_text = F.concat(F.lit("# requirements for app-"), F.col("application_id").cast("string"), F.lit("\n"),
-                       _sorted_join(F.col("py"), "\n"))
+                       joined("py", py_line, "\n"))
     base_cols = ["application_id", "url", "name", "followers"]
     j = j.withColumn("full_text", full)
     if language == "javascript":
