@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1004,17 +1005,20 @@ def q_ingest_search_pages(spark, base):
     folder = scratch_path(spark, "pages")
     apps = corpus.applications(spark, base)
     m = _manifests(spark, base)
-    out = None
+    pages = []
     for lang in ("javascript", "python"):
         t = m.where(F.col("language") == lang).select("application_id", "text")
         repos = apps.join(t, apps["id"] == t["application_id"], "left").select(
             F.col("id").alias("page_key"), "url", "name", "followers", "text")
-        path = f"{folder}/{lang}"
-        landed.build_search_pages(repos).write.mode("errorifexists").text(path)
-        rows = landed.search_page_repositories(landed.read_search_pages(spark, path)).select(
-            F.lit(lang).alias("language"), "url", "name_with_owner", "followers")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        pages.append(landed.build_search_pages(repos).withColumn("language", F.lit(lang)))
+    # one job: what is moved to make the manifests is moved once for both languages
+    reduce(DataFrame.unionByName, pages).write.mode("errorifexists").partitionBy("language").text(folder, compression="gzip")
+    out = []
+    for lang in ("javascript", "python"):
+        found = landed.read_search_pages(spark, folder, by="language").where(F.col("language") == lang)
+        out.append(landed.search_page_repositories(found).select(
+            F.lit(lang).alias("language"), "url", "name_with_owner", "followers"))
+    return reduce(DataFrame.unionByName, out)
 
 
 @register("ingest_slices", O.with_ctes("apps") + """

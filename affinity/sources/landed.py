@@ -19,8 +19,10 @@ from affinity.session import PACKED
 # ------------------------------------------------------------ search pages
 
 
-def read_search_pages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    return spark.read.schema(SEARCH_PAGE).option("multiLine", multi_line).json(path)
+def read_search_pages(spark: SparkSession, path: str, multi_line: bool = False, by: str | None = None) -> DataFrame:
+    """The pages below `path`; `by` names the text column whose values name its folders, if it has any."""
+    schema = SEARCH_PAGE if by is None else StructType([*SEARCH_PAGE.fields, StructField(by, StringType())])
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
 def search_page_repositories(pages: DataFrame) -> DataFrame:
