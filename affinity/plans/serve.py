@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinity.operators import api, recommend
-from affinity.session import materialize
+from affinity.session import PACKED, materialize
 
 
 def tables(spark: SparkSession, similarity_path: str, packages_path: str) -> tuple[DataFrame, DataFrame]:
@@ -24,7 +24,7 @@ def answer_requests(spark: SparkSession, similarity_path: str, packages_path: st
     """bodies(request_id, body) → (status rows, recommendation records)."""
     sim, pk = tables(spark, similarity_path, packages_path)
     # one row per request, read by four consumers (status, limits, two parsers)
-    valid = materialize(api.validate_requests(bodies), "requests")
+    valid = materialize(api.validate_requests(bodies).drop("body"), "requests", PACKED)
     limits = valid.where(F.col("status") == "ok").select("request_id", "max_recommendations")
     recs = recommend.recommend_batch(sim, pk, api.request_purls(valid), limits)
     return valid.select("request_id", "status", "error"), recommend.recommendation_records(recs)

@@ -40,8 +40,8 @@ def write_served(spark: SparkSession, state: similarity.State, packages: DataFra
                  packages_path: str) -> None:
     """The two served tables from a written state. Its pair count is known by then and sets the number of buckets."""
     buckets = landed.bucket_count(2 * state.counts.count())
-    sim = similarity.scored_mirror(similarity.cosine(state.counts, state.degrees))
-    landed.write_similarity(sim, similarity_path, buckets, rank=True,
+    sim = similarity.mirror_pairs(similarity.cosine(state.counts, state.degrees))
+    landed.write_similarity(sim, similarity_path, buckets, rank=True, mirrored=True,
                             max_neighbours=similarity.longest_list(state.counts, packages.count()))
     landed.write_table(scores.score_packages(packages, spark.read.parquet(similarity_path)), packages_path)
 
